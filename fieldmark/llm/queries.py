@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldmark.llm import rule_quality
+from fieldmark.llm import rule_quality, seed_leaks, simhash_blocks
 from fieldmark.llm.shared import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,9 +20,20 @@ def op4_rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op9_simhash_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_blocks.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash_blocks.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def op2_seed_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return seed_leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Query]:
     return {
+        "op2_seed_leaks": op2_seed_leaks,
         "op4_rule_quality": op4_rule_quality,
+        "op9_simhash_blocks": op9_simhash_blocks,
     }
 
 
