@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldmark.llm import rule_quality, seed_leaks, simhash_blocks
+from fieldmark.llm import cross_parsing, masked_scores, media_sequences, pattern_packing, rule_quality, seed_leaks, simhash_blocks, style_tree, virtual_slots
 from fieldmark.llm.shared import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,11 +29,45 @@ def op2_seed_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seed_leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_masked_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return masked_scores.score_documents(table(spark, sf_dir, "documents"))
+
+
+def op5_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = virtual_slots.shard(table(spark, sf_dir, "documents"), shards=24)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
+
+
+def op6_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pattern_packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op7_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    told = documents.select("doc_id", cross_parsing.predict(documents, cross_parsing.fit(documents)).alias("p"))
+    return told.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "p.lang_pred", "p.score")
+
+
+def op8_media_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shown = media_sequences.document_media(table(spark, sf_dir, "documents"))
+    return shown.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+
+
+def op10_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return style_tree.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op2_seed_leaks": op2_seed_leaks,
+        "op3_masked_scores": op3_masked_scores,
         "op4_rule_quality": op4_rule_quality,
+        "op5_virtual_slots": op5_virtual_slots,
+        "op6_pattern_packing": op6_pattern_packing,
+        "op7_cross_parsing": op7_cross_parsing,
+        "op8_media_sequences": op8_media_sequences,
         "op9_simhash_blocks": op9_simhash_blocks,
+        "op10_style_tree": op10_style_tree,
     }
 
 
