@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldmark.llm import cross_parsing, masked_scores, media_sequences, pattern_packing, rule_quality, seed_leaks, simhash_blocks, style_tree, virtual_slots
+from fieldmark.llm import cross_parsing, masked_scores, media_sequences, pattern_packing, pii_surrogates, rule_quality, seed_leaks, simhash_blocks, style_tree, virtual_slots
 from fieldmark.llm.shared import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,10 @@ def op9_simhash_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash_blocks.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_surrogates.replace(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_seed_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seed_leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -59,6 +63,7 @@ def op10_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_pii_surrogates": op1_pii_surrogates,
         "op2_seed_leaks": op2_seed_leaks,
         "op3_masked_scores": op3_masked_scores,
         "op4_rule_quality": op4_rule_quality,
