@@ -541,11 +541,11 @@ def due_windows(spark, d):
     return logs.due_windows(e, F.col("at"), F.lit("2024-01-12 12:00:00").cast("timestamp")).filter("run_type is not null").select("event_id", "run_type")
 
 
-@query("pending_results", "SELECT event_id, user_id FROM events WHERE event_type = 'purchase' AND user_id IN (SELECT user_id FROM events WHERE event_type = 'click') AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'signup' AND ts < TIMESTAMP '2024-01-10')")
+@query("pending_results", "SELECT event_id, user_id FROM events WHERE event_type = 'purchase' AND user_id IN (SELECT user_id FROM events WHERE event_type = 'click') AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'signup' AND ts < TIMESTAMP '2024-01-10' AND user_id % 3 = 0)")
 def pending_results(spark, d):
     e = table(spark, d, "events")
     predicted, finished = e.filter("event_type = 'click'"), e.filter("event_type = 'purchase'").select("event_id", "user_id")
-    recorded = e.filter((F.col("event_type") == "signup") & (F.col("ts") < F.lit("2024-01-10").cast("timestamp_ntz")))
+    recorded = e.filter((F.col("event_type") == "signup") & (F.col("ts") < F.lit("2024-01-10").cast("timestamp_ntz")) & (F.col("user_id") % 3 == 0))
     return logs.pending_results(predicted, finished, recorded, "user_id")
 
 
