@@ -138,7 +138,7 @@ def one_of_each(documents: DataFrame, distance: int = DISTANCE) -> DataFrame:
     if repeated.isEmpty():
         return plain.select(documents.columns)
     # rows that share a kept doc_id (or have none): one row of each component among them
-    again = documents.join(repeated.select(F.col("doc_id").alias("again_id")), F.col("doc_id").eqNullSafe(F.col("again_id"))).drop("again_id")
+    again = documents.join(repeated.select(F.col("doc_id").alias("__again_id")), F.col("doc_id").eqNullSafe(F.col("__again_id"))).drop("__again_id")
     marked = again.withColumn("__fp", _fingerprints("text"))
     roots = kept.select(F.col("doc_id").alias("__id"), F.col("fp").alias("__fp"), F.col("root").alias("__root")).distinct()
     one = marked.join(roots, marked["__fp"].eqNullSafe(roots["__fp"]) & marked["doc_id"].eqNullSafe(roots["__id"])).dropDuplicates(["doc_id", "__root"]).select(documents.columns)

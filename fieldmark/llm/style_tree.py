@@ -9,8 +9,8 @@ its article or main element, only that is kept.
 
 Entropies are counted by grouped sums of (path, value) pairs, so a host with a third of all pages is summed
 up before it meets in one place.  A host of fewer than LEAST_PAGES pages has no template; where the
-template would take more than half of what the other rules leave of a page (a host of copies), that page
-keeps it.
+template would take more than nine tenths of what the other rules leave of a page (a host of copies), that
+page keeps it.
 
 Defined results: null and empty pages have the empty text; a page without a host only meets the rules;
 repeated rows are extracted each; unclosed and stray tags are closed where HTML closes them, at the latest
@@ -250,7 +250,7 @@ def main_text(blocks: list[Block], template) -> str:
     """The blocks that rules and template leave, joined by blank lines."""
     kept = by_rules(blocks)
     own = [b for b in kept if b.key not in template]
-    if 2 * sum(len(b.text) for b in own) < sum(len(b.text) for b in kept):
+    if 10 * sum(len(b.text) for b in own) < sum(len(b.text) for b in kept):
         own = kept
     return "\n\n".join(b.text for b in own)
 

@@ -1,0 +1,97 @@
+import re
+
+from pyspark.sql import functions as F
+
+from fieldmark.llm import pii_surrogates as p
+
+PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
+    "secret": r"\b[0-9a-f]{40}\b",
+    "card": r"(?<!\d)\d{16}(?!\d)",
+    "ip": r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d)",
+    "phone": r"\+1 \(\d{3}\) \d{3}-\d{4}",
+}
+ANY = re.compile("|".join(f"(?P<{k}>{v})" for k, v in PLAIN.items()))
+
+
+def luhn(s):
+    return sum((d if k % 2 == 0 else d * 2 - 9 * (d > 4)) for k, d in enumerate(map(int, reversed(s)))) % 10 == 0
+
+
+def shape(x):
+    return re.sub(r"[a-z]", "a", re.sub(r"[A-Z]", "A", re.sub(r"\d", "9", x)))
+
+
+def test_query_against_independent_detection(spark, sf_dir, texts):
+    from fieldmark.llm.queries import op1_pii_surrogates
+
+    got = {r.doc_id: r for r in op1_pii_surrogates(spark, sf_dir).collect()}
+    real, pairs = set(), {}
+    for d, t in texts.items():
+        hits = [(m.lastgroup, m.group()) for m in ANY.finditer(t)]
+        new = [(m.lastgroup, m.group()) for m in ANY.finditer(got[d].text)]
+        # what is no entity is untouched, and every entity is still one of its kind
+        assert ANY.sub("\0", t) == ANY.sub("\0", got[d].text)
+        assert [k for k, _ in hits] == [k for k, _ in new]
+        assert sum(e.n for e in got[d].entities) == len(hits)
+        for (kind, a), (_, b) in zip(hits, new, strict=True):
+            real.add(a)
+            assert a != b and pairs.setdefault((kind, a), b) == b
+            if kind in ("phone", "card"):
+                assert shape(a) == shape(b)
+            if kind == "card":
+                assert luhn(a) == luhn(b)
+    assert len(pairs) > 5 and len(set(pairs.values())) == len(pairs) and not real & set(pairs.values())
+    assert all(got[d].text == t for d, t in texts.items() if not ANY.search(t))
+
+
+def test_names_follow_gender_script_and_coreference(spark):
+    rows = [
+        (1, "Dear Mr. John Smith, we met Smith and John. Mrs Anna Smith and Frau Müller came."),
+        (2, "Mr. John Smith wrote; MR SMITH did not."),
+        (3, "Mr. Пётр Иванов и Mrs. Анна Иванова, Mr. Γιώργος Παπαδόπουλος."),
+        (4, "Card 4111 1111 1111 1111 or 4111111111111111, A.b@X.org and a.b@x.org, 123-45-6789, 5.6.7.8, DE89 3704 0044 0532 0130 00."),
+    ]
+    got = {r.doc_id: r.text for r in p.replace(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    given, last = re.match(r"Dear Mr\. (\w+) (\w+), we met (?:\w+) and", got[1]).groups()
+    assert got[1].startswith(f"Dear Mr. {given} {last}, we met {last} and {given}. Mrs ") and f" {last} and Frau " in got[1]
+    assert got[2].startswith(f"Mr. {given} {last} wrote")
+    assert given.endswith(p.ENDINGS["latin"]["male"])
+    assert re.match(r"Mrs (\w+)", got[1].split(". ")[-1]).group(1).endswith(p.ENDINGS["latin"]["female"])
+    assert not re.search(r"[A-Za-z]", got[3].replace("Mrs.", "").replace("Mr.", "")) and "Иванов" not in got[3]
+    a, b = re.match(r"Card ([\d ]{19}) or (\d{16}),", got[4]).groups()
+    assert a.replace(" ", "") == b != "4111111111111111" and luhn(b)
+    assert not any(x in got[4] for x in ("123-45-6789", "5.6.7.8", "a.b@x.org", "3704"))
+
+
+def test_collisions_are_settled(spark):
+    """Two-letter addresses at one domain: far fewer candidates than safe, so attempts are needed."""
+    addresses = [f"{a}{b}@x.io" for a in "abcdefghij" for b in "abcdefghij"]
+    found = spark.createDataFrame([("email", x) for x in addresses], "kind string, norm string")
+    rows = p.assign(found, "key").collect()
+    assert len(rows) == len(addresses) == len({r.surrogate for r in rows}) and max(r.attempt for r in rows) > 0
+    assert not {r.surrogate for r in rows} & set(addresses)
+    docs = spark.createDataFrame([(k, f"mail {x}!") for k, x in enumerate(addresses)], "doc_id long, text string")
+    want = {r.norm: r.surrogate for r in p.assign(p.entities(docs)).collect()}
+    for limit in (p.MAP_ROWS, 0):  # by the plan's own map, and by the join
+        p.MAP_ROWS, kept = limit, p.MAP_ROWS
+        try:
+            got = {r.doc_id: r.text for r in p.replace(docs).collect()}
+        finally:
+            p.MAP_ROWS = kept
+        assert got == {k: f"mail {want[x]}!" for k, x in enumerate(addresses)}
+
+
+def test_no_python_in_the_plan(documents):
+    plan = p.replace(documents)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_odd_rows(odd, none):
+    out = p.replace(odd)
+    assert sorted(out.columns) == sorted(odd.columns)
+    a = sorted((r.doc_id or 0, r.text or "", r.text is None) for r in odd.collect())
+    assert sorted((r.doc_id or 0, r.text or "", r.text is None) for r in out.collect()) == a
+    assert p.replace(none).count() == 0
+    huge = odd.select("doc_id", F.lit("a" * 300_000 + " x@y.de " + "1" * 50_000).alias("text")).limit(1)
+    assert "x@y.de" not in p.replace(huge).head().text
