@@ -162,25 +162,29 @@ def expanded_outcomes(df: DataFrame, y: str, weight: str | None = None) -> DataF
     return df.select("*", F.inline(pair)).filter("w > 0")
 
 
-def fit_classifier(df: DataFrame, features: Sequence[str], y: str, c: float = 1.0, weight: str | None = None):
-    """L2 logistic regression on soft outcomes: penalty 1 / (c * total weight), columns scaled beforehand by population deviations."""
+def fit_classifier(df: DataFrame, features: Sequence[str] | dict[str, Column], y: str, c: float = 1.0, weight: str | None = None) -> Column:
+    """The fitted probability as a column: L2 logistic regression on soft outcomes with penalty 1 / (c * total weight).
+
+    Features are columns or named expressions of df, scaled beforehand by their population deviations.
+    """
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
 
-    stats = df.agg(*[F.avg(f).alias(f"m_{f}") for f in features], *[F.stddev_pop(f).alias(f"s_{f}") for f in features]).head()
-    scaled = {f"__{f}": (F.col(f) - float(stats[f"m_{f}"])) / (float(stats[f"s_{f}"]) or 1.0) for f in features}
+    x = features if isinstance(features, dict) else {f: F.col(f) for f in features}
+    stats = df.agg(*[F.avg(v).alias(f"m_{f}") for f, v in x.items()], *[F.stddev_pop(v).alias(f"s_{f}") for f, v in x.items()]).head()
+    scaled = {f"__{f}": (v - float(stats[f"m_{f}"])) / (float(stats[f"s_{f}"]) or 1.0) for f, v in x.items()}
     rows = expanded_outcomes(df, y, weight).withColumns(scaled)
     total = rows.agg(F.sum("w")).head()[0]
     vectors = VectorAssembler(inputCols=list(scaled), outputCol="__x").transform(rows)
     model = LogisticRegression(featuresCol="__x", labelCol="label", weightCol="w", regParam=1 / (c * total), standardization=False).fit(vectors)
-    z = sum((scaled[f"__{f}"] * float(k) for f, k in zip(features, model.coefficients, strict=True)), F.lit(float(model.intercept)))
+    z = sum((v * float(k) for v, k in zip(scaled.values(), model.coefficients, strict=True)), F.lit(float(model.intercept)))
     return 1 / (1 + F.exp(-z))
 
 
-def fit_platt(df: DataFrame, p: str, y: str):
+def fit_platt(df: DataFrame, p: str, y: str) -> Column:
     """A logistic rescaling of a probability's logit; the fitted probability as a column."""
     clipped = F.greatest(F.least(F.col(p), F.lit(1 - 1e-6)), F.lit(1e-6))
-    return fit_classifier(df.withColumn("__logit", F.log(clipped / (1 - clipped))), ["__logit"], y, c=1e6)
+    return fit_classifier(df, {"logit": F.log(clipped / (1 - clipped))}, y, c=1e6)
 
 
 def fit_trees(df: DataFrame, features: Sequence[str], target: str, weight: str, trees: int = 60, depth: int = 3, rate: float = 0.05, seed: int = 0):
