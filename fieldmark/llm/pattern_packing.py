@@ -14,6 +14,7 @@ each; an empty table gives no pieces.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -33,6 +34,8 @@ SEQUENCE, END = 2048, 0
 PART_ROWS = 100_000
 #: Characters tokenised at once; longer texts are cut at white space, which tokens never cross.
 CUT = 1_000_000
+#: Words, and runs between white space, that a worker remembers; the first that it meets.
+WORDS, RUN = 600_000, 64
 Pattern = tuple[tuple[int, ...], int]
 
 
@@ -50,6 +53,12 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+#: Texts of these characters alone are cut into the tokenizer's words here; others go to the tokenizer whole.
+_PLAIN = re.compile("[\\t\\n\\r\\x20-\\x7e\\xa0-\\xb1\\xb4-\\xb8\\xba\\xbb\\xbf-\\u012f\\u0131-\\u017f\\u2013\\u2014\\u2018-\\u201f\\u2026\\u20ac]*")
+# fixed values: the words that word_bpe_49k.json cuts lower-cased text into before merging
+_WORD = re.compile(r"[a-zªµº\xdf-\xf6\xf8-\u017f]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|(?:[^\w\s]|_)+")
+
+
 def _cuts(text: str) -> list[str]:
     out, at = [], 0
     while len(text) - at > CUT:
@@ -59,12 +68,58 @@ def _cuts(text: str) -> list[str]:
     return [*out, text[at:]]
 
 
-def token_ids(texts: list[str], path: str) -> Iterator[np.ndarray]:
-    """The ids of each text, with the end mark."""
-    tokenizer = _tokenizer(path)
-    for text in texts:
-        ids = [tokenizer.encode(part, add_special_tokens=False).ids for part in _cuts(text)]
-        yield np.array([*(k for part in ids for k in part), END], "<u4")
+class Encoder:
+    """Ids as little-endian unsigned 32-bit bytes.  Merges never cross a word's edge, so words are encoded once and remembered.
+
+    Only for tokenizers that cut words as _WORD does (`by_word`); others encode every text whole.
+    """
+
+    def __init__(self, path: str, most: int = WORDS):
+        self.tokenizer, self.most = _tokenizer(path), most
+        self.words: dict[str, bytes] = {}
+        self.runs: dict[str, bytes] = {}  # of characters between white space
+        self.by_word = path.endswith("word_bpe_49k.json")
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
+        self.ends[[k for t, k in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def _learn(self, runs: set[str]) -> dict[str, bytes]:
+        """The ids of runs that are not remembered.  Words that are new are encoded together; both are remembered while there is room."""
+        cut = {r: _WORD.findall(r) for r in runs}
+        words, fresh = self.words, {}
+        if new := list({w for ws in cut.values() for w in ws if w not in words}):
+            ids = np.array(self.tokenizer.encode(" ".join(new), add_special_tokens=False).ids, "<u4")
+            raw, ends = ids.tobytes(), ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+            fresh = {w: raw[a:b] for w, a, b in zip(new, [0, *ends], ends, strict=False)}
+            if len(ends) != len(new):
+                raise ValueError("words do not end where the tokenizer ends them")
+        made = {r: b"".join([words[w] if w in words else fresh[w] for w in ws]) for r, ws in cut.items()}
+        for store, more in ((self.words, fresh), (self.runs, made)):
+            if len(store) < self.most:
+                store.update((k, v) for k, v in more.items() if len(k) <= RUN)
+        return made
+
+    def __call__(self, text: str) -> bytes:
+        out = []
+        for part in _cuts(text):
+            if self.by_word and "<|" not in part and _PLAIN.fullmatch(part):
+                runs = part.lower().split()
+                got = list(map(self.runs.get, runs))
+                if None in got:
+                    gaps = [k for k, ids in enumerate(got) if ids is None]
+                    other = self._learn({runs[k] for k in gaps})
+                    for k in gaps:
+                        got[k] = other[runs[k]]
+                out.append(b"".join(got))
+            else:
+                out.append(np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, "<u4").tobytes())
+        return b"".join(out)
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One for each worker process, so that what it remembers outlives a task."""
+    return Encoder(path)
 
 
 PIECES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())])
@@ -73,14 +128,17 @@ PIECES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("pie
 def pieces(documents: DataFrame, path: str, sequence: int = SEQUENCE) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) for each piece of each document."""
 
+    end, width = np.array([END], "<u4").tobytes(), 4
+
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encode = encoder(path)
         for batch in batches:
             rows = []
-            texts = [t if isinstance(t, str) else "" for t in batch["text"]]
-            for doc_id, ids in zip(batch["doc_id"], token_ids(texts, path), strict=True):
-                for piece, start in enumerate(range(0, len(ids), sequence)):
-                    part = ids[start : start + sequence]
-                    rows.append((doc_id, piece, start, len(part), zlib.crc32(part.tobytes())))
+            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+                ids = (encode(text) if isinstance(text, str) else b"") + end
+                for piece, start in enumerate(range(0, len(ids), width * sequence)):
+                    part = ids[start : start + width * sequence]
+                    rows.append((doc_id, piece, start // width, len(part) // width, zlib.crc32(part)))
             out = pd.DataFrame(rows, columns=PIECES.names)
             out["doc_id"] = out["doc_id"].astype("Int64")
             yield out
@@ -190,9 +248,8 @@ def plan(hist: np.ndarray, sequence: int = SEQUENCE) -> list[Pattern]:
     if left[sequence]:
         out.append(((sequence,), int(left[sequence])))
         left[sequence] = 0
-    whole = left.copy()
-    if left.sum():
-        patterns = list_patterns(left, sequence)
+    patterns = list_patterns(left, sequence) if left.any() else []
+    if patterns:
         x = fit_counts(patterns, left.astype(float), sequence)
         for k in sorted(range(len(patterns)), key=lambda k: (sequence - sum(patterns[k]), -patterns[k][0])):
             lengths, times = np.unique(patterns[k], return_counts=True)
@@ -200,7 +257,7 @@ def plan(hist: np.ndarray, sequence: int = SEQUENCE) -> list[Pattern]:
             if n > 0 and sum(patterns[k]) == sequence:
                 left[lengths] -= n * times
                 out.append((patterns[k], n))
-    return out + min((best_fit_decreasing(left, sequence),), key=len) if whole.sum() else out
+    return out + best_fit_decreasing(left, sequence)
 
 
 def runs(made: list[Pattern], sequence: int = SEQUENCE) -> dict[str, np.ndarray]:
