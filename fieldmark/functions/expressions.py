@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from functools import reduce
 
 from pyspark.sql import Column
@@ -15,6 +15,11 @@ PPF_90 = 1.2815515655446004  # the standard normal's 0.9 quantile
 BIN_EDGES = tuple(k * 0.1 for k in range(11))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once for a row, also inside lambdas."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def clip(x: Column, low: float, high: float) -> Column:
     return F.greatest(F.least(x, F.lit(high)), F.lit(low))
 

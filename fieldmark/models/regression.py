@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fieldmark.functions.expressions import PPF_90, normal_cdf, outcome, recency_weight
+from fieldmark.functions.expressions import PPF_90, let, normal_cdf, outcome, recency_weight
 
 
 def gram(df: DataFrame, features: Sequence[str], target: str, keys: Sequence[str] = ("season",)) -> DataFrame:
@@ -141,8 +141,7 @@ def kernel_probability(test: DataFrame, training: DataFrame, bandwidth: float, k
     cells = grid.agg(F.collect_list(F.struct("at", "won", "n")).alias("cells"))  # one row for each tenth of a point and outcome
     joined = test.select(key, F.col("predicted").alias("x")).join(F.broadcast(cells.withColumn("__one", F.lit(1))), F.lit(1) == F.col("__one"))
     z2 = F.transform("cells", lambda c: F.pow((F.col("x") - c.at) / bandwidth, 2))
-    least = F.array_min(z2)
-    w = F.zip_with("cells", z2, lambda c, z: F.struct((F.exp(-(z - least) / 2) * c.n).alias("w"), c.won.alias("won")))
+    w = let(z2, lambda z: let(F.array_min(z), lambda least: F.zip_with("cells", z, lambda c, v: F.struct((F.exp(-(v - least) / 2) * c.n).alias("w"), c.won.alias("won")))))
     both = F.aggregate(w, F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("b")), lambda s, c: F.struct((s.a + c.w * c.won).alias("a"), (s.b + c.w).alias("b")))
     return joined.select(key, both.alias("s")).select(key, (F.col("s.a") / F.col("s.b")).alias("p_win"))
 

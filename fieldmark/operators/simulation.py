@@ -24,10 +24,14 @@ def draw(*parts: Column, seed: int = 0) -> Column:
 
 
 def outcomes(games: DataFrame, sims: int, seed: int = 0) -> DataFrame:
-    """(sim, game_id, home_team, away_team, home_half, away_half): played games keep their result, others are drawn with p_home (0.5 where missing)."""
+    """(sim, game_id, home_team, away_team, home_half, away_half): played games keep their result, others are drawn with p_home (0.5 where missing).
+
+    games: game_id, game_no, the teams, margin, p_home, and base, the first number of its simulations, if several seasons are simulated.
+    """
+    first = F.col("base") if "base" in games.columns else F.lit(0)
     won = draw(F.col("sim"), F.col("game_no"), seed=seed) < F.floor(F.coalesce("p_home", F.lit(0.5)) * RESOLUTION)
     half = F.when(F.col("margin").isNull(), F.when(won, 2).otherwise(0)).when(F.col("margin") > 0, 2).when(F.col("margin") < 0, 0).otherwise(1)
-    each = games.withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(sims - 1))))
+    each = games.withColumn("sim", F.explode(F.sequence(first, first + sims - 1)))
     return each.withColumn("home_half", half).withColumn("away_half", 2 - F.col("home_half"))
 
 

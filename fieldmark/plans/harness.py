@@ -191,13 +191,13 @@ BUCKET = "CASE WHEN p_size = 1 THEN 'round_1' WHEN p_size IN (2, 3) THEN 'day_2'
 
 @query("bucket_prior_expanding", f"""WITH seasons AS (SELECT DISTINCT CAST(year(l_shipdate) AS BIGINT) AS season FROM lineitem),
 b AS (SELECT * FROM (VALUES ('round_1'), ('day_2'), ('day_3_udfa')) t(bucket)),
-tot AS (SELECT CAST(year(l_shipdate) AS BIGINT) AS s, {BUCKET} AS bucket, sum({CENTS})::DOUBLE AS e, sum(CAST(l_quantity AS BIGINT))::DOUBLE AS n FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_linenumber <= 2 GROUP BY 1, 2),
+tot AS (SELECT CAST(year(l_shipdate) AS BIGINT) AS s, {BUCKET} AS bucket, sum({CENTS})::DOUBLE AS e, sum(CAST(l_quantity AS BIGINT))::DOUBLE AS n FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_returnflag <> 'N' GROUP BY 1, 2),
 own AS (SELECT season, b.bucket, coalesce(sum(e), 0) AS e, coalesce(sum(n), 0) AS n FROM seasons CROSS JOIN b LEFT JOIN tot ON tot.bucket = b.bucket AND tot.s < season GROUP BY 1, 2),
 pool AS (SELECT season, sum(e) AS e, sum(n) AS n FROM own GROUP BY 1)
 SELECT own.season, bucket, round(CASE WHEN own.n >= 20000 THEN own.e / own.n WHEN pool.n > 0 THEN pool.e / pool.n ELSE 0 END, 6) AS prior_epa FROM own JOIN pool ON own.season = pool.season""")
 def bucket_prior_expanding(spark, d):
     lines, parts = table(spark, d, "lineitem"), table(spark, d, "part").select("p_partkey", "p_size")
-    rows = lines.filter("l_linenumber <= 2").join(parts, F.col("l_partkey") == F.col("p_partkey"))
+    rows = lines.filter("l_returnflag != 'N'").join(parts, F.col("l_partkey") == F.col("p_partkey"))
     year = F.year("l_shipdate").cast("long").alias("season")
     rows = rows.select(year, X.starter_bucket(F.col("p_size")).alias("bucket"), cents().cast("double").alias("qb_epa_sum"), F.col("l_quantity").cast("long").alias("dropbacks"), F.lit(0.0).alias("cpoe_sum"), F.lit(0).alias("cpoe_n"))
     return passers.bucket_priors(rows, lines.select(year), least=20_000).select("season", "bucket", r6("prior_epa").alias("prior_epa"))
@@ -243,39 +243,39 @@ def lastn_share(spark, d):
 EVENT_DAY = "CAST(dayofmonth(ts) AS BIGINT)"
 
 
-@query("availability_count", f"""WITH snap AS (SELECT user_id % 10 AS team, {EVENT_DAY} AS day, user_id AS player, sum(CAST(floor(value) AS BIGINT) % 100)::DOUBLE / 100 AS share FROM events WHERE event_type <> 'purchase' GROUP BY 1, 2, 3),
+@query("availability_count", f"""WITH snap AS (SELECT user_id % 10 AS team, {EVENT_DAY} AS day, user_id AS player, sum(CAST(floor(value) AS BIGINT) % 100)::DOUBLE AS share FROM events WHERE event_type <> 'purchase' GROUP BY 1, 2, 3),
 played AS (SELECT team, day, row_number() OVER (PARTITION BY team ORDER BY day) AS idx FROM (SELECT DISTINCT team, day FROM snap)),
 side AS (SELECT DISTINCT team, day, week FROM (SELECT user_id % 10 AS team, {EVENT_DAY} AS day, {EVENT_DAY} // 7 AS week FROM events)),
 gated AS (SELECT s.team, s.day, s.week, max(p.idx) AS prior FROM side s JOIN played p ON p.team = s.team AND p.day < s.day GROUP BY 1, 2, 3),
-reports AS (SELECT user_id % 10 AS team, {EVENT_DAY} // 7 AS week, user_id AS player, bool_or(event_type = 'purchase' AND event_id % 3 = 0) AS is_out FROM events GROUP BY 1, 2, 3),
+reports AS (SELECT user_id % 10 AS team, {EVENT_DAY} // 7 AS week, user_id AS player, bool_or(event_type = 'purchase' AND value > 20) AS is_out FROM events GROUP BY 1, 2, 3),
 reported AS (SELECT DISTINCT team, week FROM reports WHERE is_out),
 cand AS (SELECT g.team, g.day, s.player, avg(s.share) AS share, count(*) AS n FROM gated g JOIN played p ON p.team = g.team AND p.idx BETWEEN g.prior - 3 AND g.prior JOIN snap s ON s.team = p.team AND s.day = p.day GROUP BY 1, 2, 3 HAVING count(*) >= 2),
-lost AS (SELECT c.team, c.day, sum(c.share) AS off_out FROM cand c JOIN gated g ON g.team = c.team AND g.day = c.day JOIN reports r ON r.team = c.team AND r.week = g.week AND r.player = c.player AND r.is_out WHERE c.share >= 0.5 GROUP BY 1, 2)
+lost AS (SELECT c.team, c.day, sum(c.share) AS off_out FROM cand c JOIN gated g ON g.team = c.team AND g.day = c.day JOIN reports r ON r.team = c.team AND r.week = g.week AND r.player = c.player AND r.is_out WHERE c.share >= 50 GROUP BY 1, 2)
 SELECT s.team, s.day, CASE WHEN g.team IS NOT NULL AND r.team IS NOT NULL THEN round(coalesce(l.off_out, 0::DOUBLE), 6) END AS off_out FROM side s LEFT JOIN gated g ON g.team = s.team AND g.day = s.day LEFT JOIN reported r ON r.team = s.team AND r.week = s.week LEFT JOIN lost l ON l.team = s.team AND l.day = s.day""")
 def availability_count(spark, d):
     day = F.dayofmonth("ts").cast("long")
-    e = table(spark, d, "events").select((F.col("user_id") % 10).alias("team"), day.alias("day"), F.floor(day / 7).alias("week"), F.col("user_id").alias("player"), "event_type", "event_id", (F.floor("value").cast("long") % 100).alias("v"))
-    rows = e.filter("event_type != 'purchase'").groupBy("team", "day", "player").agg((F.sum("v").cast("double") / 100).alias("off"))
+    e = table(spark, d, "events").select((F.col("user_id") % 10).alias("team"), day.alias("day"), F.floor(day / 7).alias("week"), F.col("user_id").alias("player"), "event_type", "value", (F.floor("value").cast("long") % 100).alias("v"))
+    rows = e.filter("event_type != 'purchase'").groupBy("team", "day", "player").agg(F.sum("v").cast("double").alias("off"))
     rows = rows.select("team", F.col("day").alias("game_id"), F.col("day").alias("kickoff_utc"), "player", "off", F.lit(0.0).alias("def"), F.lit(None).cast("string").alias("position"))
     history = availability.team_history(rows)
     side = e.select("team", F.col("day").alias("game_id"), F.col("day").alias("kickoff_utc"), "week").distinct()
     before = availability.games_before(side, history)
-    out = e.groupBy("team", "week", "player").agg(F.bool_or((F.col("event_type") == "purchase") & (F.col("event_id") % 3 == 0)).alias("out")).filter("out")
+    out = e.groupBy("team", "week", "player").agg(F.bool_or((F.col("event_type") == "purchase") & (F.col("value") > 20)).alias("out")).filter("out")
     gated = before.filter("prior is not null").join(out.select("team", "week").distinct(), ["team", "week"], "left_semi")
     cands = availability.candidates(gated, rows, history)
-    lost = gated.join(out, ["team", "week"]).join(cands, ["game_id", "team", "player"]).filter("off_avg >= 0.5").groupBy("game_id", "team").agg(F.sum("off_avg").alias("lost"))
+    lost = gated.join(out, ["team", "week"]).join(cands, ["game_id", "team", "player"]).filter("off_avg >= 50").groupBy("game_id", "team").agg(F.sum("off_avg").alias("lost"))
     known = gated.select("game_id", "team").join(lost, ["game_id", "team"], "left").fillna(0.0, ["lost"])
     return side.join(known, ["game_id", "team"], "left").select("team", F.col("game_id").alias("day"), r6("lost").alias("off_out"))
 
 
-@query("miss_rate_expanding", f"""WITH c AS (SELECT {EVENT_DAY} AS season, CASE WHEN user_id % 4 = 0 THEN 'dnp' WHEN user_id % 4 = 1 THEN 'limited' WHEN user_id % 4 = 2 THEN 'full' ELSE 'none' END AS practice, count(*) AS cases, count(*) FILTER (WHERE event_type = 'purchase') AS missed FROM events WHERE event_id % 10 < user_id % 4 + 1 GROUP BY 1, 2),
+@query("miss_rate_expanding", f"""WITH c AS (SELECT {EVENT_DAY} AS season, CASE WHEN user_id % 4 = 0 THEN 'dnp' WHEN user_id % 4 = 1 THEN 'limited' WHEN user_id % 4 = 2 THEN 'full' ELSE 'none' END AS practice, count(*) AS cases, count(*) FILTER (WHERE event_type = 'purchase') AS missed FROM events WHERE event_type <> 'view' GROUP BY 1, 2),
 s AS (SELECT DISTINCT {EVENT_DAY} AS season FROM events), b AS (SELECT * FROM (VALUES ('dnp', 0.6::DOUBLE), ('limited', 0.25::DOUBLE), ('full', 0.05::DOUBLE), ('none', 0.2::DOUBLE)) t(practice, fixed))
 SELECT s.season, b.practice, round(CASE WHEN coalesce(sum(cases), 0) >= 50 THEN sum(missed)::DOUBLE / sum(cases)::DOUBLE ELSE max(fixed) END, 6) AS miss_rate FROM s CROSS JOIN b LEFT JOIN c ON c.practice = b.practice AND c.season < s.season GROUP BY 1, 2""")
 def miss_rate_expanding(spark, d):
     day = F.dayofmonth("ts").cast("long").alias("season")
     kind = F.element_at(F.array(*map(F.lit, ("dnp", "limited", "full", "none"))), (F.col("user_id") % 4 + 1).cast("int"))
     events = table(spark, d, "events")
-    cases = events.filter("event_id % 10 < user_id % 4 + 1").groupBy(day, kind.alias("practice")).agg(F.count("*").alias("cases"), F.count_if(F.col("event_type") == "purchase").alias("missed"))
+    cases = events.filter("event_type != 'view'").groupBy(day, kind.alias("practice")).agg(F.count("*").alias("cases"), F.count_if(F.col("event_type") == "purchase").alias("missed"))
     return availability.miss_rates(cases, events.select(day)).select("season", "practice", r6("miss_rate").alias("miss_rate"))
 
 
@@ -466,7 +466,7 @@ def walk_forward_predictions(spark, d):
 # -- simulation ---------------------------------------------------------------------------------------------
 
 SIMS = 40
-SIM_GAMES = "sg AS (SELECT game_id, home_team, away_team, CASE WHEN week <= 20 THEN margin END AS margin, p_model, row_number() OVER (ORDER BY game_id) AS game_no FROM contest WHERE season = 1995)"
+SIM_GAMES = "sg AS (SELECT game_id, home_team, away_team, CASE WHEN week <= 20 THEN margin END AS margin, p_model, (season - 1992) * 40 AS base, row_number() OVER (PARTITION BY season ORDER BY game_id) AS game_no FROM contest)"
 
 
 def _draw_sql(a: str, b: str, seed: int) -> str:
@@ -478,15 +478,14 @@ def _draw_sql(a: str, b: str, seed: int) -> str:
 
 
 SIM = f"""{SIM_GAMES}, sims AS (SELECT unnest(range(0, {SIMS})) AS sim),
-half AS (SELECT sim, home_team, away_team, CASE WHEN margin IS NULL THEN CASE WHEN {_draw_sql('sim', 'game_no', 0)} < CAST(floor(p_model * 1048576) AS BIGINT) THEN 2 ELSE 0 END WHEN margin > 0 THEN 2 WHEN margin < 0 THEN 0 ELSE 1 END AS h FROM sg CROSS JOIN sims),
+half AS (SELECT base + sim AS sim, home_team, away_team, CASE WHEN margin IS NULL THEN CASE WHEN {_draw_sql('base + sim', 'game_no', 0)} < CAST(floor(p_model * 1048576) AS BIGINT) THEN 2 ELSE 0 END WHEN margin > 0 THEN 2 WHEN margin < 0 THEN 0 ELSE 1 END AS h FROM sg CROSS JOIN sims),
 pv AS (SELECT sim, home_team AS team, away_team AS opponent, h AS half FROM half UNION ALL SELECT sim, away_team, home_team, 2 - h FROM half)"""
 
 
 def sim_games(spark, d) -> DataFrame:
-    # few rows: a season's schedule is numbered in one short window
-    season = contest_view(spark, d).filter("season = 1995")
-    number = F.row_number().over(W.orderBy("game_id"))
-    return season.select("game_id", "home_team", "away_team", F.when(F.col("week") <= 20, F.col("margin")).alias("margin"), F.col("p_model").alias("p_home"), number.alias("game_no"))
+    """Every season's schedule; a season's simulations have numbers of their own from `base` on."""
+    number = F.row_number().over(W.partitionBy("season").orderBy("game_id"))
+    return contest_view(spark, d).select("game_id", ((F.col("season") - 1992) * SIMS).alias("base"), "home_team", "away_team", F.when(F.col("week") <= 20, F.col("margin")).alias("margin"), F.col("p_model").alias("p_home"), number.alias("game_no"))
 
 
 @query("season_sim_wins", sql("SELECT team, round(avg(hs), 6) AS mean_halves, quantile_disc(hs, 0.1) AS p10, quantile_disc(hs, 0.5) AS p50, quantile_disc(hs, 0.9) AS p90 FROM (SELECT sim, team, sum(half)::BIGINT AS hs FROM pv GROUP BY 1, 2) GROUP BY 1", SIM))
@@ -530,9 +529,9 @@ def last_record_before(spark, d):
     return logs.last_before(event_log(spark, d), "user_id", "at", F.col("limit"), ("event_id",)).select("user_id", "event_id")
 
 
-@query("earliest_honest_record", f"SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events WHERE ts < {LIMIT} AND event_id % 4 <> 0) WHERE rn = 1")
+@query("earliest_honest_record", f"SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events WHERE ts < {LIMIT} AND event_type <> 'error') WHERE rn = 1")
 def earliest_honest_record(spark, d):
-    return logs.first_honest(event_log(spark, d).filter("event_id % 4 != 0"), "user_id", "at", F.col("limit"), ("event_id",)).select("user_id", "event_id")
+    return logs.first_honest(event_log(spark, d).filter("event_type != 'error'"), "user_id", "at", F.col("limit"), ("event_id",)).select("user_id", "event_id")
 
 
 @query("due_windows", "SELECT event_id, run_type FROM (SELECT event_id, CASE WHEN s <= 388800 AND s > 172800 THEN 'midweek' WHEN s <= 86400 AND s > 21600 THEN 'final_injury' WHEN s <= 21600 AND s > 4500 THEN 'gameday' END AS run_type FROM (SELECT event_id, CAST(epoch(ts) AS BIGINT) - CAST(epoch(TIMESTAMP '2024-01-12 12:00:00') AS BIGINT) AS s FROM events)) WHERE run_type IS NOT NULL")
@@ -541,11 +540,11 @@ def due_windows(spark, d):
     return logs.due_windows(e, F.col("at"), F.lit("2024-01-12 12:00:00").cast("timestamp")).filter("run_type is not null").select("event_id", "run_type")
 
 
-@query("pending_results", "SELECT event_id, user_id FROM events WHERE event_type = 'purchase' AND user_id IN (SELECT user_id FROM events WHERE event_type = 'click') AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'signup' AND ts < TIMESTAMP '2024-01-10' AND user_id % 3 = 0)")
+@query("pending_results", "SELECT event_id, user_id FROM events WHERE event_type = 'purchase' AND user_id IN (SELECT user_id FROM events WHERE event_type = 'click') AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'signup' AND ts < TIMESTAMP '2024-01-04')")
 def pending_results(spark, d):
     e = table(spark, d, "events")
     predicted, finished = e.filter("event_type = 'click'"), e.filter("event_type = 'purchase'").select("event_id", "user_id")
-    recorded = e.filter((F.col("event_type") == "signup") & (F.col("ts") < F.lit("2024-01-10").cast("timestamp_ntz")) & (F.col("user_id") % 3 == 0))
+    recorded = e.filter((F.col("event_type") == "signup") & (F.col("ts") < F.lit("2024-01-04").cast("timestamp_ntz")))
     return logs.pending_results(predicted, finished, recorded, "user_id")
 
 
@@ -570,19 +569,21 @@ def topk_factors(spark, d):
 # -- nested columns, set operations, scalars ----------------------------------------------------------------
 
 
-@query("parallel_arrays", "SELECT vec_id, CAST(i - 1 AS BIGINT) AS pos, round(CAST(embedding[i] AS DOUBLE), 4) AS x, round(CAST(embedding[i + 1] AS DOUBLE), 4) AS following FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding))) AS i FROM embeddings)")
+@query("parallel_arrays", "SELECT vec_id, CAST(i - 1 AS BIGINT) AS pos, CAST(embedding[i] AS DOUBLE) AS x, CAST(embedding[i + 1] AS DOUBLE) AS following FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding))) AS i FROM embeddings)")
 def parallel_arrays(spark, d):
     e = table(spark, d, "embeddings")
     n = F.size("embedding")
     zipped = F.arrays_zip(F.slice("embedding", F.lit(1), n - 1).alias("a"), F.slice("embedding", F.lit(2), n - 1).alias("b"))
     rows = e.select("vec_id", F.posexplode(zipped).alias("pos", "z"))
-    return rows.select("vec_id", F.col("pos").cast("long").alias("pos"), F.round(F.col("z.a").cast("double"), 4).alias("x"), F.round(F.col("z.b").cast("double"), 4).alias("following"))
+    return rows.select("vec_id", F.col("pos").cast("long").alias("pos"), F.col("z.a").cast("double").alias("x"), F.col("z.b").cast("double").alias("following"))
 
 
-@query("union_latest_wins", "SELECT user_id, event_type, event_id FROM (SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY p DESC, ts DESC, event_id DESC) AS rn FROM (SELECT *, 0 AS p FROM events WHERE event_id % 2 = 0 UNION ALL SELECT *, 1 AS p FROM events WHERE event_id % 5 = 0)) WHERE rn = 1")
+@query("union_latest_wins", "SELECT user_id, event_type, event_id FROM (SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY p DESC, ts DESC, event_id DESC) AS rn FROM (SELECT *, 0 AS p FROM events WHERE ts < TIMESTAMP '2024-01-20' UNION ALL SELECT *, 1 AS p FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND event_type <> 'error')) WHERE rn = 1")
 def union_latest_wins(spark, d):
     e = table(spark, d, "events").select("user_id", "event_type", "event_id", "ts")
-    both = e.filter("event_id % 2 = 0").withColumn("p", F.lit(0)).unionByName(e.filter("event_id % 5 = 0").withColumn("p", F.lit(1)))
+    kept = e.filter(F.col("ts") < F.lit("2024-01-20").cast("timestamp_ntz"))
+    fresh = e.filter((F.col("ts") >= F.lit("2024-01-10").cast("timestamp_ntz")) & (F.col("event_type") != "error"))
+    both = kept.withColumn("p", F.lit(0)).unionByName(fresh.withColumn("p", F.lit(1)))
     return asof.latest(both, ["user_id", "event_type"], ["p", "ts", "event_id"], ["event_id"])
 
 
@@ -609,8 +610,8 @@ def horizontal_sums(spark, d):
     return table(spark, d, "orders").select("o_orderkey", r6(X.sum_ignoring_nulls(parts)).alias("s"))
 
 
-@query("set_operations", "SELECT user_id FROM (SELECT DISTINCT user_id FROM events WHERE event_type = 'click' INTERSECT SELECT user_id FROM events WHERE event_type = 'purchase') EXCEPT SELECT user_id FROM events WHERE ts < TIMESTAMP '2024-01-02' AND user_id % 2 = 0")
+@query("set_operations", "SELECT user_id FROM (SELECT DISTINCT user_id FROM events WHERE event_type = 'click' INTERSECT SELECT user_id FROM events WHERE event_type = 'purchase') EXCEPT SELECT user_id FROM events WHERE ts < TIMESTAMP '2024-01-01 06:00:00'")
 def set_operations(spark, d):
     e = table(spark, d, "events")
     both = e.filter("event_type = 'click'").select("user_id").intersect(e.filter("event_type = 'purchase'").select("user_id"))
-    return both.subtract(e.filter((F.col("ts") < F.lit("2024-01-02").cast("timestamp_ntz")) & (F.col("user_id") % 2 == 0)).select("user_id"))
+    return both.subtract(e.filter(F.col("ts") < F.lit("2024-01-01 06:00:00").cast("timestamp_ntz")).select("user_id"))
