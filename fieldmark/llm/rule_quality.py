@@ -228,8 +228,18 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", rows: i
     return fit_rules(x, y, names)
 
 
-def score(documents: DataFrame, model: RuleModel, threshold: float = THRESHOLD) -> DataFrame:
-    """documents with `score` and `predicted`; columns of these names are replaced."""
-    kept = [c for c in documents.columns if c not in ("score", "predicted")]
-    scored = with_statistics(documents.select(*kept)).withColumn("score", model.score({k: F.col(f"__{k}") for k in STATISTICS}))
-    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int")).drop(*[f"__{k}" for k in STATISTICS])
+def score(documents: DataFrame, model: RuleModel, threshold: float = THRESHOLD, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """documents with the score and the prediction under these names; columns of the same names are replaced."""
+    kept = [c for c in documents.columns if c not in names]
+    scored = with_statistics(documents.select(*kept)).withColumn(names[0], model.score({k: F.col(f"__{k}") for k in STATISTICS}))
+    return scored.withColumn(names[1], (F.col(names[0]) >= threshold).cast("int")).drop(*[f"__{k}" for k in STATISTICS])
+
+
+def accepted(documents: DataFrame, model: RuleModel, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents predicted as label 1.
+
+    A filter on a computed column is pushed below its projection, which would repeat every statistic inside
+    every rule of the predicate; a row number in the projection, which the filter reads, keeps it above.
+    """
+    scored = score(documents, model, threshold, ("__score", "__predicted")).withColumn("__row", F.monotonically_increasing_id())
+    return scored.filter("__predicted = 1 and __row >= 0").select(documents.columns)

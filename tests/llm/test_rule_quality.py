@@ -42,6 +42,8 @@ def test_odd_rows(spark, odd, none):
     assert len(by[2]) == 1 and by[1] == by[2] and by[3] == by[4]
     assert set(rows.columns) == set(odd.columns)
     assert q.score(none, model).count() == 0
+    kept = q.accepted(odd, model)
+    assert kept.schema == odd.schema and sorted(r.doc_id or 0 for r in kept.collect()) == sorted(r.doc_id or 0 for r in rows.filter("predicted = 1").collect())
     assert q.fit(none, labels).rules == [] and q.fit(odd, labels.limit(0)).intercept == 0.0
     one = q.fit(odd, labels.filter("quality = 1"))
     assert one.rules == [] and one.intercept > 0
