@@ -152,19 +152,39 @@ def skill_quality(wanted: DataFrame, stats: DataFrame, games: DataFrame, params:
     return out.select(*wanted.columns, F.greatest(F.lit(0.0), 1 + params.quality_scale * (value - floor)).alias("worth"))
 
 
+def mid_ranks(asked: DataFrame, values: DataFrame) -> DataFrame:
+    """asked (grp, season, v) with below, upto and of: how many values of the group's earlier seasons are smaller, not larger, and there.
+
+    values: (grp, year_signed, v).  Instead of a theta join, both are put on one line and counted along it.
+    The line is cut into ranges of v, counted apart, so that a large group is many windows and a short one
+    over the ranges' totals.
+    """
+    seasons = sorted(r[0] for r in asked.select("season").distinct().collect())
+    later = F.filter(F.array(*[F.lit(s).cast("long") for s in seasons]), lambda s: s > F.col("year_signed"))
+    pool = values.groupBy("grp", "year_signed", "v").agg(F.count("*").alias("n")).select("grp", "v", "n", F.explode(later).alias("season"))
+    wanted = asked.select("grp", "season", "v").distinct()
+    line = pool.withColumn("asked", F.lit(0)).unionByName(wanted.select("grp", F.col("season").cast("long").alias("season"), "v", F.lit(0).cast("long").alias("n"), F.lit(1).alias("asked")))
+    size = F.floor(F.log2(F.abs(F.col("v").cast("double"))) * 8)
+    line = line.groupBy("grp", "season", "v").agg(F.sum("n").alias("n"), F.max("asked").alias("asked")).withColumn("range", F.when(F.col("v") > 0, size + 100_000).when(F.col("v") < 0, -size - 100_000).otherwise(F.lit(0)))
+    inside = W.partitionBy("grp", "season", "range").orderBy("v").rowsBetween(W.unboundedPreceding, -1)
+    placed = line.withColumn("in_range", F.coalesce(F.sum("n").over(inside), F.lit(0))).filter("asked = 1")
+    before = W.partitionBy("grp", "season").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    ranges = line.groupBy("grp", "season", "range").agg(F.sum("n").alias("r")).select("grp", "season", "range", F.coalesce(F.sum("r").over(before), F.lit(0)).alias("earlier"), F.sum("r").over(W.partitionBy("grp", "season")).alias("of"))
+    below = F.col("earlier") + F.col("in_range")
+    return placed.join(ranges, ["grp", "season", "range"]).select("grp", "season", "v", below.alias("below"), (below + F.col("n")).alias("upto"), "of")
+
+
 def contract_quality(wanted: DataFrame, contracts: DataFrame, players: DataFrame) -> DataFrame:
     """wanted (player, grp, season, ...) with `worth`: half plus the mid-rank of the player's latest earlier contract among the group's.
 
-    The rank is against the group asked for, which need not be the contract's own.  Contracts of a group are
-    reduced to counts for each season and value first, so the theta join is over distinct values.
+    The rank is against the group asked for, which need not be the contract's own.
     """
     usable = contracts.filter("year_signed > 0 and apy_cap_pct is not null and gsis_id is not null")
     signed = usable.select(F.col("gsis_id").alias("player"), F.col("year_signed").alias("__y"), F.col("apy_cap_pct").alias("apy"))
     asked = wanted.select("player", "grp", "season").distinct()
     own = asof_join(asked, signed, ["player"], "season", "__y", ["apy"], ties=["apy"])
-    values = usable.select(group_of(F.col("position"), CONTRACT_POSITIONS).alias("grp"), "year_signed", F.col("apy_cap_pct").alias("v")).filter("grp is not null").groupBy("grp", "year_signed", "v").agg(F.count("*").alias("n"))
-    held = own.filter("apy is not null").select("grp", "season", "apy").distinct()
-    ranks = held.join(values, "grp").filter("year_signed < season").groupBy("grp", "season", "apy").agg(F.sum(F.when(F.col("v") < F.col("apy"), F.col("n")).otherwise(0)).alias("below"), F.sum(F.when(F.col("v") <= F.col("apy"), F.col("n")).otherwise(0)).alias("upto"), F.sum("n").alias("of"))
+    values = usable.select(group_of(F.col("position"), CONTRACT_POSITIONS).alias("grp"), "year_signed", F.col("apy_cap_pct").alias("v")).filter("grp is not null")
+    ranks = mid_ranks(own.filter("apy is not null").select("grp", "season", F.col("apy").alias("v")), values).withColumnRenamed("v", "apy")
     info = players.select(F.col("gsis_id").alias("player"), roster_bucket(F.col("draft_round")).alias("bucket"))
     ranked = own.join(ranks, ["grp", "season", "apy"], "left").join(info, "player", "left")
     fixed = replaced(F.coalesce("bucket", F.lit("udfa")), CONTRACT_DEFAULT, F.lit(CONTRACT_DEFAULT["udfa"]))
