@@ -41,41 +41,46 @@ def perspectives(results: DataFrame) -> DataFrame:
     return results.select("sim", F.inline(pair))
 
 
+def pairings(rows: DataFrame) -> DataFrame:
+    """(sim, team, opponent, half, n): all meetings of a pair added up, which is all that the rankings read."""
+    return rows.groupBy("sim", "team", "opponent").agg(F.sum("half").alias("half"), F.count("*").alias("n"))
+
+
 def rate(points: Column, games: Column) -> Column:
     return F.when(games > 0, points / games).otherwise(F.lit(1.0))
 
 
-def standings(rows: DataFrame, teams: DataFrame) -> DataFrame:
+def standings(met: DataFrame, teams: DataFrame) -> DataFrame:
     """Per sim and team: halves, games and the rates overall, in the division and in the conference; rates are of halves (1 is even)."""
     a = F.broadcast(teams.select("team", "conf", "division"))
     b = F.broadcast(teams.select(F.col("team").alias("opponent"), F.col("conf").alias("o_conf"), F.col("division").alias("o_division")))
-    joined = rows.join(a, "team").join(b, "opponent")
+    joined = met.join(a, "team").join(b, "opponent")
     in_div, in_conf = F.col("division") == F.col("o_division"), F.col("conf") == F.col("o_conf")
 
     def part(condition: Column) -> Column:
-        return rate(F.coalesce(F.sum(F.when(condition, F.col("half"))), F.lit(0)), F.count_if(condition))
+        return rate(F.coalesce(F.sum(F.when(condition, F.col("half"))), F.lit(0)), F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0)))
 
     return joined.groupBy("sim", "team", "conf", "division").agg(
-        F.sum("half").alias("halves"), F.count("*").alias("games"), rate(F.sum("half"), F.count("*")).alias("pct"),
+        F.sum("half").alias("halves"), F.sum("n").alias("games"), rate(F.sum("half"), F.sum("n")).alias("pct"),
         part(in_div).alias("div_pct"), part(in_conf).alias("conf_pct"),
     )
 
 
-def head_to_head(table: DataFrame, rows: DataFrame, scope: list[str]) -> DataFrame:
+def head_to_head(table: DataFrame, met: DataFrame, scope: list[str]) -> DataFrame:
     """table with h2h, the rate against all teams tied on pct in the same scope (1 where there was no such game)."""
     tied = table.select("sim", "team", "pct", *scope)
     other = tied.withColumnRenamed("team", "opponent")
-    met = rows.join(tied, ["sim", "team"]).join(other, ["sim", "opponent", "pct", *scope])
-    own = met.groupBy("sim", "team").agg((F.sum("half") / F.count("*")).alias("h2h"))
+    level = met.join(tied, ["sim", "team"]).join(other, ["sim", "opponent", "pct", *scope])
+    own = level.groupBy("sim", "team").agg((F.sum("half") / F.sum("n")).alias("h2h"))
     return table.join(own, ["sim", "team"], "left").fillna(1.0, ["h2h"])
 
 
-def ranked(table: DataFrame, rows: DataFrame, scope: list[str], seed: int, name: str, chance: Column | None = None) -> DataFrame:
+def ranked(table: DataFrame, met: DataFrame, scope: list[str], seed: int, name: str, chance: Column | None = None) -> DataFrame:
     """table with rank `name` from 1 within sim and scope: pct, head to head, division, conference, chance.
 
     Head to head is settled once over the whole tied group.
     """
-    with_h2h = head_to_head(table, rows, scope)
+    with_h2h = head_to_head(table, met, scope)
     luck = draw(F.col("sim"), F.col("team_no"), seed=seed + 7) if chance is None else chance
     w = W.partitionBy("sim", *scope).orderBy(F.desc("pct"), F.desc("h2h"), F.desc("div_pct"), F.desc("conf_pct"), F.desc(luck), "team")
     return with_h2h.withColumn(name, F.row_number().over(w)).drop("h2h")
@@ -86,13 +91,13 @@ def seeding(games: DataFrame, teams: DataFrame, sims: int, seed: int = 0, confer
 
     teams: team, team_no, conf, division.  Only `conference` is ranked, if one is given.
     """
-    rows = perspectives(outcomes(games, sims, seed))
-    table = standings(rows, teams).join(F.broadcast(teams.select("team", "team_no")), "team")
+    met = pairings(perspectives(outcomes(games, sims, seed)))
+    table = standings(met, teams).join(F.broadcast(teams.select("team", "team_no")), "team")
     if conference is not None:
         table = table.filter(F.col("conf") == conference)
-    table = ranked(table, rows, ["conf", "division"], seed, "division_rank").withColumn("winner", F.col("division_rank") == 1)
+    table = ranked(table, met, ["conf", "division"], seed, "division_rank").withColumn("winner", F.col("division_rank") == 1)
     # winners and others are ranked apart in each conference
-    table = ranked(table, rows, ["conf", "winner"], seed, "conf_rank")
+    table = ranked(table, met, ["conf", "winner"], seed, "conf_rank")
     return table.withColumns({"seed": F.when(F.col("winner"), F.col("conf_rank")), "wild_card": ~F.col("winner") & (F.col("conf_rank") <= WILD_CARDS)})
 
 
