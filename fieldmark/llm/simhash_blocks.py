@@ -129,9 +129,12 @@ def near_duplicates(documents: DataFrame, distance: int = DISTANCE) -> DataFrame
     return marked.join(rooted.join(ids, "root").select("fp", "component_id", "root"), "fp").select("doc_id", "fp", "component_id", "root")
 
 
-def one_of_each(documents: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """documents with one row of each component: that of the smallest doc_id (one of them, where it is repeated)."""
-    groups = stored(near_duplicates(documents, distance), "near-duplicates")
+def one_of_each(documents: DataFrame, distance: int = DISTANCE, groups: DataFrame | None = None, mark=_fingerprints) -> DataFrame:
+    """documents with one row of each component: that of the smallest doc_id (one of them, where it is repeated).
+
+    groups has other components than those of near_duplicates, and mark gives a text's fp in them.
+    """
+    groups = stored(near_duplicates(documents, distance) if groups is None else groups, "near-duplicates")
     kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     repeated = kept.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null")
     plain = documents.join(kept.select("doc_id").join(repeated, "doc_id", "left_anti"), "doc_id", "left_semi")
@@ -139,7 +142,7 @@ def one_of_each(documents: DataFrame, distance: int = DISTANCE) -> DataFrame:
         return plain.select(documents.columns)
     # rows that share a kept doc_id (or have none): one row of each component among them
     again = documents.join(repeated.select(F.col("doc_id").alias("__again_id")), F.col("doc_id").eqNullSafe(F.col("__again_id"))).drop("__again_id")
-    marked = again.withColumn("__fp", _fingerprints("text"))
+    marked = again.withColumn("__fp", mark("text"))
     roots = kept.select(F.col("doc_id").alias("__id"), F.col("fp").alias("__fp"), F.col("root").alias("__root")).distinct()
     one = marked.join(roots, marked["__fp"].eqNullSafe(roots["__fp"]) & marked["doc_id"].eqNullSafe(roots["__id"])).dropDuplicates(["doc_id", "__root"]).select(documents.columns)
     return plain.select(documents.columns).unionByName(one)
