@@ -7,8 +7,8 @@ diagonal and the longest stretch with at least IDENTITY equal tokens is kept if
 (or covers a shorter item whole).
 
 The benchmark is the stated query set: it is read in blocks of at most BLOCK_TOKENS tokens (a single
-longer item makes a block of its own), each block's hashes go to the tasks, and documents are never
-shuffled.
+longer item makes a block of its own).  One block after another is made, sent to the tasks and released;
+with a single block documents are never shuffled.
 
 Defined results: null and empty texts have no leaks; items of fewer than SHORTEST tokens never match;
 repeated items and repeated documents are reported each; tokens are \\w+ of the lower-cased text.
@@ -17,15 +17,23 @@ repeated items and repeated documents are reported each; tokens are \\w+ of the
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MASKS = ("1101111", "11101011", "110110011", "1110010101")
+from fieldmark.llm.shared import stored
+
+MASKS = ("1101111", "11101011", "110110011", "1110010101", "11100001101")
+#: By an item's length the further masks over the whole of it: with MASKS, every place of the substitutions IDENTITY allows is fitted.
+SHORT_MASKS = {
+    5: ("11101", "11011", "10111"), 6: ("111001", "100111"), 7: ("1111001", "1010111"), 8: ("10110101",),
+    10: ("1100001011", "1010110001"), 11: ("11010110001",),
+}
 IDENTITY, LEAST, SHORTEST = 0.8, 12, 5
 BLOCK_TOKENS = 1_000_000
 _WORD = re.compile(r"\w+")
@@ -68,9 +76,9 @@ class Seeds:
             if len(w) >= SHORTEST:
                 self.ids.append(item_id)
                 self.words.append(np.array(w, np.int64))
-        short = sorted({len(w) for w in self.words if len(w) < max(map(len, masks))})
-        self.masks = [np.flatnonzero(np.array(list(m)) == "1") for m in (*masks, *("1" * n for n in short))]
-        spans = [len(m) for m in (*masks, *("1" * n for n in short))]
+        short = [m for n in sorted({len(w) for w in self.words}) for m in SHORT_MASKS.get(n, ())]
+        self.masks = [np.flatnonzero(np.array(list(m)) == "1") for m in (*masks, *short)]
+        spans = [len(m) for m in (*masks, *short)]
         rng = np.random.default_rng(2024)
         self.mix = rng.integers(1, 1 << 63, (len(self.masks), max(spans, default=1)), np.uint64) | np.uint64(1)
         self.whole = [k >= len(masks) for k in range(len(self.masks))]
@@ -147,21 +155,25 @@ class Seeds:
         return out
 
 
-def seed_blocks(benchmark: DataFrame, most: int = BLOCK_TOKENS) -> list[Seeds]:
-    """The benchmark's seeds, in blocks of about `most` tokens; only one block is on the driver at a time before it is broadcast."""
-    sized = benchmark.select("item_id", "text").filter("text is not null")
-    total = sized.agg(F.coalesce(F.sum(F.regexp_count("text", F.lit(r"\S+"))), F.lit(0))).head()[0]
-    blocks = max(1, -(-total // most))
-    made = []
-    for k in range(blocks):
-        rows = sized.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
-        made.append(Seeds([(r.item_id, r.text) for r in rows]))
-    return made
+class seed_blocks(Sequence):  # noqa: N801
+    """The benchmark's seeds, in blocks of about `most` tokens; each is made when it is asked for and not kept."""
+
+    def __init__(self, benchmark: DataFrame, most: int = BLOCK_TOKENS):
+        self.sized = benchmark.select("item_id", "text").filter("text is not null")
+        total = self.sized.agg(F.coalesce(F.sum(F.regexp_count("text", F.lit(r"\S+"))), F.lit(0))).head()[0]
+        self.blocks = max(1, -(-total // most))
+
+    def __len__(self) -> int:
+        return self.blocks
 
+    def __getitem__(self, k: int) -> Seeds:
+        if not 0 <= k < self.blocks:
+            raise IndexError(k)
+        rows = self.sized.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(self.blocks)) == k).orderBy("item_id", "text").collect()
+        return Seeds([(r.item_id, r.text) for r in rows])
 
-def _searcher(spark, seeds: Seeds, schema: str, shape):
-    shared = spark.sparkContext.broadcast(seeds)
 
+def _searcher(shared: Broadcast, schema: str, shape):
     @F.pandas_udf(schema)
     def search(text: pd.Series) -> pd.Series:
         out = []
@@ -172,25 +184,41 @@ def _searcher(spark, seeds: Seeds, schema: str, shape):
     return search
 
 
+def _block_by_block(spark: SparkSession, blocks: seed_blocks, found: Callable[[Broadcast], DataFrame], name: str) -> DataFrame:
+    """What is found with each block, in one table; of several blocks each is searched, stored and released before the next."""
+    parts = []
+    for k in range(len(blocks)):
+        shared = spark.sparkContext.broadcast(blocks[k])
+        part = found(shared)
+        if len(blocks) == 1:
+            return part
+        parts.append(stored(part, name))
+        shared.destroy()
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _as_rows(found):
     return [{"item_id": a, "start_token": b, "aligned": c, "matched": d} for a, b, c, d in found]
 
 
-def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+def leaks(documents: DataFrame, benchmark: DataFrame, most: int = BLOCK_TOKENS) -> DataFrame:
     """(doc_id, item_id, start_token, aligned, matched): the longest overlap of each document and item that overlap."""
-    spark, parts = documents.sparkSession, []
-    for seeds in seed_blocks(benchmark):
-        search = _searcher(spark, seeds, "array<struct<item_id:long,start_token:int,aligned:int,matched:int>>", _as_rows)
-        parts.append(documents.select("doc_id", F.explode(search("text")).alias("e")).select("doc_id", "e.*"))
-    return reduce(DataFrame.unionByName, parts)
+
+    def found(shared: Broadcast) -> DataFrame:
+        search = _searcher(shared, "array<struct<item_id:long,start_token:int,aligned:int,matched:int>>", _as_rows)
+        return documents.select("doc_id", F.explode(search("text")).alias("e")).select("doc_id", "e.*")
+
+    return _block_by_block(documents.sparkSession, seed_blocks(benchmark, most), found, "leaks")
 
 
-def is_leaky(spark, seeds: Seeds, text: Column) -> Column:
-    return _searcher(spark, seeds, "boolean", bool)(text)
+def decontaminate(documents: DataFrame, benchmark: DataFrame, most: int = BLOCK_TOKENS) -> DataFrame:
+    """documents without those that overlap a benchmark item; with one block nothing is shuffled, with more the leaky texts are taken off by digest."""
+    spark, blocks = documents.sparkSession, seed_blocks(benchmark, most)
+    if len(blocks) == 1:
+        return documents.filter(~_searcher(spark.sparkContext.broadcast(blocks[0]), "boolean", bool)("text"))
 
+    def found(shared: Broadcast) -> DataFrame:
+        return documents.filter(_searcher(shared, "boolean", bool)("text")).select(F.sha2("text", 256).alias("__leaky"))
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """documents without those that overlap a benchmark item; nothing is shuffled."""
-    for seeds in seed_blocks(benchmark):
-        documents = documents.filter(~is_leaky(documents.sparkSession, seeds, F.col("text")))
-    return documents
+    leaky = _block_by_block(spark, blocks, found, "leaky-texts").distinct()
+    return documents.join(leaky, F.sha2("text", 256) == F.col("__leaky"), "left_anti")

@@ -1,4 +1,5 @@
 import re
+from itertools import combinations
 
 import numpy as np
 
@@ -76,3 +77,48 @@ def test_odd_rows(spark, odd, none, benchmark_items):
 def test_blocks_of_the_benchmark_add_up(documents, benchmark_items):
     parts = s.seed_blocks(benchmark_items, most=300)
     assert len(parts) > 2 and sum(len(p.ids) for p in parts) == benchmark_items.count()
+
+
+def fitted(pattern, masks):
+    """Whether some mask stands somewhere on the pattern's equal tokens."""
+    return any(all(pattern[k + i] == "1" for i, c in enumerate(m) if c == "1") for m in masks for k in range(len(pattern) - len(m) + 1))
+
+
+def test_masks_fit_every_pattern_of_short_items():
+    for n in range(s.SHORTEST, 20):
+        for subs in range(int(n * (1 - s.IDENTITY) + 1e-9) + 1):
+            for places in combinations(range(1, n - 1), subs):
+                pattern = "".join("0" if k in places else "1" for k in range(n))
+                assert fitted(pattern, (*s.MASKS, *s.SHORT_MASKS.get(n, ()))), pattern
+
+
+def test_masks_fit_every_stretch_of_long_items():
+    # the fewest substitutions that keep all masks off a stretch of `size` tokens, by what its last tokens were
+    span = max(map(len, s.MASKS))
+    masks = [(len(m), int(m, 2)) for m in s.MASKS]
+    fewest = {1: 0}
+    for size in range(2, 151):
+        after = {}
+        for last, subs in fewest.items():
+            for bit in (0, 1):
+                now = last << 1 | bit
+                if not any(size >= n and now & m == m for n, m in masks):
+                    key = now & (1 << span - 1) - 1
+                    after[key] = min(after.get(key, size), subs + 1 - bit)
+        fewest = after
+        assert size < s.LEAST or all(size - subs < s.IDENTITY * size - 1e-9 for last, subs in fewest.items() if last & 1), size
+
+
+def test_short_items_are_found_with_every_substitution():
+    for n in range(5, 12):
+        item = [f"t{k}" for k in range(n)]
+        seeds = s.Seeds([(1, " ".join(item))])
+        for places in combinations(range(1, n - 1), 1 if n < 10 else 2):
+            copy = [f"x{k}" if k in places else t for k, t in enumerate(item)]
+            assert [f[0][:3] for f in seeds.search([" ".join(["a", "b", *copy, "c"])])] == [(1, 2, n)]
+
+
+def test_several_blocks_find_what_one_finds(odd, documents, benchmark_items):
+    assert sorted(s.leaks(documents, benchmark_items, most=1000).collect()) == sorted(s.leaks(documents, benchmark_items).collect())
+    one, more = (s.decontaminate(documents.union(odd.select(documents.columns)), benchmark_items, most=m) for m in (s.BLOCK_TOKENS, 1000))
+    assert sorted(one.collect(), key=str) == sorted(more.collect(), key=str)
