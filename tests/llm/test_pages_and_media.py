@@ -1,7 +1,12 @@
 import hashlib
+import re
+import tracemalloc
 import zlib
+from collections import Counter, defaultdict
+from math import log
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from fieldmark.llm import media_sequences as m
 from fieldmark.llm import style_tree as s
@@ -46,7 +51,7 @@ def test_template_goes_and_content_stays(spark):
     rows = [(k, f"http://a.example/{k}", page(k, f"story number {k}")) for k in range(12)]
     rows += [(100 + k, f"http://b.example/{k}", page(0, "the same page again")) for k in range(6)]
     rows += [(200, "http://c.example/", page(1, "alone")), (201, None, page(2, "no host")), (202, "http://a.example/e", None), (203, "::bad url[", "")]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumnRenamed("page_id", "page_id")
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
     kept = s.BROADCAST_KEYS
     results = []
     for limit in (kept, 0):  # by every task's set, and by the join on the host
@@ -63,18 +68,63 @@ def test_template_goes_and_content_stays(spark):
     assert all("the same page again" in got[100 + k] for k in range(6))  # copies of a page are not its template
 
 
-def test_importance_equals_brute_force(spark):
-    rows = [(k, "http://a.example/", f"<div><p>same</p></div><ul><li>{k % 3}</li></ul>") for k in range(9)]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string")
-    got = {r.key: r for r in s.importance(df).collect()}
-    p, li = s._hash("a.example", "/div/p"), s._hash("a.example", "/ul/li")
-    assert got[p].pages == got[li].pages == 9 and abs(got[p].content) < 1e-12
-    assert abs(got[li].content - (1 - np.log(3) / np.log(9))) < 1e-12
+def brute_tree(pages):
+    """{(host, node): (pages, redundancy, told)} by walking each host's tree."""
+    out = {}
+    hosts = defaultdict(list)
+    for url, page in pages:
+        if s.host_of(url):
+            hosts[s.host_of(url)].append(s.parse(page, s.host_of(url)))
+    for host, read in hosts.items():
+        held, below, texts, forms, depth = Counter(), defaultdict(set), defaultdict(Counter), defaultdict(Counter), {}
+        for p in read:
+            for k, (up, d) in p.tree.items():
+                held[k] += 1
+                below[up].add(k)
+                depth[k] = d
+            for k, t in {(b.key, b.text) for b in p.blocks}:
+                texts[k][t] += 1
+            for k, f in set(p.forms):
+                forms[k][f] += 1
+
+        def branch(k):
+            m = held[k]
+            logs = {t: log(c) / log(m) if m > 1 else 0 for t, c in texts[k].items()}
+            own = np.array([len(logs), sum(logs.values()), sum(len(t) * (1 - r) for t, r in logs.items()), bool(forms[k]), 0.0])
+            if forms[k]:
+                n = forms[k].total()
+                own[4] = 1 - (min(1, -sum(c / n * log(c / n) for c in forms[k].values()) / log(m)) if m > 1 else 1)
+            return own + sum((branch(c) for c in below[k]), np.zeros(5))
+
+        at = s._hash("host", host)
+        sums = {k: branch(k) for k in held}
+        red = {k: v[1] / v[0] * (v[4] / v[3] if v[3] else 1) if v[0] else 0 for k, v in sums.items()}
+        chain = sorted((k for k in held if sums[k][2] * 2 > sums[at][2] > 0), key=depth.get)
+        main = line = None
+        for outer, inner in zip(chain, chain[1:], strict=False):
+            if any(red[k] > s.BESIDE_TIMES * red[inner] for k in below[outer] - {inner}):
+                main, line = inner, s.BESIDE_TIMES * red[inner]
+                break
+        for k in held:
+            told = s.MAIN if k == main else None if k in chain or not sums[at][2] else s.LOW if red[k] * (held[k] - 1) / (held[k] + 1) >= s.LOW_SHARE else s.BESIDE if line is not None and red[k] > line else None
+            out[at, k] = held[k], red[k], told
+    return out
+
+
+def test_tree_equals_brute_force(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("url", "html")
+    made = [(f"http://{h}.example/{k}", page(k, f"story {k % 7}") + f"<div class='end'><ul><li>{k % 3}</li><li>x</li></ul></div>" * (k % 2)) for h in "ab" for k in range(11)]
+    pages = pages.unionByName(spark.createDataFrame(made, "url string, html string"))
+    want = brute_tree([(r.url, r.html) for r in pages.collect()])
+    got = {(r.host, r.key): r for r in s.branches(s.site_nodes(pages)).collect()}
+    told = {(r.host, r.key): r.told for r in s.decisions(pages).collect()}
+    assert got.keys() == want.keys() and {k: v[2] for k, v in want.items() if v[2]} == told
+    assert all(got[k].pages == n and abs(got[k].redundancy - r) < 1e-9 for k, (n, r, _) in want.items())
 
 
 def test_rules():
     def told(x):
-        return s.main_text(s.parse(x)[0], ())
+        return s.main_text(s.parse(x))
 
     assert told("<nav>n</nav><article><header><h1>T</h1></header><p>a<p>b<br>c<aside>no</aside><div class='reader-comments'>no</div></article><footer>f</footer>") == "T\n\na\n\nb c"
     assert told("<p>1 &lt; 2 &amp;amp; 3&nbsp;4</p>") == "1 < 2 &amp; 3 4"
@@ -83,7 +133,14 @@ def test_rules():
     assert told("<table><tr><td>a<td>b<tr><td>c</table>") == "a b\n\nc"
     assert told("<div class='download'>ok</div><div class='ad'>no</div><div id='cookie-bar'>no</div>") == "ok"
     assert len(told("<p>" + "<" * 100_000)) == 100_000
-    assert told("<div>" * 3000 + "deep" + "</div>" * 3000) == "deep"
+    deep = "<div>" * 50_000 + "deep" + "</i></b></span>" * 20_000 + "</div>" * 50_000
+    tracemalloc.start()
+    assert told(deep) == "deep" and tracemalloc.get_traced_memory()[1] < 100_000_000
+    tracemalloc.stop()
+
+
+def article(html):
+    return s.main_text(s.parse(re.search("<article>.*</article>", html, re.S)[0]))
 
 
 def test_whole_table(spark, sf_dir):
@@ -92,6 +149,32 @@ def test_whole_table(spark, sf_dir):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
     rows = op10_style_tree(spark, sf_dir).collect()
     assert len(rows) == len(pages) and all(r.n_chars == len(r.text) for r in rows)
-    for r in rows:
-        assert r.text == s.main_text(s.parse(pages[r.page_id])[0], ())  # these tables' hosts have no template beyond the rules
+    assert all(r.text == article(pages[r.page_id]) for r in rows)
     assert s.extract(spark.read.parquet(f"{sf_dir}/pages.parquet").limit(0)).count() == 0
+
+
+def test_tree_alone_finds_the_article(spark):
+    """Without any rule of tags, roles or names, on all hosts of 15 pages or more."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    got = {r.page_id: r.text for r in s.extract(pages, rules=False).collect()}
+    large = {h for h, n in Counter(s.host_of(r.url) for r in pages.select("url").collect()).items() if n >= 15}
+    rows = [(got[r.page_id] == article(r.html)) for r in pages.collect() if s.host_of(r.url) in large]
+    assert len(rows) > 2000 and sum(rows) >= 0.9 * len(rows)
+
+
+def test_large_host_with_rare_layouts_keeps_its_articles(spark):
+    def made(k):
+        extra = f"<div class='box{k % 40}'><p>aside {k}</p></div>" if k % 20 == 0 else ""
+        return f"<body><div class='top'>Menu A B C</div><div class='story'><h1>Title {k}</h1><p>text {k} one</p><p>text {k} two</p>{extra}</div><div class='end'>Call us {k % 5}</div></body>"
+
+    rows = [(k, "http://big.example/", made(k)) for k in range(3000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    df = df.withColumn("host", F.lit("clash")).withColumn("key", F.lit(1)).withColumn("told", F.lit("x")).withColumn("text", F.lit("old"))
+    df = df.unionByName(df.filter("page_id < 2"))  # repeated rows
+    got = s.extract(df).collect()
+    assert len(got) == 3002 and {r.host for r in got} == {"clash"}
+    for r in got:
+        want = f"Title {r.page_id}\n\ntext {r.page_id} one\n\ntext {r.page_id} two" + (f"\n\naside {r.page_id}" if r.page_id % 20 == 0 else "")
+        assert r.text == want, r
+    long = spark.createDataFrame([(1, "http://long.example/", "<p>" + "word " * 400_000 + "</p>")], "page_id long, url string, html string")
+    assert s.extract(long).first().n_chars == 5 * 400_000 - 1
