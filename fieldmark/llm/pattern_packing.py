@@ -1,11 +1,15 @@
 """Best-fit packing by patterns fitted with non-negative least squares.
 
 Documents become token pieces of at most SEQUENCE tokens.  Only the histogram of piece lengths (at most
-SEQUENCE numbers) reaches the driver.  There, patterns of a few lengths that fill a sequence are listed,
-their repeat counts are fitted to the histogram by non-negative least squares, rounded down to what there
-is, and the residual lengths are packed best-fit decreasing.  The plan is a table of runs (a length's
-pieces from a rank on lie in sequences from a number on, at one offset); its size does not depend on how
-many pieces there are.  Spark numbers the pieces of each length and looks every one up.
+SEQUENCE numbers) reaches the driver.  There, patterns of two to six lengths that fill a sequence exactly
+are enumerated, and their repeat counts are fitted to the histogram by non-negative least squares: an active
+set of patterns, no larger than the number of lengths, grows by those that the misfit asks for most.  Counts
+are rounded by largest remainder within what there is, and the residual lengths are packed best-fit
+decreasing.  The plan is a table of runs (a length's pieces from a rank on lie in sequences from a number
+on, at one offset); its size does not depend on how many pieces there are.
+
+A piece's rank among those of its length is its number in the task that cut it plus the numbers of the tasks
+before, so that no length, however common, meets in one task.
 
 Defined results: a null text is the empty text, whose only token is the end mark; repeated rows are packed
 each; an empty table gives no pieces.
@@ -16,12 +20,13 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -30,8 +35,10 @@ from pyspark.sql import types as T
 from fieldmark.llm.shared import stored
 
 SEQUENCE, END = 2048, 0
-#: Pieces of one length that one task numbers; more are numbered in parts.
-PART_ROWS = 100_000
+#: Most documents of a pattern, and how often each length is drawn as the first of as many.
+DOCUMENTS, DRAWS = 6, 8
+#: Patterns that may join the active set at once, and rounds of doing so.
+BLOCK, ROUNDS = 64, 60
 #: Characters tokenised at once; longer texts are cut at white space, which tokens never cross.
 CUT = 1_000_000
 #: Words, and runs between white space, that a worker remembers; the first that it meets.
@@ -122,23 +129,25 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-PIECES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())])
+PIECES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("own", T.LongType())])
 
 
 def pieces(documents: DataFrame, path: str, sequence: int = SEQUENCE) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32) for each piece of each document."""
+    """(doc_id, piece, start, length, ids_crc32) for each piece of each document; part is the task that cut it, own its number there among those of its length."""
 
     end, width = np.array([END], "<u4").tobytes(), 4
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(path)
+        encode, part_id, seen = encoder(path), TaskContext.get().partitionId(), Counter()
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
                 ids = (encode(text) if isinstance(text, str) else b"") + end
                 for piece, start in enumerate(range(0, len(ids), width * sequence)):
                     part = ids[start : start + width * sequence]
-                    rows.append((doc_id, piece, start // width, len(part) // width, zlib.crc32(part)))
+                    length = len(part) // width
+                    rows.append((doc_id, piece, start // width, length, zlib.crc32(part), part_id, seen[length]))
+                    seen[length] += 1
             out = pd.DataFrame(rows, columns=PIECES.names)
             out["doc_id"] = out["doc_id"].astype("Int64")
             yield out
@@ -146,69 +155,85 @@ def pieces(documents: DataFrame, path: str, sequence: int = SEQUENCE) -> DataFra
     return documents.select(F.col("doc_id").cast("long"), "text").mapInPandas(cut, PIECES)
 
 
-def list_patterns(hist: np.ndarray, sequence: int, partners: int = 12, rng_seed: int = 5) -> list[tuple[int, ...]]:
-    """Patterns of two to four present lengths that fill a sequence as nearly as they can, and repeats of one length."""
-    there = np.flatnonzero(hist)
+def list_patterns(hist: np.ndarray, sequence: int, draws: int = DRAWS, seed: int = 5) -> np.ndarray:
+    """Patterns of two to DOCUMENTS present lengths that fill a sequence exactly, one a row, longest first, zeros behind.
+
+    Every length that is there is the first of `draws` patterns of each size; the others are drawn by their
+    share of the pieces, and the last is the one that fills the sequence, where there is such a length.
+    """
+    there = np.flatnonzero(hist[:sequence])
     there = there[there > 0]
-    below = np.zeros(sequence + 1, int)  # the largest present length up to here
-    below[there] = there
-    below = np.maximum.accumulate(below)
-    rng = np.random.default_rng(rng_seed)
-    share = hist[there] / hist[there].sum()
-    found = set()
-
-    def add(*lengths: int) -> None:
-        used = [int(x) for x in lengths if x]
-        while (rest := sequence - sum(used)) > 0 and below[rest] and len(used) < 4:
-            used.append(int(below[rest]))
-        found.add(tuple(sorted(used, reverse=True)))
-
-    for a in map(int, there):
-        top = below[sequence - a]
-        for b in there[there <= top][-3:]:
-            add(a, int(b))
-        fits = there[there <= sequence - a]
-        if len(fits):
-            p = share[: len(fits)] / share[: len(fits)].sum()
-            for b in rng.choice(fits, partners, p=p):
-                add(a, int(b))
-                left = sequence - a - int(b)
-                if left > 0 and below[left]:
-                    more = fits[fits <= left]
-                    add(a, int(b), int(rng.choice(more)))
-        n = sequence // a
-        if n > 1:
-            rest = sequence - n * a
-            found.add(tuple(sorted([*([a] * n), *([int(below[rest])] if rest > 0 and below[rest] else [])], reverse=True)))
-    return sorted(found, reverse=True)
-
-
-def fit_counts(patterns: list[tuple[int, ...]], hist: np.ndarray, sequence: int, steps: int = 400) -> np.ndarray:
-    """Non-negative least squares of the patterns' lengths to the histogram, by accelerated projected gradient; waste costs a little."""
-    row = np.concatenate([np.full(len(p), k) for k, p in enumerate(patterns)])
-    col = np.concatenate([np.array(p) for p in patterns])
-    scale = 1 / np.sqrt(np.maximum(hist, 1.0))  # lengths count by their relative misfit
-    waste = np.array([sequence - sum(p) for p in patterns]) / sequence
-
-    def forward(x):
-        return np.bincount(col, weights=x[row], minlength=len(hist)) * scale
-
-    def back(r):
-        return np.bincount(row, weights=(r * scale)[col], minlength=len(patterns))
-
-    target = hist * scale
-    v = np.ones(len(patterns))
-    for _ in range(15):
-        v = back(forward(v))
-        v /= np.linalg.norm(v)
-    rate = 1 / (np.linalg.norm(back(forward(v))) * 1.05)
-    x = z = np.zeros(len(patterns))
-    t = 1.0
-    for _ in range(steps):
-        new = np.maximum(z - rate * (back(forward(z) - target) + 0.5 * waste), 0)
-        new_t = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        z = new + (t - 1) / new_t * (new - x)
-        x, t = new, new_t
+    if not len(there):
+        return np.zeros((0, DOCUMENTS), np.int64)
+    share, rng, found = np.cumsum(hist[there]) / hist[there].sum(), np.random.default_rng(seed), []
+    for k in range(1, DOCUMENTS):
+        first = np.repeat(there, draws if k > 1 else 1)
+        more = there[np.minimum(np.searchsorted(share, rng.random((len(first), k - 1)), "right"), len(there) - 1)]
+        last = sequence - first - more.sum(1)
+        fits = np.flatnonzero((last > 0) & (hist[np.maximum(last, 0)] > 0))
+        rows = np.zeros((len(fits), DOCUMENTS), np.int64)
+        rows[:, 0], rows[:, 1:k], rows[:, k] = first[fits], more[fits], last[fits]
+        found.append(rows)
+    rows = np.unique(-np.sort(-np.concatenate(found), 1), axis=0)
+    needs = (rows[:, :, None] == rows[:, None, :]).sum(2)  # how often a pattern uses each of its lengths
+    return rows[((rows == 0) | (needs <= hist[rows])).all(1)]
+
+
+def fit_counts(patterns: np.ndarray, hist: np.ndarray) -> np.ndarray:
+    """How often each pattern repeats: non-negative least squares of the patterns' lengths to the histogram.
+
+    An active set method: the patterns with the steepest descent join, the least squares of the active ones
+    are solved by conjugate gradients, and a step stops where a count reaches nought and its pattern leaves.
+    Lengths count by their relative misfit.
+    """
+    scale = 1 / np.sqrt(np.maximum(hist, 1.0))
+    scale[0] = 0
+    target, width, most = hist * scale, patterns.shape[1], int((hist[1:] > 0).sum())
+
+    def forward(rows: np.ndarray, x: np.ndarray) -> np.ndarray:
+        return np.bincount(rows.ravel(), weights=np.repeat(x, width), minlength=len(hist)) * scale
+
+    def back(rows: np.ndarray, misfit: np.ndarray) -> np.ndarray:
+        return (misfit * scale)[rows].sum(1)
+
+    def least_squares(rows: np.ndarray, x: np.ndarray) -> np.ndarray:
+        misfit = target - forward(rows, x)
+        g = d = back(rows, misfit)
+        now = first = g @ g
+        for _ in range(60):
+            if now <= 1e-7 * first:
+                break
+            ahead = forward(rows, d)
+            step = now / (ahead @ ahead)
+            x, misfit = x + step * d, misfit - step * ahead
+            g = back(rows, misfit)
+            now, before = g @ g, now
+            d = g + now / before * d
+        return x
+
+    x, active = np.zeros(len(patterns)), np.zeros(len(patterns), bool)
+    for _ in range(ROUNDS):
+        descent = back(patterns, target - forward(patterns[active], x[active]))
+        descent[active] = 0
+        joining = np.argsort(-descent, kind="stable")[: max(0, min(BLOCK, most - int(active.sum())))]
+        joining = joining[descent[joining] > 1e-3]
+        if not len(joining):
+            break
+        active[joining] = True
+        while True:
+            at = np.flatnonzero(active)
+            now, best = x[at], least_squares(patterns[at], x[at])
+            below = best <= 1e-9
+            if not below.any():
+                x[at] = best
+                break
+            leaving = below & (now <= 0)
+            if not leaving.any():
+                step = (now[below] / (now[below] - best[below])).min()
+                now = now + step * (best - now)
+                leaving = now <= 1e-9
+            x[at] = np.where(leaving, 0, now)
+            active[at[leaving]] = False
     return x
 
 
@@ -241,23 +266,30 @@ def best_fit_decreasing(hist: np.ndarray, sequence: int) -> list[Pattern]:
     return [(tuple(lengths), bins) for groups in spaces.values() for lengths, bins in groups if bins]
 
 
-def plan(hist: np.ndarray, sequence: int = SEQUENCE) -> list[Pattern]:
-    """(lengths of one sequence, how many such sequences), which use every piece once."""
-    left = hist.astype(np.int64).copy()
+def rounded(patterns: np.ndarray, x: np.ndarray, left: np.ndarray) -> list[Pattern]:
+    """Whole repeats: first the whole part of each count, then one more by largest remainder, as far as `left` (taken from) has the pieces."""
+    whole = np.floor(x).astype(np.int64)
+    rest = x - whole
+    by_rest = np.argsort(-rest, kind="stable")
+    wanted = [*((k, int(whole[k])) for k in np.flatnonzero(whole)), *((k, 1) for k in by_rest if rest[k] > 0.05)]
     out: list[Pattern] = []
-    if left[sequence]:
-        out.append(((sequence,), int(left[sequence])))
-        left[sequence] = 0
-    patterns = list_patterns(left, sequence) if left.any() else []
-    if patterns:
-        x = fit_counts(patterns, left.astype(float), sequence)
-        for k in sorted(range(len(patterns)), key=lambda k: (sequence - sum(patterns[k]), -patterns[k][0])):
-            lengths, times = np.unique(patterns[k], return_counts=True)
-            n = min(int(x[k]), int((left[lengths] // times).min()))
-            if n > 0 and sum(patterns[k]) == sequence:
-                left[lengths] -= n * times
-                out.append((patterns[k], n))
-    return out + best_fit_decreasing(left, sequence)
+    for k, n in wanted:
+        lengths, times = np.unique(patterns[k][patterns[k] > 0], return_counts=True)
+        n = min(n, int((left[lengths] // times).min()))
+        if n > 0:
+            left[lengths] -= n * times
+            out.append((tuple(patterns[k][patterns[k] > 0].tolist()), n))
+    return out
+
+
+def plan(hist: np.ndarray, sequence: int = SEQUENCE) -> tuple[list[Pattern], list[Pattern]]:
+    """(lengths of one sequence, how many such sequences), which use every piece once: full pieces and fitted patterns, then the residual's."""
+    left = hist.astype(np.int64).copy()
+    full = [((sequence,), int(left[sequence]))] if left[sequence] else []
+    left[sequence] = 0
+    patterns = list_patterns(left, sequence)
+    fitted = rounded(patterns, fit_counts(patterns, left.astype(float)), left) if len(patterns) else []
+    return full + fitted, best_fit_decreasing(left, sequence)
 
 
 def runs(made: list[Pattern], sequence: int = SEQUENCE) -> dict[str, np.ndarray]:
@@ -276,27 +308,24 @@ def runs(made: list[Pattern], sequence: int = SEQUENCE) -> dict[str, np.ndarray]
     return {"key": a[:, 0] << 48 | a[:, 1], "rank": a[:, 1], "sequence": a[:, 2], "offset": a[:, 3]}
 
 
-def ranked(cut: DataFrame, counts: dict[int, int]) -> DataFrame:
-    """cut with rank, each piece's gapless number among those of its length; long lists are numbered in parts."""
-    spark = cut.sparkSession
-    parts = spark.createDataFrame([(length, -(-n // PART_ROWS)) for length, n in counts.items()] or [(0, 1)], "length long, parts long")
-    dealt = cut.join(F.broadcast(parts), "length").withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("parts")))
-    sums = dealt.groupBy("length", "part").agg(F.count("*").alias("n")).toPandas().sort_values(["length", "part"])
-    sums["first"] = sums.groupby("length").n.cumsum() - sums.n
-    starts = spark.createDataFrame([tuple(map(int, x)) for x in sums[["length", "part", "first"]].itertuples(index=False)], "length long, part long, first long")
-    own = F.row_number().over(W.partitionBy("length", "part").orderBy("doc_id", "piece", "ids_crc32")) - 1
-    return dealt.withColumn("own", own).join(F.broadcast(starts), ["length", "part"]).withColumn("rank", F.col("first") + F.col("own")).drop("part", "parts", "first", "own")
+def ranked(cut: DataFrame) -> DataFrame:
+    """cut with rank, each piece's gapless number among those of its length."""
+    counted = cut.groupBy("length", "part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = counted.select("length", "part", before.alias("before"))
+    return cut.join(starts, ["length", "part"]).withColumn("rank", F.col("before") + F.col("own")).drop("part", "own", "before")
 
 
 def pack(documents: DataFrame, path: str | None = None, sequence: int = SEQUENCE) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) for each piece of each document."""
+    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset, fitted) for each piece of each document; fitted tells its place comes from a fitted pattern (or it fills a sequence)."""
     spark = documents.sparkSession
     cut = stored(pieces(documents, path or default_tokenizer(), sequence), "pieces")
-    counts = {r.length: r["count"] for r in cut.groupBy("length").count().collect()}
     hist = np.zeros(sequence + 1, np.int64)
-    for length, n in counts.items():
-        hist[length] = n
-    table = spark.sparkContext.broadcast(runs(plan(hist, sequence), sequence))
+    for r in cut.groupBy("length").count().collect():
+        hist[r.length] = r["count"]
+    fitted, residual = plan(hist, sequence)
+    from_residual = sum(n for _, n in fitted)
+    table = spark.sparkContext.broadcast(runs(fitted + residual, sequence))
 
     @F.pandas_udf("sequence_id long, offset long")
     def look_up(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
@@ -304,4 +333,5 @@ def pack(documents: DataFrame, path: str | None = None, sequence: int = SEQUENCE
         k = np.searchsorted(t["key"], (length.to_numpy(np.int64) << 48) | rank.to_numpy(np.int64), "right") - 1
         return pd.DataFrame({"sequence_id": t["sequence"][k] + rank.to_numpy(np.int64) - t["rank"][k], "offset": t["offset"][k]})
 
-    return ranked(cut, counts).withColumn("at", look_up("length", "rank")).select("doc_id", "piece", "start", "length", "ids_crc32", "at.sequence_id", "at.offset")
+    placed = ranked(cut).withColumn("at", look_up("length", "rank"))
+    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "at.sequence_id", "at.offset", (F.col("at.sequence_id") < from_residual).alias("fitted"))
