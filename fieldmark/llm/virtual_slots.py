@@ -5,10 +5,16 @@ slot-to-shard map says where each slot's records lie.  Balancing and growing edi
 few slots and never rehash a record.
 
 The law kept is `bytes`: a new map hands out the slots, largest first, each to the lightest shard, so that
-shards differ by less than their largest slot.
+shards differ by less than their largest slot.  An id (or null) with more bytes than the mean slot would make
+a slot that no map can level: there are fewer such ids than slots, and their records are hashed with their
+row numbers, each to a slot of its own; the placement tells where each went.
 
-Defined results: a null text has size 8; records of a null id share the slot of null; repeated rows are
-placed each; an empty table has an empty placement and a map that deals the slots out evenly.
+Places in a shard are numbered within blocks, the records that one task wrote, so that neither a shard nor a
+common id is numbered in one task.
+
+Defined results: a null text has size 8; records of a null id share the slot of null unless they outweigh
+it; repeated rows are placed each; an empty table has an empty placement and a map that deals the slots out
+evenly.
 """
 
 from __future__ import annotations
@@ -20,17 +26,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from fieldmark.llm.shared import scratch_dir, stored
 
 SLOTS, OVERHEAD = 8192, 8
-#: Rows of a slot that one task numbers; larger slots are numbered in parts.
-PART_ROWS = 100_000
 
 
-def slot_of(record_id: Column, slots: int = SLOTS) -> Column:
-    return F.pmod(F.xxhash64(record_id), F.lit(slots)).cast("int")
+def slot_of(*record: Column, slots: int = SLOTS) -> Column:
+    return F.pmod(F.xxhash64(*record), F.lit(slots)).cast("int")
 
 
 @dataclass(frozen=True)
@@ -105,43 +108,47 @@ class SlotMap:
 
 
 def records(documents: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """(doc_id, size, text_crc32, virtual_slot): what placing needs; texts go no further."""
+    """(doc_id, size, text_crc32, virtual_slot, row): what placing needs; texts go no further.  row is the writing task and the number there."""
     raw = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
-    return documents.select("doc_id", (F.octet_length(raw) + OVERHEAD).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), slot_of(F.col("doc_id"), slots).alias("virtual_slot"))
+    return documents.select("doc_id", (F.octet_length(raw) + OVERHEAD).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), slot_of(F.col("doc_id"), slots=slots).alias("virtual_slot"), F.monotonically_increasing_id().alias("row"))
+
 
+def spread(found: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """found with the records of ids that outweigh the mean slot dealt over all slots by row."""
+    mean = (found.agg(F.sum("size")).first()[0] or 0) / slots
+    full = found.groupBy("virtual_slot").agg(F.sum("size").alias("w")).filter(F.col("w") > 2 * mean).select("virtual_slot")
+    heavy = found.join(full, "virtual_slot", "left_semi").groupBy("doc_id").agg(F.sum("size").alias("w"), F.count("*").alias("n"))
+    heavy = heavy.filter((F.col("w") > mean) & (F.col("n") > 1)).select(F.col("doc_id").alias("heavy_id"), F.lit(True).alias("heavy"))  # fewer than slots
+    marked = found.join(F.broadcast(heavy), F.col("doc_id").eqNullSafe(F.col("heavy_id")), "left")
+    slot = F.when(F.col("heavy"), slot_of(F.col("doc_id"), F.col("row"), slots=slots)).otherwise(F.col("virtual_slot"))
+    return marked.withColumn("virtual_slot", slot).drop("heavy", "heavy_id")
 
-def slot_weights(found: DataFrame, slots: int = SLOTS) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and rows of each slot; the sums are as many as there are slots, whatever the input."""
-    size, rows = np.zeros(slots, np.int64), np.zeros(slots, np.int64)
-    for r in found.groupBy("virtual_slot").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect():
-        size[r.virtual_slot], rows[r.virtual_slot] = r.size, r.n
-    return size, rows
 
+def slot_weights(found: DataFrame, slots: int = SLOTS) -> np.ndarray:
+    """Bytes of each slot; the sums are as many as there are slots, whatever the input."""
+    size = np.zeros(slots, np.int64)
+    for r in found.groupBy("virtual_slot").agg(F.sum("size").alias("size")).collect():
+        size[r.virtual_slot] = r.size
+    return size
 
-def placed(found: DataFrame, slot_map: SlotMap, rows: np.ndarray) -> DataFrame:
-    """found with shard and slot, the row's gapless place in its shard.
 
-    Rows are numbered within parts of a slot; a part's first number is the rows before it in its shard.
-    There are as many parts as slots, and one more for each PART_ROWS rows.
-    """
-    spark = found.sparkSession
-    parts = np.maximum(1, -(-rows // PART_ROWS))
-    of = spark.createDataFrame([(k, int(s), int(p)) for k, (s, p) in enumerate(zip(slot_map.shard, parts, strict=True))], "virtual_slot int, shard int, parts int")
-    dealt = found.join(F.broadcast(of), "virtual_slot")
-    dealt = dealt.withColumn("part", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.col("parts"))).otherwise(0).cast("int"))
-    sums = dealt.groupBy("shard", "virtual_slot", "part").agg(F.count("*").alias("n")).toPandas().sort_values(["shard", "virtual_slot", "part"])
-    sums["first"] = sums.groupby("shard").n.cumsum() - sums.n
-    starts = spark.createDataFrame([tuple(map(int, x)) for x in sums[["virtual_slot", "part", "first"]].itertuples(index=False)], T.StructType([T.StructField("virtual_slot", T.IntegerType()), T.StructField("part", T.IntegerType()), T.StructField("first", T.LongType())]))
-    own = F.row_number().over(W.partitionBy("virtual_slot", "part").orderBy("doc_id", "text_crc32", "size")) - 1
-    return dealt.withColumn("own", own).join(F.broadcast(starts), ["virtual_slot", "part"]).withColumn("slot", (F.col("first") + F.col("own")).cast("long")).drop("part", "parts", "first", "own")
+def placed(found: DataFrame, slot_map: SlotMap) -> DataFrame:
+    """found with shard and slot, the row's gapless place in its shard: its number in its block, and the rows of the blocks before in that shard."""
+    of = found.sparkSession.createDataFrame([(k, int(s)) for k, s in enumerate(slot_map.shard)], "virtual_slot int, shard int")
+    dealt = found.join(F.broadcast(of), "virtual_slot").withColumn("block", F.shiftright("row", 33))
+    counted = dealt.groupBy("shard", "block").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("shard").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    own = F.row_number().over(W.partitionBy("shard", "block").orderBy("row")) - 1
+    numbered = dealt.withColumn("own", own).join(counted.select("shard", "block", before.alias("before")), ["shard", "block"])
+    return numbered.withColumn("slot", (F.col("before") + F.col("own")).cast("long")).drop("block", "own", "before", "row")
 
 
 def shard(documents: DataFrame, shards: int, path: str | None = None) -> DataFrame:
     """Every document's place under a map built from the bytes per slot; the map is stored as version 1 under path and read back."""
     spark = documents.sparkSession
-    found = stored(records(documents), "records")
-    size, rows = slot_weights(found)
+    found = spread(stored(records(documents), "records"))
+    size = slot_weights(found)
     path = path or f"{scratch_dir(spark)}/slot-map-{spark.sparkContext.applicationId}-{abs(hash((size.tobytes(), shards)))}"
     built = SlotMap.build(size, shards)
     built.frame(spark).coalesce(1).write.mode("overwrite").partitionBy("version").parquet(path)
-    return placed(found, SlotMap.load(spark, path), rows)
+    return placed(found, SlotMap.load(spark, path))
