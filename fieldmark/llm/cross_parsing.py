@@ -1,23 +1,29 @@
 """Language identification by cross-parsing entropy.
 
-A suffix automaton holds every substring of a language's labelled reference text.  A text is parsed
-greedily into the longest phrases that occur in the reference; the language that needs the fewest phrases
-for each letter wins.  A phrase never crosses a word's edge, so a word parses the same wherever it stands
-and parses are remembered; words keep their edges as letters of the alphabet.
+A suffix automaton holds every substring of a language's labelled running text.  A text is parsed greedily
+into the longest phrases that occur in the reference, across words; a phrase costs the logarithm of the
+reference's length, the bits that point to a place in it, so that a language with a short reference is not at
+a disadvantage.  The language that needs the fewest bits wins.
 
-The references come from a bounded sample of labelled documents (SAMPLE_DOCS a language, REFERENCE_CHARS
-characters of distinct words); every text is then parsed whole.
+Texts are normalised alike for learning and parsing: lower case, runs of letters with one space between them
+and around, as UTF-8 bytes (an alphabet that stays small in every script).  A parse starts anew every SEGMENT
+bytes, so that the segments of a batch are parsed side by side in numpy.
+
+The references come from a bounded sample of labelled rows: at most SAMPLE_DOCS distinct rows a language,
+each with a running window of at most WINDOW characters at a place drawn from the row's hash, and a total of
+TOTAL_BYTES dealt evenly over however many languages there are.  Every text is then parsed whole.
 
 Defined results: `und` with score 0 for a null text or one without letters, and for every text where no
-language was learned; ties go to the language with more labelled documents, then by name; repeated rows are
-predicted each.
+language was learned; ties go to the language with more labelled rows, then by name; repeated rows are
+predicted each and are one row of the sample.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,22 +31,27 @@ from pyspark.sql import functions as F
 from fieldmark.llm.shared import held_out
 
 #: Bounds of the fit, as documented parameters.
-SAMPLE_DOCS, REFERENCE_CHARS, LANGUAGES = 400, 60_000, 200
-#: Remembered parses of a worker, and the longest word that is remembered.
-MEMO, MEMO_WORD = 200_000, 40
+SAMPLE_DOCS, WINDOW, TOTAL_BYTES = 60, 1200, 800_000
+#: Bytes after which a parse starts anew, and bytes parsed side by side.
+SEGMENT, TOGETHER = 1024, 1 << 23
 _WORD = re.compile(r"[^\W\d_]+")
-EDGE = " "
+
+
+def normalised(text: str | None) -> bytes:
+    """Empty if there is no letter."""
+    found = _WORD.findall(text.lower()) if text else []
+    if not any(c.isalpha() for w in found for c in w):
+        return b""
+    return f" {' '.join(found)} ".encode("utf-8", "replace")
 
 
 class SuffixAutomaton:
-    """All substrings of a text: state by state, one dictionary of (state, character) -> state."""
+    """All substrings of a byte string as one table: row by row the state that a byte leads to, 0 for none."""
 
-    def __init__(self, text: str):
-        self.codes = {c: k for k, c in enumerate(sorted(set(text)))}
-        self.width = max(1, len(self.codes))
+    def __init__(self, text: bytes):
         length, link, out = [0], [-1], [{}]
         last = 0
-        for c in (self.codes[c] for c in text):
+        for c in text:
             new = len(length)
             length.append(length[last] + 1)
             link.append(0)
@@ -63,93 +74,105 @@ class SuffixAutomaton:
                         at = link[at]
                     link[to] = link[new] = twin
             last = new
-        self.step = {s * self.width + c: t * self.width for s, row in enumerate(out) for c, t in row.items()}
-
-    def phrases(self, text: str) -> int:
-        """How many longest matches the text is parsed into; a character that never occurs is a phrase by itself."""
-        step, code, state, count = self.step.get, self.codes.get, 0, 0
-        fresh = True
-        for ch in text:
-            c = code(ch)
-            if c is None:
-                count += 1 if fresh else 2
-                state, fresh = 0, True
-                continue
-            to = step(state + c)
-            if to is None:
-                count += 1
-                to = step(c)
-            state, fresh = to, False
-        return count + (not fresh)
-
-
-def words(text: str | None) -> Counter:
-    return Counter(_WORD.findall((text or "").lower()))
+        alphabet = sorted(set(text))
+        width = len(alphabet) + 1  # code 0: bytes that never occur
+        self.size = len(text)
+        self.codes = np.zeros(256, np.int32)
+        self.codes[alphabet] = np.arange(1, width)
+        states = np.repeat(np.arange(len(out)), [len(row) for row in out])
+        reached = np.array([(c, t) for row in out for c, t in row.items()], np.int64).reshape(-1, 2)
+        self.step = np.zeros(len(out) * width, np.int32)  # states are multiplied by the width, ready to be indexed
+        self.step[states * width + self.codes[reached[:, 0]]] = reached[:, 1] * width
+
+    def phrases(self, columns: np.ndarray, alive: np.ndarray) -> np.ndarray:
+        """How many longest matches each segment is parsed into.  Row t of columns holds byte t of the alive[t] segments that have one."""
+        count = np.zeros(columns.shape[1], np.int64)
+        state = np.zeros(columns.shape[1], np.int32)
+        for row, n in zip(columns, alive.tolist(), strict=True):
+            code = self.codes[row[:n]]
+            to = self.step[state[:n] + code]
+            # a phrase starts where the last one cannot go on; a byte that never occurs is a phrase by itself
+            starts = (to == 0) | (state[:n] == 0)
+            count[:n] += starts
+            state[:n] = np.where(to == 0, self.step[code], to)
+        return count
+
+
+def segments(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The texts' segments as columns, longest first; how many have a byte in each row; whose text each is."""
+    cut = [(t[at : at + SEGMENT], k) for k, t in enumerate(texts) for at in range(0, len(t), SEGMENT)]
+    cut.sort(key=lambda c: -len(c[0]))
+    sizes = np.array([len(c) for c, _ in cut], np.int64)
+    rows = np.zeros((len(cut), sizes[0] if len(cut) else 0), np.uint8)
+    rows[np.arange(rows.shape[1]) < sizes[:, None]] = np.frombuffer(b"".join(c for c, _ in cut), np.uint8)
+    alive = np.searchsorted(-sizes, -np.arange(rows.shape[1]), "left")
+    return np.ascontiguousarray(rows.T), alive, np.array([k for _, k in cut], np.int64)
 
 
 class Languages:
-    """An automaton for each language, in order of labelled documents."""
-
-    def __init__(self, samples: dict[str, list[str]], counts: dict[str, int], most: int = REFERENCE_CHARS):
-        self.names = sorted(samples, key=lambda k: (-counts[k], k))
-        self.automata = [SuffixAutomaton(self._reference(samples[k], most)) for k in self.names]
-        self.memo: dict[str, tuple[int, ...]] = {}
-
-    @staticmethod
-    def _reference(texts: list[str], most: int) -> str:
-        seen: dict[str, None] = {}
-        size = 1
-        for text in texts:
-            for w in words(text):
-                if w not in seen and size + len(w) + 1 <= most:
-                    seen[w] = None
-                    size += len(w) + 1
-        return EDGE + EDGE.join(seen) + EDGE
-
-    def __getstate__(self):
-        return {"names": self.names, "automata": self.automata, "memo": {}}
-
-    def parse(self, word: str) -> tuple[int, ...]:
-        if (known := self.memo.get(word)) is None:
-            edged = EDGE + word + EDGE
-            known = tuple(a.phrases(edged) for a in self.automata)
-            if len(word) <= MEMO_WORD:
-                if len(self.memo) >= MEMO:
-                    self.memo.clear()
-                self.memo[word] = known
-        return known
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        found = words(text)
-        if not self.names or not any(c.isalpha() for w in found for c in w):
-            return "und", 0.0
-        totals = [0] * len(self.names)
-        letters = 0
-        for w, n in found.items():
-            letters += len(w) * n
-            for k, p in enumerate(self.parse(w)):
-                totals[k] += p * n
-        least = min(totals)
-        # the winner's share if a phrase more makes a text e times less likely
-        weight = sum(2.718281828459045 ** max(least - t, -700) for t in totals)
-        return self.names[totals.index(least)], 1 / weight
-
-
-def fit(documents: DataFrame, docs: int = SAMPLE_DOCS, chars: int = REFERENCE_CHARS) -> Languages:
-    """Languages learned from at most about `docs` documents each, outside the held-out fold, chosen by hash of doc_id."""
+    """An automaton for each language, in order of labelled rows."""
+
+    def __init__(self, references: dict[str, bytes], counts: dict[str, int]):
+        self.names = sorted((k for k in references if references[k]), key=lambda k: (-counts[k], k))
+        self.automata = [SuffixAutomaton(references[k]) for k in self.names]
+
+    def bits(self, texts: list[bytes]) -> np.ndarray:
+        """(text, language): phrases, each at the logarithm of the reference's length."""
+        columns, alive, of = segments(texts)
+        out = np.zeros((len(texts), len(self.names)))
+        for k, a in enumerate(self.automata):
+            out[:, k] = np.bincount(of, weights=a.phrases(columns, alive), minlength=len(texts)) * np.log2(a.size + 1)
+        return out
+
+    def predict(self, texts: list[str | None]) -> pd.DataFrame:
+        lang, score = ["und"] * len(texts), np.zeros(len(texts))
+        group: list[tuple[int, bytes]] = []
+        size = 0
+
+        def tell() -> None:
+            bits = self.bits([b for _, b in group])
+            over = bits - bits.min(1, keepdims=True)
+            share = 1 / np.exp2(-np.minimum(over, 1000)).sum(1)  # the winner's, if a bit more makes a text half as likely
+            for (at, _), best, s in zip(group, over.argmin(1).tolist(), share.tolist(), strict=True):
+                lang[at], score[at] = self.names[best], s
+
+        for at, text in enumerate(texts):
+            if self.names and (raw := normalised(text)):
+                group.append((at, raw))
+                size += len(raw)
+            if group and (size >= TOGETHER or at == len(texts) - 1):
+                tell()
+                group, size = [], 0
+        return pd.DataFrame({"lang_pred": lang, "score": score})
+
+
+def references(documents: DataFrame, docs: int = SAMPLE_DOCS, window: int = WINDOW, total: int = TOTAL_BYTES) -> tuple[dict[str, bytes], dict[str, int]]:
+    """Each language's running text, from at most `docs` distinct rows outside the held-out fold (those of the least hashes), and its labelled rows."""
     usable = documents.select("doc_id", "lang", "text").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = {r.lang: r["count"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
-    if not counts:
-        return Languages({}, {})
-    place = F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1 << 30))
-    share = F.when(F.lit(False), 0)
-    for lang, n in counts.items():
-        share = share.when(F.col("lang") == lang, F.lit(int((1 << 30) * min(1.0, docs / n))))
-    chosen = usable.filter(place <= share).limit(2 * docs * len(counts)).select("lang", "doc_id", F.substring("text", 1, chars).alias("text"))
-    samples: dict[str, list[str]] = {k: [] for k in counts}
-    for r in sorted(chosen.collect(), key=lambda r: (r.lang, r.doc_id, r.text)):
-        samples[r.lang].append(r.text)
-    return Languages(samples, counts, chars)
+    usable = usable.withColumn("place", F.xxhash64(F.lit(7), "doc_id", "text"))
+    found = {r.lang: r for r in usable.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("place", 0.02).alias("different")).collect()}
+    if not found:
+        return {}, {}
+    # the least hashes, at a share that holds `docs` different rows with near certainty
+    part = F.pmod("place", F.lit(1 << 40)) / (1 << 40)
+    share = F.create_map(*[F.lit(x) for k, r in found.items() for x in (k, float(min(1.0, (1.2 * docs + 60) / r.different)))])
+    at = F.pmod(F.xxhash64(F.lit(8), "place"), F.greatest(F.lit(1), F.length("text") - window + 1)).cast("int") + 1
+    chosen = usable.filter(part <= share[F.col("lang")]).groupBy("lang", "place").agg(F.min(F.substring("text", at, F.lit(window))).alias("text"))
+    rows: dict[str, list[tuple[int, str]]] = {k: [] for k in found}
+    for r in chosen.collect():
+        rows[r.lang].append((r.place % (1 << 40), r.text))
+    each = total // len(found)
+    out = {}
+    for lang, own in rows.items():
+        texts = [normalised(t)[1:] for _, t in sorted(own)[:docs]]
+        longest = max(1, each // max(1, len(texts)))  # with many languages all windows get shorter alike
+        joined = b"".join(t[:longest] for t in texts)
+        out[lang] = b" " + joined if joined else b""
+    return out, {k: r.n for k, r in found.items()}
+
+
+def fit(documents: DataFrame, docs: int = SAMPLE_DOCS, window: int = WINDOW, total: int = TOTAL_BYTES) -> Languages:
+    return Languages(*references(documents, docs, window, total))
 
 
 def predict(documents: DataFrame, languages: Languages) -> Column:
@@ -157,7 +180,8 @@ def predict(documents: DataFrame, languages: Languages) -> Column:
     shared = documents.sparkSession.sparkContext.broadcast(languages)
 
     @F.pandas_udf("lang_pred string, score double")
-    def parsed(text: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([shared.value.predict(t) for t in text], columns=["lang_pred", "score"])
+    def parsed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            yield shared.value.predict(texts.tolist())
 
     return parsed("text")

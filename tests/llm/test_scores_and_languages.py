@@ -69,13 +69,48 @@ def plain_phrases(reference, text):
     return count
 
 
-def test_automaton_equals_substring_search():
+def plain_bits(reference, raw):
+    return sum(plain_phrases(reference, raw[k : k + c.SEGMENT]) for k in range(0, len(raw), c.SEGMENT)) * math.log2(len(reference) + 1)
+
+
+def test_parses_equal_substring_search():
     rng = np.random.default_rng(3)
-    reference = "".join(rng.choice(list("abc "), 300))
-    automaton = c.SuffixAutomaton(reference)
-    for _ in range(300):
-        text = "".join(rng.choice(list("abcd "), rng.integers(0, 25)))
-        assert automaton.phrases(text) == plain_phrases(reference, text)
+    refs = {"a": bytes(rng.choice(list(b"abc "), 300).tolist()), "b": bytes(rng.choice(list(b"abd "), 90).tolist())}
+    languages = c.Languages(refs, {"a": 1, "b": 2})
+    assert languages.names == ["b", "a"]
+    sizes = [*rng.integers(1, 60, 60), c.SEGMENT - 1, c.SEGMENT, c.SEGMENT + 1, 5 * c.SEGMENT + 7]
+    texts = [bytes(rng.choice(list(b"abcd \xc3"), n).tolist()) for n in sizes]
+    got = languages.bits(texts)
+    assert got == pytest.approx(np.array([[plain_bits(refs[k], t) for k in languages.names] for t in texts]))
+
+
+def test_query_equals_brute_force(spark, odd, documents):
+    """The predictions of whole tables by plain substring search, odd rows and ties among them."""
+    some = documents.filter("length(text) < 2500")
+    refs, counts = c.references(documents, docs=12, window=400)
+    names = sorted(refs, key=lambda k: (-counts[k], k))
+    table = some.select("doc_id", "text").unionByName(odd.filter("length(text) < 2500 or text is null").select("doc_id", "text"))
+    for r in table.select("text", c.predict(table, c.fit(documents, docs=12, window=400)).alias("p")).collect():
+        raw = c.normalised(r.text)
+        bits = [plain_bits(refs[k], raw) for k in names]
+        assert r.p.lang_pred == (names[int(np.argmin(bits))] if raw else "und")
+
+
+def test_phrases_cross_words(spark, documents):
+    """Texts without their spaces hold no word of a list, and are told all the same; one common row cannot crowd out the sample."""
+    rows = [(r.doc_id, re.sub(r"\s", "", r.text), r.lang) for r in documents.collect() if r.text]
+    run = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    copies = documents.filter("doc_id = 3").crossJoin(spark.range(500)).select(documents.columns)
+    languages = c.fit(documents.unionByName(copies))
+    got = run.select("lang", c.predict(run, languages).alias("p")).collect()
+    assert np.mean([r.lang == r.p.lang_pred for r in got]) >= 0.95
+
+
+def test_any_number_of_languages(spark):
+    rows = [(k, f"{w} {w[::-1]} {w}", w) for k, w in enumerate(f"{chr(97 + i // 26)}{chr(97 + i % 26)}x" for i in range(600)) if zlib.crc32(str(k).encode()) % 5]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = df.select("lang", c.predict(df, c.fit(df)).alias("p")).collect()
+    assert np.mean([r.lang == r.p.lang_pred for r in got]) >= 0.95
 
 
 def test_held_out_languages(spark, sf_dir, documents):
