@@ -10,14 +10,14 @@ The benchmark is the stated query set: it is read in blocks of at most BLOCK_TOK
 longer item makes a block of its own).  One block after another is made, sent to the tasks and released;
 with a single block documents are never shuffled.
 
-Defined results: null and empty texts have no leaks; items of fewer than SHORTEST tokens never match;
-repeated items and repeated documents are reported each; tokens are \\w+ of the lower-cased text.
+Defined results: null and empty texts have no leaks; items of fewer than SHORTEST tokens match only texts
+of just these tokens; repeated items and repeated documents are reported each; tokens are \\w+ of the lower-cased text.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from functools import reduce
 
 import numpy as np
@@ -36,6 +36,8 @@ SHORT_MASKS = {
 }
 IDENTITY, LEAST, SHORTEST = 0.8, 12, 5
 BLOCK_TOKENS = 1_000_000
+#: Window pairs that are put in order at once.
+PAIRS = 1 << 20
 _WORD = re.compile(r"\w+")
 _FILTER_BITS = 22
 
@@ -52,16 +54,10 @@ def longest_overlap(a: np.ndarray, identity: float = IDENTITY) -> tuple[int, int
     # a stretch from match i to match j has j - i + 1 matches: enough when (j + 1) - identity * (end + 1) has not fallen below its value at i
     high = np.arange(1, len(at) + 1) - identity * (at + 1)
     low = np.arange(len(at)) - identity * at
-    last = np.maximum.accumulate(high[::-1])[::-1]  # the best value from j on
-    best = (0, 0)
-    j = 0
-    for i in range(len(at)):
-        j = max(j, i)
-        while j + 1 < len(at) and last[j + 1] >= low[i] - 1e-9:
-            j += 1
-        if at[j] + 1 - at[i] > best[1] - best[0] and high[j] >= low[i] - 1e-9:
-            best = (int(at[i]), int(at[j]) + 1)
-    return best
+    last = np.maximum.accumulate(high[::-1])  # the best value from the end back, rising
+    j = len(at) - 1 - np.searchsorted(last, low - 1e-9, "left")  # the last match that a stretch from i can reach
+    i = int((at[j] - at).argmax())
+    return int(at[i]), int(at[j[i]]) + 1
 
 
 class Seeds:
@@ -71,9 +67,14 @@ class Seeds:
         self.identity, self.least = identity, least
         self.vocabulary: dict[str, int] = {}
         self.ids, self.words = [], []
+        self.tiny: dict[tuple[str, ...], list[int]] = {}
         for item_id, text in items:
-            w = [self.vocabulary.setdefault(t, len(self.vocabulary) + 1) for t in tokens(text)]
-            if len(w) >= SHORTEST:
+            own = tokens(text)
+            if 0 < len(own) < SHORTEST:
+                self.tiny.setdefault(tuple(own), []).append(item_id)
+                continue
+            w = [self.vocabulary.setdefault(t, len(self.vocabulary) + 1) for t in own]
+            if w:
                 self.ids.append(item_id)
                 self.words.append(np.array(w, np.int64))
         short = [m for n in sorted({len(w) for w in self.words}) for m in SHORT_MASKS.get(n, ())]
@@ -83,20 +84,26 @@ class Seeds:
         self.mix = rng.integers(1, 1 << 63, (len(self.masks), max(spans, default=1)), np.uint64) | np.uint64(1)
         self.whole = [k >= len(masks) for k in range(len(self.masks))]
         self.spans = spans
-        keys, owner, place = [], [], []
+        keys, before, owner, place = [], [], [], []
         for n, w in enumerate(self.words):
             for k in range(len(self.masks)):
                 if self.whole[k] and len(w) != spans[k]:
                     continue
                 h, _ = self._hashes(w, k)
                 keys.append(h)
+                before.append(np.concatenate([np.zeros(1, np.uint64), h[:-1]])[: len(h)])
                 owner.append(np.full(len(h), n))
                 place.append(np.arange(len(h)))
         self.keys = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-        order = np.argsort(self.keys, kind="stable")
-        self.keys = self.keys[order]
+        behind = np.concatenate(before) if before else np.zeros(0, np.uint64)
+        order = np.lexsort((behind, self.keys))
+        self.keys, behind = self.keys[order], behind[order]
         self.owner = np.concatenate(owner)[order] if owner else np.zeros(0, int)
         self.place = np.concatenate(place)[order] if place else np.zeros(0, int)
+        # windows by (hash, hash of the window before), as numbers that sort the same
+        self.behinds = np.unique(behind)
+        self.first = np.searchsorted(self.keys, self.keys, "left")
+        self.both = self.first * (len(self.behinds) + 1) + np.searchsorted(self.behinds, behind)
         self.maybe = np.zeros(1 << _FILTER_BITS, bool)
         self.maybe[self.keys >> np.uint64(64 - _FILTER_BITS)] = True
 
@@ -115,36 +122,57 @@ class Seeds:
         h *= self.mix[k, 0]
         return h ^ (h >> np.uint64(32)), known
 
+    def _diagonals(self, at: np.ndarray, begin: np.ndarray, end: np.ndarray, firsts: np.ndarray) -> Iterator[np.ndarray]:
+        """(text, item, diagonal) of the pairs of each window with the postings from begin to end, PAIRS at a time."""
+        n = end - begin
+        total = np.concatenate([[0], np.cumsum(n)])
+        cuts = np.unique(np.concatenate([[0, len(n)], np.searchsorted(total, np.arange(PAIRS, total[-1], PAIRS))]))
+        for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            own = np.repeat(np.arange(x, y), n[x:y])
+            if len(own):
+                e = begin[own] + np.arange(len(own)) - (total[own] - total[x])
+                yield np.unique(np.stack([np.searchsorted(firsts, at[own], "right") - 1, self.owner[e], at[own] - self.place[e]], 1), axis=0)
+
     def search(self, texts: Iterable[str | None]) -> list[list[tuple[int, int, int, int]]]:
         """For each text its (item_id, start, length, matched), the longest overlap for each item, in order of item."""
         known = self.vocabulary.get
-        parts, starts, total, gap = [], [], 0, max(self.spans, default=1)
+        parts, starts, whole, total, gap = [], [], [], 0, max(self.spans, default=1)
         for text in texts:
             w = tokens(text)
             starts.append((total, len(w)))
+            whole.append(self.tiny.get(tuple(w), []) if len(w) < SHORTEST else [])
             part = np.zeros(len(w) + gap, np.int64)
             part[: len(w)] = [known(t, 0) for t in w]
             parts.append(part)
             total += len(part)
-        out: list[list[tuple[int, int, int, int]]] = [[] for _ in parts]
+        out: list[list[tuple[int, int, int, int]]] = [[(i, 0, n, n) for i in ids] for ids, (_, n) in zip(whole, starts, strict=True)]
         if not parts or not len(self.keys):
             return out
         w = np.concatenate(parts)
         firsts = np.array([s for s, _ in starts])
-        seen: dict[tuple[int, int], set[int]] = {}
+        found = [np.zeros((0, 3), np.int64)]
         for k in range(len(self.masks)):
             h, all_known = self._hashes(w, k)
             at = np.flatnonzero(all_known & self.maybe[h >> np.uint64(64 - _FILTER_BITS)])
             lo = np.searchsorted(self.keys, h[at], "left")
             hi = np.searchsorted(self.keys, h[at], "right")
-            for p, a, b in zip(at[hi > lo], lo[hi > lo], hi[hi > lo], strict=True):
-                doc = int(np.searchsorted(firsts, p, "right")) - 1
-                for e in range(a, b):
-                    seen.setdefault((doc, int(self.owner[e])), set()).add(int(p) - int(self.place[e]))
-        for (doc, n), diagonals in sorted(seen.items()):
+            at, lo, hi = at[hi > lo], lo[hi > lo], hi[hi > lo]
+            # a pair whose windows before are equal too lies on a diagonal that the earlier pair has: repetitive texts have few others
+            behind = np.where((at > 0) & all_known[at - 1], h[at - 1], np.uint64(0))
+            rank = np.searchsorted(self.behinds, behind)
+            there = (behind != 0) & (rank < len(self.behinds)) & (self.behinds[np.minimum(rank, len(self.behinds) - 1)] == behind)
+            both = lo * (len(self.behinds) + 1) + rank
+            a = np.where(there, np.searchsorted(self.both, both, "left"), hi)
+            b = np.where(there, np.searchsorted(self.both, both, "right"), hi)
+            for begin, end in ((lo, a), (b, hi)):
+                found.extend(self._diagonals(at, begin, end, firsts))
+        met = np.unique(np.concatenate(found), axis=0)
+        starts_at = np.flatnonzero(np.any(met[1:, :2] != met[:-1, :2], axis=1)) + 1 if len(met) else np.zeros(0, int)
+        seen = {(int(g[0, 0]), int(g[0, 1])): g[:, 2].tolist() for g in np.split(met, starts_at) if len(g)}
+        for (doc, n), diagonals in seen.items():
             item, (first, size) = self.words[n], starts[doc]
             best = (0, 0, 0)
-            for d in sorted(diagonals):
+            for d in diagonals:
                 lo, hi = max(0, first - d), min(len(item), first + size - d)
                 same = w[d + lo : d + hi] == item[lo:hi]
                 a, b = longest_overlap(same, self.identity)

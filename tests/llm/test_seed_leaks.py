@@ -1,4 +1,5 @@
 import re
+import time
 from itertools import combinations
 
 import numpy as np
@@ -42,6 +43,21 @@ def test_query_equals_brute_force(spark, sf_dir, texts, benchmark_items):
         assert got.get(d, {}) == plain_overlaps(texts[d], items)
 
 
+def test_repetitive_texts_take_no_longer():
+    for unit in (["a"], ["a", "b", "c"], ["a", "b", "a", "c", "d"]):
+        item, text = " ".join(unit * (60 // len(unit))), " ".join(["x", *unit * (100 // len(unit)), "b", "y"])
+        got = s.Seeds([(1, item)]).search([text])[0]
+        assert {1: got[0][2]} == plain_overlaps(text, [(1, item)])
+        began = time.process_time()
+        found = s.Seeds([(1, " ".join(unit * 1200))]).search([" ".join(unit * 8000)])[0]
+        assert found[0][2] == 1200 * len(unit) and time.process_time() - began < 20
+
+
+def test_shortest_items_match_whole_texts():
+    seeds = s.Seeds([(1, "Yes, it is."), (2, "no"), (3, "")])
+    assert seeds.search(["yes it IS", "No!", "yes it is not", "", None]) == [[(1, 0, 3, 3)], [(2, 0, 1, 1)], [], [], []]
+
+
 def test_substitutions_are_tolerated():
     rng = np.random.default_rng(0)
     word = lambda: "".join(rng.choice(list("abcdefgh"), 6))
