@@ -1,53 +1,91 @@
 import math
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
+from pyspark.sql import functions as F
 
 from fieldmark.llm import cross_parsing as c
 from fieldmark.llm import masked_scores as m
 
 
-def test_scores_equal_brute_force(spark, sf_dir, documents, texts):
-    from fieldmark.llm.queries import op3_masked_scores
-
-    got = {r.doc_id: r for r in op3_masked_scores(spark, sf_dir).collect()}
-    ids = {d: [zlib.crc32(t.encode()) % m.BUCKETS for t in re.findall(r"\w+|[^\w\s]", x.lower())] for d, x in texts.items()}
-    counts = np.bincount(np.concatenate(list(map(np.array, ids.values()))), minlength=m.BUCKETS)
-    assert (m.bucket_counts(documents) == counts).all()
-    cl = m.Classes.of(counts)
-    windows = {}
-    sides = {}
-    for d, w in ids.items():
-        sides[d] = []
-        for k in range(len(w)):
-            near = [int(cl.near[w[j]]) if 0 <= j < len(w) else 0 for j in (k - 1, k + 1)]
-            outer = [int(cl.outer[w[j]]) if 0 <= j < len(w) else 0 for j in (k - 2, k + 2)]
-            context = ((outer[0] * m.NEAR + near[0]) * m.NEAR + near[1]) * m.OUTER + outer[1]
-            sides[d].append(context)
-            key = (context, int(cl.target[w[k]]))
-            windows[key] = windows.get(key, 0) + 1
-    dense = m.window_counts(documents, cl)
-    assert dense.sum() == sum(map(len, ids.values())) and all(dense[k] == n for k, n in windows.items())
-    table = m.train(dense)
-    assert np.allclose(np.exp(table).sum(1), 1, atol=1e-4)
-    mass = {}
-    for b in range(m.BUCKETS):
-        mass[cl.target[b]] = mass.get(cl.target[b], 0) + counts[b] + 1
-    for d in list(ids)[:40]:
-        want = sum(float(table[s, cl.target[b]]) + math.log((counts[b] + 1) / mass[cl.target[b]]) for s, b in zip(sides[d], ids[d], strict=True))
-        assert got[d].n_tokens == len(ids[d]) and got[d].log_prob == pytest.approx(want, rel=1e-4, abs=1e-3)
-
-
-def test_the_network_beats_class_frequencies_and_prefers_order(documents, texts):
-    model = m.fit(documents)
-    hasher = m.Hasher()
-    rng = np.random.default_rng(0)
-    long = [hasher(t) for t in texts.values() if len(t) > 1500]
-    kept = sum(model.score(i) for i in long)
-    mixed = sum(model.score(rng.permutation(i)) for i in long)
-    assert kept > mixed
+@pytest.fixture(scope="module")
+def model(documents):
+    return m.fit(documents)
+
+
+def split(text):
+    return [t for run in (text or "").lower().split() for t in re.findall(r"\w+|[^\w\s]", run)]
+
+
+def plain_network(model, window):
+    """log P(middle | others) by walking the tree of one window."""
+    leaves, shared = model.vocabulary(np.array([xxhash.xxh64_intdigest(w) | 1 if w else 0 for w in window], np.uint64))
+    net, goal = model.network, int(leaves[2])
+    h = np.tanh(np.concatenate([net.embed[k] for k in leaves[[0, 1, 3, 4]]]) @ net.hidden + net.bias)
+    out = -math.log(model.vocabulary.kinds) if shared[2] else 0.0
+    for level in range(3):
+        z = h @ net.nodes[level][goal // 32 ** (3 - level)] + net.tilt[level][goal // 32 ** (3 - level)]
+        out += z[goal // 32 ** (2 - level) % 32] - math.log(np.exp(z).sum())
+    return out
+
+
+def test_scores_equal_brute_force(spark, documents, texts, model):
+    got = {r.doc_id: r for r in m.scores(documents, model).collect()}
+    words = {d: ["", "", *split(t), "", ""] for d, t in texts.items()}
+    windows = {d: [tuple(w[k : k + 5]) for k in range(len(w) - 4)] for d, w in words.items()}
+    own = {d: (Counter(w[1:4] for w in ws), Counter((w[1], w[3]) for w in ws)) for d, ws in windows.items()}
+    triples, pairs = (sum((o[k] for o in own.values()), Counter()) for k in (0, 1))
+    assert model.total == sum(map(len, windows.values()))
+    for d in [d for d in texts if len(windows[d]) < 400][:60]:
+        base, want = 0.0, 0.0
+        for w in windows[d]:
+            prior = plain_network(model, w)
+            n, near = triples[w[1:4]] - own[d][0][w[1:4]], pairs[w[1], w[3]] - own[d][1][w[1], w[3]]
+            base += prior
+            want += math.log((n + m.WEIGHT * math.exp(prior)) / (near + m.WEIGHT))
+        assert got[d].n_tokens == len(windows[d])
+        assert got[d].network_log_prob == pytest.approx(base, rel=1e-3, abs=1e-2) and got[d].log_prob == pytest.approx(want, rel=2e-3, abs=2e-2)
+
+
+def test_hot_windows_counted_beforehand_change_nothing(documents, model):
+    early = m.fit(documents, hot=40)
+    assert len(early.pairs) > 10 and len(early.triples) > 5 and not len(model.pairs)
+    early.vocabulary, early.network = model.vocabulary, model.network
+    a, b = ({r.doc_id: r.log_prob for r in m.scores(documents, x).collect()} for x in (model, early))
+    assert a == pytest.approx(b, rel=1e-3, abs=1e-2)
+
+
+def test_network_beats_frequencies_and_prefers_order(spark):
+    """On windows it was not fitted to, a nat and more over the frequencies alone is gained, and lost where the order is shuffled."""
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(5)))  # copies stay together
+    known = d.filter("fold > 0").drop("fold")
+    vocab = m.vocabulary(m.counts(known))
+    place, net = m.fit_network(vocab, m.sample_windows(known, int(vocab.mass.sum())))
+    mass = np.zeros(m.LEAVES)
+    mass[place] = vocab.mass
+
+    def mean(texts, net):
+        block = m.Block.of([], texts)
+        sides = np.stack([vocab(s)[0] for s in block.sides], 1)
+        return net.log_prob(sides, vocab(block.words)[0]).mean()
+
+    words, rng = m.Words(), np.random.default_rng(0)
+    held = [words(r.text) for r in d.filter("fold = 0 and length(text) > 200").collect()]
+    gain = mean(held, net) - mean(held, m.Network.start(mass))
+    order = mean(held, net) - mean([rng.permutation(t) for t in held], net)
+    assert gain > 0.5 and order > 0.5, (gain, order)
+
+
+def test_documents_that_occur_twice_stand_apart(documents, model):
+    rows = m.scores(documents, model).join(documents.select("doc_id", "text"), "doc_id").filter("n_tokens >= 20").collect()
+    often = Counter(r.text for r in rows)
+    twice = [r.log_prob / r.n_tokens for r in rows if often[r.text] > 1]
+    once = sorted(r.log_prob / r.n_tokens for r in rows if often[r.text] == 1)
+    assert np.mean(np.array(twice) > once[int(0.9 * len(once))]) > 0.9
 
 
 def test_odd_scores(odd, none):
