@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldmark.llm.components import components
-from fieldmark.llm.shared import stored
+from fieldmark.llm.shared import join_counted, stored
 
 BITS, BLOCKS, DISTANCE, SHINGLE, SEED = 64, 6, 3, 3, 42
 #: Fingerprints of one block key that are compared in one task.
@@ -122,11 +122,17 @@ def links(distinct: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, s
 def near_duplicates(documents: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """(doc_id, fp, component_id, root) for each row: component_id is the smallest doc_id reachable, root the component's least fp."""
     marked = stored(documents.select("doc_id", _fingerprints("text").alias("fp")), "fingerprints")
-    distinct = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
-    roots = components(links(distinct.select("fp"), distance)).select(F.col("node").alias("fp"), "root")
-    rooted = distinct.join(roots, "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return marked.join(rooted.join(ids, "root").select("fp", "component_id", "root"), "fp").select("doc_id", "fp", "component_id", "root")
+    distinct = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "distinct-fingerprints")
+    return in_components(marked, distinct, links(distinct.select("fp"), distance))
+
+
+def in_components(marked: DataFrame, distinct: DataFrame, edges: DataFrame) -> DataFrame:
+    """(doc_id, fp, component_id, root) for each row of marked; distinct has (fp, first_id, n) of each fp, edges link them."""
+    roots = components(edges).select(F.col("node").alias("fp"), "root")
+    rooted = stored(distinct.join(roots, "fp", "left").select("fp", "first_id", "n", F.coalesce("root", "fp").alias("root")), "rooted")
+    ids = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("n"))
+    known = join_counted(rooted.withColumnRenamed("n", "rows"), ids, "root").select("fp", "component_id", "root", F.col("rows").alias("n"))
+    return join_counted(marked.select("doc_id", "fp"), stored(known, "known"), "fp").select("doc_id", "fp", "component_id", "root")
 
 
 def one_of_each(documents: DataFrame, distance: int = DISTANCE, groups: DataFrame | None = None, mark=_fingerprints) -> DataFrame:
