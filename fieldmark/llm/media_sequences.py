@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldmark.llm.shared import stored
+from fieldmark.llm.shared import join_counted, stored
 
 WIDTH = 64
 SCHEME = "cas:"
@@ -153,34 +153,43 @@ FEATURES = T.StructType([
 
 
 @F.pandas_udf(FEATURES)
-def features(media: pd.Series) -> pd.DataFrame:
-    """What the stored bytes say, read back."""
-    rows = []
-    for m in media:
-        x = samples(m)
-        p = x.tobytes()
-        rows.append((len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-WIDTH:]), len(m), hashlib.sha256(m).hexdigest(), feature(x)))
-    return pd.DataFrame(rows, columns=FEATURES.names)
+def features(digest: pd.Series, media: pd.Series) -> pd.DataFrame:
+    """What the stored bytes say, read back; once for the copies of a payload in a batch."""
+    known: dict[str, tuple] = {}
+    for d, m in zip(digest, media, strict=True):
+        if d not in known:
+            x = samples(m)
+            p = x.tobytes()
+            known[d] = (len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-WIDTH:]), len(m), hashlib.sha256(m).hexdigest(), feature(x))
+    return pd.DataFrame([known[d] for d in digest], columns=FEATURES.names)
 
 
 def resolve(references: DataFrame, store: DataFrame) -> DataFrame:
-    """references (with a column digest) and the features of their payloads; store has (digest, media), a digest possibly more than once."""
-    known = store.select("digest", features("media").alias("f")).groupBy("digest").agg(F.first("f").alias("f"))
-    return references.join(known, "digest", "left").select(*references.columns, "f.*")
+    """references (with a column digest) and the features of their payloads; store has (digest, media), a digest possibly more than once.
+
+    Both sides are counted by digest first; a digest that many references share meets them by broadcast.
+    """
+    wanted = references.groupBy("digest").agg(F.count("*").alias("n"))
+    known = store.select("digest", features("digest", "media").alias("f")).groupBy("digest").agg(F.first("f").alias("f"))
+    known = stored(known.join(wanted, "digest").select("digest", "f", "n"), "media-features")
+    return join_counted(references, known, "digest", how="left").select(*references.columns, "f.*")
 
 
 def document_media(documents: DataFrame) -> DataFrame:
-    """Every document as a page that shows its payload: (doc_id, position, caption, digest, n_bytes) with the payload's features.
+    """Every document as a page that names its size, shows its payload and tells the payload's rows: (doc_id, position, before, caption, after, digest, n_bytes) with the payload's features.
 
-    The payloads and the pages are written as one table; the pages are parsed and the payloads read back
+    position is the reference's place among the page's items, before and after are the texts around it.  The payloads and the pages are written as one table; the pages are parsed and the payloads read back
     from it, and only digests and features meet in the join.
     """
     payload = documents.select(F.col("doc_id").alias("doc_id"), F.octet_length(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("n"), as_media(payload_of(F.col("text"))).alias("media"))
     named = payload.withColumn("digest", F.sha2("media", 256))
+    rows = (F.greatest(F.lit(1), F.ceil(F.col("n") / WIDTH))).cast("string")
     page = F.concat(
-        F.lit('<article><figure><img src="' + SCHEME), F.col("digest"), F.lit('" data-bytes="'), F.col("n").cast("string"),
-        F.lit('"><figcaption>document '), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("</figcaption></figure></article>"),
+        F.lit("<article><h1>text of "), F.col("n").cast("string"), F.lit(' bytes</h1><figure><img src="' + SCHEME), F.col("digest"), F.lit('" data-bytes="'), F.col("n").cast("string"),
+        F.lit('"><figcaption>payload '), F.substring("digest", 1, 16), F.lit("</figcaption></figure><p>"), rows, F.lit(" rows of samples</p></article>"),
     )
     kept = stored(named.select("doc_id", "digest", "media", page.alias("html")), "media-store")
-    shown = kept.select("doc_id", F.explode(sequences("html")).alias("i")).filter("i.kind = 'media'").select("doc_id", "i.position", "i.caption", "i.digest", "i.n_bytes")
+    items = kept.select("doc_id", sequences("html").alias("items")).select("doc_id", "items", F.explode("items").alias("i")).filter("i.kind = 'media'")
+    around = [F.get("items", F.col("i.position") + k)["text"].alias(side) for k, side in ((-1, "before"), (1, "after"))]
+    shown = items.select("doc_id", "i.position", around[0], "i.caption", around[1], "i.digest", "i.n_bytes")
     return resolve(shown, kept.select("digest", "media"))

@@ -54,7 +54,7 @@ def op7_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_media_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     shown = media_sequences.document_media(table(spark, sf_dir, "documents"))
-    return shown.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+    return shown.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "before", "caption", "after")
 
 
 def op10_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

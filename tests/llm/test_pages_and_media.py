@@ -23,7 +23,7 @@ def test_media_round_trip(spark, sf_dir, texts):
         media = b"P5\n64 %d\n255\n" % (len(padded) // 64) + padded
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest())
         assert (r.tail_crc32, r.media_bytes, r.media_sha256) == (zlib.crc32(padded[-64:]), len(media), hashlib.sha256(media).hexdigest())
-        assert (r.position, r.caption) == (0, f"document {r.doc_id}")
+        assert (r.position, r.before, r.caption, r.after) == (1, f"text of {len(raw)} bytes", f"payload {r.media_sha256[:16]}", f"{len(padded) // 64} rows of samples")
         assert r.feature == m.feature(np.frombuffer(padded, np.uint8).reshape(-1, 64))
 
 
