@@ -3,20 +3,29 @@
 Only DataFrame functions are used.  A text is cut at the matches of one pattern; each match is replaced
 by a surrogate that a keyed SHA-512 of (kind, normalised value, attempt) decides:
 
-- phone, card, id, iban, secret: digit for digit, hex for hex, letter for letter, separators and case kept;
-  a country code stays, and a card that passes the Luhn check gets a surrogate that passes it;
-- email: character classes kept, the same domain always gets the same domain, the top level stays;
-- ip: four octets from 1 to 254;
-- person (a title and up to three capitalised words): the title stays, given names follow the title's
-  gender, the script stays; a bare later mention of a detected name in the same text is replaced too.
+- card, id, iban, secret: digit for digit, hex for hex, letter for letter, separators and case kept; a card
+  that passes the Luhn check and an IBAN whose check digits fit get surrogates that do;
+- phone: its last ten (North American) or nine digits are the entity, so that a number with and without
+  country code or trunk zero is one; what stands before stays;
+- token: keys of known prefixes (the prefix stays) and what follows a cue such as `password:`;
+- email: character classes kept; its domain is an entity of its own, the top level stays;
+- ip: four octets from 1 to 254; ipv6: hex for hex;
+- person (a title, or a cue such as `Contact:`, and capitalised words): the title stays, every word is an
+  entity of kind name; a bare later mention of a detected word in the same text is replaced too.  What a word
+  is, a surname or a given name and of which gender, is told by all its mentions in the corpus together, so
+  that it has one surrogate under whatever title; the script stays.
 
 The same entity gets the same surrogate wherever it stands and however it is formatted.  Distinctness is
 checked over the whole corpus: a candidate that another entity won, or that is itself a real entity, is
-refused and the entity tries again (`attempt`).  Entities at attempt 0 need no lookup; those beyond, the
-exceptions, go with the plan if they are at most MAP_ROWS and are joined by text digest otherwise.
+refused and the entity tries again (`attempt`).  Surnames and other entities at attempt 0 need no lookup;
+the rest, the exceptions, go with the plan if they are at most MAP_ROWS; else the texts that hold one meet
+their exceptions in a join on the text's digest, common texts by broadcast.
+
+The key is the setting spark.fieldmark.pii.key of the session; without it KEY, which protects nothing.
 
 Defined results: a null text stays null; texts without entities are unchanged, byte for byte; every
-other column passes through (a column `entities` is replaced); repeated rows are treated alike.
+other column passes through (a column `entities` is replaced); repeated rows are treated alike.  Names
+without title or cue, and names in scripts without capitals, are not found.
 """
 
 from __future__ import annotations
@@ -24,20 +33,20 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldmark.llm.shared import stored
+from fieldmark.llm.shared import join_counted, stored
 
-KEY = "fieldmark-demo-key"
+KEY, KEY_SETTING = "fieldmark-demo-key", "spark.fieldmark.pii.key"
 #: Exceptions that travel inside the plan; more are joined.
 MAP_ROWS = 2_000
 #: From this attempt on a surrogate grows by further characters, so that small name spaces end too.
 GROW_AT = 8
 
 # fixed values: titles by gender, and the syllables names are made of
-MALE = ("Mr", "Herrn", "Herr", "Monsieur", "Señor", "Sr", "Sir")
-FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mlle", "Señorita", "Señora", "Sra")
+MALE = ("Mr", "Herrn", "Herr", "Monsieur", "Señor", "Sr", "Sir", "г-н", "Господин", "господин", "κ", "Κύριος", "κύριος")
+FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mlle", "Señorita", "Señora", "Sra", "г-жа", "Госпожа", "госпожа", "κα", "Κυρία", "κυρία")
 NEUTRAL = ("Dr", "Prof", "Mx")
 LATIN = ("ba", "bel", "bor", "cal", "cor", "da", "del", "dor", "fen", "fal", "gar", "gil", "ha", "hol", "ker", "kin", "la", "lor", "mar", "mel", "nor", "na", "pal", "per", "ra", "ros", "sal", "sen", "tal", "ter", "val", "wil")
 CYRILLIC = ("ба", "бел", "бор", "вал", "вер", "га", "гор", "да", "дан", "зор", "ил", "ка", "кор", "ла", "лев", "ма", "мар", "на", "нов", "ол", "па", "пет", "ра", "рос", "са", "сав", "та", "тар", "фе", "хол", "ча", "яр")
@@ -50,22 +59,31 @@ ENDINGS = {
 
 _NAME = r"\p{Lu}[\p{L}'’]*\p{L}(?:-\p{Lu}\p{L}+)?"
 _TITLE = "(?:" + "|".join(sorted((*MALE, *FEMALE, *NEUTRAL), key=lambda t: -len(t))) + r")\.?"
+_CUE = r"(?<=(?:Contact|Name|Attn|Signed|Customer|Patient|Employee|Author): {1,2})"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+_HEX = "[0-9A-Fa-f]{1,4}"
+_TOLD = r"(?<=(?i:password|passwd|pwd|passphrase|api[_-]key|secret[_-]key|access[_-]token)[\"']{0,1} {0,2}[:=] {0,2}[\"']{0,1})"
+#: What stays of a token.
+TOKEN_PREFIX = "^(?:AKIA|ASIA|gh[pousr]_|github_pat_|(?:sk|pk|rk)_(?:live|test)_|xox[abprs]-|AIza|eyJ)"
 # fixed values: what each kind looks like, the first that fits counts
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*(?<=\.[A-Za-z]{2,24})",
     "ip": rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?[0-9])",
+    "ipv6": rf"(?<![0-9A-Za-z:.])(?:(?:{_HEX}:){{7}}{_HEX}|(?=[0-9A-Fa-f:]{{0,39}}[0-9])(?:{_HEX}:){{1,7}}:(?:{_HEX}(?::{_HEX}){{0,6}})?)(?![0-9A-Za-z:])",
+    "token": r"(?<![0-9A-Za-z_-])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36,255}|github_pat_[0-9A-Za-z_]{22,255}|(?:sk|pk|rk)_(?:live|test)_[0-9A-Za-z]{10,99}|xox[abprs]-[0-9A-Za-z-]{10,99}|AIza[0-9A-Za-z_-]{35}|eyJ[0-9A-Za-z_-]{8,999}\.eyJ[0-9A-Za-z_-]{8,999}\.[0-9A-Za-z_-]{8,999})(?![0-9A-Za-z_-])",
+    "told": _TOLD + r"(?=[^\s\"',;<>]{0,64}[0-9!#$%^&*])[^\s\"',;<>]{6,128}",
     "card": r"(?<![0-9-])(?:[0-9]{4}[ -]){3}[0-9]{4}(?!-?[0-9])|(?<![0-9A-Za-z])3[47][0-9]{2} [0-9]{6} [0-9]{5}(?![0-9])|(?<![0-9A-Za-z])[0-9]{13,19}(?![0-9A-Za-z])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "secret": r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])",
     "id": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?!-?[0-9])",
-    "phone": r"(?<![\w+(])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-][0-9]{3,4}(?!\w)|(?<![\w+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?!\w)|(?<![\w.+-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![\w-])",
-    "person": rf"(?<!\p{{L}}){_TITLE} {_NAME}(?: {_NAME}){{0,2}}",
+    "phone": r"(?<![\w+(])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-][0-9]{3,4}(?!\w)|(?<![\w+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?!\w)"
+    r"|(?<![\w.+-])[0-9]{3}([ .-])[0-9]{3}\1[0-9]{4}(?![\w-])|(?<![\w.+-])0[0-9]{2,4} [0-9]{3,4} [0-9]{3,4}(?![\w-])|(?<=(?i:phone|tel|fax|mobile|cell|call)[.:]{0,2} {0,2})[0-9]{7,12}(?!\w)",
+    "person": rf"(?<!\p{{L}}){_TITLE} {_NAME}(?: {_NAME}){{0,5}}|{_CUE}{_NAME}(?: {_NAME}){{1,5}}",
 }
-PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
+PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values()).replace(r"([ .-])", r"(?<gap>[ .-])").replace(r"\1", r"\k<gap>")
 #: No text without one of these has an entity; most texts stop here.
-HINT = rf"@|[0-9]|(?<!\p{{L}}){_TITLE} \p{{Lu}}"
-NAME_KINDS = ("male", "female", "neutral", "surname")
+HINT = rf"@|[0-9]|(?i:password|passwd|pwd|passphrase|api[_-]key|secret[_-]key|access[_-]token)|(?<!\p{{L}}){_TITLE} \p{{Lu}}|{_CUE}\p{{Lu}}"
+FORMS = ("male", "female", "neutral", "surname")
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -74,15 +92,21 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def kind_of(hit: Column) -> Column:
+    """The kind that a match has by its own looks; what only its surroundings tell is a token, a phone number or a person by what it is made of, else a name's bare mention."""
     out = F.when(hit.rlike(f"^(?:{PATTERNS['email']})$"), "email")
     for kind, pattern in list(PATTERNS.items())[1:]:
-        out = out.when(hit.rlike(f"^(?:{pattern})$"), kind)
-    return out.otherwise("bare")
+        if kind != "told":
+            out = out.when(hit.rlike(f"^(?:{pattern})$"), kind)
+    out = out.when(hit.rlike("^[0-9]{7,12}$"), "phone").when(hit.rlike(rf"^{_NAME}(?: {_NAME}){{1,5}}$"), "person")
+    return out.when(hit.rlike(rf"^{_NAME}$"), "bare").otherwise("token")
 
 
 def normalised(kind: Column, value: Column) -> Column:
     """What makes two mentions the same entity: case and separators aside."""
-    return F.when(kind.isin("email", "ip", *NAME_KINDS), F.lower(value)).otherwise(F.regexp_replace(F.lower(value), "[^0-9a-z]", ""))
+    digits = F.regexp_replace(value, "[^0-9]", "")
+    phone = let(digits, lambda d: F.when(d.rlike("^1?[1-9][0-9]{9}$"), F.right(d, F.lit(10))).otherwise(F.right(d, F.lit(9))))
+    plain = F.regexp_replace(F.lower(value), "[^0-9a-z]", "")
+    return F.when(kind.isin("email", "domain", "ip", "ipv6", "name"), F.lower(value)).when(kind == "token", value).when(kind == "phone", phone).otherwise(plain)
 
 
 def _stream(key: str, kind: Column, norm: Column, attempt: Column) -> Column:
@@ -105,8 +129,8 @@ def _masked(norm: Column, stream: Column, hexadecimal: bool = False) -> Column:
     def one(c: Column, k: Column) -> Column:
         n = _byte(stream, k)
         if hexadecimal:
-            return _letter("0123456789abcdef", n)
-        return F.when(c.rlike("[0-9]"), _letter("0123456789", n)).when(c.rlike("[a-z]"), _letter("abcdefghijklmnopqrstuvwxyz", n)).otherwise(c)
+            return F.when(c.rlike("[0-9a-f]"), _letter("0123456789abcdef", n)).otherwise(c)
+        return F.when(c.rlike("[0-9]"), _letter("0123456789", n)).when(c.rlike("[a-z]"), _letter("abcdefghijklmnopqrstuvwxyz", n)).when(c.rlike("[A-Z]"), _letter("ABCDEFGHIJKLMNOPQRSTUVWXYZ", n)).otherwise(c)
 
     return F.array_join(F.transform(F.split(norm, ""), one), "")
 
@@ -129,14 +153,31 @@ def _card(norm: Column, stream: Column) -> Column:
     return let(F.concat(F.substring(norm, 1, 1), _masked(F.substring(norm, F.lit(2), F.length(norm) - 1), stream)), checked)
 
 
-def _email(norm: Column, stream: Column, key: str) -> Column:
-    def at_domain(domain: Column) -> Column:
-        top = F.substring_index(domain, ".", -1)
-        labels = F.substring(domain, F.lit(1), F.length(domain) - F.length(top) - 1)
-        other = let(_stream(key, F.lit("domain"), domain, F.lit(0)), lambda own: _masked(labels, own))
-        return F.concat(_masked(F.substring_index(norm, "@", 1), stream), F.lit("@"), other, F.lit("."), top)
+def _remainder(iban: Column) -> Column:
+    """What is left of an IBAN, its first four characters moved behind, on division by 97."""
+    moved = F.concat(F.substring(iban, F.lit(5), F.length(iban)), F.substring(iban, 1, 4))
+
+    def value(c: Column) -> Column:
+        return F.when(c.rlike("[0-9]"), F.ascii(c) - 48).otherwise(F.ascii(c) - 87)
+
+    return F.aggregate(F.transform(F.split(moved, ""), value), F.lit(0), lambda rest, v: (rest * F.when(v > 9, 100).otherwise(10) + v) % 97)
+
+
+def _iban(norm: Column, stream: Column) -> Column:
+    def checked(body: Column) -> Column:
+        check = F.lpad((98 - _remainder(F.concat(F.substring(norm, 1, 2), F.lit("00"), body))).cast("string"), 2, "0")
+        return F.when(_remainder(norm) == 1, F.concat(F.substring(norm, 1, 2), check, body)).otherwise(F.concat(F.substring(norm, 1, 2), _masked(F.substring(norm, 3, 2), F.reverse(stream)), body))
 
-    return let(F.substring_index(norm, "@", -1), at_domain)
+    return let(_masked(F.substring(norm, F.lit(5), F.length(norm)), stream), checked)
+
+
+def _domain(norm: Column, stream: Column) -> Column:
+    top = F.substring_index(norm, ".", -1)
+    return F.concat(_masked(F.substring(norm, F.lit(1), F.length(norm) - F.length(top) - 1), stream), F.lit("."), top)
+
+
+def _token(norm: Column, stream: Column) -> Column:
+    return let(F.regexp_extract(norm, TOKEN_PREFIX, 0), lambda head: F.concat(head, _masked(F.substring(norm, F.length(head) + 1, F.length(norm)), stream)))
 
 
 def _ip(norm: Column, stream: Column) -> Column:
@@ -144,7 +185,7 @@ def _ip(norm: Column, stream: Column) -> Column:
     return F.array_join(octets, ".")
 
 
-def _name(kind: Column, norm: Column, stream: Column) -> Column:
+def _name(form: Column, norm: Column, stream: Column) -> Column:
     scripts = {"latin": LATIN, "cyrillic": CYRILLIC, "greek": GREEK}
 
     def made(script: Column) -> Column:
@@ -154,75 +195,84 @@ def _name(kind: Column, norm: Column, stream: Column) -> Column:
         pools = F.create_map(*[x for s, syllables in scripts.items() for x in (F.lit(s), F.array(*map(F.lit, syllables)))])
         ends = F.create_map(*[x for s, kinds in ENDINGS.items() for k, e in kinds.items() for x in (F.lit(f"{s} {k}"), F.array(*map(F.lit, e)))])
         stem = let(F.element_at(pools, script), lambda pool: F.concat(one_of(pool, 0), one_of(pool, 1), one_of(pool, 2)))
-        return F.concat(stem, let(F.element_at(ends, F.concat(script, F.lit(" "), kind)), lambda pool: one_of(pool, 9)))
+        return F.concat(stem, let(F.element_at(ends, F.concat(script, F.lit(" "), form)), lambda pool: one_of(pool, 9)))
 
     return let(F.when(norm.rlike(r"\p{IsCyrillic}"), "cyrillic").when(norm.rlike(r"\p{IsGreek}"), "greek").otherwise("latin"), made)
 
 
 def _grow(kind: Column, attempt: Column, stream: Column, made: Column) -> Column:
-    """made, with more letters (names) or digits from attempt GROW_AT on."""
+    """made, with more letters (names, domains) or digits from attempt GROW_AT on."""
     size = F.greatest(attempt - GROW_AT + 2, F.lit(0))
     digits = F.translate(F.substring(stream, F.lit(90), size), "abcdef", "012345")
     letters = F.translate(F.substring(stream, F.lit(90), size), "0123456789", "ghijklmnop")
-    extra = F.when(attempt < GROW_AT, "").when(kind.isin(*NAME_KINDS), letters).otherwise(digits)
-    return F.when(kind == "email", F.concat(extra, made)).otherwise(F.concat(made, extra))
+    extra = F.when(attempt < GROW_AT, "").when(kind.isin("name", "domain"), letters).otherwise(digits)
+    return F.when(kind.isin("email", "domain"), F.concat(extra, made)).otherwise(F.concat(made, extra))
 
 
-def core(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
-    """The surrogate's normalised form: what collision checks compare."""
+def core(kind: Column, norm: Column, form: Column, attempt: Column, key: str) -> Column:
+    """The surrogate's normalised form: what collision checks compare.  An email's keeps the real domain here: domains are checked apart, and none of theirs is real."""
 
     def made(stream: Column) -> Column:
-        country = F.regexp_extract(norm, "^1(?=[0-9]{10}$)|^[0-9]{2}(?=[0-9]{9,12}$)", 0)
-        kept = F.when(kind == "phone", F.length(country)).when(kind == "iban", 2).otherwise(0)  # characters that stay
-        masked = let(kept, lambda n: F.concat(F.substring(norm, F.lit(1), n), _masked(F.substring(norm, n + 1, F.length(norm)), stream)))
         return (
-            F.when(kind == "email", _email(norm, stream, key))
+            F.when(kind == "email", F.concat(_masked(F.substring_index(norm, "@", 1), stream), F.lit("@"), F.substring_index(norm, "@", -1)))
+            .when(kind == "domain", _domain(norm, stream))
             .when(kind == "ip", _ip(norm, stream))
             .when(kind == "card", _card(norm, stream))
-            .when(kind == "secret", _masked(norm, stream, hexadecimal=True))
-            .when(kind.isin(*NAME_KINDS), _name(kind, norm, stream))
-            .otherwise(masked)
+            .when(kind == "iban", _iban(norm, stream))
+            .when(kind.isin("secret", "ipv6"), _masked(norm, stream, hexadecimal=True))
+            .when(kind == "token", _token(norm, stream))
+            .when(kind == "name", _name(form, norm, stream))
+            .otherwise(_masked(norm, stream))
         )
 
     return let(_stream(key, kind, norm, attempt), lambda stream: let(made(stream), lambda out: _grow(kind, attempt, stream, out)))
 
 
-def _rendered(kind: Column, value: Column, surrogate: Column) -> Column:
-    """The normalised surrogate in the clothes of the mention: its separators and its case."""
+def _rendered(kind: Column, value: Column, norm: Column, surrogate: Column) -> Column:
+    """The normalised surrogate in the clothes of the mention: its separators and its case, and the digits before a phone's."""
 
-    def one(c: Column, k: Column) -> Column:
-        place = F.length(F.regexp_replace(F.substring(value, F.lit(1), k + 1), "[^0-9A-Za-z]", ""))
-        put = F.substring(surrogate, place, F.lit(1))
-        return F.when(c.rlike("[0-9a-z]"), put).when(c.rlike("[A-Z]"), F.upper(put)).otherwise(c)
+    def dressed(full: Column) -> Column:
+        def one(c: Column, k: Column) -> Column:
+            place = F.length(F.regexp_replace(F.substring(value, F.lit(1), k + 1), "[^0-9A-Za-z]", ""))
+            put = F.substring(full, place, F.lit(1))
+            return F.when(c.rlike("[0-9a-z]"), put).when(c.rlike("[A-Z]"), F.upper(put)).otherwise(c)
 
-    filled = F.array_join(F.transform(F.split(value, ""), one), "")
-    size = F.length(F.regexp_replace(value, "[^0-9A-Za-z]", ""))
-    tail = F.substring(surrogate, size + 1, F.length(surrogate))
+        filled = F.array_join(F.transform(F.split(value, ""), one), "")
+        size = F.length(F.regexp_replace(value, "[^0-9A-Za-z]", ""))
+        return F.concat(filled, F.substring(full, size + 1, F.length(full)))
+
+    digits = F.regexp_replace(value, "[^0-9]", "")
+    before = F.when(kind == "phone", F.substring(digits, F.lit(1), F.length(digits) - F.length(norm))).otherwise("")
     upper = (F.length(value) > 1) & (value == F.upper(value))
     named = F.when(upper, F.upper(surrogate)).otherwise(F.concat(F.upper(F.substring(surrogate, 1, 1)), F.substring(surrogate, F.lit(2), F.length(surrogate))))
-    return F.when(kind.isin(*NAME_KINDS), named).when(kind.isin("email", "ip"), F.when(upper & (kind == "email"), F.upper(surrogate)).otherwise(surrogate)).otherwise(F.concat(filled, tail))
+    whole = F.when(upper & kind.isin("email", "ipv6"), F.upper(surrogate)).otherwise(surrogate)
+    return F.when(kind == "name", named).when(kind.isin("email", "ip", "ipv6", "token"), whole).otherwise(let(F.concat(before, surrogate), dressed))
+
+
+def _titled(words: Column) -> Column:
+    return F.regexp_replace(F.element_at(words, 1), r"\.$", "").isin(*MALE, *FEMALE, *NEUTRAL)
 
 
 def _named_parts(hit: Column) -> Column:
-    """(kind, value) of the words after the title: the last is the surname, the others go by the title's gender."""
+    """(form, value) of the words after the title, if there is one: the last is a surname, the others go by the title's gender."""
 
     def told(words: Column) -> Column:
         title = F.regexp_replace(F.element_at(words, 1), r"\.$", "")
         gender = F.when(title.isin(*MALE), "male").when(title.isin(*FEMALE), "female").otherwise("neutral")
-        names = F.slice(words, F.lit(2), F.size(words))
-        return F.transform(names, lambda w, k: F.struct(F.when(k == F.size(words) - 2, "surname").otherwise(gender).alias("kind"), w.alias("value")))
+        names = F.when(_titled(words), F.slice(words, F.lit(2), F.size(words))).otherwise(words)
+        return let(names, lambda n: F.transform(n, lambda w, k: F.struct(F.when(k == F.size(n) - 1, "surname").otherwise(gender).alias("form"), w.alias("value"))))
 
     return let(F.split(hit, " "), told)
 
 
 def detected(documents: DataFrame) -> DataFrame:
-    """documents with __pieces (the text between matches), __hits (kind, value) and __names (the words of persons)."""
+    """documents with __pieces (the text between matches), __hits (kind, value) and __names (form, value) of the words of persons."""
     found = F.when(F.col("text").rlike(HINT), F.transform(F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)), lambda h: F.struct(kind_of(h).alias("kind"), h.alias("value"))))
     empty = F.expr("cast(array() as array<struct<kind:string,value:string>>)")
     first = documents.withColumn("__hits", F.coalesce(found, empty))
     persons = F.filter(F.col("__hits"), lambda h: h.kind == "person")
     named = first.withColumn("__names", F.array_distinct(F.flatten(F.transform(persons, lambda h: _named_parts(h.value)))))
-    bare = F.transform(F.filter(F.col("__names"), lambda n: F.length(n.value) > 2), lambda n: n.value)
+    bare = F.array_distinct(F.transform(F.col("__names"), lambda n: n.value))
     pattern = F.when(F.size(bare) > 0, F.concat(F.lit(PATTERN + r"|(?<!\p{L})(?:"), F.array_join(F.array_sort(bare, lambda a, b: F.length(b) - F.length(a)), "|"), F.lit(r")(?!\p{L})"))).otherwise(F.lit(PATTERN))
     cut = named.withColumn("__pattern", pattern)
     again = F.transform(F.regexp_extract_all(F.col("text"), F.col("__pattern"), F.lit(0)), lambda h: F.struct(kind_of(h).alias("kind"), h.alias("value")))
@@ -232,29 +282,40 @@ def detected(documents: DataFrame) -> DataFrame:
 
 
 def _units(hits: Column, names: Column) -> Column:
-    """The entities that get a surrogate of their own: hits other than persons, and the words of persons."""
-    plain = F.filter(hits, lambda h: ~h.kind.isin("person", "bare"))
-    return F.concat(plain, names)
+    """The entities that get a surrogate of their own, as (kind, norm, form): hits other than persons, emails' domains, and the words of persons."""
+
+    def unit(kind: Column, norm: Column, form: Column) -> Column:
+        return F.struct(kind.alias("kind"), norm.alias("norm"), form.alias("form"))
+
+    plain = F.transform(F.filter(hits, lambda h: ~h.kind.isin("person", "bare")), lambda h: unit(h.kind, normalised(h.kind, h.value), F.lit("")))
+    domains = F.transform(F.filter(hits, lambda h: h.kind == "email"), lambda h: unit(F.lit("domain"), F.lower(F.substring_index(h.value, "@", -1)), F.lit("")))
+    return F.array_distinct(F.concat(plain, domains, F.transform(names, lambda n: unit(F.lit("name"), F.lower(n.value), n.form))))
 
 
 def entities(documents: DataFrame) -> DataFrame:
-    """(kind, norm): every distinct entity of the corpus."""
+    """(kind, norm, form): every distinct entity of the corpus.
+
+    The form of a name is that of a given name if any mention has it so, with the gender that all its titles of a gender agree on.
+    """
     units = detected(documents.select("text").filter(F.col("text").rlike(HINT))).select(F.explode(_units(F.col("__hits"), F.col("__names"))).alias("u"))
-    return units.select("u.kind", normalised(F.col("u.kind"), F.col("u.value")).alias("norm")).distinct()
+    told = {f: F.max(F.col("u.form") == f) for f in FORMS[:3]}
+    forms = units.groupBy("u.kind", "u.norm").agg(*[c.alias(f) for f, c in told.items()])
+    given = F.when(F.col("male") & ~F.col("female"), "male").when(F.col("female") & ~F.col("male"), "female").when(F.col("male") | F.col("neutral"), "neutral").otherwise("surname")
+    return forms.select("kind", "norm", F.when(F.col("kind") == "name", given).otherwise("").alias("form"))
 
 
 def assign(found: DataFrame, key: str = KEY) -> DataFrame:
-    """(kind, norm, surrogate, attempt) for each entity: surrogates are distinct within a kind and are no real entities."""
+    """(kind, norm, form, surrogate, attempt) for each entity: surrogates are distinct within a kind and are no real entities."""
     found = stored(found, "entities")
     won, pending, attempt = None, found, 0
     while True:
-        tried = pending.withColumn("surrogate", core(F.col("kind"), F.col("norm"), F.lit(attempt), key))
-        first = tried.groupBy("kind", "surrogate").agg(F.min("norm").alias("norm"))
+        tried = pending.withColumn("surrogate", core(F.col("kind"), F.col("norm"), F.col("form"), F.lit(attempt), key))
+        first = tried.groupBy("kind", "surrogate").agg(F.min(F.struct("norm", "form")).alias("e"))
         real = found.select("kind", F.col("norm").alias("surrogate"))
         free = first.join(real, ["kind", "surrogate"], "left_anti")
         if won is not None:
             free = free.join(won, ["kind", "surrogate"], "left_anti")
-        fresh = stored(free.select("kind", "norm", "surrogate", F.lit(attempt).alias("attempt")), "surrogates")
+        fresh = stored(free.select("kind", "e.norm", "e.form", "surrogate", F.lit(attempt).alias("attempt")), "surrogates")
         won = fresh if won is None else won.unionByName(fresh)
         pending = stored(pending.join(fresh, ["kind", "norm"], "left_anti"), "pending")
         if pending.isEmpty():
@@ -262,47 +323,59 @@ def assign(found: DataFrame, key: str = KEY) -> DataFrame:
         attempt += 1
 
 
-def _replaced(key: str, attempt_of: Callable[[Column, Column], Column]) -> Column:
-    """The text put together again, each hit by its surrogate."""
+def _replaced(key: str, known: Column | None) -> Column:
+    """The text put together again, each hit by its surrogate; known maps kind|norm of the exceptions to attempt:form."""
+
+    def surrogate_of(kind: Column, norm: Column) -> Column:
+        usual = F.when(kind == "name", "0:surname").otherwise("0:")
+        told = usual if known is None else F.coalesce(F.element_at(known, F.concat(kind, F.lit("|"), norm)), usual)
+        return let(told, lambda x: core(kind, norm, F.substring_index(x, ":", -1), F.substring_index(x, ":", 1).cast("int"), key))
 
     def one(part: Column) -> Column:
         def put(norm: Column) -> Column:
-            return let(core(part.kind, norm, attempt_of(part.kind, norm), key), lambda surrogate: _rendered(part.kind, part.value, surrogate))
+            domain = F.concat(F.lit("@"), surrogate_of(F.lit("domain"), F.substring_index(norm, "@", -1)))
+            whole = let(surrogate_of(part.kind, norm), lambda s: F.when(part.kind == "email", F.concat(F.substring_index(s, "@", 1), domain)).otherwise(s))
+            return let(whole, lambda surrogate: _rendered(part.kind, part.value, norm, surrogate))
 
         return let(normalised(part.kind, part.value), put)
 
     def parts(h: Column) -> Column:
-        """The entities a hit stands for: a person's words, a bare mention's name, or the hit itself."""
-        bare = F.slice(F.filter(F.col("__names"), lambda n: n.value == h.value), 1, 1)
-        return F.when(h.kind == "person", _named_parts(h.value)).when(h.kind == "bare", bare).otherwise(F.array(h))
+        """The entities a hit stands for: a person's words, or the hit itself."""
+        words = F.when(h.kind == "person", F.transform(_named_parts(h.value), lambda n: n.value)).when(h.kind == "bare", F.array(h.value))
+        return F.when(words.isNotNull(), F.transform(words, lambda w: F.struct(F.lit("name").alias("kind"), w.alias("value")))).otherwise(F.array(h))
 
     def hit(h: Column) -> Column:
-        title = F.when(h.kind == "person", F.concat(F.substring_index(h.value, " ", 1), F.lit(" "))).otherwise("")
+        title = F.when((h.kind == "person") & _titled(F.split(h.value, " ")), F.concat(F.substring_index(h.value, " ", 1), F.lit(" "))).otherwise("")
         return F.concat(title, F.array_join(F.transform(parts(h), one), " "))
 
     puts = F.transform(F.col("__hits"), hit)
     return F.array_join(F.flatten(F.zip_with("__pieces", puts, lambda p, s: F.array(p, F.coalesce(s, F.lit(""))))), "")
 
 
-def replace(documents: DataFrame, key: str = KEY) -> DataFrame:
+def session_key(spark: SparkSession) -> str:
+    return spark.conf.get(KEY_SETTING, KEY)
+
+
+def replace(documents: DataFrame, key: str | None = None) -> DataFrame:
     """documents with surrogates in `text` and the array `entities` of (kind, n) that were replaced."""
-    beyond = stored(assign(entities(documents), key).filter("attempt > 0"), "exceptions")
+    key = session_key(documents.sparkSession) if key is None else key
+    beyond = stored(assign(entities(documents), key).filter("attempt > 0 or form not in ('', 'surname')"), "exceptions")
+    beyond = beyond.select(F.concat("kind", F.lit("|"), "norm").alias("entity"), F.concat("attempt", F.lit(":"), "form").alias("told"))
     marked = detected(documents.drop("entities"))
     few = beyond.limit(MAP_ROWS + 1).collect()
-    if not few:
-        attempt_of = lambda kind, norm: F.lit(0)
-    elif len(few) <= MAP_ROWS:
-        known = F.from_json(F.lit(json.dumps({f"{r.kind}|{r.norm}": r.attempt for r in few})), "map<string,int>")
-        attempt_of = lambda kind, norm: F.coalesce(F.element_at(known, F.concat(kind, F.lit("|"), norm)), F.lit(0))
-    else:
-        marked = marked.withColumn("__digest", F.sha2(F.col("text"), 256))
-        units = marked.filter(F.size("__hits") > 0).select("__digest", F.explode(_units(F.col("__hits"), F.col("__names"))).alias("u"))
-        units = units.select("__digest", "u.kind", normalised(F.col("u.kind"), F.col("u.value")).alias("norm")).distinct()
-        own = units.join(beyond.select("kind", "norm", "attempt"), ["kind", "norm"])
-        own = own.groupBy("__digest").agg(F.map_from_entries(F.collect_list(F.struct(F.concat("kind", F.lit("|"), "norm"), "attempt"))).alias("__attempts"))
-        marked = marked.join(own, "__digest", "left").drop("__digest")
-        attempt_of = lambda kind, norm: F.coalesce(F.element_at(F.col("__attempts"), F.concat(kind, F.lit("|"), norm)), F.lit(0))
     kinds = F.transform(F.col("__hits"), lambda h: F.when(h.kind == "bare", "person").otherwise(h.kind))
     counts = F.transform(F.array_sort(F.array_distinct(kinds)), lambda k: F.struct(k.alias("kind"), F.size(F.filter(kinds, lambda o: o == k)).alias("n")))
-    out = marked.withColumn("entities", counts).withColumn("text", F.when(F.size("__hits") > 0, _replaced(key, attempt_of)).otherwise(F.col("text")))
-    return out.drop("__hits", "__names", "__pieces", "__attempts")
+
+    def put(rows: DataFrame, known: Column | None) -> DataFrame:
+        out = rows.withColumn("entities", counts).withColumn("text", F.when(F.size("__hits") > 0, _replaced(key, known)).otherwise(F.col("text")))
+        return out.drop("__hits", "__names", "__pieces", "__told")
+
+    if len(few) <= MAP_ROWS:
+        return put(marked, F.from_json(F.lit(json.dumps({r.entity: r.told for r in few})), "map<string,string>") if few else None)
+    # the texts that hold an exception, each once, with what is told of its entities; rows without hits stay out of the join
+    held = marked.filter(F.size("__hits") > 0).withColumn("__digest", F.sha2(F.col("text"), 256))
+    units = held.select("__digest", F.explode(_units(F.col("__hits"), F.col("__names"))).alias("u")).select("__digest", F.concat("u.kind", F.lit("|"), "u.norm").alias("entity"))
+    own = units.groupBy("__digest", "entity").agg(F.count("*").alias("n")).join(beyond, "entity")
+    own = own.groupBy("__digest").agg(F.map_from_entries(F.collect_list(F.struct("entity", "told"))).alias("__told"), F.max("n").alias("n"))
+    joined = put(join_counted(held, stored(own, "told-texts"), "__digest", how="left").drop("__digest"), F.col("__told"))
+    return joined.unionByName(put(marked.filter(F.size("__hits") == 0), None))

@@ -3,10 +3,10 @@ from collections import defaultdict
 
 import pytest
 
+from tests.llm.test_near_copies import plain_groups
 from tests.llm.test_pii import ANY
 from tests.llm.test_placing import check_packing
 from tests.llm.test_seed_leaks import plain_overlaps
-from tests.llm.test_simhash import plain_components, plain_fingerprint
 
 
 @pytest.fixture(scope="module")
@@ -30,9 +30,8 @@ def test_stages_against_brute_force(spark, sf_dir, stages, labels, benchmark_ite
     quality = {r.doc_id: r.quality for r in labels.collect()}
     assert sum(quality.get(d) == 1 for d in rows[0]) * 0.97 <= sum(quality.get(d) == 1 for d in rows[1])
     assert sum(quality.get(d) == 0 for d in rows[1]) <= 0.2 * sum(quality.get(d) == 0 for d in rows[0])
-    prints = [(d, plain_fingerprint(t)) for d, t in rows[1].items()]
-    first = {d for (d, _), c in zip(prints, plain_components(prints), strict=True) if d == c}
-    assert set(rows[2]) == first
+    groups, _ = plain_groups(list(rows[1].items()))  # similarity of five-word shingles, all pairs
+    assert set(rows[2]) == set(groups.values())
     items = [(r.item_id, r.text) for r in benchmark_items.collect()]
     grams = {tuple(w[k : k + 3]) for _, t in items for w in [re.findall(r"\w+", t.lower())] for k in range(len(w) - 2)}
     for d, t in rows[2].items():
