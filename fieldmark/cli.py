@@ -103,9 +103,8 @@ def holdout(f: Folder, now: datetime, args) -> None:
 
 
 def retrain(f: Folder, now: datetime, args) -> None:
-    frame = f.spark.read.parquet(f"{f.path}/features")
-    current = contests.current_season(f.table("games"), now)
-    production.fit_model(frame.filter(F.col("season") < current), f.config()).save(f"{f.path}/model.json")
+    """From every finished game, those of the current season among them."""
+    production.fit_model(f.spark.read.parquet(f"{f.path}/features"), f.config()).save(f"{f.path}/model.json")
 
 
 def new_results(f: Folder, now: datetime) -> None:

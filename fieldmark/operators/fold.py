@@ -1,8 +1,9 @@
 """Ratings whose state depends on the opponents' state: an ordered fold.
 
 No window expresses these, as each step reads what the last one wrote for both sides.  Leagues are
-independent, so rows are dealt by league and each league is streamed through its own fold in order: state
-is a number for each team, whatever the number of contests.
+independent, and ratings that start anew each season are independent between seasons too, so rows are dealt
+by these and each is streamed through its own fold in order: state is a number for each team, whatever the
+number of contests.  Elo carries over seasons: one league is one fold by nature.
 """
 
 from __future__ import annotations
@@ -91,12 +92,15 @@ def elo(games: DataFrame, params: EloParams = EloParams(), league: str | None =
 def adjusted_ratings(rows: DataFrame, league: str | None = None, at: str = "kickoff_utc") -> DataFrame:
     """(game_id, team, off_rating, def_rating) with each result measured against the opponent's rating before the game.
 
+    Every season starts from its priors, so each season of each league is a fold of its own.
+
     rows: one for each game and team, with season, opponent, k (games the prior is worth), prior_off, prior_def
     and off, def (deviations of this game, null without a result).  All games of one moment are rated before
     any of them counts: the output of a moment is held back until its last row is read.
     """
     kinds = {c: rows.schema[c].dataType.simpleString() for c in ("game_id", "team")}
-    data = rows.withColumn("__league", F.col(league).cast("string") if league else F.lit("all")).select("__league", at, "game_id", "team", "season", "opponent", "k", "prior_off", "prior_def", "off", "def")
+    own = F.struct(F.col(league).cast("string") if league else F.lit("all"), "season").cast("string")
+    data = rows.withColumn("__league", own).select("__league", at, "game_id", "team", "season", "opponent", "k", "prior_off", "prior_def", "off", "def")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         state: dict = {}

@@ -58,5 +58,5 @@ side AS (SELECT game_id, season, week, kickoff, home_team AS team, away_team AS
 """
 
 
-def sql(body: str, more: str = "") -> str:
-    return "WITH RECURSIVE" + SQL.rstrip() + (", " + more if more else "") + "\n" + body if "RECURSIVE" in more else "WITH" + SQL.rstrip() + (", " + more if more else "") + "\n" + body
+def sql(body: str, more: str = "", recursive: bool = False) -> str:
+    return f"WITH{' RECURSIVE' * recursive}{SQL.rstrip()}{', ' * bool(more)}{more}\n{body}"

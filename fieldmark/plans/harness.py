@@ -140,8 +140,25 @@ def shrunk_rating(spark, d):
 
 # -- ordered folds ------------------------------------------------------------------------------------------
 
-#: A recursive query walks contests one by one, so the compared fold is over the earliest season only.
-EARLY = "(SELECT min(season) FROM contest)"
+# A recursive query walks the contests one by one with a list of all teams' numbers.
+
+ELO_WALK = """games AS MATERIALIZED (SELECT row_number() OVER (ORDER BY kickoff, game_id) AS step, game_id, season, home_team + 1 AS h, away_team + 1 AS a, margin, CASE WHEN neutral THEN 0 ELSE 48 END::DOUBLE AS field FROM contest),
+walk AS (SELECT 0::BIGINT AS step, list_transform(range(25), lambda x: 1500::DOUBLE) AS r, list_transform(range(25), lambda x: NULL::BIGINT) AS seen, NULL::BIGINT AS game_id, NULL::DOUBLE AS eh, NULL::DOUBLE AS ea
+UNION ALL SELECT step, list_transform(r, lambda x, i: CASE WHEN i = h THEN x_h + moved WHEN i = a THEN x_a - moved ELSE x END), list_transform(seen, lambda x, i: CASE WHEN i = h OR i = a THEN season ELSE x END), game_id, x_h, x_a
+FROM (SELECT *, 20 * CASE WHEN margin = 0 THEN 1 ELSE ln(abs(margin) + 1) * 2.2::DOUBLE / (CASE WHEN margin > 0 THEN gap ELSE -gap END * 0.001::DOUBLE + 2.2::DOUBLE) END * (CASE WHEN margin > 0 THEN 1 WHEN margin < 0 THEN 0 ELSE 0.5::DOUBLE END - 1 / (1 + pow(10, -gap / 400))) AS moved
+FROM (SELECT *, x_h - x_a + field AS gap FROM (SELECT g.*, w.r, w.seen, CASE WHEN w.seen[g.h] <> g.season THEN 1500 + (w.r[g.h] - 1500) * (1 - 1::DOUBLE / 3) ELSE w.r[g.h] END AS x_h, CASE WHEN w.seen[g.a] <> g.season THEN 1500 + (w.r[g.a] - 1500) * (1 - 1::DOUBLE / 3) ELSE w.r[g.a] END AS x_a
+FROM walk w JOIN games g ON g.step = w.step + 1))))"""
+
+ADJUSTED_WALK = """games AS MATERIALIZED (SELECT h.season, h.game_id, row_number() OVER (PARTITION BY h.season ORDER BY h.kickoff) AS step, c.home_team + 1 AS h, c.away_team + 1 AS a,
+h.kk AS hk, h.p_off AS hpo, h.p_def AS hpd, h.d_off AS ho, h.d_def AS hd, a.kk AS ak, a.p_off AS apo, a.p_def AS apd, a.d_off AS ao, a.d_def AS ad
+FROM contest c JOIN ready h ON h.game_id = c.game_id AND h.team = c.home_team JOIN ready a ON a.game_id = c.game_id AND a.team = c.away_team),
+walk AS (SELECT season, 0::BIGINT AS step, list_transform(range(25), lambda x: 0::DOUBLE) AS o, list_transform(range(25), lambda x: 0::DOUBLE) AS d, list_transform(range(25), lambda x: 0::BIGINT) AS n,
+NULL::BIGINT AS game_id, NULL::BIGINT AS h, NULL::BIGINT AS a, NULL::DOUBLE AS r_ho, NULL::DOUBLE AS r_hd, NULL::DOUBLE AS r_ao, NULL::DOUBLE AS r_ad FROM (SELECT DISTINCT season FROM games)
+UNION ALL SELECT season, step, CASE WHEN ho IS NULL OR hd IS NULL THEN o ELSE list_transform(o, lambda x, i: CASE WHEN i = h THEN x + ho - x_ad WHEN i = a THEN x + ao - x_hd ELSE x END) END,
+CASE WHEN ho IS NULL OR hd IS NULL THEN d ELSE list_transform(d, lambda x, i: CASE WHEN i = h THEN x + hd - x_ao WHEN i = a THEN x + ad - x_ho ELSE x END) END,
+CASE WHEN ho IS NULL OR hd IS NULL THEN n ELSE list_transform(n, lambda x, i: CASE WHEN i = h OR i = a THEN x + 1 ELSE x END) END, game_id, h, a, x_ho, x_hd, x_ao, x_ad
+FROM (SELECT w.o, w.d, w.n, g.*, (hk * hpo + w.o[g.h]) / (hk + w.n[g.h]) AS x_ho, (hk * hpd + w.d[g.h]) / (hk + w.n[g.h]) AS x_hd, (ak * apo + w.o[g.a]) / (ak + w.n[g.a]) AS x_ao, (ak * apd + w.d[g.a]) / (ak + w.n[g.a]) AS x_ad
+FROM walk w JOIN games g ON g.season = w.season AND g.step = w.step + 1))"""
 
 
 def elo_of(spark, d) -> DataFrame:
@@ -149,7 +166,7 @@ def elo_of(spark, d) -> DataFrame:
     return fold.elo(games, order=("kickoff", "game_id"))
 
 
-@query("elo_pre_ratings")
+@query("elo_pre_ratings", sql("SELECT game_id, round(eh, 6) AS elo_home_pre, round(ea, 6) AS elo_away_pre FROM walk WHERE step > 0", ELO_WALK, recursive=True))
 def elo_pre_ratings(spark, d):
     out = elo_of(spark, d)
     return out.select("game_id", r6("elo_home_pre").alias("elo_home_pre"), r6("elo_away_pre").alias("elo_away_pre"))
@@ -161,7 +178,7 @@ def elo_win_prob(spark, d):
     return games.select("game_id", r6(contests.elo_win_probability((F.col("margin") * 7).cast("double"), F.col("neutral"))).alias("p_home"))
 
 
-@query("opponent_adjusted_rating")
+@query("opponent_adjusted_rating", sql("SELECT game_id, h - 1 AS team, round(r_ho, 6) AS off_rating, round(r_hd, 6) AS def_rating FROM walk WHERE step > 0 UNION ALL SELECT game_id, a - 1, round(r_ao, 6), round(r_ad, 6) FROM walk WHERE step > 0", GAME_TOTALS + ", " + SHRUNK + ", " + ADJUSTED_WALK, recursive=True))
 def opponent_adjusted_rating(spark, d):
     rows = rating_rows(contest_view(spark, d))
     out = ratings.shrunk(rows, ratings.both_sides(game_totals(rows), "value_sum", "plays"), ratings.RatingParams(opponent_adjust=True), at="kickoff")
@@ -456,10 +473,22 @@ def weighted_cdf_quantile(spark, d):
     return regression.weighted_quantile(rows, "home_team", "margin", "w", 0.9)
 
 
-@query("walk_forward_predictions")
+# Ridge in three scaled features for each season's past, solved by Cramer's rule.
+RIDGE = """rows AS (SELECT game_id, season, week::DOUBLE AS x1, home_team::DOUBLE AS x2, p_model * 10 AS x3, margin::DOUBLE AS y FROM contest),
+past AS (SELECT t.season AS target, r.* FROM (SELECT DISTINCT season FROM rows) t JOIN rows r ON r.season < t.season),
+scales AS (SELECT target, avg(x1) AS m1, avg(x2) AS m2, avg(x3) AS m3, stddev_pop(x1) AS s1, stddev_pop(x2) AS s2, stddev_pop(x3) AS s3 FROM past GROUP BY 1),
+scaled AS (SELECT p.target, pow(0.5::DOUBLE, (p.target - 1 - season) / 12::DOUBLE) AS w, (x1 - m1) / s1 AS z1, (x2 - m2) / s2 AS z2, (x3 - m3) / s3 AS z3, y FROM past p JOIN scales s ON s.target = p.target),
+means AS (SELECT target, sum(w * z1) / sum(w) AS c1, sum(w * z2) / sum(w) AS c2, sum(w * z3) / sum(w) AS c3, sum(w * y) / sum(w) AS cy FROM scaled GROUP BY 1),
+sums AS (SELECT s.target, sum(w * (z1 - c1) * (z1 - c1)) + 300 AS a, sum(w * (z1 - c1) * (z2 - c2)) AS b, sum(w * (z1 - c1) * (z3 - c3)) AS c, sum(w * (z2 - c2) * (z2 - c2)) + 300 AS d, sum(w * (z2 - c2) * (z3 - c3)) AS e, sum(w * (z3 - c3) * (z3 - c3)) + 300 AS f,
+sum(w * (z1 - c1) * (y - cy)) AS p, sum(w * (z2 - c2) * (y - cy)) AS q, sum(w * (z3 - c3) * (y - cy)) AS r FROM scaled s JOIN means m ON m.target = s.target GROUP BY 1),
+solved AS (SELECT target, a * (d * f - e * e) - b * (b * f - c * e) + c * (b * e - c * d) AS det, p * (d * f - e * e) - b * (q * f - r * e) + c * (q * e - r * d) AS k1, a * (q * f - r * e) - p * (b * f - c * e) + c * (b * r - c * q) AS k2, a * (d * r - e * q) - b * (b * r - c * q) + p * (b * e - c * d) AS k3 FROM sums)"""
+
+
+@query("walk_forward_predictions", sql("SELECT game_id, season, round(cy + k1 / det * ((x1 - m1) / s1 - c1) + k2 / det * ((x2 - m2) / s2 - c2) + k3 / det * ((x3 - m3) / s3 - c3), 6) AS predicted_margin FROM rows JOIN scales s ON s.target = season JOIN means m ON m.target = season JOIN solved v ON v.target = season", RIDGE))
 def walk_forward_predictions(spark, d):
     games = contest_view(spark, d).withColumn("strength", F.col("p_model") * 10)
-    out, _ = regression.walk_forward_ridge(games, ["week", "home_team", "strength"], "margin", range(1997, 2002), alpha=300.0)
+    seasons = [r.season for r in games.select("season").distinct().orderBy("season").collect()]
+    out, _ = regression.walk_forward_ridge(games, ["week", "home_team", "strength"], "margin", seasons, alpha=300.0)
     return out.select("game_id", "season", r6("predicted_margin").alias("predicted_margin"))
 
 
