@@ -191,5 +191,5 @@ def document_media(documents: DataFrame) -> DataFrame:
     kept = stored(named.select("doc_id", "digest", "media", page.alias("html")), "media-store")
     items = kept.select("doc_id", sequences("html").alias("items")).select("doc_id", "items", F.explode("items").alias("i")).filter("i.kind = 'media'")
     around = [F.get("items", F.col("i.position") + k)["text"].alias(side) for k, side in ((-1, "before"), (1, "after"))]
-    shown = items.select("doc_id", "i.position", around[0], "i.caption", around[1], "i.digest", "i.n_bytes")
+    shown = stored(items.select("doc_id", "i.position", around[0], "i.caption", around[1], "i.digest", "i.n_bytes"), "media-references")
     return resolve(shown, kept.select("digest", "media"))
