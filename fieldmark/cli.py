@@ -8,6 +8,7 @@ from __future__ import annotations
 import argparse
 import json
 import time
+from dataclasses import asdict
 from datetime import UTC, datetime, timedelta
 from pathlib import Path
 
@@ -87,7 +88,8 @@ def backtest(f: Folder, now: datetime, args) -> None:
         def loss(p: dict) -> float:
             return production.report(production.walk_forward(frame, seasons, ModelConfig(**p)))["methods"]["home"]["log_loss"]
 
-        best, _ = coordinate_descent({"alpha": [30.0, 100.0, 300.0, 1000.0], "half_life": [4.0, 8.0, 12.0]}, loss, {"alpha": config.alpha, "half_life": config.half_life})
+        grids = {"alpha": [30.0, 100.0, 300.0, 1000.0], "half_life": [4.0, 8.0, 12.0], "distribution": ["gaussian", "kernel"], "platt": [False, True], "ensemble_weight": [0.0, 0.25, 0.5]}
+        best, _ = coordinate_descent(grids, loss, asdict(config))
         config = ModelConfig(**best)
         config.save(f"{f.path}/config.json")
     f.write("backtest", production.report(production.walk_forward(frame, seasons, config)) | {"fingerprint": config.fingerprint()})
@@ -122,7 +124,7 @@ def predict(f: Folder, now: datetime, args) -> None:
         return
     model = f.model()
     row = f.features(now).filter(F.col("game_id") == due[0])
-    told = model.predict(row).withColumns({f"__{k}": c for k, c in model.contributions().items()})
+    told = model.predict(row).withColumns({f"__{k}": c for k, c in model.contributions().items()})  # a ridge's; trees have none and stop here
     factors = logs.top_factors(told.select("game_id", *[F.col(f"__{k}").alias(k) for k in FEATURE_COLUMNS]), "game_id", FEATURE_COLUMNS)
     best = factors.groupBy("game_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "feature", "points"))), lambda x: F.struct(x.feature.alias("feature"), x.points.alias("points"))).alias("top_factors"))
     side = logs.tracked_side(told, f.team).join(games.select("game_id", "kickoff_utc"), "game_id").join(best, "game_id")

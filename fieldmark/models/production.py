@@ -1,19 +1,21 @@
-"""The production model: recency-weighted ridge, a margin distribution from out-of-fold errors, walk-forward scores, stored as JSON."""
+"""The production model: recency-weighted ridge or trees, a margin distribution from out-of-fold errors, a classifier's share, Platt scaling; walk-forward scores; stored as JSON (trees beside it)."""
 
 from __future__ import annotations
 
 import json
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass
+from functools import reduce
 from pathlib import Path
 
 import numpy as np
+from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldmark.functions.expressions import outcome
 from fieldmark.models import evaluation
-from fieldmark.models.regression import GaussianMargin, ModelConfig, Moments, Ridge, fit_ridge, out_of_fold_sigma, season_moments
+from fieldmark.models.regression import GaussianMargin, KernelMargin, Logistic, ModelConfig, Moments, Ridge, fit_logistic, fit_ridge, fit_trees, logit, out_of_fold_sigma, season_moments
 from fieldmark.operators.contests import elo_win_probability
 from fieldmark.operators.features import FEATURE_COLUMNS
 from fieldmark.operators.logs import scorecard
@@ -21,31 +23,56 @@ from fieldmark.operators.logs import scorecard
 FIRST_TRAIN, BACKTEST, HOLDOUT = 2009, tuple(range(2012, 2024)), (2024, 2025)
 
 
+def recency(config: ModelConfig, reference: int) -> Column:
+    return F.pow(F.lit(0.5), (F.lit(reference) - F.col("season")) / F.lit(float(config.half_life)))
+
+
 @dataclass
 class Model:
-    ridge: Ridge
-    sigma: float
-    vegas_sigma: float | None
+    """What a fit leaves: the regressor, the distribution of margins around it, and what adjusts the probability."""
+
+    regressor: Ridge | PipelineModel
+    dist: GaussianMargin | KernelMargin
+    vegas: GaussianMargin | KernelMargin | None
     config: ModelConfig
+    features: list[str]
     last_season: int
+    classifier: Logistic | None = None
+    platt: Logistic | None = None
+
+    def with_margin(self, df: DataFrame) -> DataFrame:
+        if isinstance(self.regressor, Ridge):
+            return df.withColumn("margin_home", self.regressor.predict())
+        return self.regressor.transform(df).withColumnRenamed("prediction", "margin_home").drop("__x")
 
-    def columns(self) -> dict[str, Column]:
-        """margin, probability, an 80 % interval, and the market's probability (null without a spread)."""
-        margin = self.ridge.predict()
-        dist = GaussianMargin(self.sigma)
-        low, high = dist.interval(margin)
-        vegas = GaussianMargin(self.vegas_sigma).probability(F.col("spread_line")) if self.vegas_sigma else F.lit(None).cast("double")
-        return {"margin_home": margin, "p_home": dist.probability(margin), "margin_lo": low, "margin_hi": high, "p_vegas": vegas}
+    def raw_probability(self) -> Column:
+        """Before Platt scaling."""
+        p = _probability(self.dist, F.col("margin_home"))
+        w = self.config.ensemble_weight
+        return (1 - w) * p + w * self.classifier.column() if self.classifier else p
 
     def predict(self, features: DataFrame) -> DataFrame:
-        return features.withColumns(self.columns())
+        """features with margin, probability, an 80 % interval, and the market's probability (null without a spread)."""
+        told = self.with_margin(features).withColumn("p_home", self.raw_probability())
+        if self.platt:
+            told = told.withColumn("p_home", self.platt.column({"logit": logit(F.col("p_home"))}))
+        low, high = _interval(self.dist, F.col("margin_home"))
+        vegas = F.when(F.col("spread_line").isNotNull(), _probability(self.vegas, F.col("spread_line"))) if self.vegas else F.lit(None).cast("double")
+        return told.withColumns({"margin_lo": low, "margin_hi": high, "p_vegas": vegas})
 
     def contributions(self) -> dict[str, Column]:
-        return self.ridge.contributions()
+        if not isinstance(self.regressor, Ridge):
+            raise ValueError("the trees of Spark have no additive contributions")
+        return self.regressor.contributions()
 
     def save(self, path: str) -> None:
-        r = self.ridge
-        kept = {"features": r.features, "mean": r.mean.tolist(), "scale": r.scale.tolist(), "coefficient": r.coefficient.tolist(), "intercept": r.intercept, "sigma": self.sigma, "vegas_sigma": self.vegas_sigma, "config": asdict(self.config), "last_season": self.last_season, "fingerprint": self.config.fingerprint()}
+        kept = {"config": asdict(self.config), "features": self.features, "last_season": self.last_season, "fingerprint": self.config.fingerprint()}
+        kept |= {k: v and asdict(v) | {"type": type(v).__name__} for k, v in (("dist", self.dist), ("vegas", self.vegas), ("classifier", self.classifier), ("platt", self.platt))}
+        r = self.regressor
+        if isinstance(r, Ridge):
+            kept["ridge"] = {"mean": r.mean.tolist(), "scale": r.scale.tolist(), "coefficient": r.coefficient.tolist(), "intercept": r.intercept}
+        else:
+            r.write().overwrite().save(f"{path}.trees")
         Path(path).write_text(json.dumps(kept, sort_keys=True, indent=1))
 
     @staticmethod
@@ -55,8 +82,22 @@ class Model:
         own = ModelConfig(**k["config"])
         if (config is not None and config != own) or list(features) != k["features"]:
             raise SystemExit("the stored model does not match the configuration or the features; retrain")
-        ridge = Ridge(k["features"], np.array(k["mean"]), np.array(k["scale"]), np.array(k["coefficient"]), k["intercept"])
-        return Model(ridge, k["sigma"], k["vegas_sigma"], own, k["last_season"])
+        kinds = {c.__name__: c for c in (GaussianMargin, KernelMargin, Logistic)}
+        parts = {p: k[p] and kinds[k[p].pop("type")](**k[p]) for p in ("dist", "vegas", "classifier", "platt")}
+        if "ridge" in k:
+            r = k["ridge"]
+            regressor = Ridge(k["features"], np.array(r["mean"]), np.array(r["scale"]), np.array(r["coefficient"]), r["intercept"])
+        else:
+            regressor = PipelineModel.load(f"{path}.trees")
+        return Model(regressor, parts["dist"], parts["vegas"], own, k["features"], k["last_season"], parts["classifier"], parts["platt"])
+
+
+def _probability(dist: GaussianMargin | KernelMargin, margin: Column) -> Column:
+    return dist.columns(margin)[0] if isinstance(dist, KernelMargin) else dist.probability(margin)
+
+
+def _interval(dist: GaussianMargin | KernelMargin, margin: Column) -> tuple[Column, Column]:
+    return dist.columns(margin)[1:] if isinstance(dist, KernelMargin) else dist.interval(margin)
 
 
 def vegas_moments(df: DataFrame) -> dict[int, Moments]:
@@ -70,38 +111,80 @@ def _vegas_sigma(seasons: dict[int, Moments]) -> float | None:
     return float(np.sqrt(error / n)) if n and error > 0 else None
 
 
-def fit_from_moments(moments: dict[int, Moments], vegas: dict[int, Moments], config: ModelConfig, reference: int, features: Sequence[str] = FEATURE_COLUMNS) -> Model:
+def _out_of_fold(rows: DataFrame, moments: dict[int, Moments], config: ModelConfig, features: Sequence[str]) -> DataFrame:
+    """The rows of the last inner folds with margin_home and, where a classifier counts, p_class, each by models of the seasons before."""
+    parts = []
+    for s in sorted(moments)[2:][-config.inner_folds :]:
+        past = {k: m for k, m in moments.items() if k < s}
+        model = _regressor(rows.filter(F.col("season") < s), past, config, s - 1, features)
+        fold = model.with_margin(rows.filter(F.col("season") == s))
+        parts.append(fold.withColumn("p_class", model.classifier.column() if model.classifier else F.lit(0.0)))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _regressor(rows: DataFrame, moments: dict[int, Moments], config: ModelConfig, reference: int, features: Sequence[str]) -> Model:
+    """Margin model and classifier of these rows, without a distribution."""
+    weighed = rows.withColumn("__w", recency(config, reference))
+    if config.kind == "ridge":
+        regressor: Ridge | PipelineModel = fit_ridge(moments, features, config.alpha, config.half_life, reference)
+    else:
+        regressor = fit_trees(weighed, features, "margin", "__w")
+    classifier = fit_logistic(weighed.withColumn("__y", outcome(F.col("margin"))), features, "__y", config.classifier_c, "__w") if config.ensemble_weight > 0 else None
+    return Model(regressor, GaussianMargin(1.0), None, config, list(features), max(moments), classifier)
+
+
+def fit_rows(rows: DataFrame, moments: dict[int, Moments], vegas: dict[int, Moments], config: ModelConfig, reference: int, features: Sequence[str] = FEATURE_COLUMNS) -> Model:
+    """A model of finished rows, of whose seasons the moments are.
+
+    With a ridge, a Gaussian margin and neither classifier nor Platt scaling the moments are all that is
+    needed; otherwise the inner folds' rows are predicted out of fold.
+    """
     if len(moments) <= 2:
         raise ValueError("a model needs more than two seasons")
-    ridge = fit_ridge(moments, features, config.alpha, config.half_life, reference)
-    sigma = out_of_fold_sigma(moments, features, config.alpha, config.half_life, config.inner_folds)
-    return Model(ridge, sigma, _vegas_sigma(vegas), config, max(moments))
+    model = _regressor(rows, moments, config, reference, features)
+    sigma = _vegas_sigma(vegas)
+    model.vegas = GaussianMargin(sigma) if sigma else None
+    if config.distribution == "kernel" and sigma:
+        model.vegas = KernelMargin.of(rows.filter("spread_line is not null"), "spread_line", "margin", config.bandwidth)
+    if config.kind == "ridge" and config.distribution == "gaussian" and not config.platt:
+        model.dist = GaussianMargin(out_of_fold_sigma(moments, features, config.alpha, config.half_life, config.inner_folds))
+        return model
+    told = _out_of_fold(rows, moments, config, features)
+    if config.distribution == "kernel":
+        model.dist = KernelMargin.of(told, "margin_home", "margin", config.bandwidth)
+    else:
+        model.dist = GaussianMargin(float(told.agg(F.sqrt(F.avg(F.pow(F.col("margin") - F.col("margin_home"), 2)))).head()[0]))
+    if config.platt:
+        w = config.ensemble_weight
+        p = (1 - w) * _probability(model.dist, F.col("margin_home")) + w * F.col("p_class")
+        ready = told.withColumns({"__p": p, "__y": outcome(F.col("margin"))})
+        model.platt = fit_logistic(ready, {"logit": logit(F.col("__p"))}, "__y", c=1e6)
+    return model
 
 
 def fit_model(df: DataFrame, config: ModelConfig = ModelConfig(), features: Sequence[str] = FEATURE_COLUMNS) -> Model:
-    """A model of all finished rows from FIRST_TRAIN on; rows are read for two moment aggregates only."""
+    """A model of all finished rows from FIRST_TRAIN on."""
     rows = df.filter((F.col("season") >= FIRST_TRAIN) & F.col("margin").isNotNull())
     moments = season_moments(rows, features, "margin")
-    return fit_from_moments(moments, vegas_moments(rows), config, max(moments, default=0), features)
+    return fit_rows(rows, moments, vegas_moments(rows), config, max(moments, default=0), features)
 
 
 def walk_forward(df: DataFrame, seasons: Sequence[int] = BACKTEST, config: ModelConfig = ModelConfig(), features: Sequence[str] = FEATURE_COLUMNS) -> DataFrame:
     """Finished rows of the seasons, each predicted by a model of the seasons before, with p_home, p_elo, p_rate and p_vegas."""
     rows = df.filter((F.col("season") >= FIRST_TRAIN) & F.col("margin").isNotNull())
     moments, vegas = season_moments(rows, features, "margin"), vegas_moments(rows)
-    out: dict[str, Column] = {}
+    told = []
     for s in seasons:
         past = {k: m for k, m in moments.items() if k < s}
         if len(past) <= 2 or s not in moments:
             continue
-        model = fit_from_moments(past, {k: m for k, m in vegas.items() if k < s}, config, s - 1, features)
-        for name, c in model.columns().items():
-            out[name] = out[name].when(F.col("season") == s, c) if name in out else F.when(F.col("season") == s, c)
-    if not out:
+        model = fit_rows(rows.filter(F.col("season") < s), past, {k: m for k, m in vegas.items() if k < s}, config, s - 1, features)
+        told.append(model.predict(rows.filter(F.col("season") == s)))
+    if not told:
         raise ValueError("no season has more than two seasons before it")
     rate = evaluation.home_rate(rows).withColumnRenamed("p_home", "__rate")
     elo = elo_win_probability(F.col("elo_home_pre") - F.col("elo_away_pre"), F.col("neutral"))
-    scored = rows.filter(F.col("season").isin(list(seasons))).join(F.broadcast(rate), "season", "left").withColumns(out | {"p_elo": elo, "p_rate": F.when(F.col("neutral"), 0.5).otherwise(F.col("__rate")), "y": outcome(F.col("margin"))})
+    scored = reduce(DataFrame.unionByName, told).join(rate, "season", "left").withColumns({"p_elo": elo, "p_rate": F.when(F.col("neutral"), 0.5).otherwise(F.col("__rate")), "y": outcome(F.col("margin"))})
     return scored.drop("__rate").filter("p_home is not null")
 
 

@@ -161,8 +161,25 @@ def expanded_outcomes(df: DataFrame, y: str, weight: str | None = None) -> DataF
     return df.select("*", F.inline(pair)).filter("w > 0")
 
 
-def fit_classifier(df: DataFrame, features: Sequence[str] | dict[str, Column], y: str, c: float = 1.0, weight: str | None = None) -> Column:
-    """The fitted probability as a column: L2 logistic regression on soft outcomes with penalty 1 / (c * total weight).
+@dataclass
+class Logistic:
+    """A logistic regression on scaled features."""
+
+    features: list[str]
+    mean: list[float]
+    scale: list[float]
+    coefficient: list[float]
+    intercept: float
+
+    def column(self, values: dict[str, Column] | None = None) -> Column:
+        """The probability; values has the features that are no columns of that name."""
+        x = values or {f: F.col(f) for f in self.features}
+        parts = ((x[f] - m) / s * k for f, m, s, k in zip(self.features, self.mean, self.scale, self.coefficient, strict=True))
+        return 1 / (1 + F.exp(-sum(parts, F.lit(self.intercept))))
+
+
+def fit_logistic(df: DataFrame, features: Sequence[str] | dict[str, Column], y: str, c: float = 1.0, weight: str | None = None) -> Logistic:
+    """L2 logistic regression on soft outcomes with penalty 1 / (c * total weight).
 
     Features are columns or named expressions of df, scaled beforehand by their population deviations.
     """
@@ -171,19 +188,64 @@ def fit_classifier(df: DataFrame, features: Sequence[str] | dict[str, Column], y
 
     x = features if isinstance(features, dict) else {f: F.col(f) for f in features}
     stats = df.agg(*[F.avg(v).alias(f"m_{f}") for f, v in x.items()], *[F.stddev_pop(v).alias(f"s_{f}") for f, v in x.items()]).head()
-    scaled = {f"__{f}": (v - float(stats[f"m_{f}"])) / (float(stats[f"s_{f}"]) or 1.0) for f, v in x.items()}
+    mean, scale = [float(stats[f"m_{f}"]) for f in x], [float(stats[f"s_{f}"]) or 1.0 for f in x]
+    scaled = {f"__{f}": (v - m) / s for (f, v), m, s in zip(x.items(), mean, scale, strict=True)}
     rows = expanded_outcomes(df, y, weight).withColumns(scaled)
     total = rows.agg(F.sum("w")).head()[0]
     vectors = VectorAssembler(inputCols=list(scaled), outputCol="__x").transform(rows)
     model = LogisticRegression(featuresCol="__x", labelCol="label", weightCol="w", regParam=1 / (c * total), standardization=False).fit(vectors)
-    z = sum((v * float(k) for v, k in zip(scaled.values(), model.coefficients, strict=True)), F.lit(float(model.intercept)))
-    return 1 / (1 + F.exp(-z))
+    return Logistic(list(x), mean, scale, [float(k) for k in model.coefficients], float(model.intercept))
+
+
+def fit_classifier(df: DataFrame, features: Sequence[str] | dict[str, Column], y: str, c: float = 1.0, weight: str | None = None) -> Column:
+    """The probability of fit_logistic as a column."""
+    return fit_logistic(df, features, y, c, weight).column(features if isinstance(features, dict) else None)
+
+
+def logit(p: Column) -> Column:
+    clipped = F.greatest(F.least(p, F.lit(1 - 1e-6)), F.lit(1e-6))
+    return F.log(clipped / (1 - clipped))
 
 
 def fit_platt(df: DataFrame, p: str, y: str) -> Column:
     """A logistic rescaling of a probability's logit; the fitted probability as a column."""
-    clipped = F.greatest(F.least(F.col(p), F.lit(1 - 1e-6)), F.lit(1e-6))
-    return fit_classifier(df, {"logit": F.log(clipped / (1 - clipped))}, y, c=1e6)
+    return fit_classifier(df, {"logit": logit(F.col(p))}, y, c=1e6)
+
+
+@dataclass
+class KernelMargin:
+    """P(margin > 0) and an 80 % interval from the actual margins of games with like predictions.
+
+    counts has (predicted in tenths, actual margin, games); answers are worked out once for each tenth of a point
+    from low to high and looked up, so their size is bounded by the scale of margins and not by any table.
+    """
+
+    counts: list[tuple[int, int, int]]
+    bandwidth: float = 2.0
+    reach: int = 1000
+
+    @staticmethod
+    def of(df: DataFrame, predicted: str, actual: str, bandwidth: float) -> KernelMargin:
+        at = F.greatest(F.least(F.round(F.col(predicted) * 10), F.lit(1000)), F.lit(-1000)).cast("int")
+        rows = df.groupBy(at.alias("at"), F.col(actual).cast("int").alias("actual")).agg(F.count("*").alias("n")).orderBy("at", "actual").collect()
+        return KernelMargin([(r.at, r.actual, r.n) for r in rows], bandwidth)
+
+    def answers(self) -> np.ndarray:
+        """(probability, low, high) for each tenth from -reach to reach."""
+        at, actual, n = (np.array(c, float) for c in zip(*self.counts, strict=True))
+        order = np.argsort(actual, kind="stable")
+        at, actual, n = at[order], actual[order], n[order]
+        out = np.empty((2 * self.reach + 1, 3))
+        for k, x in enumerate(range(-self.reach, self.reach + 1)):
+            z2 = ((at - x) / 10 / self.bandwidth) ** 2
+            w = n * np.exp(-0.5 * (z2 - z2.min()))
+            cdf = np.cumsum(w / w.sum())
+            out[k] = w @ ((actual > 0) + 0.5 * (actual == 0)) / w.sum(), actual[np.argmax(cdf >= 0.1 - 1e-12)], actual[np.argmax(cdf >= 0.9 - 1e-12)]
+        return out
+
+    def columns(self, predicted: Column) -> tuple[Column, Column, Column]:
+        place = F.greatest(F.least(F.round(predicted * 10), F.lit(self.reach)), F.lit(-self.reach)).cast("int") + self.reach + 1
+        return tuple(F.element_at(F.array(*map(F.lit, column.tolist())), place) for column in self.answers().T)
 
 
 def fit_trees(df: DataFrame, features: Sequence[str], target: str, weight: str, trees: int = 60, depth: int = 3, rate: float = 0.05, seed: int = 0):
@@ -212,6 +274,13 @@ class ModelConfig:
     platt: bool = False
     inner_folds: int = 6
     features: dict = field(default_factory=dict)
+    bandwidth: float = 2.0
+    ensemble_weight: float = 0.0
+    classifier_c: float = 0.1
+
+    def __post_init__(self):
+        if self.kind not in ("ridge", "trees") or self.distribution not in ("gaussian", "kernel"):
+            raise ValueError(f"unknown kind or distribution: {self.kind}, {self.distribution}")
 
     def fingerprint(self) -> str:
         return sha1(json.dumps(self.__dict__, sort_keys=True).encode()).hexdigest()[:8]

@@ -7,6 +7,7 @@ same doubles.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -644,3 +645,73 @@ def set_operations(spark, d):
     e = table(spark, d, "events")
     both = e.filter("event_type = 'click'").select("user_id").intersect(e.filter("event_type = 'purchase'").select("user_id"))
     return both.subtract(e.filter(F.col("ts") < F.lit("2024-01-01 06:00:00").cast("timestamp_ntz")).select("user_id"))
+
+
+# -- the library's own aggregates over views of the harness tables ------------------------------------------
+
+PLAYS = f"""plays AS (SELECT l_orderkey AS game_id, CAST(year(l_shipdate) AS BIGINT) AS season, CAST(l_suppkey % 25 AS VARCHAR) AS team, CAST((l_suppkey + 7) % 25 AS VARCHAR) AS opponent,
+  CASE l_linenumber % 5 WHEN 0 THEN 'pass' WHEN 1 THEN 'run' WHEN 2 THEN 'punt' WHEN 3 THEN 'field_goal' ELSE 'no_play' END AS play_type,
+  CASE WHEN l_linestatus = 'O' OR l_linenumber > 2 THEN ({CENTS} % 2001 - 1000)::DOUBLE END AS epa, CASE WHEN l_linenumber % 2 = 0 THEN 1 ELSE 0 END AS success,
+  CASE WHEN l_quantity::BIGINT % 7 = 0 THEN 1 ELSE 0 END AS fumble, CASE WHEN l_quantity::BIGINT % 11 = 0 THEN 1 ELSE 0 END AS two_point, l_returnflag = 'A' AS passed, l_returnflag = 'R' AS rushed,
+  CAST(l_partkey % 40 AS VARCHAR) AS passer, CASE WHEN l_linestatus = 'O' THEN (l_quantity::BIGINT % 30 - 15)::DOUBLE END AS cpoe FROM lineitem)"""
+
+
+def plays(spark, d) -> DataFrame:
+    """Order lines as plays of the supplier's side."""
+    n, q, flag = F.col("l_linenumber"), F.col("l_quantity").cast("long"), lambda c: F.when(c, 1).otherwise(0)
+    value = F.when((F.col("l_linestatus") == "O") | (n > 2), (cents() % 2001 - 1000).cast("double"))
+    kind = F.when(n % 5 == 0, "pass").when(n % 5 == 1, "run").when(n % 5 == 2, "punt").when(n % 5 == 3, "field_goal").otherwise("no_play")
+    return table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("game_id"), F.year("l_shipdate").cast("long").alias("season"), (F.col("l_suppkey") % 25).cast("string").alias("posteam"), ((F.col("l_suppkey") + 7) % 25).cast("string").alias("defteam"),
+        kind.alias("play_type"), value.alias("epa"), flag(n % 2 == 0).alias("success"), flag(q % 7 == 0).alias("fumble"), flag(q % 11 == 0).alias("two_point_attempt"),
+        flag(F.col("l_returnflag") == "A").alias("pass"), flag(F.col("l_returnflag") == "R").alias("rush"), flag(kind == "pass").alias("qb_dropback"), (F.col("l_partkey") % 40).cast("string").alias("passer_id"),
+        value.alias("qb_epa"), F.when(F.col("l_linestatus") == "O", (q % 30 - 15).cast("double")).alias("cpoe"),
+    )
+
+
+@query("play_team_totals", f"""WITH {PLAYS}, marked AS (SELECT *, play_type IN ('pass', 'run') AND epa IS NOT NULL AND two_point <> 1 AS s, play_type IN ('punt', 'field_goal') AND epa IS NOT NULL AS x, CASE WHEN fumble = 1 THEN {ratings.FUMBLE_EPA}::DOUBLE ELSE epa END AS e FROM plays)
+SELECT game_id, season, team, max(opponent) FILTER (WHERE s) AS opponent, round(coalesce(sum(e) FILTER (WHERE s), 0), 6) AS epa_sum, count(*) FILTER (WHERE s) AS plays, round(coalesce(sum(e) FILTER (WHERE s AND passed), 0), 6) AS pass_epa_sum, count(*) FILTER (WHERE s AND passed) AS pass_plays,
+round(coalesce(sum(e) FILTER (WHERE s AND rushed), 0), 6) AS rush_epa_sum, count(*) FILTER (WHERE s AND rushed) AS rush_plays, coalesce(sum(success) FILTER (WHERE s), 0)::DOUBLE AS success_sum, round(coalesce(sum(epa) FILTER (WHERE x), 0), 6) AS st_epa_sum, count(*) FILTER (WHERE x) AS st_plays
+FROM marked GROUP BY 1, 2, 3 HAVING count(*) FILTER (WHERE s) > 0""")
+def play_team_totals(spark, d):
+    out = ratings.team_totals(plays(spark, d))
+    return out.select("game_id", "season", "team", "opponent", "plays", "pass_plays", "rush_plays", "success_sum", "st_plays", *[r6(c).alias(c) for c in ("epa_sum", "pass_epa_sum", "rush_epa_sum", "st_epa_sum")])
+
+
+@query("play_passer_totals", f"WITH {PLAYS} SELECT game_id, season, team, passer AS qb_id, count(*) AS dropbacks, round(sum(epa), 6) AS qb_epa_sum, round(coalesce(sum(cpoe), 0), 6) AS cpoe_sum, count(cpoe) AS cpoe_n FROM plays WHERE play_type = 'pass' AND epa IS NOT NULL GROUP BY 1, 2, 3, 4")
+def play_passer_totals(spark, d):
+    out = ratings.passer_totals(plays(spark, d))
+    return out.select("game_id", "season", "team", "qb_id", "dropbacks", r6("qb_epa_sum").alias("qb_epa_sum"), r6("cpoe_sum").alias("cpoe_sum"), "cpoe_n")
+
+
+@query("hourly_payloads", "SELECT CAST(user_id AS VARCHAR) AS stadium_id, CAST(epoch(date_trunc('minute', ts)) AS BIGINT) AS unix_time, round(value, 6) AS temp_f, round(value * 2, 6) AS wind_mph, CASE WHEN event_type = 'click' THEN 0.5::DOUBLE END AS precip_in, 'archive' AS source FROM events")
+def hourly_payloads(spark, d):
+    """Each user's events as one JSON payload of parallel arrays, parsed."""
+    e = table(spark, d, "events").select("user_id", F.struct(F.date_format(F.date_trunc("minute", "ts"), "yyyy-MM-dd'T'HH:mm").alias("t"), F.col("value").alias("v"), F.when(F.col("event_type") == "click", 0.5).alias("p")).alias("h"))
+    per = e.groupBy("user_id").agg(F.collect_list("h").alias("h"))
+    arrays = {"time": lambda h: h.t, "temperature_2m": lambda h: h.v, "wind_speed_10m": lambda h: h.v * 2, "precipitation": lambda h: h.p}
+    payload = F.to_json(F.struct(F.struct(*[F.transform("h", f).alias(k) for k, f in arrays.items()]).alias("hourly")), {"ignoreNullFields": "false"})
+    out = weather.parse_hourly(per.select(F.col("user_id").cast("string").alias("stadium_id"), payload.alias("payload")), "archive")
+    return out.select("stadium_id", F.unix_timestamp("time_utc").alias("unix_time"), r6("temp_f").alias("temp_f"), r6("wind_mph").alias("wind_mph"), "precip_in", "source")
+
+
+@query("factor_sets", """WITH f AS (SELECT user_id, event_type, bool_or(ts >= TIMESTAMP '2024-01-15') AS a, bool_or(ts < TIMESTAMP '2024-01-15') AS b FROM events GROUP BY 1, 2)
+SELECT user_id, coalesce(string_agg(event_type, ',' ORDER BY event_type) FILTER (WHERE a AND b), '') AS stayed, coalesce(string_agg(event_type, ',' ORDER BY event_type) FILTER (WHERE a AND NOT b), '') AS came, coalesce(string_agg(event_type, ',' ORDER BY event_type) FILTER (WHERE b AND NOT a), '') AS went FROM f GROUP BY 1""")
+def factor_sets(spark, d):
+    late = F.col("ts") >= F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")
+
+    def factors(when):
+        return F.transform(F.collect_set(F.when(when, F.col("event_type"))), lambda e: F.struct(e.alias("feature"), F.lit(1.0).alias("points")))
+
+    per = table(spark, d, "events").groupBy("user_id").agg(factors(late).alias("now"), factors(~late).alias("before"))
+    names = ("stayed", "came", "went")
+    return per.select("user_id", *[F.array_join(F.array_sort(c), ",").alias(n) for n, c in zip(names, logs.factor_changes(F.col("now"), F.col("before")), strict=True)])
+
+
+@query("expected_starters", sql("SELECT game_id, CASE WHEN week > 20 AND start > TIMESTAMP '1995-01-20' THEN h.qb_id END AS home_qb_id, CASE WHEN week > 20 AND start > TIMESTAMP '1995-01-20' THEN a.qb_id END AS away_qb_id FROM contest LEFT JOIN best h ON h.team = home_team LEFT JOIN best a ON a.team = away_team", "best AS (SELECT user_id % 30 AS team, CAST(arg_max(event_id, (ts, event_id)) AS VARCHAR) AS qb_id FROM events WHERE ts <= TIMESTAMP '2024-01-20' AND user_id % 30 < 20 GROUP BY 1)"))
+def expected_starters(spark, d):
+    """Unplayed games after the moment name the side's latest published first choice; events stand for the depth chart, 29 years on."""
+    games = contest_view(spark, d).select("game_id", F.col("start").cast("timestamp").alias("kickoff_utc"), "home_team", "away_team", F.when(F.col("week") <= 20, F.col("margin")).alias("margin"), F.lit(None).cast("string").alias("home_qb_id"), F.lit(None).cast("string").alias("away_qb_id"))
+    depth = table(spark, d, "events").filter("user_id % 30 < 20").select((F.col("user_id") % 30).cast("long").alias("team"), (F.col("ts").cast("timestamp") - F.expr("interval 29 years")).alias("dt"), F.col("event_id").alias("qb_id"))
+    out = contests.expected_starters(games, depth, datetime(1995, 1, 20))
+    return out.select("game_id", F.col("home_qb_id").cast("string").alias("home_qb_id"), F.col("away_qb_id").cast("string").alias("away_qb_id"))

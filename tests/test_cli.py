@@ -59,5 +59,34 @@ def test_walk_forward_uses_only_the_past(spark, folder):
     assert {r.game_id: pytest.approx(r.p_home) for r in production.walk_forward(changed, [2013]).collect()} == whole
 
 
+@pytest.mark.parametrize("config", [{"distribution": "kernel", "platt": True, "ensemble_weight": 0.3}, {"kind": "trees"}])
+def test_every_setting_of_the_config_counts(spark, folder, tmp_path, config):
+    """Against a plain ridge the settings change what is predicted; a stored model predicts as the fitted one."""
+    frame = spark.read.parquet(f"{folder}/features").filter("season < 2014").cache()
+    config = cli.ModelConfig(inner_folds=1, **config)
+    model = production.fit_model(frame, config)
+    usual = {r.game_id: r.p_home for r in production.fit_model(frame).predict(frame).collect()}
+    got = {r.game_id: (r.p_home, r.margin_lo, r.margin_hi, r.p_vegas or 0.5) for r in model.predict(frame).collect()}
+    assert all(0 < p < 1 and lo <= hi and 0 < v < 1 for p, lo, hi, v in got.values()) and any(abs(got[g][0] - p) > 1e-6 for g, p in usual.items())
+    model.save(str(tmp_path / "model.json"))
+    again = production.Model.load(str(tmp_path / "model.json"), config)
+    assert {r.game_id: pytest.approx((r.p_home, r.margin_lo, r.margin_hi, r.p_vegas or 0.5)) for r in again.predict(frame).collect()} == got
+    with pytest.raises(ValueError):
+        cli.ModelConfig(kind="forest")
+
+
+def test_kernel_answers_equal_plain_weights():
+    from math import exp
+
+    from fieldmark.models.regression import KernelMargin
+
+    pairs = [(0, 3, 2), (5, -3, 1), (-12, 0, 1), (40, 10, 3)]
+    answers = KernelMargin(pairs, 2.0).answers()
+    for x in (-100, -7, 0, 33):
+        w = [(a, n * exp(-0.5 * ((p - x) / 10 / 2.0) ** 2)) for p, a, n in pairs]
+        total = sum(v for _, v in w)
+        assert answers[1000 + x][0] == pytest.approx(sum(v * (a > 0) + 0.5 * v * (a == 0) for a, v in w) / total)
+
+
 def test_clock():
     assert cli.clock("2024-01-01T10:00:00").hour == 10 and cli.clock("2024-01-01T10:00:00+02:00").hour == 8
