@@ -14,13 +14,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; only where it is unset (tests), a new local one."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder of spark.checkpoint.dir; where it is unset, a new local one in local mode (tests), an error on a cluster."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
-        kept = spark.sparkContext.getCheckpointDir()
-        at = kept or tempfile.mkdtemp(prefix="spark-")
-        if not kept:
-            spark.sparkContext.setCheckpointDir(at)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        at = tempfile.mkdtemp(prefix="spark-")
+        spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
 
 
