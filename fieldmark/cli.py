@@ -48,9 +48,12 @@ class Folder:
     def data(self, now: datetime) -> contests.Dataset:
         data = contests.Dataset(**{t: self.table(t) for t in TABLES})
         try:
-            games = contests.expected_starters(data.games, self.table("depth_qb"), now)
-        except AnalysisException:
-            return data
+            depth = self.table("depth_qb")
+        except AnalysisException as e:
+            if e.getCondition() == "PATH_NOT_FOUND":  # no depth chart: the games keep their starters
+                return data
+            raise
+        games = contests.expected_starters(data.games, depth, now)
         return contests.Dataset(**{**{t: getattr(data, t) for t in TABLES}, "games": games})
 
     def features(self, now: datetime) -> DataFrame:
@@ -58,7 +61,7 @@ class Folder:
 
     def log(self, name: str, ddl: str) -> DataFrame:
         try:
-            return self.spark.read.schema(ddl).json(f"{self.path}/logs/{name}")
+            return tables.read_log(self.spark, f"{self.path}/logs/{name}", ddl)
         except AnalysisException:
             return self.spark.createDataFrame([], ddl)
 

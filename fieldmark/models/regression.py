@@ -139,11 +139,13 @@ def kernel_probability(test: DataFrame, training: DataFrame, bandwidth: float, k
     """
     grid = training.groupBy(F.round(F.col("predicted"), 1).alias("at"), outcome(F.col("margin")).alias("won")).agg(F.count("*").alias("n")).filter("won is not null")
     cells = grid.agg(F.collect_list(F.struct("at", "won", "n")).alias("cells"))  # one row for each tenth of a point and outcome
-    joined = test.select(key, F.col("predicted").alias("x")).join(F.broadcast(cells.withColumn("__one", F.lit(1))), F.lit(1) == F.col("__one"))
+    values = test.select(F.col("predicted").alias("x")).distinct()  # each prediction is worked out once
+    joined = values.join(F.broadcast(cells.withColumn("__one", F.lit(1))), F.lit(1) == F.col("__one"))
     z2 = F.transform("cells", lambda c: F.pow((F.col("x") - c.at) / bandwidth, 2))
     w = let(z2, lambda z: let(F.array_min(z), lambda least: F.zip_with("cells", z, lambda c, v: F.struct((F.exp(-(v - least) / 2) * c.n).alias("w"), c.won.alias("won")))))
     both = F.aggregate(w, F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("b")), lambda s, c: F.struct((s.a + c.w * c.won).alias("a"), (s.b + c.w).alias("b")))
-    return joined.select(key, both.alias("s")).select(key, (F.col("s.a") / F.col("s.b")).alias("p_win"))
+    per = joined.select("x", both.alias("s")).select("x", (F.col("s.a") / F.col("s.b")).alias("p_win"))
+    return test.select(key, F.col("predicted").alias("x")).join(per, "x", "left").select(key, "p_win")
 
 
 def weighted_quantile(weights: DataFrame, key: str, value: str, weight: str, q: float) -> DataFrame:

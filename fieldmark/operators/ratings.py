@@ -62,9 +62,11 @@ def passer_totals(plays: DataFrame) -> DataFrame:
 def both_sides(totals: DataFrame, numerator: str, denominator: str | None) -> DataFrame:
     """(game_id, team, off, def): a team's value for each play and its opponent's, where both are known."""
     value = F.col(numerator) if denominator is None else F.when(F.col(denominator) != 0, F.col(numerator) / F.col(denominator))
-    own = totals.select("game_id", "team", "opponent", value.alias("off")).filter("off is not null")
-    other = own.select("game_id", F.col("team").alias("opponent"), F.col("off").alias("def"))
-    return own.join(other, ["game_id", "opponent"]).select("game_id", "team", "off", "def")
+    own = totals.select("game_id", F.struct("team", "opponent", value.alias("off")).alias("side")).filter("side.off is not null")
+    games = own.groupBy("game_id").agg(F.collect_list("side").alias("sides"))  # the two sides of a game
+    pairs = games.select("game_id", F.explode("sides").alias("me"), "sides")
+    other = F.filter("sides", lambda s: s.team == F.col("me.opponent"))
+    return pairs.select("game_id", "me.team", "me.off", F.get(other, F.lit(0)).off.alias("def")).filter("def is not null")
 
 
 def _with_priors(rows: DataFrame, values: DataFrame, params: RatingParams) -> DataFrame:

@@ -100,9 +100,10 @@ def venues(spark: SparkSession, path: str) -> DataFrame:
 def read_log(spark: SparkSession, path: str, ddl: str) -> DataFrame:
     """A JSON-lines log.  Blank lines do not count; a broken last line of a file is left out, a broken earlier one raises ValueError.
 
-    Lines are numbered by Spark's own row index of the text files, so a file is not read into one task.
+    A line's place is that of its split in the file and its number among the rows read with it, so a file is not read into one task.
     """
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line")).filter(F.trim("value") != "")
+    place = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), place.alias("line")).filter(F.trim("value") != "")
     parsed = lines.withColumn("r", F.from_json("value", f"{ddl}, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"}))
     last = lines.groupBy("file").agg(F.max("line").alias("end"))
     broken = parsed.filter("r._corrupt is not null").join(last, "file")
@@ -119,6 +120,7 @@ def append_log(records: DataFrame, path: str, keys: Sequence[str]) -> None:
 
 
 def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """One row for each key: the first in order."""
-    w = W.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("__r", F.row_number().over(w)).filter("__r = 1").drop("__r")
+    """One row for each key: the first in order, nulls first."""
+    others = [c for c in df.columns if c not in keys]
+    first = df.groupBy(*keys).agg(F.min_by(F.struct(*others), F.struct(*order)).alias("__first"))
+    return first.select(*keys, "__first.*").select(df.columns)
