@@ -1,4 +1,4 @@
-"""Commands over a folder of input tables: features, backtest, holdout, retrain, predict, simulate, wait-for-gameday, report.
+"""Commands over a folder of input tables: features, backtest, holdout, retrain, predict, predict-league, simulate, wait-for-gameday, report.
 
 Every command takes its clock from --now; no plan asks what time it is.
 """
@@ -26,6 +26,7 @@ from fieldmark.sources import tables
 TABLES = ("games", "team_epa", "qb_games", "injuries", "snaps", "players", "weather", "player_stats", "contracts")
 # fixed values: keys of the log records
 PREDICTION = "game_id string, run_type string, predicted_at timestamp, kickoff_utc timestamp, opponent string, tracked_home boolean, p double, margin double, margin_lo double, margin_hi double, p_vegas double, model_version string, top_factors array<struct<feature:string,points:double>>"
+LEAGUE = "game_id string, season long, week long, predicted_at timestamp, kickoff_utc timestamp, home_team string, away_team string, p_home double, margin_home double, p_vegas_home double, p_elo_home double, model_version string"
 RESULT = "game_id string, recorded_at timestamp, margin long"
 SNAPSHOT = "team string, season long, sim_day date, as_of timestamp, n_sims long, wins_mean double, wins_p10 double, wins_p50 double, wins_p90 double, p_playoffs double, p_division double, p_top_seed double, model_version string"
 
@@ -131,13 +132,27 @@ def predict(f: Folder, now: datetime, args) -> None:
     factors = logs.top_factors(told.select("game_id", *[F.col(f"__{k}").alias(k) for k in FEATURE_COLUMNS]), "game_id", FEATURE_COLUMNS)
     best = factors.groupBy("game_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "feature", "points"))), lambda x: F.struct(x.feature.alias("feature"), x.points.alias("points"))).alias("top_factors"))
     side = logs.tracked_side(told, f.team).join(games.select("game_id", "kickoff_utc"), "game_id").join(best, "game_id")
-    made = {"run_type": F.lit(due[1]), "predicted_at": F.lit(now).cast("timestamp"), "model_version": F.lit(model.config.fingerprint()), "p": F.round("p", 4), "margin": F.round("margin", 2), "margin_lo": F.round("margin_lo", 2), "margin_hi": F.round("margin_hi", 2), "p_vegas": F.round("p_vegas", 4)}
+    made = {"run_type": F.lit(due[1]), "predicted_at": F.lit(now).cast("timestamp"), "model_version": F.lit(model.config.fingerprint()), "p": F.bround("p", 4), "margin": F.bround("margin", 2), "margin_lo": F.bround("margin_lo", 2), "margin_hi": F.bround("margin_hi", 2), "p_vegas": F.bround("p_vegas", 4)}
     rows = side.withColumns(made).select(*[c.split(" ")[0] for c in PREDICTION.split(", ")])
     if rows.count() != 1:
         raise SystemExit("exactly one row has to be predicted")
     f.append(rows, "predictions")
 
 
+def predict_league(f: Folder, now: datetime, args) -> None:
+    """Every game whose final-report window is open, once; games with missing inputs are due again."""
+    games, done = f.table("games"), f.log("league_predictions", LEAGUE)
+    at = F.lit(now).cast("timestamp")
+    finished = games.filter("margin is not null").select("game_id", at.alias("recorded_at"), "margin")
+    f.append(logs.pending_results(done, finished, f.log("league_results", RESULT)), "league_results")
+    due = logs.due_league_games(games, done, now).select("game_id", "week", "kickoff_utc", "home_team", "away_team")
+    if due.isEmpty():
+        return
+    model = f.model()
+    frame = f.features(now).drop(*[c for c in due.columns if c != "game_id"]).join(due, "game_id")
+    f.append(logs.league_predictions(model.predict(frame), list(FEATURE_COLUMNS), now, model.config.fingerprint()), "league_predictions")
+
+
 def simulate(f: Folder, now: datetime, args) -> None:
     """One snapshot for each simulation day, once the season's last game has its result."""
     season = contests.current_season(f.table("games"), now)
@@ -182,7 +197,7 @@ def build_report(f: Folder, now: datetime, args) -> None:
     report.write_dataset(parts, f"{f.path}/report")
 
 
-COMMANDS = {"features": features, "backtest": backtest, "holdout": holdout, "retrain": retrain, "predict": predict, "simulate": simulate, "wait-for-gameday": wait_for_gameday, "report": build_report}
+COMMANDS = {"features": features, "backtest": backtest, "holdout": holdout, "retrain": retrain, "predict": predict, "predict-league": predict_league, "simulate": simulate, "wait-for-gameday": wait_for_gameday, "report": build_report}
 
 
 def parser() -> argparse.ArgumentParser:

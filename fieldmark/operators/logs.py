@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from fieldmark.functions.expressions import not_finite
 from fieldmark.models.evaluation import accuracy, brier, cumulative, log_loss
+from fieldmark.operators.contests import elo_win_probability
 
 # fixed values: run kinds with how long before the start they open and close
 RUN_WINDOWS = (("midweek", timedelta(days=4, hours=12), timedelta(days=2)), ("final_injury", timedelta(hours=24), timedelta(hours=6)), ("gameday", timedelta(hours=6), timedelta(minutes=75)))
@@ -79,7 +80,7 @@ def sim_day(at: Column) -> Column:
 
 def usable_rows(features: DataFrame, columns: list[str], outputs: tuple[str, ...] = ("p_home", "margin_home")) -> DataFrame:
     """Rows with finite inputs and outputs and a rounded probability strictly between 0 and 1."""
-    p = F.round(outputs[0], 4)
+    p = F.bround(outputs[0], 4)
     return features.filter(~not_finite([*columns, *outputs]) & (p > 0) & (p < 1))
 
 
@@ -134,6 +135,45 @@ def factor_changes(now: Column, before: Column) -> tuple[Column, Column, Column]
     return F.array_intersect(a, b), F.array_except(a, b), F.array_except(b, a)
 
 
+def factor_moves(now: Column, before: Column, least: float = 0.3, most: int = 3) -> Column:
+    """The largest moves between two arrays of (feature, points): (feature, kind, points_before, points_now), largest first, ties by name.
+
+    A factor in both moved if its points did by `least`; one in a single list entered or left, by all its points.
+    """
+    stayed, came, went = factor_changes(now, before)
+
+    def points(of: Column, feature: Column) -> Column:
+        return F.element_at(F.transform(F.filter(of, lambda f: f.feature == feature), lambda f: f.points), 1)
+
+    def move(kind: str, size: Column, feature: Column) -> Column:
+        return F.struct((-size).alias("order"), feature.alias("feature"), F.lit(kind).alias("kind"), F.when(F.lit(kind != "entered"), points(before, feature)).alias("points_before"), F.when(F.lit(kind != "left"), points(now, feature)).alias("points_now"))
+
+    moves = F.concat(
+        F.filter(F.transform(stayed, lambda f: move("moved", F.abs(points(now, f) - points(before, f)), f)), lambda m: m.order <= -least),
+        F.transform(came, lambda f: move("entered", F.abs(points(now, f)), f)),
+        F.transform(went, lambda f: move("left", F.abs(points(before, f)), f)),
+    )
+    return F.transform(F.slice(F.array_sort(moves), 1, most), lambda m: m.dropFields("order"))
+
+
+def due_league_games(games: DataFrame, done: DataFrame, now: datetime) -> DataFrame:
+    """The games whose final-report window is open and that are not in the league's log."""
+    at = F.lit(now).cast("timestamp")
+    due = due_windows(games, F.col("kickoff_utc"), at).filter(F.col("run_type") == "final_injury").drop("run_type")
+    return due.join(done.select("game_id"), "game_id", "left_anti")
+
+
+def league_predictions(told: DataFrame, columns: list[str], now: datetime, version: str) -> DataFrame:
+    """Records of predicted games (elo ratings and predictions beside the features): those with finite inputs, ratings and outputs and probabilities inside (0, 1).  Games left out are due again."""
+    elo = elo_win_probability(F.col("elo_home_pre") - F.col("elo_away_pre"), F.col("neutral"))
+    inside = F.col("p_vegas_home").isNull() | (F.col("p_vegas_home") > 0) & (F.col("p_vegas_home") < 1)
+    kept = usable_rows(told.filter("elo_home_pre is not null and elo_away_pre is not null"), columns)
+    return kept.select(
+        "game_id", "season", "week", F.lit(now).cast("timestamp").alias("predicted_at"), "kickoff_utc", "home_team", "away_team", F.bround("p_home", 4).alias("p_home"), F.bround("margin_home", 2).alias("margin_home"),
+        F.bround("p_vegas", 4).alias("p_vegas_home"), F.bround(elo, 4).alias("p_elo_home"), F.lit(version).alias("model_version"),
+    ).filter(inside)
+
+
 def schedule_gaps(rows: DataFrame, key: str, step: str) -> DataFrame:
     """(key, step) of the numbers missing between two consecutive rows of a key."""
     following = F.lead(step).over(W.partitionBy(key).orderBy(step))

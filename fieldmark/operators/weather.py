@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from datetime import datetime, timedelta
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fieldmark.operators.asof import asof_join, hour_grid
 
-HOURS = 4
+HOURS, ARCHIVE_LAG = 4, timedelta(days=6)
 INDOOR = ("dome", "closed")
 INDOOR_VALUES = {"temp_f": 70.0, "wind_mph": 0.0, "precip_in": 0.0}
 HOURLY = "struct<time:array<string>,temperature_2m:array<double>,wind_speed_10m:array<double>,precipitation:array<double>>"
@@ -56,6 +59,27 @@ def request_windows(days: DataFrame, span: int = 14) -> DataFrame:
     return listed.select("stadium_id", F.inline(F.aggregate("days", empty, step)))
 
 
+def forecast_rows(games: DataFrame, fetch: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Forecast rows for the hours of upcoming outdoor games; fetch gets the venues (stadium_id) and returns what parse_hourly does."""
+    hours = game_hours(games)
+    return fetch(hours.select("stadium_id").distinct()).join(hours, ["stadium_id", "time_utc"], "left_semi")
+
+
+def fill_archive(games: DataFrame, kept: DataFrame, now: datetime, fetch: Callable[[DataFrame], DataFrame], first_season: int = 2009) -> DataFrame:
+    """kept and the hours of outdoor games that it lacks, of games of first_season on that ended ARCHIVE_LAG ago.
+
+    fetch gets the windows (stadium_id, first_day, last_day) to ask for and returns what parse_hourly does;
+    hours nobody asked for and hours without a temperature are not kept.  Without missing hours nothing is fetched.
+    """
+    old = games.filter((F.col("kickoff_utc") < F.lit(now - ARCHIVE_LAG).cast("timestamp")) & (F.col("season") >= first_season))
+    needed = missing_hours(game_hours(old), kept)
+    if needed.isEmpty():
+        return kept
+    windows = request_windows(needed.select("stadium_id", F.to_date("time_utc").alias("day")))
+    fresh = fetch(windows).filter("temp_f is not null").join(needed, ["stadium_id", "time_utc"], "left_semi")
+    return merged(kept, fresh)
+
+
 def running_climatology(archive: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, t, sums and counts of the three variables up to and with t), carried by an as-of join."""
     per = archive.groupBy(*keys, F.col("time_utc").alias("t")).agg(*[x for c in INDOOR_VALUES for x in (F.coalesce(F.sum(c), F.lit(0.0)).alias(f"s_{c}"), F.count(c).alias(f"n_{c}"))])

@@ -715,3 +715,18 @@ def expected_starters(spark, d):
     depth = table(spark, d, "events").filter("user_id % 30 < 20").select((F.col("user_id") % 30).cast("long").alias("team"), (F.col("ts").cast("timestamp") - F.expr("interval 29 years")).alias("dt"), F.col("event_id").alias("qb_id"))
     out = contests.expected_starters(games, depth, datetime(1995, 1, 20))
     return out.select("game_id", F.col("home_qb_id").cast("string").alias("home_qb_id"), F.col("away_qb_id").cast("string").alias("away_qb_id"))
+
+
+@query("factor_moves", """WITH f AS (SELECT user_id, event_type, count(*) FILTER (WHERE ts >= TIMESTAMP '2024-01-15') AS a, count(*) FILTER (WHERE ts < TIMESTAMP '2024-01-15') AS b FROM events GROUP BY 1, 2),
+m AS (SELECT user_id, event_type, CASE WHEN a > 0 AND b > 0 THEN 'moved' WHEN a > 0 THEN 'entered' ELSE 'left' END AS kind, nullif(b, 0)::DOUBLE AS points_before, nullif(a, 0)::DOUBLE AS points_now, abs(a - b) AS size FROM f)
+SELECT user_id, event_type AS feature, kind, points_before, points_now FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY size DESC, event_type) AS r FROM m WHERE kind <> 'moved' OR size >= 2) WHERE r <= 3""")
+def factor_moves(spark, d):
+    """Each user's three largest changes between the event kinds of two fortnights."""
+    late = F.col("ts") >= F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")
+    per = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.count_if(late).alias("a"), F.count_if(~late).alias("b"))
+
+    def factors(c):
+        return F.collect_list(F.when(F.col(c) > 0, F.struct(F.col("event_type").alias("feature"), F.col(c).cast("double").alias("points"))))
+
+    both = per.groupBy("user_id").agg(factors("a").alias("now"), factors("b").alias("before"))
+    return both.select("user_id", F.explode(logs.factor_moves(F.col("now"), F.col("before"), 2.0)).alias("m")).select("user_id", "m.*")

@@ -40,6 +40,10 @@ def test_commands_from_features_to_report(spark, folder):
         run("predict")
     told = spark.read.schema(cli.PREDICTION).json(f"{folder}/logs/predictions").collect()
     assert len(told) == 1 and told[0].run_type == "final_injury" and 0 < told[0].p < 1 and len(told[0].top_factors) == 6
+    for _ in range(2):
+        run("predict-league")
+    league = spark.read.schema(cli.LEAGUE).json(f"{folder}/logs/league_predictions").collect()
+    assert len(league) == len({r.game_id for r in league}) > 0 and all(0 < r.p_home < 1 and 0 < r.p_elo_home < 1 and r.week for r in league)
     for _ in range(2):
         run("simulate", "--sims", "30")
     sims = spark.read.schema(cli.SNAPSHOT).json(f"{folder}/logs/season_sim").collect()

@@ -273,3 +273,27 @@ def test_expressions(spark):
     assert [r.b for r in said.collect()] == ["dnp", "limited", "full", None, None]
     bad = spark.createDataFrame([(1.0,), (float("nan"),), (float("inf"),), (None,)], "x double").filter(X.not_finite(["x"])).count()
     assert bad == 3 and TEAMS
+
+
+def test_archive_is_filled_and_forecast_kept_to_game_hours(spark):
+    from datetime import datetime, timedelta
+
+    from fieldmark.operators import weather
+
+    kicks = [("a", 2012, datetime(2012, 9, 2, 17)), ("a", 2012, datetime(2012, 9, 9, 17)), ("a", 2008, datetime(2008, 9, 7, 17)), ("b", 2012, datetime(2012, 12, 30, 17))]
+    games = spark.createDataFrame([(f"g{k}", s, y, at, "outdoors") for k, (s, y, at) in enumerate(kicks)], "game_id string, stadium_id string, season int, kickoff_utc timestamp, roof string")
+    kept = spark.createDataFrame([("a", datetime(2012, 9, 2, 17), 60.0, 5.0, 0.0, "archive")], "stadium_id string, time_utc timestamp, temp_f double, wind_mph double, precip_in double, source string")
+    asked = []
+
+    def fetch(windows):
+        asked.extend(windows.collect())
+        hours = [("a", datetime(2012, 9, 2, 15) + timedelta(hours=h), None if h == 4 else 50.0 + h, 1.0, 0.0, "archive") for h in range(24 * 9)]
+        return spark.createDataFrame(hours, kept.schema)
+
+    filled = weather.fill_archive(games, kept, datetime(2013, 1, 2), fetch).collect()
+    assert [(r.stadium_id, r.first_day.day, r.last_day.day) for r in asked] == [("a", 2, 9)]  # one window, nothing of 2008 nor of the last days
+    got = {(r.time_utc.day, r.time_utc.hour): r.temp_f for r in filled}
+    assert got[2, 17] == 60.0 and (2, 19) not in got and set(got) == {(2, h) for h in (17, 18, 20)} | {(9, h) for h in range(17, 21)}
+    assert weather.fill_archive(games.filter("season = 2008"), kept, datetime(2013, 1, 2), None).count() == 1
+    told = weather.forecast_rows(games.filter("stadium_id = 'a'"), lambda venues: fetch(venues))
+    assert {(r.time_utc.day, r.time_utc.hour) for r in told.collect()} == {(d, h) for d in (2, 9) for h in range(17, 21)}
