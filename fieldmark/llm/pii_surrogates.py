@@ -58,11 +58,16 @@ ENDINGS = {
 }
 
 _NAME = r"\p{Lu}[\p{L}'’]*\p{L}(?:-\p{Lu}\p{L}+)?"
-_TITLE = "(?:" + "|".join(sorted((*MALE, *FEMALE, *NEUTRAL), key=lambda t: -len(t))) + r")\.?"
-_CUE = r"(?<=(?:Contact|Name|Attn|Signed|Customer|Patient|Employee|Author): {1,2})"
+_TITLES = sorted((*MALE, *FEMALE, *NEUTRAL), key=lambda t: -len(t))
+# a look at one letter comes first, as most places end there
+_TITLE = f"(?=[{''.join(sorted({t[0] for t in _TITLES}))}])" + r"(?<!\p{L})(?:" + "|".join(_TITLES) + r")\.?"
+_CUE = r"(?=[CNASPE])(?:Contact|Name|Attn|Signed|Customer|Patient|Employee|Author): {1,2}"
+_CALL = r"(?=[PpTtFfMmCc])(?i:phone|tel|fax|mobile|cell|call)[.:]{0,2} {0,2}"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 _HEX = "[0-9A-Fa-f]{1,4}"
-_TOLD = r"(?<=(?i:password|passwd|pwd|passphrase|api[_-]key|secret[_-]key|access[_-]token)[\"']{0,1} {0,2}[:=] {0,2}[\"']{0,1})"
+_TOLD = r"(?=[PpAaSs])(?i:password|passwd|pwd|passphrase|api[_-]key|secret[_-]key|access[_-]token)[\"']? {0,2}[:=] {0,2}[\"']?"
+#: What a match may begin with that stays as it is.
+_BEFORE = rf"^(?:{_TOLD}|{_CALL}(?=[0-9]{{7,12}}$)|{_CUE})"
 #: What stays of a token.
 TOKEN_PREFIX = "^(?:AKIA|ASIA|gh[pousr]_|github_pat_|(?:sk|pk|rk)_(?:live|test)_|xox[abprs]-|AIza|eyJ)"
 # fixed values: what each kind looks like, the first that fits counts
@@ -77,12 +82,12 @@ PATTERNS = {
     "secret": r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])",
     "id": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?!-?[0-9])",
     "phone": r"(?<![\w+(])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-][0-9]{3,4}(?!\w)|(?<![\w+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?!\w)"
-    r"|(?<![\w.+-])[0-9]{3}([ .-])[0-9]{3}\1[0-9]{4}(?![\w-])|(?<![\w.+-])0[0-9]{2,4} [0-9]{3,4} [0-9]{3,4}(?![\w-])|(?<=(?i:phone|tel|fax|mobile|cell|call)[.:]{0,2} {0,2})[0-9]{7,12}(?!\w)",
-    "person": rf"(?<!\p{{L}}){_TITLE} {_NAME}(?: {_NAME}){{0,5}}|{_CUE}{_NAME}(?: {_NAME}){{1,5}}",
+    r"|(?<![\w.+-])[0-9]{3}([ .-])[0-9]{3}\1[0-9]{4}(?![\w-])|(?<![\w.+-])0[0-9]{2,4} [0-9]{3,4} [0-9]{3,4}(?![\w-])|" + _CALL + r"[0-9]{7,12}(?!\w)",
+    "person": rf"{_TITLE} {_NAME}(?: {_NAME}){{0,5}}|{_CUE}{_NAME}(?: {_NAME}){{1,5}}",
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values()).replace(r"([ .-])", r"(?<gap>[ .-])").replace(r"\1", r"\k<gap>")
 #: No text without one of these has an entity; most texts stop here.
-HINT = rf"@|[0-9]|(?i:password|passwd|pwd|passphrase|api[_-]key|secret[_-]key|access[_-]token)|(?<!\p{{L}}){_TITLE} \p{{Lu}}|{_CUE}\p{{Lu}}"
+HINT = rf"@|[0-9]|{_TOLD}|{_TITLE} \p{{Lu}}|{_CUE}\p{{Lu}}"
 FORMS = ("male", "female", "neutral", "surname")
 
 
@@ -91,14 +96,18 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def kind_of(hit: Column) -> Column:
-    """The kind that a match has by its own looks; what only its surroundings tell is a token, a phone number or a person by what it is made of, else a name's bare mention."""
-    out = F.when(hit.rlike(f"^(?:{PATTERNS['email']})$"), "email")
-    for kind, pattern in list(PATTERNS.items())[1:]:
-        if kind != "told":
-            out = out.when(hit.rlike(f"^(?:{pattern})$"), kind)
-    out = out.when(hit.rlike("^[0-9]{7,12}$"), "phone").when(hit.rlike(rf"^{_NAME}(?: {_NAME}){{1,5}}$"), "person")
-    return out.when(hit.rlike(rf"^{_NAME}$"), "bare").otherwise("token")
+def found(hit: Column) -> Column:
+    """(kind, before, value) of a match: a cue before the value stays and tells the kind where the value's looks do not."""
+    kinds = [(kind, pattern) for kind, pattern in PATTERNS.items() if kind != "told"]
+
+    def told(before: Column) -> Column:
+        value = F.substring(hit, F.length(before) + 1, F.length(hit))
+        kind = F.when(before.rlike(f"^{_TOLD}$"), "token").when(before.rlike(f"^{_CALL}$"), "phone").when(before.rlike(f"^{_CUE}$"), "person")
+        for name, pattern in kinds:
+            kind = kind.when(hit.rlike(f"^(?:{pattern})$"), name)
+        return F.struct(kind.otherwise("bare").alias("kind"), before.alias("before"), value.alias("value"))
+
+    return let(F.regexp_extract(hit, _BEFORE, 0), told)
 
 
 def normalised(kind: Column, value: Column) -> Column:
@@ -266,16 +275,16 @@ def _named_parts(hit: Column) -> Column:
 
 
 def detected(documents: DataFrame) -> DataFrame:
-    """documents with __pieces (the text between matches), __hits (kind, value) and __names (form, value) of the words of persons."""
-    found = F.when(F.col("text").rlike(HINT), F.transform(F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)), lambda h: F.struct(kind_of(h).alias("kind"), h.alias("value"))))
-    empty = F.expr("cast(array() as array<struct<kind:string,value:string>>)")
-    first = documents.withColumn("__hits", F.coalesce(found, empty))
+    """documents with __pieces (the text between matches), __hits (kind, before, value) and __names (form, value) of the words of persons."""
+    hits = F.when(F.col("text").rlike(HINT), F.transform(F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)), found))
+    empty = F.expr("cast(array() as array<struct<kind:string,before:string,value:string>>)")
+    first = documents.withColumn("__hits", F.coalesce(hits, empty))
     persons = F.filter(F.col("__hits"), lambda h: h.kind == "person")
     named = first.withColumn("__names", F.array_distinct(F.flatten(F.transform(persons, lambda h: _named_parts(h.value)))))
     bare = F.array_distinct(F.transform(F.col("__names"), lambda n: n.value))
     pattern = F.when(F.size(bare) > 0, F.concat(F.lit(PATTERN + r"|(?<!\p{L})(?:"), F.array_join(F.array_sort(bare, lambda a, b: F.length(b) - F.length(a)), "|"), F.lit(r")(?!\p{L})"))).otherwise(F.lit(PATTERN))
     cut = named.withColumn("__pattern", pattern)
-    again = F.transform(F.regexp_extract_all(F.col("text"), F.col("__pattern"), F.lit(0)), lambda h: F.struct(kind_of(h).alias("kind"), h.alias("value")))
+    again = F.transform(F.regexp_extract_all(F.col("text"), F.col("__pattern"), F.lit(0)), found)
     out = cut.withColumn("__hits", F.when(F.size("__names") > 0, again).otherwise(F.col("__hits")))
     pieces = F.when((F.size("__hits") > 0) & (F.size("__names") > 0), F.split("text", F.col("__pattern"), -1)).when(F.size("__hits") > 0, F.split("text", PATTERN, -1))
     return out.withColumn("__pieces", pieces).drop("__pattern")
@@ -304,14 +313,14 @@ def entities(documents: DataFrame) -> DataFrame:
     return forms.select("kind", "norm", F.when(F.col("kind") == "name", given).otherwise("").alias("form"))
 
 
-def assign(found: DataFrame, key: str = KEY) -> DataFrame:
+def assign(every: DataFrame, key: str = KEY) -> DataFrame:
     """(kind, norm, form, surrogate, attempt) for each entity: surrogates are distinct within a kind and are no real entities."""
-    found = stored(found, "entities")
-    won, pending, attempt = None, found, 0
+    every = stored(every, "entities")
+    won, pending, attempt = None, every, 0
     while True:
         tried = pending.withColumn("surrogate", core(F.col("kind"), F.col("norm"), F.col("form"), F.lit(attempt), key))
         first = tried.groupBy("kind", "surrogate").agg(F.min(F.struct("norm", "form")).alias("e"))
-        real = found.select("kind", F.col("norm").alias("surrogate"))
+        real = every.select("kind", F.col("norm").alias("surrogate"))
         free = first.join(real, ["kind", "surrogate"], "left_anti")
         if won is not None:
             free = free.join(won, ["kind", "surrogate"], "left_anti")
@@ -342,11 +351,11 @@ def _replaced(key: str, known: Column | None) -> Column:
     def parts(h: Column) -> Column:
         """The entities a hit stands for: a person's words, or the hit itself."""
         words = F.when(h.kind == "person", F.transform(_named_parts(h.value), lambda n: n.value)).when(h.kind == "bare", F.array(h.value))
-        return F.when(words.isNotNull(), F.transform(words, lambda w: F.struct(F.lit("name").alias("kind"), w.alias("value")))).otherwise(F.array(h))
+        return F.when(words.isNotNull(), F.transform(words, lambda w: F.struct(F.lit("name").alias("kind"), w.alias("value")))).otherwise(F.array(F.struct(h.kind.alias("kind"), h.value.alias("value"))))
 
     def hit(h: Column) -> Column:
         title = F.when((h.kind == "person") & _titled(F.split(h.value, " ")), F.concat(F.substring_index(h.value, " ", 1), F.lit(" "))).otherwise("")
-        return F.concat(title, F.array_join(F.transform(parts(h), one), " "))
+        return F.concat(h.before, title, F.array_join(F.transform(parts(h), one), " "))
 
     puts = F.transform(F.col("__hits"), hit)
     return F.array_join(F.flatten(F.zip_with("__pieces", puts, lambda p, s: F.array(p, F.coalesce(s, F.lit(""))))), "")
