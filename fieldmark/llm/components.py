@@ -1,8 +1,9 @@
 """Connected components of an undirected edge table, as joins and grouped minima.
 
 Alternates two star rewirings until the edges are a forest of depth one.  Each round is grouped by
-node with map-side minima, which go back to a hub's edges by broadcast, so a hub's neighbours are never
-gathered in one task; lineage is cut by a table in the shared scratch folder after every round.
+node with map-side minima; the join that carries a node's minimum back to its edges is left to Spark, so a
+hub's edges meet in one task where the minima are too many to broadcast.  Lineage is cut by a table in the
+shared scratch folder after every round.
 """
 
 from __future__ import annotations
@@ -10,21 +11,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldmark.llm.shared import join_counted, stored
+from fieldmark.llm.shared import stored
 
 
-def _large_star(edges: DataFrame, size: int) -> DataFrame:
+def _large_star(edges: DataFrame) -> DataFrame:
     """Every neighbour above a node is linked to the least node around that node."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
-    return join_counted(both, least, "a", 2 * size).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    return both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
-def _small_star(edges: DataFrame, size: int) -> DataFrame:
+def _small_star(edges: DataFrame) -> DataFrame:
     """A node and its neighbours below it are linked to the least of them."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct()
-    least = down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-    near = join_counted(down, least, "a", size).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = down.groupBy("a").agg(F.min("b").alias("m"))
+    near = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return near.union(least.select("a", F.col("m").alias("b"))).filter("a != b").distinct()
 
 
@@ -42,6 +43,6 @@ def components(edges: DataFrame) -> DataFrame:
     before = None
     while (seen := mark(now)) != before and seen[0]:
         before = seen
-        now = stored(_small_star(_large_star(now, seen[0]), seen[0]), "stars")
+        now = stored(_small_star(_large_star(now)), "stars")
     leaves = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return leaves.union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
