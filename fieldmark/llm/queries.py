@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldmark.llm import cross_parsing, masked_scores, media_sequences, pattern_packing, pii_surrogates, rule_quality, seed_leaks, simhash_blocks, style_tree, virtual_slots
+from fieldmark.llm import cross_parsing, filter_audit, masked_scores, media_sequences, pattern_packing, pii_surrogates, rule_quality, seed_leaks, simhash_blocks, source_mixing, style_tree, token_alignment, virtual_slots
 from fieldmark.llm.shared import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,6 +61,18 @@ def op10_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return style_tree.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op11_byte_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align(table(spark, sf_dir, "documents"))
+
+
+def op12_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mixing.take(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_pii_surrogates": op1_pii_surrogates,
@@ -73,8 +85,11 @@ def queries() -> dict[str, Query]:
         "op8_media_sequences": op8_media_sequences,
         "op9_simhash_blocks": op9_simhash_blocks,
         "op10_style_tree": op10_style_tree,
+        "op11_byte_alignment": op11_byte_alignment,
+        "op12_source_mixing": op12_source_mixing,
+        "op13_filter_audit": op13_filter_audit,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op13_filter_audit": filter_audit.ORACLE}
