@@ -24,6 +24,7 @@ import hashlib
 import json
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import accumulate
@@ -60,14 +61,13 @@ def byte_of_sign() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(other)}
 
 
-def labels(a: list[int], b: list[int]) -> bytes:
+def labels(a: np.ndarray, b: np.ndarray) -> bytes:
     """One label a byte from both cuts' token lengths, which have one sum: . for none, a, b, c for both."""
-    out = bytearray(b"." * sum(a))
-    for end in accumulate(a):
-        out[end - 1] = 97
-    for end in accumulate(b):
-        out[end - 1] += 52 if out[end - 1] == 46 else 2  # . to b, a to c
-    return bytes(out)
+    out = np.full(int(a.sum()), 46, np.uint8)
+    ends = np.cumsum(b) - 1
+    out[np.cumsum(a) - 1] = 97
+    out[ends] = np.where(out[ends] == 97, 99, 98)
+    return out.tobytes()
 
 
 def groups(marks: bytes) -> Iterator[tuple[int, int]]:
@@ -84,7 +84,10 @@ def links(marks: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Aligner:
-    """The two tokenizers and what is known of the chunks met: for chunk k of `known`, counts[k], text[k] and pairs[k]."""
+    """The two tokenizers and what is known of the chunks met, by number: how many tokens and groups, the groups' text, the pairs of ids.
+
+    The pairs of chunk k are pairs[starts[k] : starts[k + 1]].
+    """
 
     def __init__(self, a_path: str, b_path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -94,47 +97,60 @@ class Aligner:
         self.a = Tokenizer.from_file(a_path)
         self.a.encode_special_tokens = True
         sign = byte_of_sign()
-        self.a_bytes = {k: bytes(sign[c] for c in t) if all(c in sign for c in t) else t.encode() for t, k in self.a.get_vocab(with_added_tokens=True).items()}
+        vocabulary = self.a.get_vocab(with_added_tokens=True)
+        self.a_bytes = [b""] * (max(vocabulary.values()) + 1)
+        for t, k in vocabulary.items():
+            self.a_bytes[k] = bytes(sign[c] for c in t) if all(c in sign for c in t) else t.encode()
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         pieces = [self.b.id_to_piece(k) for k in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(k) else p.replace("▁", " ").encode() for k, p in enumerate(pieces)]
+        self.a_size, self.b_size = (np.array(list(map(len, t)), np.int64) for t in (self.a_bytes, self.b_bytes))
+        self.a_text, self.b_text = (list(map(str, range(len(t)))) for t in (self.a_bytes, self.b_bytes))
         by_regex = json.load(open(a_path))["pre_tokenizer"]
         self.cuts = not any(re.search("[^▁]▁", p) for p in pieces) and by_regex.get("type") == "ByteLevel" and by_regex.get("use_regex", True)
         self.forget()
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.counts: list[tuple[int, int, int]] = []
+        self.bad: set[int] = set()
+        self.n_a, self.n_b, self.n_groups, self.pairs, self.starts = (array("q") for _ in range(5))
+        self.starts.append(0)
         self.text: list[bytes] = []
-        self.pairs: list[np.ndarray | list[int]] = []
-
-    def _label(self, part: str, a: list[int], b: list[int]) -> None:
-        """Remember the chunk " " + part; one that the bytes do not rebuild has counts of -1."""
-        self.known[part] = len(self.text)
-        raw = b" " + part.encode()
-        a_raw, b_raw = [self.a_bytes[k] for k in a], [self.b_bytes[k] for k in b]
-        if "▁" in part or b"".join(a_raw) != raw or b"".join(b_raw) != raw:
-            self.counts.append((-1, -1, -1))
-            self.text.append(b"")
-            self.pairs.append([])
+
+    def _learn(self, parts: list[str]) -> None:
+        """Label the chunks " " + part, which stand beside each other in one run, and remember them.  One that the bytes do not rebuild is bad."""
+        run = " " + " ".join(parts)
+        raw = run.encode()
+        a, b = self.a.encode(run, add_special_tokens=False).ids, self.b.encode(run[1:])
+        if "▁" in run or b"".join([self.a_bytes[k] for k in a]) != raw or b"".join([self.b_bytes[k] for k in b]) != raw:
+            if len(parts) > 1:
+                for half in (parts[: len(parts) // 2], parts[len(parts) // 2 :]):
+                    self._learn(half)
+                return
+            self.bad.add(len(self.text))
+            self._remember(parts, [0], [0], [0], [0], [b""], [])
             return
-        marks = labels(list(map(len, a_raw)), list(map(len, b_raw)))
+        ids_a, ids_b = np.array(a, np.int64), np.array(b, np.int64)
+        marks = labels(self.a_size[ids_a], self.b_size[ids_b])
+        ends = np.cumsum([len(p) + 1 for p in parts] if run.isascii() else [len(p.encode()) + 1 for p in parts])
         cut, i, j = [], 0, 0
+        text_a, text_b = [self.a_text[k] for k in a], [self.b_text[k] for k in b]
         for m, n in groups(marks):
-            cut.append(f"{','.join(map(str, a[i : i + m]))}|{','.join(map(str, b[j : j + n]))}")
+            cut.append(f"{text_a[i]}|{text_b[j]}" if m == n == 1 else f"{','.join(text_a[i : i + m])}|{','.join(text_b[j : j + n])}")
             i, j = i + m, j + n
+        mark = np.frombuffer(marks, np.uint8)
+        upto = [np.searchsorted(np.flatnonzero(hit) + 1, ends, "right") for hit in ((mark == 97) | (mark == 99), (mark == 98) | (mark == 99), mark == 99, mark != 46)]
         at_a, at_b = links(marks)
-        pairs = np.array(a, np.int64)[at_a] * WIDTH + np.array(b, np.int64)[at_b]
-        self.counts.append((len(a), len(b), len(cut)))
-        self.text.append(";".join(cut).encode())
-        self.pairs.append(pairs if len(pairs) > 64 else pairs.tolist())
+        g = upto[2].tolist()
+        text = [";".join(cut[x:y]).encode() for x, y in zip([0, *g], g, strict=False)]
+        self._remember(parts, *(np.diff(u, prepend=0).tolist() for u in upto), text, (ids_a[at_a] * WIDTH + ids_b[at_b]).tolist())
 
-    def _learn(self, parts: list[str]) -> None:
-        new = list(dict.fromkeys(p for p in parts if p not in self.known))
-        for k in range(0, len(new), 4096):
-            some = new[k : k + 4096]
-            for part, a, b in zip(some, self.a.encode_batch([" " + p for p in some], add_special_tokens=False), self.b.encode(some, num_threads=1), strict=True):
-                self._label(part, a.ids, b)
+    def _remember(self, parts: list[str], n_a: list[int], n_b: list[int], n_groups: list[int], n_links: list[int], text: list[bytes], pairs: list[int]) -> None:
+        self.known.update(zip(parts, range(len(self.text), len(self.text) + len(parts)), strict=True))
+        for store, more in ((self.n_a, n_a), (self.n_b, n_b), (self.n_groups, n_groups), (self.text, text)):
+            store.extend(more)
+        self.starts.extend([len(self.pairs) + x for x in accumulate(n_links)])
+        self.pairs.extend(pairs)
 
     def chunks(self, text: str) -> list[int] | None:
         """Numbers of the chunks of " " + text; None if it has no tokens."""
@@ -143,20 +159,24 @@ class Aligner:
         parts = text.split(" ") if self.cuts else [text]
         got = list(map(self.known.get, parts))
         if None in got:
-            parts = merged(parts)
-            self._learn(parts)
+            clean = self.cuts and not EDGE.search(text)
+            parts = parts if clean else merged(parts) if self.cuts else parts
+            new = [p for p in dict.fromkeys(parts) if p not in self.known]
+            if clean:
+                self._learn(new)
+            else:  # beside each other these would meet at other white space
+                for p in new:
+                    self._learn([p])
             got = [self.known[p] for p in parts]
-        return got
+        return None if self.bad and not self.bad.isdisjoint(got) else got
 
 
-def _edge(part: str) -> bool:
-    return not part or part[0].isspace() or part[-1].isspace()
+#: A part between single spaces that is empty or has white space at an edge.
+EDGE = re.compile(r"(?:\A| )(?:\s|\Z)|\s(?: |\Z)")
 
 
 def merged(parts: list[str]) -> list[str]:
     """Parts between single spaces, put together again where a cut would stand beside more white space."""
-    if not any(map(_edge, parts)):
-        return parts
     out = [[parts[0]]]
     for before, part in zip(parts, parts[1:], strict=False):
         if before and part and not before[-1].isspace() and not part[0].isspace():
@@ -182,8 +202,6 @@ class Block:
     def add(self, doc_id: int | None, text: str | None) -> None:
         al = self.al
         got = al.chunks(text or "")
-        if got is not None and any(al.counts[k][0] < 0 for k in set(got)):
-            got = None
         self.ids.append(doc_id)
         self.chunks.append(np.array(got or [], np.int32))
         self.digests.append("" if got is None else hashlib.sha256(b";".join([al.text[k] for k in got])).hexdigest())
@@ -198,14 +216,15 @@ class Block:
         size = np.array(list(map(len, self.chunks)), np.int64)
         ends = np.cumsum(size)
         kinds, of = np.unique(np.concatenate(self.chunks), return_inverse=True)
-        counts = np.array([al.counts[k] for k in kinds], np.int64).reshape(-1, 3)
-        pairs = [al.pairs[k] for k in kinds]
-        width = np.array(list(map(len, pairs)), np.int64)
-        flat = np.concatenate([np.asarray(p, np.int64) for p in pairs]) if pairs else np.zeros(0, np.int64)
+        first = np.frombuffer(al.starts, np.int64)[kinds]
+        width = np.frombuffer(al.starts, np.int64)[kinds + 1] - first
+        place = np.repeat(first - np.cumsum(width) + width, width) + np.arange(int(width.sum()))
+        flat = np.frombuffer(al.pairs, np.int64)[place] if len(place) else np.zeros(0, np.int64)
+        counts = [np.frombuffer(c, np.int64)[kinds] if len(c) else np.zeros(0, np.int64) for c in (al.n_a, al.n_b, al.n_groups)]
         distinct, of_chunk = np.unique(flat, return_inverse=True)
         times = np.bincount(of, minlength=len(kinds))
         held = np.bincount(of_chunk, weights=np.repeat(times, width), minlength=len(distinct)).astype(np.int64)
-        told = [sums(c[of], ends) for c in (*counts.T, width)]
+        told = [sums(c[of], ends) for c in (*counts, width)]
         small = of.astype(np.uint16 if len(kinds) <= 1 << 16 else np.int32)
         raw = [small[e - s : e].tobytes() for s, e in zip(size, ends, strict=True)]
         columns = {
@@ -300,7 +319,7 @@ def spans(text: str, a_path: str | None = None, b_path: str | None = None) -> li
     default = default_tokenizers()
     al = aligner(a_path or default[0], b_path or default[1])
     got = al.chunks(text)
-    if got is None or any(al.counts[k][0] < 0 for k in got):
+    if got is None:
         return []
     out, at = [], 0
     for group in b";".join([al.text[k] for k in got]).decode().split(";"):

@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from fieldmark.llm import token_alignment as ta
@@ -90,7 +91,7 @@ def test_odd_rows(spark, odd, none):
 
 
 def test_labels_groups_links():
-    marks = ta.labels([1, 2, 3], [3, 1, 2])
+    marks = ta.labels(np.array([1, 2, 3]), np.array([3, 1, 2]))
     assert marks == b"a.cb.c" and list(ta.groups(marks)) == [(2, 1), (1, 2)]
     i, j = ta.links(marks)
     assert list(zip(i, j)) == [(0, 0), (1, 0), (2, 1), (2, 2)]
