@@ -39,8 +39,8 @@ from fieldmark.llm.shared import stored
 
 #: A block ends at as many bytes of text, or as many chunks that it was first to meet.
 BLOCK_BYTES, BLOCK_NEW = 16_000_000, 300_000
-#: Chunks that a worker remembers from block to block; beyond, it starts anew.
-REMEMBERED = 300_000
+#: Chunks that a worker may remember from block to block; beyond, it keeps so many of those met most often.
+REMEMBERED, KEPT = 450_000, 300_000
 #: Ids of B are below; a pair is a * WIDTH + b.
 WIDTH = 1 << 16
 GROUP = re.compile(rb"[^c]*c")
@@ -116,6 +116,30 @@ class Aligner:
         self.n_a, self.n_b, self.n_groups, self.pairs, self.starts = (array("q") for _ in range(5))
         self.starts.append(0)
         self.text: list[bytes] = []
+        self.met = np.zeros(0, np.int64)
+
+    def count(self, kinds: np.ndarray, times: np.ndarray) -> None:
+        """Note how often a block met its chunks."""
+        self.met = np.concatenate([self.met, np.zeros(len(self.text) - len(self.met), np.int64)])
+        self.met[kinds] += times
+
+    def trim(self, kept: int) -> None:
+        """Remember only as many chunks, those met most often, at new numbers."""
+        best = np.sort(np.argpartition(-self.met, kept)[:kept])
+        number = np.full(len(self.text), -1, np.int64)
+        number[best] = np.arange(kept)
+        known, text, met = self.known, self.text, self.met[best] // 2
+        starts, pairs = np.frombuffer(self.starts, np.int64), np.frombuffer(self.pairs, np.int64)
+        width = np.diff(starts)[best]
+        place = np.repeat(starts[best] - np.cumsum(width) + width, width) + np.arange(int(width.sum()))
+        counts = [np.frombuffer(c, np.int64)[best] for c in (self.n_a, self.n_b, self.n_groups)]
+        bad, flat = {int(number[k]) for k in self.bad if number[k] >= 0}, pairs[place]
+        self.forget()
+        self.bad, self.met = bad, met
+        self.known = {p: int(number[k]) for p, k in known.items() if number[k] >= 0}
+        self.text = [text[k] for k in best]
+        for store, more in ((self.n_a, counts[0]), (self.n_b, counts[1]), (self.n_groups, counts[2]), (self.pairs, flat), (self.starts, np.cumsum(width))):
+            store.frombytes(np.ascontiguousarray(more, np.int64).tobytes())
 
     def _learn(self, parts: list[str]) -> None:
         """Label the chunks " " + part, which stand beside each other in one run, and remember them.  One that the bytes do not rebuild is bad."""
@@ -223,6 +247,7 @@ class Block:
         counts = [np.frombuffer(c, np.int64)[kinds] if len(c) else np.zeros(0, np.int64) for c in (al.n_a, al.n_b, al.n_groups)]
         distinct, of_chunk = np.unique(flat, return_inverse=True)
         times = np.bincount(of, minlength=len(kinds))
+        al.count(kinds, times)
         held = np.bincount(of_chunk, weights=np.repeat(times, width), minlength=len(distinct)).astype(np.int64)
         told = [sums(c[of], ends) for c in (*counts, width)]
         small = of.astype(np.uint16 if len(kinds) <= 1 << 16 else np.int32)
@@ -263,7 +288,7 @@ def blocks(documents: DataFrame, a_path: str, b_path: str) -> DataFrame:
                     yield block.rows(first + made)
                     made += 1
                     if len(al.text) > REMEMBERED:
-                        al.forget()
+                        al.trim(KEPT)
                     block = Block(al)
         if block.ids:
             yield block.rows(first + made)

@@ -70,12 +70,12 @@ def test_equals_all_pairs_of_ranges(spark):
 def test_documents_against_whole_texts(spark, documents):
     """Real texts, in many blocks: chunks and blocks change nothing."""
     rows = [(r.doc_id, (r.text or "")[:1500]) for r in documents.select("doc_id", "text").limit(60).collect()]
-    held = ta.BLOCK_BYTES
-    ta.BLOCK_BYTES = 20_000
+    held = ta.BLOCK_BYTES, ta.REMEMBERED, ta.KEPT
+    ta.BLOCK_BYTES, ta.REMEMBERED, ta.KEPT = 20_000, 500, 200
     try:
         got = ta.align(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()
     finally:
-        ta.BLOCK_BYTES = held
+        ta.BLOCK_BYTES, ta.REMEMBERED, ta.KEPT = held
     assert sorted(map(tuple, got)) == sorted(brute(rows))
 
 
