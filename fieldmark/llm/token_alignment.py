@@ -38,9 +38,9 @@ from pyspark.sql import functions as F
 from fieldmark.llm.shared import stored
 
 #: A block ends at as many bytes of text, or as many chunks that it was first to meet.
-BLOCK_BYTES, BLOCK_NEW = 16_000_000, 300_000
+BLOCK_BYTES, BLOCK_NEW = 12_000_000, 150_000
 #: Chunks that a worker may remember from block to block; beyond, it keeps so many of those met most often.
-REMEMBERED, KEPT = 450_000, 300_000
+REMEMBERED, KEPT = 360_000, 250_000
 #: Ids of B are below; a pair is a * WIDTH + b.
 WIDTH = 1 << 16
 GROUP = re.compile(rb"[^c]*c")
