@@ -6,26 +6,29 @@ Every command takes its clock from --now; no plan asks what time it is.
 from __future__ import annotations
 
 import argparse
-import json
 import time
-from dataclasses import asdict
+from dataclasses import asdict, replace
 from datetime import UTC, datetime, timedelta
-from pathlib import Path
+from hashlib import sha1
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldmark.models import production
-from fieldmark.models.regression import ModelConfig, coordinate_descent
-from fieldmark.operators import contests, fold, logs, report, simulation
-from fieldmark.operators.features import FEATURE_COLUMNS, build_features
+from fieldmark.functions.expressions import outcome
+from fieldmark.models import production, tuning
+from fieldmark.models.regression import ModelConfig
+from fieldmark.operators import contests, fold, logs, report, simulation, weather
+from fieldmark.operators.availability import AvailabilityParams
+from fieldmark.operators.features import FEATURE_COLUMNS, FeatureParams, Parts
+from fieldmark.operators.passers import PasserParams
+from fieldmark.operators.ratings import RatingParams
 from fieldmark.session import session
 from fieldmark.sources import tables
+from fieldmark.sources.store import Store
 
 TABLES = ("games", "team_epa", "qb_games", "injuries", "snaps", "players", "weather", "player_stats", "contracts")
 # fixed values: keys of the log records
-PREDICTION = "game_id string, run_type string, predicted_at timestamp, kickoff_utc timestamp, opponent string, tracked_home boolean, p double, margin double, margin_lo double, margin_hi double, p_vegas double, model_version string, top_factors array<struct<feature:string,points:double>>"
+PREDICTION = "game_id string, run_type string, predicted_at timestamp, kickoff_utc timestamp, opponent string, tracked_home boolean, p double, margin double, margin_lo double, margin_hi double, p_vegas double, model_version string, is_final_injury_report boolean, weather struct<source:string,temp_f:double,wind_mph:double,precip_in:double>, latest_injury_week long, top_factors array<struct<feature:string,points:double>>"
 LEAGUE = "game_id string, season long, week long, predicted_at timestamp, kickoff_utc timestamp, home_team string, away_team string, p_home double, margin_home double, p_vegas_home double, p_elo_home double, model_version string"
 RESULT = "game_id string, recorded_at timestamp, margin long"
 SNAPSHOT = "team string, season long, sim_day date, as_of timestamp, n_sims long, wins_mean double, wins_p10 double, wins_p50 double, wins_p90 double, p_playoffs double, p_division double, p_top_seed double, model_version string"
@@ -38,46 +41,61 @@ def clock(text: str | None) -> datetime:
 
 
 class Folder:
-    """The tables and artifacts under one path."""
+    """The tables and artifacts under one path, of any file system that Spark reads."""
 
     def __init__(self, spark: SparkSession, path: str, team: str):
         self.spark, self.path, self.team = spark, path.rstrip("/"), team
+        self.store = Store(spark, self.path)
+        # projections of all features make inferred constraints grow with the square of the columns and beyond
+        spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
 
     def table(self, name: str) -> DataFrame:
         return tables.shaped(self.spark.read.parquet(f"{self.path}/{name}"), name)
 
+    def weather(self, games: DataFrame, now: datetime) -> DataFrame:
+        """The archive and, where a command has left them, forecasts of games to come."""
+        kept = self.table("weather")
+        if not self.store.exists("forecast"):
+            return kept
+        return weather.merged(self.table("forecast"), kept)
+
     def data(self, now: datetime) -> contests.Dataset:
         data = contests.Dataset(**{t: self.table(t) for t in TABLES})
-        try:
-            depth = self.table("depth_qb")
-        except AnalysisException as e:
-            if e.getCondition() == "PATH_NOT_FOUND":  # no depth chart: the games keep their starters
-                return data
-            raise
-        games = contests.expected_starters(data.games, depth, now)
-        return contests.Dataset(**{**{t: getattr(data, t) for t in TABLES}, "games": games})
+        games = contests.expected_starters(data.games, self.table("depth_qb"), now) if self.store.exists("depth_qb") else data.games  # no depth chart: the games keep their starters
+        return replace(data, games=games, weather=self.weather(games, now))
+
+    def parts(self, now: datetime) -> Parts:
+        """The parts of the tables as they are, left by earlier commands where no table has changed since; those of other tables are dropped."""
+        dated = now.isoformat() if self.store.exists("depth_qb") else ""  # what a chart tells depends on the time
+        version = sha1(f"{self.store.version([*TABLES, 'venues', 'depth_qb', 'forecast'])} {dated}".encode()).hexdigest()[:16]
+        for old in self.store.names("parts"):
+            if old != version:
+                self.store.delete(f"parts/{old}")
+        return Parts(self.data(now), self.table("venues"), Store(self.spark, self.store.path(f"parts/{version}")))
+
+    def feature_params(self) -> FeatureParams:
+        return feature_params(self.store.read_json("features.json")) if self.store.exists("features.json") else FeatureParams()
 
     def features(self, now: datetime) -> DataFrame:
-        return build_features(self.data(now), self.table("venues"))
+        return self.parts(now).features(self.feature_params())
 
     def log(self, name: str, ddl: str) -> DataFrame:
-        try:
-            return tables.read_log(self.spark, f"{self.path}/logs/{name}", ddl)
-        except AnalysisException:
-            return self.spark.createDataFrame([], ddl)
+        return tables.read_log(self.spark, f"{self.path}/logs/{name}", ddl) if self.store.exists(f"logs/{name}") else self.spark.createDataFrame([], ddl)
 
     def append(self, df: DataFrame, name: str) -> None:
         tables.append_log(df, f"{self.path}/logs/{name}", df.columns)
 
     def config(self) -> ModelConfig:
-        path = Path(f"{self.path}/config.json")
-        return ModelConfig.load(str(path)) if path.exists() else ModelConfig()
+        return ModelConfig.load(self.store) if self.store.exists("config.json") else ModelConfig()
 
     def model(self) -> production.Model:
-        return production.Model.load(f"{self.path}/model.json", self.config())
+        return production.Model.load(self.store, config=self.config())
+
 
-    def write(self, name: str, payload: dict) -> None:
-        Path(f"{self.path}/{name}.json").write_text(json.dumps(payload, default=str, sort_keys=True, indent=1))
+def feature_params(told: dict) -> FeatureParams:
+    """Stored settings of the features; unknown ones are refused, missing ones take their default."""
+    kinds = {"rating": RatingParams, "passer": PasserParams, "available": AvailabilityParams, "elo": fold.EloParams}
+    return FeatureParams(**{k: kinds[k](**v) if k in kinds else v for k, v in told.items()})
 
 
 def features(f: Folder, now: datetime, args) -> None:
@@ -85,32 +103,37 @@ def features(f: Folder, now: datetime, args) -> None:
 
 
 def backtest(f: Folder, now: datetime, args) -> None:
-    frame, config = f.spark.read.parquet(f"{f.path}/features"), f.config()
+    """Scores of the walk-forward; with --tune-features the stages of the features and the model's settings are tuned first and kept."""
     seasons = args.seasons or production.BACKTEST
+    told: dict = {}
     if args.tune_features:
-
-        def loss(p: dict) -> float:
-            return production.report(production.walk_forward(frame, seasons, ModelConfig(**p)))["methods"]["home"]["log_loss"]
-
-        grids = {"alpha": [30.0, 100.0, 300.0, 1000.0], "half_life": [4.0, 8.0, 12.0], "distribution": ["gaussian", "kernel"], "platt": [False, True], "ensemble_weight": [0.0, 0.25, 0.5]}
-        best, _ = coordinate_descent(grids, loss, asdict(config))
-        config = ModelConfig(**best)
-        config.save(f"{f.path}/config.json")
-    f.write("backtest", production.report(production.walk_forward(frame, seasons, config)) | {"fingerprint": config.fingerprint()})
+        parts = f.parts(now)
+        params, told["feature_trials"] = tuning.tune_features(parts, seasons)
+        f.store.write_json("features.json", asdict(params))
+        frame = parts.store.write_table(parts.features(params), "frame")
+        config, told["trials"] = tuning.tune_model(frame, seasons, {k: v for k, v in tuning.MODELS.items() if k in args.kinds})
+        config.save(f.store)
+        frame.write.mode("overwrite").parquet(f"{f.path}/features")
+    frame, config = f.spark.read.parquet(f"{f.path}/features"), f.config()
+    score = production.report(production.walk_forward(frame, seasons, config), f.team)
+    f.store.write_json("backtest.json", score | told | {"fingerprint": config.fingerprint()})
 
 
 def holdout(f: Folder, now: datetime, args) -> None:
-    path = Path(f"{f.path}/holdout.json")
-    seen = json.loads(path.read_text())["fingerprint"] if path.exists() else None
+    seen = f.store.read_json("holdout.json")["fingerprint"] if f.store.exists("holdout.json") else None
     if seen and not args.force:
         raise SystemExit("the holdout was already looked at; --force looks again and says so")
     frame, config = f.spark.read.parquet(f"{f.path}/features"), f.config()
-    f.write("holdout", production.report(production.walk_forward(frame, args.seasons or production.HOLDOUT, config)) | {"fingerprint": config.fingerprint(), "previously_viewed": seen})
+    score = production.report(production.walk_forward(frame, args.seasons or production.HOLDOUT, config), f.team)
+    f.store.write_json("holdout.json", score | {"fingerprint": config.fingerprint(), "previously_viewed": seen})
 
 
 def retrain(f: Folder, now: datetime, args) -> None:
-    """From every finished game, those of the current season among them."""
-    production.fit_model(f.spark.read.parquet(f"{f.path}/features"), f.config()).save(f"{f.path}/model.json")
+    """From every finished game, those of the current season among them; the metrics tell what the model was fitted on."""
+    frame = f.spark.read.parquet(f"{f.path}/features")
+    model = production.fit_model(frame, f.config())
+    model.save(f.store)
+    f.store.write_json("metrics.json", {"trained_at": now, "model_version": model.config.fingerprint(), "n_games": production.finished(frame).count(), "seasons": model.trained})
 
 
 def new_results(f: Folder, now: datetime) -> None:
@@ -127,13 +150,16 @@ def predict(f: Folder, now: datetime, args) -> None:
     if due is None or (args.run_type and due[1] != args.run_type):
         return
     model = f.model()
-    row = f.features(now).filter(F.col("game_id") == due[0])
-    told = model.predict(row).withColumns({f"__{k}": c for k, c in model.contributions().items()})  # a ridge's; trees have none and stop here
-    factors = logs.top_factors(told.select("game_id", *[F.col(f"__{k}").alias(k) for k in FEATURE_COLUMNS]), "game_id", FEATURE_COLUMNS)
-    best = factors.groupBy("game_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "feature", "points"))), lambda x: F.struct(x.feature.alias("feature"), x.points.alias("points"))).alias("top_factors"))
-    side = logs.tracked_side(told, f.team).join(games.select("game_id", "kickoff_utc"), "game_id").join(best, "game_id")
+    parts = f.parts(now)
+    row = parts.store.write_table(parts.features(f.feature_params()).filter(F.col("game_id") == due[0]), "frame-one")
+    told = model.predict(row).withColumn("__largest", logs.largest(model.contributions()))
+    best = F.transform("__largest", lambda x: F.struct(x.feature.alias("feature"), x.points.alias("points")))
+    side = logs.tracked_side(told.withColumn("top_factors", best), f.team)
     made = {"run_type": F.lit(due[1]), "predicted_at": F.lit(now).cast("timestamp"), "model_version": F.lit(model.config.fingerprint()), "p": F.bround("p", 4), "margin": F.bround("margin", 2), "margin_lo": F.bround("margin_lo", 2), "margin_hi": F.bround("margin_hi", 2), "p_vegas": F.bround("p_vegas", 4)}
-    rows = side.withColumns(made).select(*[c.split(" ")[0] for c in PREDICTION.split(", ")])
+    known = row.select("game_id", "season", F.struct(F.col("weather_source").alias("source"), F.bround("temp_f", 1).alias("temp_f"), F.bround("wind_mph", 1).alias("wind_mph"), F.bround("precip_in", 2).alias("precip_in")).alias("weather"))
+    listed = f.table("injuries").filter(F.col("team") == f.team).groupBy("season").agg(F.max("week").alias("latest_injury_week"))
+    made |= {"is_final_injury_report": F.lit(due[1] == logs.RUN_WINDOWS[-1][0])}
+    rows = side.join(known, "game_id").join(games.select("game_id", "kickoff_utc"), "game_id").join(listed, "season", "left").withColumns(made).select(*tables.names(PREDICTION))
     if rows.count() != 1:
         raise SystemExit("exactly one row has to be predicted")
     f.append(rows, "predictions")
@@ -149,7 +175,8 @@ def predict_league(f: Folder, now: datetime, args) -> None:
     if due.isEmpty():
         return
     model = f.model()
-    frame = f.features(now).drop(*[c for c in due.columns if c != "game_id"]).join(due, "game_id")
+    parts = f.parts(now)
+    frame = parts.store.write_table(parts.features(f.feature_params()).drop(*[c for c in due.columns if c != "game_id"]).join(due, "game_id"), "frame-due")
     f.append(logs.league_predictions(model.predict(frame), list(FEATURE_COLUMNS), now, model.config.fingerprint()), "league_predictions")
 
 
@@ -185,13 +212,16 @@ def build_report(f: Folder, now: datetime, args) -> None:
     games = f.table("games")
     season = contests.current_season(games, now)
     this = games.filter(F.col("season") == season)
-    told = f.log("predictions", PREDICTION)
+    told, league = f.log("predictions", PREDICTION), f.log("league_predictions", LEAGUE)
     scored = logs.last_before(told, "game_id", "predicted_at", F.col("kickoff_utc")).join(f.log("results", RESULT).select("game_id"), "game_id", "left_semi")
+    finished = league.join(f.log("league_results", RESULT).select("game_id", "margin"), "game_id").withColumn("y", outcome(F.col("margin")))
     parts = {
         "record": report.record(this, f.team),
         "season_log": logs.season_log(this, told, f.team, now),
-        "changes": logs.run_changes(told.select("game_id", "predicted_at", "p_vegas", "margin"), "game_id", "predicted_at", {"p_vegas": report.CHANGE_THRESHOLDS["p_vegas"], "margin": report.CHANGE_THRESHOLDS["factor"]}),
+        "changes": logs.change_notes(told, report.LABELS, report.CHANGE_THRESHOLDS),
         "scored": scored,
+        "scorecard": logs.scorecard(finished, {"model": "p_home", "elo": "p_elo_home", "vegas": "p_vegas_home"}),
+        "weekly": logs.weekly_loss(finished.filter(F.col("season") == season), "p_home", "y"),
         "outlook": report.outlook(f.log("season_sim", SNAPSHOT)),
     }
     report.write_dataset(parts, f"{f.path}/report")
@@ -212,6 +242,7 @@ def parser() -> argparse.ArgumentParser:
             c.add_argument("--seasons", type=int, nargs="*")
         if name == "backtest":
             c.add_argument("--tune-features", action="store_true")
+            c.add_argument("--kinds", nargs="*", default=list(tuning.MODELS), help="model families to try")
         if name == "holdout":
             c.add_argument("--force", action="store_true")
         if name == "predict":

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Iterator, Mapping
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -51,18 +54,36 @@ def cumulative(df: DataFrame, p: str, y: str, order: str) -> DataFrame:
     return per.select(order, F.sum("c").over(w).alias("n"), (F.sum("s").over(w) / F.sum("c").over(w)).alias("log_loss"))
 
 
-def bootstrap(df: DataFrame, metric: Callable[[], Column], key: str, draws: int = 300, low: float = 0.05, high: float = 0.95) -> DataFrame:
-    """(low, high) of a weighted-mean metric under a Poisson bootstrap: each row counts in each draw as often as a hash of (row, draw) says.
+def bootstrap(df: DataFrame, losses: Mapping[str, Column], key: str, draws: int = 300, low: float = 0.05, high: float = 0.95) -> DataFrame:
+    """(metric, low, high) of each mean loss under a Poisson bootstrap: a row counts in a draw as often as a hash of (row, draw) says.
 
-    metric() is a per-row loss column; rows are not collected, and each draw is one partial sum.
+    One pass keeps every draw's weighted sums for all losses; no row is repeated.  A task hands on as many rows
+    as there are draws and losses.
     """
-    n = F.pmod(F.xxhash64(F.col(key), F.col("draw")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    # Poisson(1) by its distribution function
-    cuts = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183)
-    weight = sum((F.when(n > c, 1).otherwise(0) for c in cuts), F.lit(0))
-    drawn = df.withColumn("__loss", metric()).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("__w", weight)
-    per = drawn.groupBy("draw").agg((F.sum(F.col("__w") * F.col("__loss")) / F.sum("__w")).alias("value"))
-    return per.agg(F.percentile("value", low).alias("low"), F.percentile("value", high).alias("high"))
+    names = list(losses)
+    ready = df.select(F.xxhash64(key).alias("h"), *[losses[n].cast("double").alias(f"l{i}") for i, n in enumerate(names)])
+    cuts = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(8)])  # Poisson(1) by its distribution function
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        weighted, count = np.zeros((draws, len(names))), np.zeros((draws, len(names)))
+        salt = (np.arange(1, draws + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
+        for b in batches:
+            for at in range(0, len(b), 4096):
+                some = b.iloc[at : at + 4096]
+                x = some["h"].to_numpy(np.int64).astype(np.uint64)[None, :] ^ salt
+                x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                times = np.searchsorted(cuts, ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) / float(1 << 53), side="right")
+                values = some[[f"l{i}" for i in range(len(names))]].to_numpy(float)
+                known = ~np.isnan(values)
+                weighted += times @ np.where(known, values, 0.0)
+                count += times @ known
+        d, m = np.indices(weighted.shape)
+        yield pd.DataFrame({"draw": d.ravel(), "metric": m.ravel(), "s": weighted.ravel(), "n": count.ravel()})
+
+    per = ready.mapInPandas(run, "draw int, metric int, s double, n double").groupBy("metric", "draw").agg((F.sum("s") / F.nullif(F.sum("n"), F.lit(0.0))).alias("value"))
+    named = F.element_at(F.array(*map(F.lit, names)), F.col("metric") + 1)
+    return per.groupBy(named.alias("metric")).agg(F.percentile("value", low).alias("low"), F.percentile("value", high).alias("high"))
 
 
 def home_rate(df: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Weighted ridge regression from per-season moments, classifiers, trees and margin distributions.
+"""Weighted ridge regression from per-season moments, and logistic regressions.
 
 A recency weight depends on the season alone, so one aggregate of moments per season is enough to fit every
 walk-forward fold: folds are weighted sums of at most a few dozen blocks, and the rows are read once.
@@ -10,14 +10,14 @@ import json
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from hashlib import sha1
-from pathlib import Path
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fieldmark.functions.expressions import PPF_90, let, normal_cdf, outcome, recency_weight
+from fieldmark.functions.expressions import recency_weight
+from fieldmark.sources.store import Store
 
 
 def gram(df: DataFrame, features: Sequence[str], target: str, keys: Sequence[str] = ("season",)) -> DataFrame:
@@ -67,7 +67,11 @@ class Ridge:
     intercept: float
 
     def predict(self) -> Column:
-        return sum(self.contributions().values(), F.lit(float(self.intercept)))
+        """One product of arrays; a sum of as many terms as features makes Catalyst's constraints grow without bound."""
+        b = self.coefficient / self.scale
+        x = F.array(*[F.col(f).cast("double") for f in self.features])
+        given = F.array(*[F.lit(float(v)) for v in b])
+        return F.aggregate(F.zip_with(given, x, lambda c, v: c * v), F.lit(float(self.intercept - b @ self.mean)), lambda a, v: a + v)
 
     def contributions(self) -> dict[str, Column]:
         """Each feature's scaled value times its coefficient."""
@@ -98,19 +102,6 @@ def fit_ridge(seasons: dict[int, Moments], features: Sequence[str], alpha: float
     return Ridge(list(features), mean, scale, w, float(yc - zc @ w))
 
 
-@dataclass
-class GaussianMargin:
-    """P(margin > 0) and an 80 % interval around a predicted margin."""
-
-    sigma: float
-
-    def probability(self, predicted: Column) -> Column:
-        return normal_cdf(predicted / F.lit(float(self.sigma)))
-
-    def interval(self, predicted: Column) -> tuple[Column, Column]:
-        return predicted - PPF_90 * float(self.sigma), predicted + PPF_90 * float(self.sigma)
-
-
 def walk_forward_ridge(df: DataFrame, features: Sequence[str], target: str, seasons: Sequence[int], alpha: float = 300.0, half_life: float | None = 12.0) -> tuple[DataFrame, dict[int, Ridge]]:
     """Predictions of each season's rows by a model of all earlier seasons; rows are read for the moments and for scoring only."""
     moments = season_moments(df.filter(F.col(target).isNotNull()), features, target)
@@ -121,33 +112,6 @@ def walk_forward_ridge(df: DataFrame, features: Sequence[str], target: str, seas
     return df.filter(F.col("season").isin(list(models))).withColumn("predicted_margin", predicted), models
 
 
-def out_of_fold_sigma(moments: dict[int, Moments], features: Sequence[str], alpha: float, half_life: float | None, folds: int) -> float:
-    """Root mean squared out-of-fold error over the last folds, from moments alone."""
-    seasons = sorted(moments)[2:][-folds:]
-    error = n = 0.0
-    for s in seasons:
-        model = fit_ridge({k: m for k, m in moments.items() if k < s}, features, alpha, half_life, s - 1)
-        error, n = error + model.squared_error(moments[s]), n + moments[s].n
-    return float(np.sqrt(error / n)) if n else float("nan")
-
-
-def kernel_probability(test: DataFrame, training: DataFrame, bandwidth: float, key: str = "game_id") -> DataFrame:
-    """(key, p_win) by a Gaussian kernel on predicted margins; ties of the actual margin count half.
-
-    training is first reduced to counts for each (rounded prediction, outcome), which bounds the pairs by the
-    grid and not by the training rows.
-    """
-    grid = training.groupBy(F.round(F.col("predicted"), 1).alias("at"), outcome(F.col("margin")).alias("won")).agg(F.count("*").alias("n")).filter("won is not null")
-    cells = grid.agg(F.collect_list(F.struct("at", "won", "n")).alias("cells"))  # one row for each tenth of a point and outcome
-    values = test.select(F.col("predicted").alias("x")).distinct()  # each prediction is worked out once
-    joined = values.join(F.broadcast(cells.withColumn("__one", F.lit(1))), F.lit(1) == F.col("__one"))
-    z2 = F.transform("cells", lambda c: F.pow((F.col("x") - c.at) / bandwidth, 2))
-    w = let(z2, lambda z: let(F.array_min(z), lambda least: F.zip_with("cells", z, lambda c, v: F.struct((F.exp(-(v - least) / 2) * c.n).alias("w"), c.won.alias("won")))))
-    both = F.aggregate(w, F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("b")), lambda s, c: F.struct((s.a + c.w * c.won).alias("a"), (s.b + c.w).alias("b")))
-    per = joined.select("x", both.alias("s")).select("x", (F.col("s.a") / F.col("s.b")).alias("p_win"))
-    return test.select(key, F.col("predicted").alias("x")).join(per, "x", "left").select(key, "p_win")
-
-
 def weighted_quantile(weights: DataFrame, key: str, value: str, weight: str, q: float) -> DataFrame:
     """(key, quantile): the first value in order whose cumulative weight reaches the share q."""
     per = weights.groupBy(key, value).agg(F.sum(weight).alias("w"))
@@ -175,9 +139,11 @@ class Logistic:
 
     def column(self, values: dict[str, Column] | None = None) -> Column:
         """The probability; values has the features that are no columns of that name."""
-        x = values or {f: F.col(f) for f in self.features}
-        parts = ((x[f] - m) / s * k for f, m, s, k in zip(self.features, self.mean, self.scale, self.coefficient, strict=True))
-        return 1 / (1 + F.exp(-sum(parts, F.lit(self.intercept))))
+        x = values or {f: F.col(f).cast("double") for f in self.features}
+        b = np.array(self.coefficient) / np.array(self.scale)
+        given = F.array(*[F.lit(float(v)) for v in b])
+        start = F.lit(float(self.intercept - b @ np.array(self.mean)))
+        return 1 / (1 + F.exp(-F.aggregate(F.zip_with(given, F.array(*[x[f] for f in self.features]), lambda c, v: c * v), start, lambda a, v: a + v)))
 
 
 def fit_logistic(df: DataFrame, features: Sequence[str] | dict[str, Column], y: str, c: float = 1.0, weight: str | None = None) -> Logistic:
@@ -209,55 +175,37 @@ def logit(p: Column) -> Column:
     return F.log(clipped / (1 - clipped))
 
 
-def fit_platt(df: DataFrame, p: str, y: str) -> Column:
-    """A logistic rescaling of a probability's logit; the fitted probability as a column."""
-    return fit_classifier(df, {"logit": logit(F.col(p))}, y, c=1e6)
-
+def newton_logistic(rows: DataFrame, c: float, rounds: int = 30, tolerance: float = 1e-10) -> dict[int, Logistic]:
+    """For each fold of (fold, x, y): a logistic regression of y on x, scaled, with penalty 1 / (c * rows), by Newton's method.
 
-@dataclass
-class KernelMargin:
-    """P(margin > 0) and an 80 % interval from the actual margins of games with like predictions.
-
-    counts has (predicted in tenths, actual margin, games); answers are worked out once for each tenth of a point
-    from low to high and looked up, so their size is bounded by the scale of margins and not by any table.
+    Every round is one grouping by fold, whatever the number of folds; five sums a fold reach the driver.
     """
+    stats = {r.fold: r for r in rows.groupBy("fold").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"), F.count("*").alias("n")).collect()}
+    fit = {k: np.zeros(2) for k in stats}
+    scale = {k: float(r.s) or 1.0 for k, r in stats.items()}
+    for _ in range(rounds):
+        table = F.create_map(*[F.lit(v) if not isinstance(v, list) else F.array(*map(F.lit, v)) for k in fit for v in (int(k), [float(fit[k][0]), float(fit[k][1]), float(stats[k].m), scale[k]])])
+        given = rows.withColumn("__b", F.element_at(table, F.col("fold").cast("int")))
+        z = (F.col("x") - F.col("__b")[2]) / F.col("__b")[3]
+        p = 1 / (1 + F.exp(-(F.col("__b")[0] + F.col("__b")[1] * z)))
+        told = given.select("fold", z.alias("z"), (p - F.col("y")).alias("e"), (p * (1 - p)).alias("v"))
+        got = told.groupBy("fold").agg(F.sum("e").alias("g0"), F.sum(F.col("e") * F.col("z")).alias("g1"), F.sum("v").alias("h00"), F.sum(F.col("v") * F.col("z")).alias("h01"), F.sum(F.col("v") * F.col("z") * F.col("z")).alias("h11")).collect()
+        moved = 0.0
+        for r in got:
+            penalty = 1 / c
+            g = np.array([r.g0, r.g1 + penalty * fit[r.fold][1]])
+            step = np.linalg.lstsq(np.array([[r.h00, r.h01], [r.h01, r.h11 + penalty]]), g, rcond=None)[0]
+            step *= min(1.0, 5.0 / max(1e-300, float(np.abs(step).max())))
+            fit[r.fold] = fit[r.fold] - step
+            moved = max(moved, float(np.abs(step).max()))
+        if moved < tolerance:
+            break
+    return {k: Logistic(["logit"], [float(stats[k].m)], [scale[k]], [float(fit[k][1])], float(fit[k][0])) for k in fit}
 
-    counts: list[tuple[int, int, int]]
-    bandwidth: float = 2.0
-    reach: int = 1000
 
-    @staticmethod
-    def of(df: DataFrame, predicted: str, actual: str, bandwidth: float) -> KernelMargin:
-        at = F.greatest(F.least(F.round(F.col(predicted) * 10), F.lit(1000)), F.lit(-1000)).cast("int")
-        rows = df.groupBy(at.alias("at"), F.col(actual).cast("int").alias("actual")).agg(F.count("*").alias("n")).orderBy("at", "actual").collect()
-        return KernelMargin([(r.at, r.actual, r.n) for r in rows], bandwidth)
-
-    def answers(self) -> np.ndarray:
-        """(probability, low, high) for each tenth from -reach to reach."""
-        at, actual, n = (np.array(c, float) for c in zip(*self.counts, strict=True))
-        order = np.argsort(actual, kind="stable")
-        at, actual, n = at[order], actual[order], n[order]
-        out = np.empty((2 * self.reach + 1, 3))
-        for k, x in enumerate(range(-self.reach, self.reach + 1)):
-            z2 = ((at - x) / 10 / self.bandwidth) ** 2
-            w = n * np.exp(-0.5 * (z2 - z2.min()))
-            cdf = np.cumsum(w / w.sum())
-            out[k] = w @ ((actual > 0) + 0.5 * (actual == 0)) / w.sum(), actual[np.argmax(cdf >= 0.1 - 1e-12)], actual[np.argmax(cdf >= 0.9 - 1e-12)]
-        return out
-
-    def columns(self, predicted: Column) -> tuple[Column, Column, Column]:
-        place = F.greatest(F.least(F.round(predicted * 10), F.lit(self.reach)), F.lit(-self.reach)).cast("int") + self.reach + 1
-        return tuple(F.element_at(F.array(*map(F.lit, column.tolist())), place) for column in self.answers().T)
-
-
-def fit_trees(df: DataFrame, features: Sequence[str], target: str, weight: str, trees: int = 60, depth: int = 3, rate: float = 0.05, seed: int = 0):
-    """Boosted regression trees of the Spark family (not leaf-wise, no additive contributions)."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
-    stages = [VectorAssembler(inputCols=list(features), outputCol="__x"), GBTRegressor(featuresCol="__x", labelCol=target, weightCol=weight, maxIter=trees, maxDepth=depth, stepSize=rate, seed=seed)]
-    return Pipeline(stages=stages).fit(df)
+def fit_platt(df: DataFrame, p: str, y: str) -> Column:
+    """A logistic rescaling of a probability's logit; the fitted probability as a column."""
+    return fit_classifier(df, {"logit": logit(F.col(p))}, y, c=1e6)
 
 
 def weighted_mean(value: str, season: str, reference: int, half_life: float) -> Column:
@@ -279,6 +227,7 @@ class ModelConfig:
     bandwidth: float = 2.0
     ensemble_weight: float = 0.0
     classifier_c: float = 0.1
+    trees: dict = field(default_factory=dict)
 
     def __post_init__(self):
         if self.kind not in ("ridge", "trees") or self.distribution not in ("gaussian", "kernel"):
@@ -287,12 +236,12 @@ class ModelConfig:
     def fingerprint(self) -> str:
         return sha1(json.dumps(self.__dict__, sort_keys=True).encode()).hexdigest()[:8]
 
-    def save(self, path: str) -> None:
-        Path(path).write_text(json.dumps(self.__dict__, sort_keys=True, indent=1))
+    def save(self, store: Store, name: str = "config.json") -> None:
+        store.write_json(name, self.__dict__)
 
     @staticmethod
-    def load(path: str) -> ModelConfig:
-        return ModelConfig(**json.loads(Path(path).read_text()))
+    def load(store: Store, name: str = "config.json") -> ModelConfig:
+        return ModelConfig(**store.read_json(name))
 
 
 def coordinate_descent(grids: dict[str, Sequence], score, start: dict, margin: float = 3e-4) -> tuple[dict, list[tuple[dict, float]]]:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from fieldmark.functions.expressions import replaced, roster_bucket
 from fieldmark.operators.asof import asof_join, expanding_before, indexed
+from fieldmark.sources.store import OWN, Keep, unkept
 
 FIRST_SNAP_SEASON, LOOKBACK, STARTER_SHARE, LEAST_APPEARANCES, LEAST_CASES, DURABILITY_GAMES = 2013, 4, 0.5, 2, 50, 8
 REPLACEMENT_OPPS, REPLACEMENT_QUANTILE = 20, 0.25
@@ -135,14 +136,14 @@ def skill_baselines(stats: DataFrame, seasons: DataFrame) -> DataFrame:
     )
 
 
-def skill_quality(wanted: DataFrame, stats: DataFrame, games: DataFrame, params: AvailabilityParams) -> DataFrame:
+def skill_quality(wanted: DataFrame, stats: DataFrame, games: DataFrame, params: AvailabilityParams, keep: Keep = unkept) -> DataFrame:
     """wanted (game_id, player, grp, season, kickoff_utc) with `worth`: value over replacement, shrunk, of this and last season's games before the start."""
     rows = stats.drop("season").join(games.select("game_id", F.col("season").alias("s"), F.col("kickoff_utc").alias("t")), "game_id")
     past = rows.select(F.col("player_id").alias("player"), "s", "t", *[F.coalesce(c, F.lit(0)).cast("double").alias(c) for c in ("targets", "receiving_epa", "carries", "rushing_epa")])
     near = wanted.join(past, "player").filter("t < kickoff_utc and s >= season - 1")
     sums = near.groupBy("game_id", "player").agg(F.sum("targets").alias("t"), F.sum("carries").alias("c"), F.sum(F.col("receiving_epa") + F.col("rushing_epa")).alias("epa"))
-    base = skill_baselines(stats, games)
-    out = wanted.join(sums, ["game_id", "player"], "left").join(F.broadcast(base), ["season", "grp"], "left")
+    base = keep("skill-baselines", skill_baselines(stats, games))
+    out = wanted.join(sums, ["game_id", "player"], "left").join(base, ["season", "grp"], "left")
     t, c, epa = (F.coalesce(x, F.lit(0.0)) for x in ("t", "c", "epa"))
     mix = F.when(t + c > 0, t / (t + c)).otherwise(F.coalesce("mix", F.lit(0.5)))
     prior = F.coalesce(mix * F.col("catch") + (1 - mix) * F.col("carry"), F.lit(0.0))
@@ -174,7 +175,7 @@ def mid_ranks(asked: DataFrame, values: DataFrame) -> DataFrame:
     return placed.join(ranges, ["grp", "season", "range"]).select("grp", "season", "v", below.alias("below"), (below + F.col("n")).alias("upto"), "of")
 
 
-def contract_quality(wanted: DataFrame, contracts: DataFrame, players: DataFrame) -> DataFrame:
+def contract_quality(wanted: DataFrame, contracts: DataFrame, players: DataFrame, keep: Keep = unkept) -> DataFrame:
     """wanted (player, grp, season, ...) with `worth`: half plus the mid-rank of the player's latest earlier contract among the group's.
 
     The rank is against the group asked for, which need not be the contract's own.
@@ -182,7 +183,7 @@ def contract_quality(wanted: DataFrame, contracts: DataFrame, players: DataFrame
     usable = contracts.filter("year_signed > 0 and apy_cap_pct is not null and gsis_id is not null")
     signed = usable.select(F.col("gsis_id").alias("player"), F.col("year_signed").alias("__y"), F.col("apy_cap_pct").alias("apy"))
     asked = wanted.select("player", "grp", "season").distinct()
-    own = asof_join(asked, signed, ["player"], "season", "__y", ["apy"], ties=["apy"])
+    own = keep(OWN + "contracts", asof_join(asked, signed, ["player"], "season", "__y", ["apy"], ties=["apy"]))
     values = usable.select(group_of(F.col("position"), CONTRACT_POSITIONS).alias("grp"), "year_signed", F.col("apy_cap_pct").alias("v")).filter("grp is not null")
     ranks = mid_ranks(own.filter("apy is not null").select("grp", "season", F.col("apy").alias("v")), values).withColumnRenamed("v", "apy")
     info = players.select(F.col("gsis_id").alias("player"), roster_bucket(F.col("draft_round")).alias("bucket"))
@@ -206,35 +207,38 @@ def lineman_quality(wanted: DataFrame, sides: DataFrame, rows: DataFrame, histor
     return held.join(info, "player", "left").select("game_id", "team", "player", "grp", F.greatest(F.lit(0.0), base * (1 - w + w * F.col("durability"))).alias("worth"))
 
 
-def availability(games: DataFrame, snaps: DataFrame, injuries: DataFrame, players: DataFrame, player_stats: DataFrame, contracts: DataFrame, params: AvailabilityParams = AvailabilityParams(), lookback: int = LOOKBACK) -> DataFrame:
+def availability(games: DataFrame, snaps: DataFrame, injuries: DataFrame, players: DataFrame, player_stats: DataFrame, contracts: DataFrame, params: AvailabilityParams = AvailabilityParams(), lookback: int = LOOKBACK, keep: Keep = unkept) -> DataFrame:
     """One row a game with {home,away}_{off_out,def_out,out_<group>}; null where the side's week was not reported, it has no
-    earlier snaps, or the season has none."""
-    rows = snap_rows(games, snaps, players)
-    history = team_history(rows)
+    earlier snaps, or the season has none.
+
+    What does not depend on params is passed through keep: snaps, their games, sides and candidates.
+    """
+    rows = keep("snap-rows", snap_rows(games, snaps, players))
+    history = keep("snap-games", team_history(rows))
     both = F.inline(F.array(F.struct(F.lit("home").alias("side"), F.col("home_team").alias("team")), F.struct(F.lit("away").alias("side"), F.col("away_team").alias("team"))))
-    sides = games_before(games.select("game_id", "season", "week", "kickoff_utc", both), history)
-    gated = sides.filter((F.col("season") >= FIRST_SNAP_SEASON) & F.col("prior").isNotNull()).join(F.broadcast(reported_weeks(injuries)), ["season", "week", "team"], "left_semi")
-    cands = candidates(gated, rows, history, lookback)
+    sides = keep("snap-sides", games_before(games.select("game_id", "season", "week", "kickoff_utc", both), history))
+    cands = keep(f"candidates-{lookback}", candidates(sides, rows, history, lookback))
+    gated = sides.filter((F.col("season") >= FIRST_SNAP_SEASON) & F.col("prior").isNotNull()).join(reported_weeks(injuries), ["season", "week", "team"], "left_semi")
     listed = report_lists(injuries).filter("out or questionable")
     out = gated.join(listed, ["season", "week", "team"]).join(cands, ["game_id", "team", "player"])
     if params.questionable:
-        rates = miss_rates(questionable_cases(sides, candidates(sides, rows, history, lookback), rows, injuries), games)
-        out = out.withColumn("practice", F.coalesce("practice", F.lit("none"))).join(F.broadcast(rates), ["season", "practice"], "left")
+        rates = keep("miss-rates", miss_rates(questionable_cases(sides, cands, rows, injuries), games))
+        out = out.withColumn("practice", F.coalesce("practice", F.lit("none"))).join(rates, ["season", "practice"], "left")
         out = out.withColumn("weight", F.when(F.col("out"), 1.0).otherwise(F.col("miss_rate")))
     else:
         out = out.filter("out").withColumn("weight", F.lit(1.0))
     info = players.select(F.col("gsis_id").alias("player"), F.col("position").alias("listed_position")).dropDuplicates(["player"])
     out = out.join(info, "player", "left").withColumn("grp", F.coalesce(group_of(F.col("position")), group_of(F.col("listed_position"))))
-    out = out.withColumn("share", F.when(F.col("grp").isin(*OFFENSE), F.col("off_avg")).otherwise(F.col("def_avg")))
+    out = keep(f"absent-{params.questionable}", out.withColumn("share", F.when(F.col("grp").isin(*OFFENSE), F.col("off_avg")).otherwise(F.col("def_avg"))))
     if params.mode in ("values", *POOLED):
         wanted = out.filter(F.col("share") >= STARTER_SHARE).select("game_id", "team", "player", "grp", "season", "kickoff_utc")
         if params.mode == "values_contract":
-            worth = contract_quality(wanted, contracts, players)
+            worth = contract_quality(wanted, contracts, players, keep=keep)
         else:
-            worth = skill_quality(wanted.filter(F.col("grp").isin("wrte", "rb")), player_stats, games, params).select("game_id", "team", "player", "worth")
+            worth = skill_quality(wanted.filter(F.col("grp").isin("wrte", "rb")), player_stats, games, params, keep).select("game_id", "team", "player", "worth")
             line = lineman_quality(wanted.filter(~F.col("grp").isin("wrte", "rb")).select("game_id", "team", "player", "grp"), gated, rows, history, players, params)
             worth = worth.unionByName(line.select("game_id", "team", "player", "worth"))
-        out = out.join(worth.select("game_id", "team", "player", "worth"), ["game_id", "team", "player"], "left")
+        out = out.join(keep(OWN + "worth", worth.select("game_id", "team", "player", "worth")), ["game_id", "team", "player"], "left")
     else:
         out = out.withColumn("worth", F.lit(1.0))
 

@@ -82,7 +82,7 @@ def prepare_games(schedule: DataFrame, venues: DataFrame, first_season: int = FI
     local = F.to_timestamp(F.concat_ws(" ", "gameday", "gametime"), "yyyy-MM-dd HH:mm")
     fallback = F.when(F.col("roof_default") == "retractable", "closed").otherwise(F.col("roof_default"))
     return (
-        games.join(F.broadcast(venues.select("stadium_id", "roof_default")), "stadium_id")
+        games.join(venues.select("stadium_id", "roof_default"), "stadium_id")
         .withColumns({
             "kickoff_utc": F.to_utc_timestamp(local, "America/New_York"),
             "neutral": F.coalesce(F.col("location") == "Neutral", F.lit(False)),
@@ -139,7 +139,7 @@ def expected_starters(games: DataFrame, depth: DataFrame, now: datetime) -> Data
     best = latest(depth.filter(F.col("dt") <= at), ["team"], ["dt", "qb_id"], ["qb_id"])
     out = games
     for side in ("home", "away"):
-        known = F.broadcast(best.select(F.col("team").alias(f"{side}_team"), F.col("qb_id").alias("__known")))
+        known = best.select(F.col("team").alias(f"{side}_team"), F.col("qb_id").alias("__known"))
         upcoming = F.col("margin").isNull() & (F.col("kickoff_utc") > at) & F.col("__known").isNotNull()
         out = out.join(known, f"{side}_team", "left").withColumn(f"{side}_qb_id", F.when(upcoming, F.col("__known")).otherwise(F.col(f"{side}_qb_id"))).drop("__known")
     return out.select(games.columns)
@@ -149,7 +149,7 @@ def season_timing(games: DataFrame) -> DataFrame:
     """(game_id, week_number, is_final_regular_week, is_playoff)."""
     regular = F.col("game_type") == "REG"
     final = games.filter(regular).groupBy("season").agg(F.max("week").alias("__final"))
-    joined = games.join(F.broadcast(final), "season", "left")
+    joined = games.join(final, "season", "left")
     return joined.select("game_id", F.col("week").alias("week_number"), flag(F.coalesce(regular & (F.col("week") == F.col("__final")), F.lit(False))).alias("is_final_regular_week"), flag(~regular).alias("is_playoff"))
 
 
@@ -164,13 +164,13 @@ def home_venues(games: DataFrame) -> DataFrame:
 def situational(games: DataFrame, venues: DataFrame, altitude: bool = False) -> DataFrame:
     """Home field, rest, travel, body clock and venue facts of each game."""
     place = venues.select("stadium_id", "lat", "lon", "tz", "elevation_m")
-    base = home_venues(games).join(F.broadcast(place), "stadium_id")
-    out = games.join(F.broadcast(place), "stadium_id")
+    base = home_venues(games).join(place, "stadium_id")
+    out = games.join(place, "stadium_id")
     ko, new_york = F.col("kickoff_utc"), F.lit("America/New_York")
     made: dict[str, Column] = {}
     for side in ("home", "away"):
         own = base.select(F.col("team").alias(f"{side}_team"), "season", *[F.col(c).alias(f"__{side}_{c}") for c in ("lat", "lon", "tz", "elevation_m")])
-        out = out.join(F.broadcast(own), [f"{side}_team", "season"])
+        out = out.join(own, [f"{side}_team", "season"])
         rest = F.coalesce(f"{side}_rest", F.lit(7))
         zone = F.col(f"__{side}_tz")
         local = F.from_utc_timestamp(ko, zone)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
@@ -95,7 +96,7 @@ def tracked_side(predictions: DataFrame, team: str) -> DataFrame:
         "game_id", home.alias("tracked_home"), F.when(home, F.col("away_team")).otherwise(F.col("home_team")).alias("opponent"),
         flip("p_home").alias("p"), F.when(home, F.col("margin_home")).otherwise(-F.col("margin_home")).alias("margin"),
         F.when(home, F.col("margin_lo")).otherwise(-F.col("margin_hi")).alias("margin_lo"), F.when(home, F.col("margin_hi")).otherwise(-F.col("margin_lo")).alias("margin_hi"),
-        flip("p_vegas").alias("p_vegas"),
+        flip("p_vegas").alias("p_vegas"), *[F.transform(c, lambda x: x.withField("points", F.bround(F.when(home, x.points).otherwise(-x.points), 2))).alias(c) for c in ("top_factors",) if c in predictions.columns],
     )
 
 
@@ -110,13 +111,19 @@ def weekly_loss(scored: DataFrame, p: str, y: str, week: str = "week") -> DataFr
     return cumulative(scored, p, y, week)
 
 
+def largest(points: Mapping[str, Column], k: int = 6) -> Column:
+    """The k largest contributions by size as an array of (size, i, feature, points), ties in order of the mapping."""
+    given = F.arrays_zip(F.array(*[F.lit(f) for f in points]).alias("feature"), F.array(*points.values()).alias("points"))
+    entries = F.transform(given, lambda e, i: F.struct((-F.abs(e.points)).alias("size"), i.alias("i"), e.feature.alias("feature"), e.points.alias("points")))
+    return F.slice(F.array_sort(entries), 1, k)
+
+
 def top_factors(df: DataFrame, key: str, columns: list[str], k: int = 6) -> DataFrame:
     """(key, feature, points, rank): each row's k largest contributions by size, ties in order of the columns.
 
     Ranked inside the row, so nothing is shuffled.
     """
-    entries = F.array(*[F.struct((-F.abs(F.col(c))).alias("size"), F.lit(i).alias("i"), F.lit(c).alias("feature"), F.col(c).alias("points")) for i, c in enumerate(columns)])
-    best = F.slice(F.array_sort(entries), 1, k)
+    best = largest({c: F.col(c) for c in columns}, k)
     return df.select(key, F.posexplode(best).alias("pos", "e")).select(key, "e.feature", "e.points", (F.col("pos") + 1).cast("long").alias("rank"))
 
 
@@ -129,6 +136,48 @@ def run_changes(log: DataFrame, key: str, at: str, thresholds: dict[str, float],
     return out.withColumn("notes", F.when(F.size(notes) == 0, F.array(F.lit("no change"))).otherwise(notes))
 
 
+def change_notes(log: DataFrame, labels: Mapping[str, str], thresholds: Mapping[str, float]) -> DataFrame:
+    """(game_id, predicted_at, from_run, to_run, p_delta, margin_delta, notes): what changed between each prediction of a game and the one before.
+
+    Notes come in this order: the injury report, at most three moves of factors, weather, the market, the model;
+    one that says so where nothing did.
+    """
+    w = W.partitionBy("game_id").orderBy("predicted_at")
+    now, before = F.struct(*[F.col(c) for c in log.columns]), F.lag(F.struct(*[F.col(c) for c in log.columns])).over(w)
+    pairs = log.select(now.alias("b"), before.alias("a")).filter("a is not null")
+    a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
+
+    def signed(x: Column, form: str = "%.1f") -> Column:
+        return F.regexp_replace(F.format_string(form, x), "-", "\u2212")
+
+    final = F.when(b("is_final_injury_report") & ~a("is_final_injury_report"), F.lit("Final injury report for this week now included"))
+    newer = F.when(b("latest_injury_week").isNotNull() & ~b("latest_injury_week").eqNullSafe(a("latest_injury_week")), F.format_string("Week %d injury report now included", b("latest_injury_week")))
+    named = F.create_map(*[F.lit(x) for kv in labels.items() for x in kv])
+
+    def told(m: Column) -> Column:
+        name = F.coalesce(F.element_at(named, m.feature), m.feature)
+        moved = F.concat(name, F.lit(" "), signed(m.points_before), F.lit(" \u2192 "), signed(m.points_now), F.lit(" pts"))
+        entered = F.concat(name, F.lit(" is now a top factor ("), signed(m.points_now, "%+.1f"), F.lit(" pts)"))
+        return F.when(m.kind == "moved", moved).when(m.kind == "entered", entered).otherwise(F.concat(name, F.lit(" dropped out of the top factors")))
+
+    def change(c: str, text: str, form: str, unit: str) -> Column:
+        x, y = a(f"weather.{c}"), b(f"weather.{c}")
+        return F.when(F.abs(y - x) >= thresholds[c], F.format_string(f"{text} {form} \u2192 {form}{unit}", x, y))
+
+    forecast = F.when((a("weather.source") == "climatology") & (b("weather.source") == "forecast"), F.lit("Weather now from the forecast (was a monthly average)"))
+    weather = [forecast, change("temp_f", "Temperature", "%.0f", "\u00b0F"), change("wind_mph", "Wind", "%.0f", " mph"), change("precip_in", "Precipitation", "%.2f", " in")]
+    market = F.when(F.abs(b("p_vegas") - a("p_vegas")) >= thresholds["p_vegas"] - 1e-12, F.format_string("Vegas benchmark %.0f%% \u2192 %.0f%%", a("p_vegas") * 100, b("p_vegas") * 100))
+    model = F.when(b("model_version") != a("model_version"), F.concat(F.lit("Model retrained ("), b("model_version"), F.lit(")")))
+    none = F.array().cast("array<string>")
+    factors = F.coalesce(F.transform(factor_moves(b("top_factors"), a("top_factors"), thresholds["factor"]), told), none)
+    notes = F.concat(F.array_compact(F.array(F.coalesce(final, newer))), factors, F.array_compact(F.array(*weather, market, model)))
+    kept = F.when(F.size(notes) > 0, notes).otherwise(F.array(F.lit("No meaningful input changes since the last run.")))
+    return pairs.select(
+        "b.game_id", "b.predicted_at", a("run_type").alias("from_run"), b("run_type").alias("to_run"), F.bround((b("p") - a("p")) * 100, 1).alias("p_delta"),
+        F.bround(b("margin") - a("margin"), 1).alias("margin_delta"), kept.alias("notes"),
+    )
+
+
 def factor_changes(now: Column, before: Column) -> tuple[Column, Column, Column]:
     """Feature names that stayed, came and went between two arrays of factors."""
     a, b = F.transform(now, lambda f: f.feature), F.transform(before, lambda f: f.feature)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fieldmark.functions.expressions import starter_bucket
 from fieldmark.operators.asof import asof_join, expanding_before, latest
+from fieldmark.sources.store import Keep, unkept
 
 LEAST_PRIOR = 500
 BUCKETS = ("round_1", "day_2", "day_3_udfa")
@@ -36,7 +37,7 @@ def bucket_priors(rows: DataFrame, seasons: DataFrame, least: int = LEAST_PRIOR)
         return F.when(F.col(prefix + den) > 0, F.col(prefix + num) / F.col(prefix + den)).otherwise(F.lit(0.0))
 
     enough = F.col("dropbacks") >= least
-    return own.join(F.broadcast(pooled), "season").select(
+    return own.join(pooled, "season").select(
         "season", "bucket",
         F.when(enough, rate("", "qb_epa_sum", "dropbacks")).otherwise(rate("all_", "qb_epa_sum", "dropbacks")).alias("prior_epa"),
         F.when(enough, rate("", "cpoe_sum", "cpoe_n")).otherwise(rate("all_", "cpoe_sum", "cpoe_n")).alias("prior_cpoe"),
@@ -48,20 +49,21 @@ def latest_starters(rows: DataFrame) -> DataFrame:
     return latest(rows, ["team", "game_id", "kickoff_utc"], ["dropbacks", "qb_id"], ["qb_id"])
 
 
-def passer_features(games: DataFrame, passer_games: DataFrame, players: DataFrame, params: PasserParams = PasserParams()) -> DataFrame:
-    """(game_id, {home,away}_qb_{epa,cpoe,bucket}) of the scheduled, else the team's last starter, from games before the start."""
+def passer_features(games: DataFrame, passer_games: DataFrame, players: DataFrame, params: PasserParams = PasserParams(), keep: Keep = unkept) -> DataFrame:
+    """(game_id, {home,away}_qb_{epa,cpoe,bucket}) of the scheduled, else the team's last starter, from games before the start.
+
+    What does not depend on params is passed through keep: the passers' games and the expected passer of each side.
+    """
     info = players.select(F.col("gsis_id").alias("qb_id"), "draft_round", "rookie_season")
-    rows = passer_games.drop("season").join(games.select("game_id", "season", "kickoff_utc"), "game_id")
+    rows = keep("passer-games", passer_games.drop("season").join(games.select("game_id", "season", "kickoff_utc"), "game_id"))
     young = rows.join(info, "qb_id").filter(F.col("rookie_season").isNotNull() & (F.col("season") - F.col("rookie_season") <= 1)).withColumn("bucket", starter_bucket(F.col("draft_round")))
-    priors = bucket_priors(young.select("season", "bucket", *SUMS), games)
+    priors = keep("passer-priors", bucket_priors(young.select("season", "bucket", *SUMS), games))
     starts = latest_starters(rows)
 
-    sides = None
-    for side in ("home", "away"):
-        one = games.select("game_id", "season", "kickoff_utc", F.lit(side).alias("side"), F.col(f"{side}_team").alias("team"), F.col(f"{side}_qb_id").alias("named"))
-        sides = one if sides is None else sides.unionByName(one)
+    both = F.inline(F.array(*[F.struct(F.lit(side).alias("side"), F.col(f"{side}_team").alias("team"), F.col(f"{side}_qb_id").alias("named")) for side in ("home", "away")]))
+    sides = games.select("game_id", "season", "kickoff_utc", both)
     expected = asof_join(sides, starts, ["team"], "kickoff_utc", "kickoff_utc", ["qb_id"], ties=["game_id"])
-    expected = expected.withColumn("qb_id", F.coalesce(F.when(F.length("named") > 0, F.col("named")), "qb_id"))
+    expected = keep("expected-passers", expected.withColumn("qb_id", F.coalesce(F.when(F.length("named") > 0, F.col("named")), "qb_id")))
 
     # a passer's games before the start in the window: joined on the passer, summed per side
     past = rows.select("qb_id", F.col("season").alias("s"), F.col("kickoff_utc").alias("t"), *SUMS)
@@ -72,7 +74,7 @@ def passer_features(games: DataFrame, passer_games: DataFrame, players: DataFram
         .withColumn("bucket", starter_bucket(F.col("draft_round")))
         .join(sums, ["game_id", "side"], "left")
         .fillna(0, list(SUMS))
-        .join(F.broadcast(priors), ["season", "bucket"])
+        .join(priors, ["season", "bucket"])
     )
     k = params.prior_dropbacks
     rated = rated.select(

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from fieldmark.operators.asof import running_before
 from fieldmark.operators.contests import renamed_teams
 from fieldmark.operators.fold import adjusted_ratings
+from fieldmark.sources.store import OWN, Keep, unkept
 
 FUMBLE_EPA = -2.69
 SCRIMMAGE, SPECIAL = ("pass", "run"), ("field_goal", "punt", "kickoff", "extra_point")
@@ -59,57 +62,83 @@ def passer_totals(plays: DataFrame) -> DataFrame:
     return renamed_teams(own, ["team"])
 
 
-def both_sides(totals: DataFrame, numerator: str, denominator: str | None) -> DataFrame:
-    """(game_id, team, off, def): a team's value for each play and its opponent's, where both are known."""
-    value = F.col(numerator) if denominator is None else F.when(F.col(denominator) != 0, F.col(numerator) / F.col(denominator))
-    own = totals.select("game_id", F.struct("team", "opponent", value.alias("off")).alias("side")).filter("side.off is not null")
+def sided_values(totals: DataFrame, stats: Mapping[str, tuple[str, str | None]]) -> DataFrame:
+    """(game_id, team, <prefix>off, <prefix>def): a team's value for each play and its opponent's; both null where either is unknown.
+
+    All statistics of a game's two sides meet in one grouping.
+    """
+
+    def value(numerator: str, denominator: str | None) -> Column:
+        return F.col(numerator).cast("double") if denominator is None else F.when(F.col(denominator) != 0, F.col(numerator) / F.col(denominator))
+
+    own = totals.select("game_id", F.struct("team", "opponent", *[value(*nd).alias(f"v_{p}") for p, nd in stats.items()]).alias("side"))
     games = own.groupBy("game_id").agg(F.collect_list("side").alias("sides"))  # the two sides of a game
     pairs = games.select("game_id", F.explode("sides").alias("me"), "sides")
-    other = F.filter("sides", lambda s: s.team == F.col("me.opponent"))
-    return pairs.select("game_id", "me.team", "me.off", F.get(other, F.lit(0)).off.alias("def")).filter("def is not null")
+    other = F.get(F.filter("sides", lambda s: s.team == F.col("me.opponent")), F.lit(0))
+    met = pairs.select("game_id", "me", other.alias("other"))
+    both = {p: F.col(f"me.v_{p}").isNotNull() & F.col(f"other.v_{p}").isNotNull() for p in stats}
+    return met.select("game_id", "me.team", *[F.when(both[p], F.col(f"{side}.v_{p}")).alias(f"{p}{name}") for p in stats for side, name in (("me", "off"), ("other", "def"))])
 
 
-def _with_priors(rows: DataFrame, values: DataFrame, params: RatingParams) -> DataFrame:
-    """rows with deviations off, def and the season's priors, all measured from the season before."""
-    known = rows.join(values, ["game_id", "team"], "left")
-    season = known.filter("off is not null").groupBy("season").agg(F.avg("off").alias("league"))
-    team = known.filter("off is not null").groupBy("team", "season").agg(F.avg("off").alias("team_off"), F.avg("def").alias("team_def"))
-    up = F.col("season") + 1
-    known = known.join(F.broadcast(season.select(up.alias("season"), "league")), "season", "left").join(team.select("team", up.alias("season"), "team_off", "team_def"), ["team", "season"], "left")
+def both_sides(totals: DataFrame, numerator: str, denominator: str | None) -> DataFrame:
+    """(game_id, team, off, def) of one statistic, where both are known."""
+    return sided_values(totals, {"": (numerator, denominator)}).filter("off is not null")
 
-    def prior(c: str) -> Column:
-        return F.coalesce(params.prior_regression * (F.col(c) - F.col("league")), F.lit(0.0))
 
-    center = F.coalesce("league", F.lit(0.0))
+def with_priors(rows: DataFrame, values: DataFrame, params: RatingParams, prefixes: Sequence[str] = ("",)) -> DataFrame:
+    """rows with, for each statistic, its deviations off and def and the season's priors, all measured from the season before; k is what the prior is worth."""
+    known = rows.join(values, ["game_id", "team"], "left")
+    both = [(p, s) for p in prefixes for s in ("off", "def")]
+    per_team = known.groupBy("team", "season").agg(
+        *[F.avg(f"{p}{s}").alias(f"team_{p}{s}") for p, s in both],
+        *[x for p in prefixes for x in (F.sum(f"{p}off").alias(f"sum_{p}off"), F.count(f"{p}off").alias(f"n_{p}off"))],
+    )
+    up = F.col("season") + 1
+    # the league's mean from the teams' sums: the games are grouped once
+    league = per_team.groupBy(up.alias("season")).agg(*[F.try_divide(F.sum(f"sum_{p}off"), F.sum(f"n_{p}off")).alias(f"league_{p}") for p in prefixes])
+    prior_year = per_team.select("team", up.alias("season"), *[f"team_{p}{s}" for p, s in both])
+    known = known.join(league, "season", "left").join(prior_year, ["team", "season"], "left")
+    made: dict[str, Column] = {}
+    for p, s in both:
+        made[f"prior_{p}{s}"] = F.coalesce(params.prior_regression * (F.col(f"team_{p}{s}") - F.col(f"league_{p}")), F.lit(0.0))
+        made[f"{p}{s}"] = F.col(f"{p}{s}") - F.coalesce(f"league_{p}", F.lit(0.0))
     k = F.when(F.coalesce("new_head_coach", F.lit(0)) == 1, params.prior_games_new_coach).otherwise(params.prior_games)
-    return known.withColumns({"prior_off": prior("team_off"), "prior_def": prior("team_def"), "off": F.col("off") - center, "def": F.col("def") - center, "k": k})
+    return known.withColumns(made | {"k": k}).drop(*[f"team_{p}{s}" for p, s in both], *[f"league_{p}" for p in prefixes])
 
 
-def shrunk(rows: DataFrame, values: DataFrame, params: RatingParams = RatingParams(), at: str = "kickoff_utc") -> DataFrame:
-    """(game_id, team, off_rating, def_rating): the prior, worth k games, and the deviations of the season's earlier games."""
-    ready = _with_priors(rows, values, params)
+def shrunk(rows: DataFrame, values: DataFrame, params: RatingParams = RatingParams(), at: str = "kickoff_utc", prefixes: Sequence[str] = ("",), keep: Keep = unkept) -> DataFrame:
+    """(game_id, team, <prefix>off_rating, <prefix>def_rating): the prior, worth k games, and the deviations of the season's earlier games."""
+    ready = with_priors(rows, values, params, prefixes)
+    names = [f"{p}{s}_rating" for p in prefixes for s in ("off", "def")]
     if params.opponent_adjust:
-        return adjusted_ratings(ready, at=at)
+        ready = keep(OWN + "rating-rows", ready)
+        base = ["game_id", "team", "season", "opponent", "k", at]
+        one = [adjusted_ratings(ready.select(*base, *[F.col(f"{x}{p}{s}").alias(f"{x}{s}") for x in ("", "prior_") for s in ("off", "def")]), at=at).withColumnsRenamed({f"{s}_rating": f"{p}{s}_rating" for s in ("off", "def")}) for p in prefixes]
+        return reduce(lambda a, b: a.join(b, ["game_id", "team"]), one)
     when = F.unix_micros(at) if dict(ready.dtypes)[at] == "timestamp" else F.col(at)
-    run = running_before(ready.withColumn("__at", when), ["team", "season"], "__at", {"__o": F.col("off"), "__d": F.col("def"), "__n": F.when(F.col("off").isNotNull(), 1.0)})
-    n = F.col("k") + F.col("__n")
-    return run.select("game_id", "team", ((F.col("k") * F.col("prior_off") + F.col("__o")) / n).alias("off_rating"), ((F.col("k") * F.col("prior_def") + F.col("__d")) / n).alias("def_rating"))
-
-
-def team_ratings(team_rows: DataFrame, totals: DataFrame, coach_flags: DataFrame, params: RatingParams = RatingParams()) -> DataFrame:
-    """All RATING_COLUMNS for each game and team; statistics that are off or missing are 0."""
-    rows = team_rows.select("game_id", "team", "opponent", "season", "kickoff_utc").join(coach_flags.select("game_id", "team", "new_head_coach"), ["game_id", "team"], "left")
-    out = rows.select("game_id", "team")
-    zero = F.lit(0.0)
-    for prefix, (num, den) in STATS.items():
-        names = [f"{prefix}off_rating", f"{prefix}def_rating"]
-        if (prefix and not params.extra_stats) or not {num, den} <= set(totals.columns):
-            out = out.withColumns(dict.fromkeys(names, zero))
-        else:
-            one = shrunk(rows, both_sides(totals, num, den), params)
-            out = out.join(one.select("game_id", "team", F.col("off_rating").alias(names[0]), F.col("def_rating").alias(names[1])), ["game_id", "team"])
-    if params.special_teams and "st_epa_sum" in totals.columns:
-        net = both_sides(totals, "st_epa_sum", None).select("game_id", "team", (F.col("off") - F.col("def")).alias("off"), F.lit(0.0).alias("def"))
+    sums = {f"__{p}{s}": F.col(f"{p}{s}") for p in prefixes for s in ("off", "def")} | {f"__n_{p}": F.when(F.col(f"{p}off").isNotNull(), 1.0) for p in prefixes}
+    run = running_before(ready.withColumn("__at", when), ["team", "season"], "__at", sums)
+
+    def rating(p: str, s: str) -> Column:
+        return (F.col("k") * F.col(f"prior_{p}{s}") + F.col(f"__{p}{s}")) / (F.col("k") + F.col(f"__n_{p}"))
+
+    return run.select("game_id", "team", *[rating(p, s).alias(f"{p}{s}_rating") for p in prefixes for s in ("off", "def")]).select("game_id", "team", *names)
+
+
+def team_ratings(team_rows: DataFrame, totals: DataFrame, coach_flags: DataFrame | None = None, params: RatingParams = RatingParams(), keep: Keep = unkept) -> DataFrame:
+    """All RATING_COLUMNS for each game and team; statistics that are off or missing are 0.
+
+    coach_flags may be None where team_rows has new_head_coach.
+    """
+    rows = team_rows.select("game_id", "team", "opponent", "season", "kickoff_utc", *(["new_head_coach"] if coach_flags is None else []))
+    if coach_flags is not None:
+        rows = rows.join(coach_flags.select("game_id", "team", "new_head_coach"), ["game_id", "team"], "left")
+    used = {p: nd for p, nd in STATS.items() if (params.extra_stats or not p) and set(nd) <= set(totals.columns)}
+    special = params.special_teams and "st_epa_sum" in totals.columns
+    values = keep(f"sided-values-{len(used)}{special}", sided_values(totals, used | ({"st_": ("st_epa_sum", None)} if special else {})))
+    out = shrunk(rows, values.drop("st_off", "st_def"), params, prefixes=list(used), keep=keep)
+    if special:
+        net = values.select("game_id", "team", (F.col("st_off") - F.col("st_def")).alias("off"), F.when(F.col("st_off").isNotNull(), 0.0).alias("def"))
         plain = RatingParams(params.prior_regression, params.prior_games, params.prior_games_new_coach)
-        return out.join(shrunk(rows, net, plain).select("game_id", "team", F.col("off_rating").alias("st_rating")), ["game_id", "team"])
-    return out.withColumn("st_rating", zero)
+        out = out.join(shrunk(rows, net, plain).select("game_id", "team", F.col("off_rating").alias("st_rating")), ["game_id", "team"])
+    return out.select("game_id", "team", *[F.col(c) if c in out.columns else F.lit(0.0).alias(c) for c in RATING_COLUMNS])

@@ -80,11 +80,24 @@ def fill_archive(games: DataFrame, kept: DataFrame, now: datetime, fetch: Callab
     return merged(kept, fresh)
 
 
-def running_climatology(archive: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, t, sums and counts of the three variables up to and with t), carried by an as-of join."""
-    per = archive.groupBy(*keys, F.col("time_utc").alias("t")).agg(*[x for c in INDOOR_VALUES for x in (F.coalesce(F.sum(c), F.lit(0.0)).alias(f"s_{c}"), F.count(c).alias(f"n_{c}"))])
-    w = W.partitionBy(*keys).orderBy("t").rowsBetween(W.unboundedPreceding, 0)
-    return per.select(*keys, "t", *[F.sum(f"{p}_{c}").over(w).alias(f"{p}_{c}") for c in INDOOR_VALUES for p in ("s", "n")])
+def climate_before(games: DataFrame, archive: DataFrame, keys: list[str]) -> DataFrame:
+    """games (game_id, kickoff_utc, keys) with s_ and n_ of each variable: sums and counts of the archive's hours of the same keys before the start.
+
+    Days are summed first and carried by an as-of join, so a window holds one row a day and not every hour;
+    the hours of the game's own day come by an equality join.
+    """
+    day = F.to_date("time_utc").alias("day")
+    sums = {f"s_{c}": F.coalesce(F.sum(c), F.lit(0.0)) for c in INDOOR_VALUES} | {f"n_{c}": F.count(c) for c in INDOOR_VALUES}
+    daily = archive.groupBy(*keys, day).agg(*[v.alias(k) for k, v in sums.items()])
+    w = W.partitionBy(*keys).orderBy("day").rowsBetween(W.unboundedPreceding, 0)
+    upto = daily.select(*keys, "day", *[F.sum(k).over(w).alias(k) for k in sums])
+    dated = games.withColumn("__day", F.to_date("kickoff_utc"))
+    out = asof_join(dated, upto, keys, "__day", "day", list(sums))
+    hours = archive.select(*keys, day, "time_utc", *INDOOR_VALUES)
+    own = dated.select("game_id", "kickoff_utc", *keys, F.col("__day").alias("day")).join(hours, [*keys, "day"]).filter("time_utc < kickoff_utc")
+    own = own.groupBy("game_id").agg(*[v.alias(f"__{k}") for k, v in sums.items()])
+    both = out.drop("__day").join(own, "game_id", "left")
+    return both.withColumns({k: F.coalesce(k, F.lit(0)) + F.coalesce(f"__{k}", F.lit(0)) for k in sums}).drop(*[f"__{k}" for k in sums])
 
 
 def game_weather(games: DataFrame, weather: DataFrame) -> DataFrame:
@@ -100,9 +113,8 @@ def game_weather(games: DataFrame, weather: DataFrame) -> DataFrame:
     archive = weather.filter("source = 'archive'").withColumn("month", F.month("time_utc"))
     out = outside.join(observed, "game_id", "left")
     for prefix, keys in (("v", ["stadium_id", "month"]), ("l", ["month"])):
-        sums = running_climatology(archive, keys)
-        columns = [c for c in sums.columns if c not in (*keys, "t")]
-        out = asof_join(out, sums.withColumnsRenamed({c: f"{prefix}_{c}" for c in columns}), keys, "kickoff_utc", "t", [f"{prefix}_{c}" for c in columns])
+        known = climate_before(outside.select("game_id", "kickoff_utc", *keys), archive, keys)
+        out = out.join(known.select("game_id", *[F.col(f"{x}_{c}").alias(f"{prefix}_{x}_{c}") for c in INDOOR_VALUES for x in ("s", "n")]), "game_id", "left")
 
     def ladder(c: str):
         scale = HOURS if c == "precip_in" else 1

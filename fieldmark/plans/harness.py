@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fieldmark.functions import expressions as X
-from fieldmark.models import evaluation, regression
+from fieldmark.models import evaluation, margins, regression
 from fieldmark.operators import asof, availability, contests, fold, logs, passers, ratings, simulation, weather
 from fieldmark.plans.contest_view import contests as contest_view
 from fieldmark.plans.contest_view import sides, sql, table
@@ -443,16 +443,16 @@ PHI = "0.5 + exp(-x * x / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0,
 @query("normal_cdf_probability", f"WITH m AS (SELECT DISTINCT CAST(floor(o_totalprice) AS BIGINT) % 41 - 20 AS margin, (CAST(floor(o_totalprice) AS BIGINT) % 41 - 20) / 13.5::DOUBLE AS x FROM orders) SELECT margin, round({PHI}, 6) AS p FROM m")
 def normal_cdf_probability(spark, d):
     margin = F.floor("o_totalprice").cast("long") % 41 - 20
-    return table(spark, d, "orders").select(margin.alias("margin")).distinct().select("margin", r6(regression.GaussianMargin(13.5).probability(F.col("margin").cast("double"))).alias("p"))
+    return table(spark, d, "orders").select(margin.alias("margin")).distinct().select("margin", r6(margins.GaussianMargin(13.5).probability(F.col("margin").cast("double"))).alias("p"))
 
 
-GRID = "train AS (SELECT round((p_model - 0.5) * 20, 1) AS spot, CASE WHEN margin > 0 THEN 1::DOUBLE WHEN margin < 0 THEN 0::DOUBLE ELSE 0.5::DOUBLE END AS won, count(*) AS n FROM contest WHERE season < 1998 GROUP BY 1, 2), test AS (SELECT game_id, (p_model - 0.5) * 20 AS x FROM contest WHERE season >= 1998)"
+GRID = "train AS (SELECT (p_model - 0.5) * 20 AS spot, CASE WHEN margin > 0 THEN 1::DOUBLE WHEN margin < 0 THEN 0::DOUBLE ELSE 0.5::DOUBLE END AS won, count(*) AS n FROM contest WHERE season < 1998 GROUP BY 1, 2), test AS (SELECT game_id, (p_model - 0.5) * 20 AS x FROM contest WHERE season >= 1998)"
 
 
 @query("kernel_margin_probability", sql("SELECT game_id, round(sum(exp(-(z - least_z) / 2) * n * won) / sum(exp(-(z - least_z) / 2) * n), 6) AS p_win FROM (SELECT game_id, n, won, pow((x - spot) / 3, 2) AS z, min(pow((x - spot) / 3, 2)) OVER (PARTITION BY game_id) AS least_z FROM test CROSS JOIN train) GROUP BY 1", GRID))
 def kernel_margin_probability(spark, d):
     games = contest_view(spark, d).withColumn("predicted", (F.col("p_model") - 0.5) * 20)
-    out = regression.kernel_probability(games.filter("season >= 1998"), games.filter("season < 1998"), 3.0)
+    out = margins.kernel_probability(games.filter("season >= 1998"), games.filter("season < 1998"), 3.0)
     return out.select("game_id", r6("p_win").alias("p_win"))
 
 

@@ -24,6 +24,7 @@ SCHEMAS = {
     "contracts": "gsis_id string, position string, year_signed long, apy_cap_pct double",
     "weather": "stadium_id string, time_utc timestamp, temp_f double, wind_mph double, precip_in double, source string",
     "depth_qb": "team string, dt timestamp, qb_id string",
+    "forecast": "stadium_id string, time_utc timestamp, temp_f double, wind_mph double, precip_in double, source string",
     "venues": "stadium_id string, name string, lat double, lon double, tz string, roof_default string, elevation_m double",
 }
 #: First season that a per-season table has.
@@ -35,6 +36,11 @@ def schema(name: str) -> T.StructType:
     return T.StructType.fromDDL(SCHEMAS[name])
 
 
+def names(ddl: str) -> list[str]:
+    """The columns of a schema, in order."""
+    return T.StructType.fromDDL(ddl).names
+
+
 def shaped(df: DataFrame, name: str) -> DataFrame:
     """df's columns of the table, cast, in the table's order; others are left out."""
     return df.select(*[F.col(f.name).cast(f.dataType) for f in schema(name).fields])

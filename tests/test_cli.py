@@ -5,7 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldmark import cli
-from fieldmark.models import production
+from fieldmark.models import production, tuning
+from fieldmark.operators.features import PARTS
+from fieldmark.sources.store import Store
 from tests.synthetic import TEAMS, league
 
 
@@ -29,7 +31,7 @@ def test_commands_from_features_to_report(spark, folder):
     assert spark.read.parquet(f"{folder}/features").count() == 60
     run("backtest", "--seasons", "2013", "2014")
     made = json.loads(open(f"{folder}/backtest.json").read())
-    assert set(made["methods"]) == {"home", "elo", "rate", "vegas"} and set(made["seasons"]) == {"2013", "2014"} and made["margin_mae"] > 0
+    assert set(made["methods"]) == {"model", "home", "elo", "vegas"} and set(made["seasons"]) == {"2013", "2014"} and made["margin_mae"] > 0
     run("holdout", "--seasons", "2014")
     with pytest.raises(SystemExit):
         run("holdout", "--seasons", "2014")
@@ -53,7 +55,7 @@ def test_commands_from_features_to_report(spark, folder):
     record = spark.read.json(f"{folder}/report/record").head()
     assert record.wins + record.losses + record.ties == 5
     with pytest.raises(SystemExit):
-        production.Model.load(f"{folder}/model.json", cli.ModelConfig(alpha=1.0))
+        production.Model.load(Store(spark, folder), config=cli.ModelConfig(alpha=1.0))
 
 
 def test_walk_forward_uses_only_the_past(spark, folder):
@@ -63,33 +65,66 @@ def test_walk_forward_uses_only_the_past(spark, folder):
     assert {r.game_id: pytest.approx(r.p_home) for r in production.walk_forward(changed, [2013]).collect()} == whole
 
 
-@pytest.mark.parametrize("config", [{"distribution": "kernel", "platt": True, "ensemble_weight": 0.3}, {"kind": "trees"}])
+@pytest.mark.parametrize("config", [{"distribution": "kernel", "platt": True, "ensemble_weight": 0.3}, {"kind": "trees", "trees": {"trees": 3, "leaves": 3, "least": 5}}])
 def test_every_setting_of_the_config_counts(spark, folder, tmp_path, config):
-    """Against a plain ridge the settings change what is predicted; a stored model predicts as the fitted one."""
+    """Against a plain ridge the settings change what is predicted; a stored model predicts as the fitted one; contributions add up."""
     frame = spark.read.parquet(f"{folder}/features").filter("season < 2014").cache()
     config = cli.ModelConfig(inner_folds=1, **config)
     model = production.fit_model(frame, config)
     usual = {r.game_id: r.p_home for r in production.fit_model(frame).predict(frame).collect()}
     got = {r.game_id: (r.p_home, r.margin_lo, r.margin_hi, r.p_vegas or 0.5) for r in model.predict(frame).collect()}
     assert all(0 < p < 1 and lo <= hi and 0 < v < 1 for p, lo, hi, v in got.values()) and any(abs(got[g][0] - p) > 1e-6 for g, p in usual.items())
-    model.save(str(tmp_path / "model.json"))
-    again = production.Model.load(str(tmp_path / "model.json"), config)
+    store = Store(spark, str(tmp_path))
+    model.save(store)
+    again = production.Model.load(store, config=config)
     assert {r.game_id: pytest.approx((r.p_home, r.margin_lo, r.margin_hi, r.p_vegas or 0.5)) for r in again.predict(frame).collect()} == got
+    base = again.regressor.expected() if config.kind == "trees" else again.regressor.intercept
+    parts = again.predict(frame).limit(4).select("margin_home", sum(again.contributions().values(), F.lit(0.0)).alias("sum")).collect()
+    assert all(r.margin_home == pytest.approx(base + r.sum) for r in parts)
     with pytest.raises(ValueError):
         cli.ModelConfig(kind="forest")
 
 
-def test_kernel_answers_equal_plain_weights():
-    from math import exp
-
-    from fieldmark.models.regression import KernelMargin
-
-    pairs = [(0, 3, 2), (5, -3, 1), (-12, 0, 1), (40, 10, 3)]
-    answers = KernelMargin(pairs, 2.0).answers()
-    for x in (-100, -7, 0, 33):
-        w = [(a, n * exp(-0.5 * ((p - x) / 10 / 2.0) ** 2)) for p, a, n in pairs]
-        total = sum(v for _, v in w)
-        assert answers[1000 + x][0] == pytest.approx(sum(v * (a > 0) + 0.5 * v * (a == 0) for a, v in w) / total)
+def test_folds_at_once_equal_single_fits(spark, folder):
+    """What a walk-forward predicts of a season is what a model of the seasons before predicts, with every part of the model in use."""
+    frame = spark.read.parquet(f"{folder}/features")
+    config = cli.ModelConfig(inner_folds=2, distribution="kernel", platt=True, ensemble_weight=0.3)
+    walked = {r.game_id: (r.p_home, r.margin_home, r.p_vegas or 0.5) for r in production.walk_forward(frame, [2014], config).collect()}
+    single = production.fit_model(frame.filter("season < 2014"), config).predict(frame.filter("season = 2014 and margin is not null"))
+    assert {r.game_id: pytest.approx((r.p_home, r.margin_home, r.p_vegas or 0.5), abs=1e-4) for r in single.collect()} == walked
+    score = production.report(production.walk_forward(frame, [2013, 2014]), "AAA", draws=50)
+    assert score["team"]["n"] == 11 and all(lo <= m["log_loss"] <= hi for m in score["methods"].values() for lo, hi in [m["log_loss_ci90"]])
+    assert sum(b["n"] for b in score["methods"]["model"]["calibration"]) == score["methods"]["model"]["n"]
+
+
+def test_feature_stages_build_only_what_they_change(spark, folder):
+    f = cli.Folder(spark, folder, "AAA")
+    parts = f.parts(cli.clock("2014-10-12T18:00:00"))
+    stages = [tuning.Stage("passers", "passer", tuning.PASSERS[:2], fresh=True), tuning.Stage("altitude", "altitude", [{"altitude": True}])]
+    seen = []
+
+    def loss(frame):
+        seen.append(frame.columns)
+        return 0.7 - 0.1 * (len(seen) == 2) - 0.0001 * (len(seen) == 3)
+
+    best, trials = tuning.tune_features(parts, [2013], stages=stages, loss=loss)
+    assert best.passer.prior_dropbacks == 250.0 and not best.altitude and [t["stage"] for t in trials] == ["passers", "passers", "altitude", "altitude"] and len(seen) == 3
+    assert sorted(k.split("-")[0] for k in parts.built) == sorted([*PARTS, "passers", "situation"])
+    frame = parts.features(best)
+    assert frame.select("away_altitude_gain_km").distinct().count() == 1
+    f.store.write_json("features.json", cli.asdict(best))
+    assert f.feature_params() == best
+    f.store.delete("features.json")
+
+
+def test_model_stages():
+    def loss(c):
+        return 0.6 + (c.kind == "ridge") * 0.0015 + abs(c.alpha - 300) * 1e-7 + abs(c.half_life - 6) * 1e-5 - 0.001 * (c.distribution == "kernel" and c.bandwidth == 2.0) - 0.001 * (c.ensemble_weight == 0.3) + 0.001 * c.platt
+
+    best, trials = tuning.tune_model(None, [2013], loss=loss)
+    assert (best.kind, best.alpha, best.half_life, best.distribution, best.bandwidth, best.ensemble_weight, best.platt) == ("ridge", 300.0, 6.0, "kernel", 2.0, 0.3, False)
+    assert len(trials) == 18 + 3 + 2 + 1
+    assert tuning.tune_model(None, [2013], loss=lambda c: 0.6 - 0.01 * (c.kind == "trees"))[0].kind == "trees"
 
 
 def test_clock():

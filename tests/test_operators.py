@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from fieldmark.functions import expressions as X
 from fieldmark.operators import asof, availability, contests, fold, logs, passers, ratings, simulation, weather
-from fieldmark.operators.features import FEATURE_COLUMNS, ID_COLUMNS, build_features
+from fieldmark.operators.features import FEATURE_COLUMNS, ID_COLUMNS, FeatureParams, Parts
 from fieldmark.operators.report import LABELS
 from tests.synthetic import TEAMS, league
 
@@ -188,17 +188,28 @@ def test_weather_ladder(spark, data):
         assert r["weather_source"] == "climatology" and r["temp_f"] == pytest.approx(sum(o.temp_f for o in own) / len(own) if own else 70.0)
 
 
-@pytest.mark.parametrize("mode", ["count", "values", "values_contract"])
-def test_as_of_truncation_changes_no_feature(spark, mode):
+def test_as_of_truncation_changes_no_feature(spark):
+    """What is known before a game is all that its features say; a second setting makes only the parts that read it; every plan is short."""
     made, venues = league(spark)
-    params = {"available": availability.AvailabilityParams(mode=mode, questionable=True), "rating": ratings.RatingParams(opponent_adjust=mode == "values", special_teams=True)}
-    full = rows_of(build_features(made, venues, **params), "game_id")
-    assert len(full) == made.games.count() and [*ID_COLUMNS, *FEATURE_COLUMNS] == list(next(iter(full.values())))
-    target = sorted(full.values(), key=lambda r: (r["kickoff_utc"], r["game_id"]))[-5]
-    seen = rows_of(build_features(made.as_of(target["kickoff_utc"]), venues, **params).filter(F.col("game_id") == target["game_id"]), "game_id")[target["game_id"]]
-    for c in [*FEATURE_COLUMNS, "elo_home_pre", "weather_source"]:
-        assert seen[c] == (pytest.approx(target[c], abs=1e-9) if isinstance(target[c], float) else target[c]), c
-    assert seen["margin"] is None
+    last = sorted(made.games.collect(), key=lambda g: (g.kickoff_utc, g.game_id))[-5]
+    full, early = Parts(made, venues), Parts(made.as_of(last.kickoff_utc), venues)
+    plans = {}
+    for parts in (full, early):
+        wrote = parts.store.write_table
+        parts.store.write_table = lambda df, name, wrote=wrote: (plans.update({name: df._jdf.queryExecution().executedPlan().toString().count("Exchange")}), wrote(df, name))[1]
+    for mode in ("count", "values", "values_contract"):
+        params = FeatureParams(available=availability.AvailabilityParams(mode=mode, questionable=True), rating=ratings.RatingParams(opponent_adjust=mode == "values", special_teams=True))
+        known = set(full.built)
+        rows = rows_of(full.features(params), "game_id")
+        assert len(rows) == made.games.count() and [*ID_COLUMNS, *FEATURE_COLUMNS] == list(next(iter(rows.values())))
+        assert not known or {k.split("-")[0] for k in set(full.built) - known} <= {"availability", "ratings", "coaches"}
+        seen = rows_of(early.features(params).filter(F.col("game_id") == last.game_id), "game_id")[last.game_id]
+        for c in [*FEATURE_COLUMNS, "elo_home_pre", "weather_source"]:
+            want = rows[last.game_id][c]
+            assert seen[c] == (pytest.approx(want, abs=1e-9) if isinstance(want, float) else want), (mode, c)
+        assert seen["margin"] is None
+    assert max(plans.values()) <= 48, plans
+    assert full.features(params)._jdf.queryExecution().executedPlan().toString().count("Exchange") <= 24
 
 
 def test_labels_cover_features():
