@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import argparse
 import time
+from collections.abc import Callable
 from dataclasses import asdict, replace
 from datetime import UTC, datetime, timedelta
 from hashlib import sha1
@@ -27,6 +28,7 @@ from fieldmark.sources import tables
 from fieldmark.sources.store import Store
 
 TABLES = ("games", "team_epa", "qb_games", "injuries", "snaps", "players", "weather", "player_stats", "contracts")
+HORIZON_DAYS = 16
 # fixed values: keys of the log records
 PREDICTION = "game_id string, run_type string, predicted_at timestamp, kickoff_utc timestamp, opponent string, tracked_home boolean, p double, margin double, margin_lo double, margin_hi double, p_vegas double, model_version string, is_final_injury_report boolean, weather struct<source:string,temp_f:double,wind_mph:double,precip_in:double>, latest_injury_week long, top_factors array<struct<feature:string,points:double>>"
 LEAGUE = "game_id string, season long, week long, predicted_at timestamp, kickoff_utc timestamp, home_team string, away_team string, p_home double, margin_home double, p_vegas_home double, p_elo_home double, model_version string"
@@ -52,22 +54,37 @@ class Folder:
     def table(self, name: str) -> DataFrame:
         return tables.shaped(self.spark.read.parquet(f"{self.path}/{name}"), name)
 
-    def weather(self, games: DataFrame, now: datetime) -> DataFrame:
-        """The archive and, where a command has left them, forecasts of games to come."""
-        kept = self.table("weather")
-        if not self.store.exists("forecast"):
-            return kept
-        return weather.merged(self.table("forecast"), kept)
+    def weather(self) -> DataFrame:
+        """The archive with what fills have committed, and forecasts for hours that it lacks."""
+        kept = weather.archive(self.store, self.table("weather"))
+        return weather.merged(self.table("forecast"), kept) if self.store.exists("forecast") else kept
+
+    def payloads(self, name: str, source: str) -> Callable[[DataFrame], DataFrame]:
+        """A fetch that answers from the table of payloads (stadium_id, payload) of that name."""
+        return lambda asked: weather.parse_hourly(self.spark.read.parquet(self.store.path(name)).join(asked.select("stadium_id").distinct(), "stadium_id", "left_semi"), source)
+
+    def fill(self, now: datetime) -> None:
+        """Bring the weather archive up to date from the payloads at hand, venue by venue."""
+        if self.store.exists("archive_payloads"):
+            weather.resume_archive(self.store, self.table("games"), self.table("weather"), now, self.payloads("archive_payloads", "archive"))
+
+    def forecast(self, now: datetime) -> None:
+        """Forecast rows for the hours of the games of the next days, from the payloads at hand."""
+        if self.store.exists("forecast_payloads"):
+            at = F.lit(now).cast("timestamp")
+            soon = self.table("games").filter((F.col("kickoff_utc") > at) & (F.col("kickoff_utc") <= at + F.expr(f"INTERVAL {HORIZON_DAYS} DAYS")))
+            rows = weather.forecast_rows(soon, self.payloads("forecast_payloads", "forecast")).filter("temp_f is not null")
+            self.store.write_table(tables.shaped(rows, "forecast"), "forecast")
 
     def data(self, now: datetime) -> contests.Dataset:
         data = contests.Dataset(**{t: self.table(t) for t in TABLES})
         games = contests.expected_starters(data.games, self.table("depth_qb"), now) if self.store.exists("depth_qb") else data.games  # no depth chart: the games keep their starters
-        return replace(data, games=games, weather=self.weather(games, now))
+        return replace(data, games=games, weather=self.weather())
 
     def parts(self, now: datetime) -> Parts:
         """The parts of the tables as they are, left by earlier commands where no table has changed since; those of other tables are dropped."""
         dated = now.isoformat() if self.store.exists("depth_qb") else ""  # what a chart tells depends on the time
-        version = sha1(f"{self.store.version([*TABLES, 'venues', 'depth_qb', 'forecast'])} {dated}".encode()).hexdigest()[:16]
+        version = sha1(f"{self.store.version([*TABLES, 'venues', 'depth_qb', 'forecast', 'weather.parts'])} {dated}".encode()).hexdigest()[:16]
         for old in self.store.names("parts"):
             if old != version:
                 self.store.delete(f"parts/{old}")
@@ -99,6 +116,7 @@ def feature_params(told: dict) -> FeatureParams:
 
 
 def features(f: Folder, now: datetime, args) -> None:
+    f.fill(now)
     f.features(now).write.mode("overwrite").parquet(f"{f.path}/features")
 
 
@@ -150,6 +168,7 @@ def predict(f: Folder, now: datetime, args) -> None:
     if due is None or (args.run_type and due[1] != args.run_type):
         return
     model = f.model()
+    f.forecast(now)
     parts = f.parts(now)
     row = parts.store.write_table(parts.features(f.feature_params()).filter(F.col("game_id") == due[0]), "frame-one")
     told = model.predict(row).withColumn("__largest", logs.largest(model.contributions()))
@@ -175,6 +194,7 @@ def predict_league(f: Folder, now: datetime, args) -> None:
     if due.isEmpty():
         return
     model = f.model()
+    f.forecast(now)
     parts = f.parts(now)
     frame = parts.store.write_table(parts.features(f.feature_params()).drop(*[c for c in due.columns if c != "game_id"]).join(due, "game_id"), "frame-due")
     f.append(logs.league_predictions(model.predict(frame), list(FEATURE_COLUMNS), now, model.config.fingerprint()), "league_predictions")

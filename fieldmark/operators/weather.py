@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime, timedelta
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fieldmark.operators.asof import asof_join, hour_grid
+from fieldmark.sources.store import Store
 
 HOURS, ARCHIVE_LAG = 4, timedelta(days=6)
 INDOOR = ("dome", "closed")
@@ -80,6 +82,38 @@ def fill_archive(games: DataFrame, kept: DataFrame, now: datetime, fetch: Callab
     return merged(kept, fresh)
 
 
+def archive(store: Store, kept: DataFrame) -> DataFrame:
+    """kept and what fills have committed since, one row for each (stadium_id, time_utc)."""
+    parts = [store.spark.read.schema(kept.schema).parquet(store.path(f"weather.parts/{p}")) for p in store.names("weather.parts") if not p.endswith(".tmp")]
+    return reduce(merged, parts, kept) if parts else kept
+
+
+def resume_archive(store: Store, games: DataFrame, kept: DataFrame, now: datetime, fetch: Callable[[DataFrame], DataFrame], first_season: int = 2009) -> DataFrame:
+    """fill_archive venue by venue: each venue's hours are committed as a table before the next is asked for.
+
+    A fetch that fails ends the fill; the venues before it stay, and the next fill asks for the rest only.  Hours
+    that came back without a temperature are asked for again.
+    """
+    old = games.filter((F.col("kickoff_utc") < F.lit(now - ARCHIVE_LAG).cast("timestamp")) & (F.col("season") >= first_season))
+    needed = store.write_table(missing_hours(game_hours(old), archive(store, kept)), "weather.needed")
+    for row in needed.select("stadium_id").distinct().orderBy("stadium_id").collect():  # as many as venues
+        mine = needed.filter(F.col("stadium_id") == row.stadium_id)
+        windows = request_windows(mine.select("stadium_id", F.to_date("time_utc").alias("day")))
+        fresh = fetch(windows).filter("temp_f is not null").join(mine, ["stadium_id", "time_utc"], "left_semi").select(*kept.columns)
+        store.write_table(fresh.dropDuplicates(["stadium_id", "time_utc"]), f"weather.parts/{now:%Y%m%d%H%M%S}-{row.stadium_id}")
+    store.delete("weather.needed")
+    return archive(store, kept)
+
+
+def compact_archive(store: Store, kept: DataFrame) -> DataFrame:
+    """The archive as one table `weather`, its parts dropped; a failure between leaves hours twice, which reading evens out."""
+    whole = store.write_table(archive(store, kept), "weather.whole")
+    out = store.write_table(whole, "weather")
+    store.delete("weather.parts")
+    store.delete("weather.whole")
+    return out
+
+
 def climate_before(games: DataFrame, archive: DataFrame, keys: list[str]) -> DataFrame:
     """games (game_id, kickoff_utc, keys) with s_ and n_ of each variable: sums and counts of the archive's hours of the same keys before the start.
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldmark.operators.contests import team_games
+from fieldmark.operators.contests import Dataset, team_games
+from fieldmark.sources.tables import empty
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +46,28 @@ def sides(games: DataFrame) -> DataFrame:
     return rows.select("game_id", "season", "week", F.col("kickoff_utc").alias("kickoff"), "team", "opponent", "is_home", F.col("points_for").alias("margin"), "coach")
 
 
+ZONES = ("America/New_York", "America/Chicago", "America/Denver", "America/Los_Angeles")
+
+
+def dataset(spark: SparkSession, sf_dir: str) -> tuple[Dataset, DataFrame]:
+    """The contests as the library's typed tables, and 30 venues; tables that the harness has nothing for are empty."""
+    c = contests(spark, sf_dir)
+    gone, text = F.lit(None).cast("long"), F.lit(None).cast("string")
+    games = c.select(
+        "game_id", "season", "week", F.when(F.col("neutral"), "POST").otherwise("REG").alias("game_type"), F.timestamp_micros("kickoff").alias("kickoff_utc"), "home_team", "away_team",
+        F.col("margin").alias("home_score"), (-F.col("margin")).alias("away_score"), "margin", "neutral", F.when(F.col("game_id") % 9 == 0, "dome").otherwise("outdoors").alias("roof"), F.col("stadium").alias("stadium_id"),
+        F.when(F.col("game_id") % 5 == 0, gone).otherwise(F.col("game_id") % 16).alias("home_rest"), (F.col("game_id") % 11 + 3).alias("away_rest"), (F.col("game_id") % 4 == 0).alias("div_game"),
+        text.alias("home_qb_id"), text.alias("away_qb_id"), F.col("coach").alias("home_coach"), F.col("coach").alias("away_coach"), F.lit(None).cast("double").alias("spread_line"),
+    )
+    rows = sides(c)
+    sums = rows.select("game_id", "season", "team", "opponent", (F.col("margin").cast("double") + 21 + F.col("game_id") % 7).alias("epa_sum"), F.when(F.col("game_id") % 13 == 0, 0).otherwise(10 + F.col("game_id") % 5).alias("plays"))
+    typed = {t: empty(spark, t) for t in ("qb_games", "injuries", "snaps", "players", "weather", "player_stats", "contracts")}
+    typed = {t: df.withColumns({k: F.col(k).cast("long") for k in ("game_id", "team", "stadium_id") if k in df.columns}) for t, df in typed.items()}
+    k = F.col("id")
+    venues = spark.range(30).select(k.alias("stadium_id"), (k * 7 % 120 - 60).cast("double").alias("lat"), (k * 13 % 300 - 150).cast("double").alias("lon"), F.element_at(F.array(*map(F.lit, ZONES)), (k % 4 + 1).cast("int")).alias("tz"), F.lit("outdoors").alias("roof_default"), (k * 50.0).alias("elevation_m"))
+    return Dataset(games=games, team_epa=sums, **typed), venues
+
+
 SQL = """
 firsts AS (SELECT l_orderkey, l_suppkey FROM (SELECT l_orderkey, l_suppkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey, l_extendedprice, l_quantity, l_shipdate) AS rn FROM lineitem) WHERE rn = 1),
 contest AS (SELECT o_orderkey AS game_id, CAST(year(o_orderdate) AS BIGINT) AS season, CAST((dayofyear(o_orderdate) - 1) // 7 + 1 AS BIGINT) AS week, o_orderdate AS start,

@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from fieldmark.functions import expressions as X
 from fieldmark.models import evaluation, margins, regression
 from fieldmark.operators import asof, availability, contests, fold, logs, passers, ratings, simulation, weather
+from fieldmark.operators.features import FeatureParams, build_features
 from fieldmark.plans.contest_view import contests as contest_view
-from fieldmark.plans.contest_view import sides, sql, table
+from fieldmark.plans.contest_view import dataset, sides, sql, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -369,11 +370,9 @@ SELECT g.game_id, round(coalesce(v.m, l.m, 70::DOUBLE), 6) AS temp FROM game g L
 def climatology_fallback(spark, d):
     obs, games = hourly(spark, d)
     archive = obs.select(F.col("stadium").alias("stadium_id"), F.month("hour").alias("month"), F.col("hour").alias("time_utc"), F.col("temp").alias("temp_f"), F.lit(0.0).alias("wind_mph"), F.lit(0.0).alias("precip_in"))
-    out = games.select("game_id", F.col("stadium").alias("stadium_id"), F.month("at").alias("month"), "at")
-    for p, keys in (("v", ["stadium_id", "month"]), ("l", ["month"])):
-        sums = weather.running_climatology(archive, keys).select(*keys, "t", F.col("s_temp_f").alias(f"{p}_s"), F.col("n_temp_f").alias(f"{p}_n"))
-        out = asof.asof_join(out, sums, keys, "at", "t", [f"{p}_s", f"{p}_n"])
-    return out.select("game_id", r6(F.coalesce(F.col("v_s") / F.col("v_n"), F.col("l_s") / F.col("l_n"), F.lit(70.0))).alias("temp"))
+    asked = games.select("game_id", F.col("stadium").alias("stadium_id"), F.month("at").alias("month"), F.col("at").alias("kickoff_utc"))
+    own, league = (weather.climate_before(asked, archive, keys).select("game_id", F.try_divide("s_temp_f", "n_temp_f").alias(name)) for name, keys in (("v", ["stadium_id", "month"]), ("l", ["month"])))
+    return asked.join(own, "game_id", "left").join(league, "game_id", "left").select("game_id", r6(F.coalesce("v", "l", F.lit(70.0))).alias("temp"))
 
 
 @query("missing_hours", f"WITH {HOURLY}, grid AS (SELECT DISTINCT stadium AS stadium_id, date_trunc('hour', begins) + to_hours(h) AS time_utc FROM game CROSS JOIN (SELECT unnest(range(0, 4)) AS h)) SELECT stadium_id, CAST(epoch(time_utc) AS BIGINT) AS time_utc FROM grid WHERE NOT EXISTS (SELECT 1 FROM obs WHERE obs.stadium = grid.stadium_id AND obs.hour = grid.time_utc)")
@@ -392,6 +391,59 @@ def asof_truncation(spark, d):
     return contests.truncated(games, "start", cutoff, ["margin"]).join(weeks, ["season", "week"], "left_semi").select("game_id", "margin")
 
 
+SITUATION = f"""homes AS (SELECT team, season, stadium FROM (SELECT home_team AS team, season, stadium, row_number() OVER (PARTITION BY home_team, season ORDER BY count(*) DESC, min(kickoff)) AS rn FROM contest WHERE NOT neutral GROUP BY 1, 2, 3) WHERE rn = 1),
+base AS (SELECT t.team, t.season, arg_min(h.stadium, abs(h.season - t.season) * 10 + CASE WHEN h.season > t.season THEN 0 ELSE 1 END) AS stadium FROM (SELECT * FROM (SELECT DISTINCT team FROM side) CROSS JOIN (SELECT DISTINCT season FROM contest)) t JOIN homes h ON h.team = t.team GROUP BY 1, 2),
+venue AS (SELECT k, radians({LAT}) AS lat, radians({LON}) AS lon, CASE k % 4 WHEN 0 THEN 'America/New_York' WHEN 1 THEN 'America/Chicago' WHEN 2 THEN 'America/Denver' ELSE 'America/Los_Angeles' END AS tz, k * 50.0::DOUBLE AS elevation FROM range(0, 30) r(k)),
+placed AS (SELECT c.*, make_timestamp(kickoff) AS u, g.lat AS g_lat, g.lon AS g_lon, g.tz AS g_tz, g.elevation AS g_elevation, h.lat AS h_lat, h.lon AS h_lon, h.tz AS h_tz, a.lat AS a_lat, a.lon AS a_lon, a.tz AS a_tz, a.elevation AS a_elevation
+FROM contest c JOIN base hb ON hb.team = home_team AND hb.season = c.season JOIN base ab ON ab.team = away_team AND ab.season = c.season JOIN venue g ON g.k = c.stadium JOIN venue h ON h.k = hb.stadium JOIN venue a ON a.k = ab.stadium),
+timed AS (SELECT *, timezone(h_tz, timezone('UTC', u)) AS h_local, timezone(a_tz, timezone('UTC', u)) AS a_local, timezone(g_tz, timezone('UTC', u)) AS g_local, timezone('America/New_York', timezone('UTC', u)) AS ny, CASE WHEN game_id % 5 = 0 THEN 7 ELSE game_id % 16 END AS h_rest, game_id % 11 + 3 AS a_rest,
+2 * 3958.8::DOUBLE * asin(sqrt(pow(sin((g_lat - h_lat) / 2), 2) + cos(h_lat) * cos(g_lat) * pow(sin((g_lon - h_lon) / 2), 2))) AS h_miles, 2 * 3958.8::DOUBLE * asin(sqrt(pow(sin((g_lat - a_lat) / 2), 2) + cos(a_lat) * cos(g_lat) * pow(sin((g_lon - a_lon) / 2), 2))) AS a_miles FROM placed),
+situation AS (SELECT game_id, CASE WHEN neutral THEN 0 ELSE 1 END::BIGINT AS home_field, round(CASE WHEN neutral THEN 0 ELSE 1 END * (season - 2015) / 10.0::DOUBLE, 6) AS hfa_trend, (h_rest - a_rest)::BIGINT AS rest_diff, (h_rest >= 13)::BIGINT AS home_post_bye, (a_rest >= 13)::BIGINT AS away_post_bye, (h_rest <= 5)::BIGINT AS home_short_week, (a_rest <= 5)::BIGINT AS away_short_week,
+round(h_miles - a_miles, 6) AS travel_diff, (epoch(g_local) - epoch(h_local)) / 3600.0::DOUBLE AS home_tz_shift, (epoch(g_local) - epoch(a_local)) / 3600.0::DOUBLE AS away_tz_shift, hour(h_local) + minute(h_local) / 60.0::DOUBLE AS home_body_clock, hour(a_local) + minute(a_local) / 60.0::DOUBLE AS away_body_clock,
+(hour(ny) >= 19)::BIGINT AS primetime, (game_id % 4 = 0)::BIGINT AS div_game, round(greatest(0, g_elevation - a_elevation) / 1000, 6) AS away_altitude_gain_km FROM timed)"""
+RATED = """rated AS (SELECT game_id, team, (kk * p_off + coalesce(sum(d_off) OVER w, 0)) / (kk + count(d_off) OVER w) AS off_rating, (kk * p_def + coalesce(sum(d_def) OVER w, 0)) / (kk + count(d_off) OVER w) AS def_rating, new_coach FROM ready WINDOW w AS (PARTITION BY team, season ORDER BY kickoff RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
+SITUATIONAL = ("home_field", "hfa_trend", "rest_diff", "home_post_bye", "away_post_bye", "home_short_week", "away_short_week", "travel_diff", "home_tz_shift", "away_tz_shift", "home_body_clock", "away_body_clock", "primetime", "div_game", "away_altitude_gain_km")
+
+
+@query("situational_features", sql("SELECT * FROM situation", SITUATION))
+def situational_features(spark, d):
+    data, venues = dataset(spark, d)
+    out = contests.situational(data.games, venues, altitude=True)
+    return out.select("game_id", *[(r6(c) if c in ("hfa_trend", "travel_diff", "away_altitude_gain_km") else F.col(c)).alias(c) for c in SITUATIONAL])
+
+
+@query("feature_frame", sql(f"""SELECT c.game_id, c.week AS week_number, CAST(NOT c.neutral AND c.week = max(CASE WHEN NOT c.neutral THEN c.week END) OVER (PARTITION BY c.season) AS BIGINT) AS is_final_regular_week, CAST(c.neutral AS BIGINT) AS is_playoff,
+round(w.eh - w.ea, 6) AS elo_diff, round(h.off_rating - a.off_rating, 6) AS off_rating_diff, round(h.def_rating - a.def_rating, 6) AS def_rating_diff, h.new_coach AS home_new_coach, a.new_coach AS away_new_coach, {', '.join(SITUATIONAL)},
+(c.game_id % 9 = 0)::BIGINT AS is_indoor, 70::DOUBLE AS temp_f, 0::BIGINT AS availability_known FROM contest c JOIN situation s ON s.game_id = c.game_id JOIN walk w ON w.game_id = c.game_id JOIN rated h ON h.game_id = c.game_id AND h.team = c.home_team JOIN rated a ON a.game_id = c.game_id AND a.team = c.away_team""",
+GAME_TOTALS + ", " + SHRUNK + ", " + RATED + ", " + SITUATION + ", " + ELO_WALK, recursive=True))
+def feature_frame(spark, d):
+    data, venues = dataset(spark, d)
+    frame = build_features(data, venues, FeatureParams(rating=ratings.RatingParams(extra_stats=False), altitude=True))
+    rounded = ("elo_diff", "off_rating_diff", "def_rating_diff", "hfa_trend", "travel_diff", "away_altitude_gain_km")
+    names = ("game_id", "week_number", "is_final_regular_week", "is_playoff", "elo_diff", "off_rating_diff", "def_rating_diff", "home_new_coach", "away_new_coach", *SITUATIONAL, "is_indoor", "temp_f", "availability_known")
+    return frame.select(*[(r6(c) if c in rounded else F.col(c)).alias(c) for c in names])
+
+
+GAME_WEATHER = """obs AS (SELECT user_id % 5 AS stadium, date_trunc('hour', ts) AS hour, avg(CAST(floor(value * 100) AS BIGINT)) AS temp, CASE WHEN count(*) % 2 = 0 THEN count(*) END::DOUBLE AS wind, count(*) / 10.0::DOUBLE AS precip FROM events GROUP BY 1, 2),
+game AS (SELECT event_id AS game_id, user_id % 5 AS stadium, ts + INTERVAL 30 DAY * (event_id % 2) AS begins, event_id % 7 = 0 AS inside FROM events WHERE event_type = 'purchase'),
+seen AS (SELECT game_id, avg(temp) AS temp, avg(coalesce(wind, 0)) AS wind, sum(precip) * 4 / count(*) AS precip FROM (SELECT game_id, stadium, date_trunc('hour', begins) + to_hours(h) AS hour FROM game CROSS JOIN (SELECT unnest(range(0, 4)) AS h)) g JOIN obs USING (stadium, hour) GROUP BY 1),
+v AS (SELECT g.game_id, avg(o.temp) AS temp, coalesce(avg(o.wind), 0) AS wind, avg(o.precip) * 4 AS precip FROM game g JOIN obs o ON o.stadium = g.stadium AND month(o.hour) = month(g.begins) AND o.hour < g.begins GROUP BY 1),
+l AS (SELECT g.game_id, avg(o.temp) AS temp, coalesce(avg(o.wind), 0) AS wind, avg(o.precip) * 4 AS precip FROM game g JOIN obs o ON month(o.hour) = month(g.begins) AND o.hour < g.begins GROUP BY 1)"""
+
+
+def _ladder(c: str, fixed: float) -> str:
+    return f"round(CASE WHEN inside THEN {fixed} WHEN s.game_id IS NOT NULL THEN s.{c} WHEN v.game_id IS NOT NULL THEN v.{c} WHEN l.game_id IS NOT NULL THEN l.{c} ELSE {fixed} END::DOUBLE, 6)"
+
+
+@query("game_weather", f"WITH {GAME_WEATHER} SELECT g.game_id, {_ladder('temp', 70)} AS temp_f, {_ladder('wind', 0)} AS wind_mph, {_ladder('precip', 0)} AS precip_in, inside::BIGINT AS is_indoor, CASE WHEN inside THEN 'indoor' WHEN s.game_id IS NOT NULL THEN 'archive' ELSE 'climatology' END AS weather_source FROM game g LEFT JOIN seen s USING (game_id) LEFT JOIN v USING (game_id) LEFT JOIN l USING (game_id)")
+def game_weather(spark, d):
+    obs, games = hourly(spark, d)
+    known = obs.select(F.col("stadium").alias("stadium_id"), F.col("hour").alias("time_utc"), F.col("temp").alias("temp_f"), F.when(F.col("n") % 2 == 0, F.col("n")).cast("double").alias("wind_mph"), (F.col("n") / F.lit(10.0)).alias("precip_in"), F.lit("archive").alias("source"))
+    played = games.select("game_id", F.col("stadium").alias("stadium_id"), F.col("at").alias("kickoff_utc"), F.when(F.col("game_id") % 7 == 0, "dome").otherwise("outdoors").alias("roof"))
+    out = weather.game_weather(played, known)
+    return out.select("game_id", *[r6(c).alias(c) for c in ("temp_f", "wind_mph", "precip_in")], "is_indoor", "weather_source")
+
+
 # -- evaluation and models ----------------------------------------------------------------------------------
 
 SCORED = "scored AS (SELECT game_id, season, week, kickoff, p_model, p_other, CASE WHEN margin > 0 THEN 1::DOUBLE WHEN margin < 0 THEN 0::DOUBLE ELSE 0.5::DOUBLE END AS y FROM contest)"
