@@ -3,8 +3,8 @@
 Fixed masks choose the token positions of a window that are hashed and ignore the others, so a window
 still meets its counterpart when ignored tokens were substituted.  Every window of every document is
 looked up among the benchmark's window hashes; around a hit the two texts are aligned on the hit's
-diagonal and the longest stretch with at least IDENTITY equal tokens is kept if it is LEAST tokens long
-(or covers a shorter item whole).
+diagonal and the longest stretch with at least IDENTITY equal tokens, substituted ones at its edges among them, is
+kept if it is LEAST tokens long (or covers a shorter item whole).
 
 The benchmark is the stated query set: it is read in blocks of at most BLOCK_TOKENS tokens (a single
 longer item makes a block of its own).  One block after another is made, sent to the tasks and released;
@@ -31,7 +31,7 @@ from fieldmark.llm.shared import stored
 MASKS = ("1101111", "11101011", "110110011", "1110010101", "11100001101")
 #: By an item's length the further masks over the whole of it: with MASKS, every place of the substitutions IDENTITY allows is fitted.
 SHORT_MASKS = {
-    5: ("11101", "11011", "10111"), 6: ("111001", "100111"), 7: ("1111001", "1010111"), 8: ("10110101",),
+    5: ("01111", "11101", "11011", "10111", "11110"), 6: ("111001", "100111", "011110"), 7: ("1111001", "1010111", "0111110"), 8: ("10110101",),
     10: ("1100001011", "1010110001"), 11: ("11010110001",),
 }
 IDENTITY, LEAST, SHORTEST = 0.8, 12, 5
@@ -47,17 +47,15 @@ def tokens(text: str | None) -> list[str]:
 
 
 def longest_overlap(a: np.ndarray, identity: float = IDENTITY) -> tuple[int, int]:
-    """(start, end) of the longest stretch of the boolean a that starts and ends on True with at least that share of True."""
-    at = np.flatnonzero(a)
-    if not len(at):
+    """(start, end) of the longest stretch of the boolean a with at least that share of True; it may begin and end on any token, the first of equally long ones counts."""
+    if not a.any():
         return 0, 0
-    # a stretch from match i to match j has j - i + 1 matches: enough when (j + 1) - identity * (end + 1) has not fallen below its value at i
-    high = np.arange(1, len(at) + 1) - identity * (at + 1)
-    low = np.arange(len(at)) - identity * at
-    last = np.maximum.accumulate(high[::-1])  # the best value from the end back, rising
-    j = len(at) - 1 - np.searchsorted(last, low - 1e-9, "left")  # the last match that a stretch from i can reach
-    i = int((at[j] - at).argmax())
-    return int(at[i]), int(at[j[i]]) + 1
+    # a stretch from i to before j is good enough when the balance at j, True over its share, is not below that at i
+    balance = np.concatenate(([0.0], np.cumsum(a - identity)))
+    best = np.maximum.accumulate(balance[::-1])  # the best balance from the end back, rising
+    j = len(a) - np.searchsorted(best, balance - 1e-9, "left")  # the last place that a stretch from i can reach
+    i = int((j - np.arange(len(j))).argmax())
+    return i, int(j[i])
 
 
 class Seeds:
@@ -67,6 +65,7 @@ class Seeds:
         self.identity, self.least = identity, least
         self.vocabulary: dict[str, int] = {}
         self.ids, self.words = [], []
+        like: dict[tuple[int, ...], int] = {}
         self.tiny: dict[tuple[str, ...], list[int]] = {}
         for item_id, text in items:
             own = tokens(text)
@@ -74,9 +73,13 @@ class Seeds:
                 self.tiny.setdefault(tuple(own), []).append(item_id)
                 continue
             w = [self.vocabulary.setdefault(t, len(self.vocabulary) + 1) for t in own]
-            if w:
-                self.ids.append(item_id)
+            if not w:
+                continue
+            at = like.setdefault(tuple(w), len(self.words))
+            if at == len(self.words):
+                self.ids.append([])
                 self.words.append(np.array(w, np.int64))
+            self.ids[at].append(item_id)  # items of like words are searched once
         short = [m for n in sorted({len(w) for w in self.words}) for m in SHORT_MASKS.get(n, ())]
         self.masks = [np.flatnonzero(np.array(list(m)) == "1") for m in (*masks, *short)]
         spans = [len(m) for m in (*masks, *short)]
@@ -172,15 +175,18 @@ class Seeds:
         for (doc, n), diagonals in seen.items():
             item, (first, size) = self.words[n], starts[doc]
             best = (0, 0, 0)
-            for d in diagonals:
+            ranges = sorted((max(0, first - d) - min(len(item), first + size - d), d) for d in diagonals)
+            for shorter, d in ranges:  # those on which most of the item can lie come first
+                if -shorter <= best[1]:
+                    break
                 lo, hi = max(0, first - d), min(len(item), first + size - d)
                 same = w[d + lo : d + hi] == item[lo:hi]
                 a, b = longest_overlap(same, self.identity)
                 if b - a >= min(self.least, len(item)) and b - a > best[1]:
                     best = (d + lo + a - first, b - a, int(same[a:b].sum()))
             if best[1]:
-                out[doc].append((self.ids[n], *best))
-        return out
+                out[doc].extend((i, *best) for i in self.ids[n])
+        return [sorted(found) for found in out]
 
 
 class seed_blocks(Sequence):  # noqa: N801
