@@ -175,9 +175,9 @@ def predict(f: Folder, now: datetime, args) -> None:
     best = F.transform("__largest", lambda x: F.struct(x.feature.alias("feature"), x.points.alias("points")))
     side = logs.tracked_side(told.withColumn("top_factors", best), f.team)
     made = {"run_type": F.lit(due[1]), "predicted_at": F.lit(now).cast("timestamp"), "model_version": F.lit(model.config.fingerprint()), "p": F.bround("p", 4), "margin": F.bround("margin", 2), "margin_lo": F.bround("margin_lo", 2), "margin_hi": F.bround("margin_hi", 2), "p_vegas": F.bround("p_vegas", 4)}
-    known = row.select("game_id", "season", F.struct(F.col("weather_source").alias("source"), F.bround("temp_f", 1).alias("temp_f"), F.bround("wind_mph", 1).alias("wind_mph"), F.bround("precip_in", 2).alias("precip_in")).alias("weather"))
+    known = row.select("game_id", "season", F.struct(F.col("weather_source").alias("source"), F.bround("temp_f", 1).alias("temp_f"), F.bround("wind_mph", 1).alias("wind_mph"), F.bround("precip_in", 2).alias("precip_in")).alias("weather"), F.col("week").alias("__week"))
     listed = f.table("injuries").filter(F.col("team") == f.team).groupBy("season").agg(F.max("week").alias("latest_injury_week"))
-    made |= {"is_final_injury_report": F.lit(due[1] == logs.RUN_WINDOWS[-1][0])}
+    made |= {"is_final_injury_report": F.lit(due[1] != logs.RUN_WINDOWS[0][0]) & F.col("latest_injury_week").eqNullSafe(F.col("__week"))}
     rows = side.join(known, "game_id").join(games.select("game_id", "kickoff_utc"), "game_id").join(listed, "season", "left").withColumns(made).select(*tables.names(PREDICTION))
     if rows.count() != 1:
         raise SystemExit("exactly one row has to be predicted")

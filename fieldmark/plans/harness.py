@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fieldmark.functions import expressions as X
-from fieldmark.models import evaluation, margins, regression
+from fieldmark.models import evaluation, margins, regression, trees
 from fieldmark.operators import asof, availability, contests, fold, logs, passers, ratings, simulation, weather
 from fieldmark.operators.features import FeatureParams, build_features
 from fieldmark.plans.contest_view import contests as contest_view
@@ -545,6 +545,32 @@ def walk_forward_predictions(spark, d):
     return out.select("game_id", "season", r6("predicted_margin").alias("predicted_margin"))
 
 
+SPLIT = """rows AS (SELECT game_id, margin::DOUBLE AS y, home_team, away_team FROM contest),
+long AS (SELECT game_id, y, 1 AS f, home_team AS x FROM rows UNION ALL SELECT game_id, y, 2, away_team FROM rows),
+mean AS (SELECT avg(y) AS m FROM rows), per AS (SELECT f, x, sum(m - y) AS g, count(*) AS h FROM long, mean GROUP BY 1, 2),
+upto AS (SELECT f, x, sum(g) OVER w AS gl, sum(h) OVER w AS hl, sum(g) OVER (PARTITION BY f) AS g, sum(h) OVER (PARTITION BY f) AS h FROM per WINDOW w AS (PARTITION BY f ORDER BY x)),
+best AS (SELECT * FROM upto WHERE hl >= 20 AND h - hl >= 20 ORDER BY gl * gl / (hl + 5) + (g - gl) * (g - gl) / (h - hl + 5) - g * g / (h + 5) DESC, f, x LIMIT 1)"""
+
+
+@query("boosted_split", sql("SELECT game_id, round(m - CASE WHEN CASE WHEN f = 1 THEN home_team ELSE away_team END <= x THEN gl / (hl + 5) ELSE (g - gl) / (h - hl + 5) END, 6) AS predicted_margin FROM rows, mean, best", SPLIT))
+def boosted_split(spark, d):
+    """One tree of two leaves: its histogram, best split and leaf values."""
+    games = contest_view(spark, d).select("game_id", F.col("margin").cast("double").alias("margin"), "home_team", "away_team", F.lit(1.0).alias("w"))
+    params = trees.TreeParams(leaves=2, trees=1, rate=1.0, least=20, l2=5.0, rows=1.0, columns=1.0, bins=250)
+    model = trees.fit_trees(games, ["home_team", "away_team"], "margin", "w", params)
+    return games.select("game_id", r6(model.predict()).alias("predicted_margin"))
+
+
+@query("boosted_contributions")
+def boosted_contributions(spark, d):
+    """Margins by leaf-wise trees of the seasons before 1998, each told apart by feature; parts and base add up to the prediction."""
+    games = contest_view(spark, d).withColumns({"strength": F.col("p_model") * 10, "w": F.lit(1.0), "margin": F.col("margin").cast("double")})
+    names = ["week", "home_team", "away_team", "strength"]
+    model = trees.fit_trees(games.filter("season < 1998"), names, "margin", "w", trees.TreeParams(trees=5, rate=0.3))
+    parts = model.contributions()
+    return games.filter("season >= 1998").select("game_id", r6(model.predict()).alias("predicted_margin"), r6(F.lit(model.expected())).alias("base"), *[r6(parts[f]).alias(f"from_{f}") for f in names])
+
+
 # -- simulation ---------------------------------------------------------------------------------------------
 
 SIMS = 40

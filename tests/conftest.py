@@ -1,3 +1,4 @@
+import gc
 import os
 import sys
 import tempfile
@@ -24,3 +25,16 @@ def spark():
 @pytest.fixture(scope="session")
 def sf_dir():
     return SF
+
+
+@pytest.fixture(scope="module", autouse=True)
+def released():
+    """After each module: what its tests broadcast or cached is let go, so that one session carries the whole suite."""
+    yield
+    from pyspark.sql import SparkSession
+
+    live = SparkSession.getActiveSession()
+    if live is not None:
+        live.catalog.clearCache()
+        gc.collect()
+        live.sparkContext._jvm.System.gc()

@@ -27,7 +27,12 @@ def test_commands_from_features_to_report(spark, folder):
     def run(*argv, now="2014-10-12T18:00:00"):
         cli.main(["--data", folder, "--team", "AAA", "--now", now, *argv], spark)
 
+    store, lost = Store(spark, folder), "2014-09-08T17:00"  # an hour that the archive lacks
+    asked = json.dumps({"hourly": {"time": [lost], "temperature_2m": [41.5], "wind_speed_10m": [3.0], "precipitation": [0.0]}})
+    kept = store.write_table(spark.read.parquet(f"{folder}/weather").filter("time_utc not between timestamp'2014-09-08' and timestamp'2014-09-09'"), "weather")
+    spark.createDataFrame([("V0", asked)], "stadium_id string, payload string").write.parquet(f"{folder}/archive_payloads")
     run("features")
+    assert kept.filter("temp_f = 41.5").isEmpty() and spark.read.parquet(f"{folder}/features").filter("temp_f = 41.5 and weather_source = 'archive'").count() == 1
     assert spark.read.parquet(f"{folder}/features").count() == 60
     run("backtest", "--seasons", "2013", "2014")
     made = json.loads(open(f"{folder}/backtest.json").read())
@@ -42,6 +47,7 @@ def test_commands_from_features_to_report(spark, folder):
         run("predict")
     told = spark.read.schema(cli.PREDICTION).json(f"{folder}/logs/predictions").collect()
     assert len(told) == 1 and told[0].run_type == "final_injury" and 0 < told[0].p < 1 and len(told[0].top_factors) == 6
+    assert told[0].is_final_injury_report == (told[0].latest_injury_week == 6) and told[0].weather.source in ("archive", "climatology", "indoor") and (told[0].latest_injury_week or 1) >= 1
     for _ in range(2):
         run("predict-league")
     league = spark.read.schema(cli.LEAGUE).json(f"{folder}/logs/league_predictions").collect()
@@ -52,6 +58,7 @@ def test_commands_from_features_to_report(spark, folder):
     assert len(sims) == 1 and sims[0].n_sims == 30 and 0 <= sims[0].p_playoffs <= 1
     run("wait-for-gameday", now="2014-10-14T00:00:00")
     run("report")
+    assert spark.read.json(f"{folder}/report/scorecard").count() == 0 and set(store.names("report")) >= {"changes", "scorecard", "weekly", "outlook", "season_log"}
     record = spark.read.json(f"{folder}/report/record").head()
     assert record.wins + record.losses + record.ties == 5
     with pytest.raises(SystemExit):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from fieldmark.functions import expressions as X
 from fieldmark.operators import asof, availability, contests, fold, logs, passers, ratings, simulation, weather
 from fieldmark.operators.features import FEATURE_COLUMNS, ID_COLUMNS, FeatureParams, Parts
-from fieldmark.operators.report import LABELS
+from fieldmark.operators.report import CHANGE_THRESHOLDS, LABELS
 from tests.synthetic import TEAMS, league
 
 
@@ -212,6 +212,24 @@ def test_as_of_truncation_changes_no_feature(spark):
     assert full.features(params)._jdf.queryExecution().executedPlan().toString().count("Exchange") <= 24
 
 
+def test_change_notes(spark):
+    """Two runs of one game that differ in everything, a third like the second, and another game's single run."""
+    ddl = "game_id string, run_type string, predicted_at timestamp, p double, margin double, p_vegas double, model_version string, is_final_injury_report boolean, latest_injury_week long, weather struct<source:string,temp_f:double,wind_mph:double,precip_in:double>, top_factors array<struct<feature:string,points:double>>"
+    t = datetime(2014, 9, 1)
+    first = ("g", "midweek", t, 0.5, 1.0, 0.5, "a", False, 3, ("climatology", 60.0, 5.0, 0.0), [("elo_diff", 2.0), ("rest_diff", -1.0), ("temp_f", 0.5), ("wind_mph", 0.1)])
+    second = ("g", "final_injury", t + timedelta(days=1), 0.55, -1.25, 0.53, "b", True, 4, ("forecast", 52.0, 5.5, 0.06), [("elo_diff", 2.1), ("rest_diff", -2.0), ("wind_mph", 0.5), ("primetime", -0.4)])
+    third = (*second[:1], "gameday", t + timedelta(days=2), *second[3:])
+    other = ("h", *first[1:])
+    out = logs.change_notes(spark.createDataFrame([third, first, other, second], ddl), LABELS, CHANGE_THRESHOLDS).orderBy("predicted_at").collect()
+    assert [(r.from_run, r.to_run, r.p_delta, r.margin_delta) for r in out] == [("midweek", "final_injury", 5.0, -2.2), ("final_injury", "gameday", 0.0, 0.0)]
+    minus, arrow = "\u2212", "\u2192"
+    assert out[0].notes == [
+        "Final injury report for this week now included", f"{LABELS['rest_diff']} {minus}1.0 {arrow} {minus}2.0 pts", f"{LABELS['temp_f']} dropped out of the top factors", f"{LABELS['primetime']} is now a top factor ({minus}0.4 pts)",
+        "Weather now from the forecast (was a monthly average)", f"Temperature 60 {arrow} 52\u00b0F", f"Precipitation 0.00 {arrow} 0.06 in", f"Vegas benchmark 50% {arrow} 53%", "Model retrained (b)",
+    ]
+    assert out[1].notes == ["No meaningful input changes since the last run."]
+
+
 def test_labels_cover_features():
     assert set(LABELS) == set(FEATURE_COLUMNS) and len(FEATURE_COLUMNS) == 54 == len(set(FEATURE_COLUMNS))
 
