@@ -444,6 +444,59 @@ def game_weather(spark, d):
     return out.select("game_id", *[r6(c).alias(c) for c in ("temp_f", "wind_mph", "precip_in")], "is_indoor", "weather_source")
 
 
+PASSERS = """player AS (SELECT p_partkey AS qb, CASE WHEN p_size = 1 THEN 'round_1' WHEN p_size IN (2, 3) THEN 'day_2' ELSE 'day_3_udfa' END AS bucket, 1992 + p_partkey % 6 AS rookie FROM part),
+thrown AS (SELECT game_id, season, kickoff, team, (team * 7 + season * 3 + game_id % 2 + j * 5) % 150 + 1 AS qb, (5 + (game_id + j * 7) % 20)::DOUBLE AS d, (margin + j)::DOUBLE AS e, (game_id % 9 - 4)::DOUBLE AS c, (4 + (game_id + j * 7) % 20)::DOUBLE AS n FROM side CROSS JOIN (SELECT unnest([0, 1]) AS j)),
+started AS (SELECT team, kickoff, arg_max(qb, d * 1000 + qb) AS qb FROM thrown GROUP BY 1, 2),
+asked AS (SELECT s.game_id, s.season, s.kickoff, s.is_home, CASE WHEN s.is_home AND s.game_id % 3 = 0 THEN s.game_id % 150 + 1 ELSE arg_max(t.qb, t.kickoff) END AS qb FROM side s LEFT JOIN started t ON t.team = s.team AND t.kickoff < s.kickoff GROUP BY s.game_id, s.season, s.kickoff, s.is_home),
+young AS (SELECT t.season, p.bucket, sum(e) AS e, sum(d) AS d, sum(c) AS c, sum(n) AS n FROM thrown t JOIN player p ON p.qb = t.qb WHERE t.season - rookie <= 1 GROUP BY 1, 2),
+own AS (SELECT s.season, b.bucket, coalesce(sum(e), 0) AS e, coalesce(sum(d), 0) AS d, coalesce(sum(c), 0) AS c, coalesce(sum(n), 0) AS n FROM (SELECT DISTINCT season FROM contest) s CROSS JOIN (SELECT unnest(['round_1', 'day_2', 'day_3_udfa']) AS bucket) b LEFT JOIN young y ON y.bucket = b.bucket AND y.season < s.season GROUP BY 1, 2),
+prior AS (SELECT season, bucket, CASE WHEN d >= 500 THEN CASE WHEN d > 0 THEN e / d ELSE 0 END WHEN sum(d) OVER w > 0 THEN sum(e) OVER w / sum(d) OVER w ELSE 0 END AS pe, CASE WHEN d >= 500 THEN CASE WHEN n > 0 THEN c / n ELSE 0 END WHEN sum(n) OVER w > 0 THEN sum(c) OVER w / sum(n) OVER w ELSE 0 END AS pc FROM own WINDOW w AS (PARTITION BY season)),
+past AS (SELECT a.game_id, a.is_home, sum(e) AS e, sum(d) AS d, sum(c) AS c, sum(n) AS n FROM asked a JOIN thrown t ON t.qb = a.qb AND t.kickoff < a.kickoff AND t.season > a.season - 3 GROUP BY 1, 2),
+told AS (SELECT a.game_id, a.is_home, r.bucket, round((250 * pe + coalesce(p.e, 0)) / (250 + coalesce(p.d, 0)), 6) AS epa, round((250 * pc + coalesce(p.c, 0)) / (250 + coalesce(p.n, 0)), 6) AS cpoe FROM asked a LEFT JOIN player l ON l.qb = a.qb JOIN prior r ON r.season = a.season AND r.bucket = coalesce(l.bucket, 'day_3_udfa') LEFT JOIN past p ON p.game_id = a.game_id AND p.is_home = a.is_home)"""
+
+
+@query("passer_features", sql("SELECT h.game_id, h.epa AS home_qb_epa, a.epa AS away_qb_epa, h.cpoe AS home_qb_cpoe, a.cpoe AS away_qb_cpoe, h.bucket AS home_qb_bucket, a.bucket AS away_qb_bucket FROM told h JOIN told a ON a.game_id = h.game_id WHERE h.is_home AND NOT a.is_home", PASSERS))
+def passer_features(spark, d):
+    data, _ = dataset(spark, d)
+    games = data.games.withColumns({"home_qb_id": F.when(F.col("game_id") % 3 == 0, F.col("game_id") % 150 + 1), "away_qb_id": F.lit(None).cast("long")})
+    j = F.explode(F.array(F.lit(0), F.lit(1))).alias("j")
+    thrown = sides(contest_view(spark, d)).select("game_id", "season", "team", "margin", j)
+    thrown = thrown.select(
+        "game_id", "season", "team", ((F.col("team") * 7 + F.col("season") * 3 + F.col("game_id") % 2 + F.col("j") * 5) % 150 + 1).alias("qb_id"), (5 + (F.col("game_id") + F.col("j") * 7) % 20).alias("dropbacks"),
+        (F.col("margin") + F.col("j")).cast("double").alias("qb_epa_sum"), (F.col("game_id") % 9 - 4).cast("double").alias("cpoe_sum"), (4 + (F.col("game_id") + F.col("j") * 7) % 20).alias("cpoe_n"),
+    )
+    people = table(spark, d, "part").select(F.col("p_partkey").alias("gsis_id"), F.col("p_size").alias("draft_round"), (1992 + F.col("p_partkey") % 6).alias("rookie_season"))
+    out = passers.passer_features(games, thrown, people)
+    return out.select("game_id", *[r6(f"{s}_qb_{c}").alias(f"{s}_qb_{c}") for c in ("epa", "cpoe") for s in ("home", "away")], "home_qb_bucket", "away_qb_bucket")
+
+
+ABSENT = """snap AS (SELECT game_id, kickoff, team, team * 10 + k AS player, k, CASE WHEN k < 3 THEN 0.9 - k * 0.15 ELSE 0 END::DOUBLE AS off, CASE WHEN k >= 3 THEN 0.8 - (k - 3) * 0.2 ELSE 0 END::DOUBLE AS def FROM side CROSS JOIN (SELECT unnest(range(0, 6)) AS k) WHERE (game_id + k) % 4 <> 0),
+played AS (SELECT team, game_id, kickoff, row_number() OVER (PARTITION BY team ORDER BY kickoff) AS idx FROM (SELECT DISTINCT team, game_id, kickoff FROM snap)),
+report AS (SELECT DISTINCT season, week, team, team * 10 + week % 6 AS player, week % 3 = 0 AS is_out, week % 3 < 2 AS said FROM side),
+gated AS (SELECT s.game_id, s.season, s.week, s.team, s.is_home, max(p.idx) AS prior FROM side s JOIN played p ON p.team = s.team AND p.kickoff < s.kickoff GROUP BY ALL),
+open AS (SELECT g.* FROM gated g WHERE EXISTS (SELECT 1 FROM report r WHERE r.season = g.season AND r.week = g.week AND r.team = g.team AND r.said)),
+cand AS (SELECT o.game_id, o.team, n.player, any_value(n.k) AS k, avg(n.off) AS off, avg(n.def) AS def FROM open o JOIN played p ON p.team = o.team AND p.idx BETWEEN o.prior - 3 AND o.prior JOIN snap n ON n.team = p.team AND n.game_id = p.game_id GROUP BY 1, 2, 3 HAVING count(*) >= 2),
+gone AS (SELECT o.game_id, o.is_home, c.off, c.def, c.k FROM open o JOIN report r ON r.season = o.season AND r.week = o.week AND r.team = o.team AND r.is_out JOIN cand c ON c.game_id = o.game_id AND c.team = o.team AND c.player = r.player),
+lost AS (SELECT o.game_id, o.is_home, round(coalesce(sum(g.off) FILTER (WHERE g.off >= 0.5), 0), 6) AS off_out, round(coalesce(sum(g.def) FILTER (WHERE g.def >= 0.5), 0), 6) AS def_out, round(coalesce(sum(g.off) FILTER (WHERE g.off >= 0.5 AND g.k < 2), 0), 6) AS out_wrte, round(coalesce(sum(g.def) FILTER (WHERE g.def >= 0.5 AND g.k = 3), 0), 6) AS out_lb FROM open o LEFT JOIN gone g ON g.game_id = o.game_id AND g.is_home = o.is_home GROUP BY 1, 2)"""
+
+
+@query("availability_features", sql("SELECT c.game_id, " + ", ".join(f"{s}.{x} AS {n}_{x}" for s, n in (("h", "home"), ("a", "away")) for x in ("off_out", "def_out", "out_wrte", "out_lb")) + " FROM contest c LEFT JOIN lost h ON h.game_id = c.game_id AND h.is_home LEFT JOIN lost a ON a.game_id = c.game_id AND NOT a.is_home", ABSENT))
+def availability_features(spark, d):
+    data, _ = dataset(spark, d)
+    later = F.col("season") + 20  # snaps are known from 2013 on
+    games = data.games.withColumn("season", later)
+    side = sides(contest_view(spark, d)).withColumn("season", later)
+    k = F.col("k")
+    places = F.element_at(F.array(*map(F.lit, ("WR", "TE", "RB", "LB", "CB", "DE"))), k + 1)
+    snap = side.select("game_id", "season", "week", "team", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("k")).filter((F.col("game_id") + k) % 4 != 0)
+    snap = snap.select("game_id", "season", "week", "team", (F.col("team") * 10 + k).alias("pfr_player_id"), places.alias("position"), F.when(k < 3, 0.9 - k * 0.15).otherwise(0.0).alias("offense_pct"), F.when(k >= 3, 0.8 - (k - 3) * 0.2).otherwise(0.0).alias("defense_pct"))
+    status = F.when(F.col("week") % 3 == 0, "Out").when(F.col("week") % 3 == 1, "Questionable")
+    listed = side.select("season", "week", "team").distinct().select("season", "week", "team", (F.col("team") * 10 + F.col("week") % 6).alias("gsis_id"), F.lit("X").alias("position"), status.alias("report_status"), F.lit(None).cast("string").alias("practice_status"))
+    people = spark.range(300).select(F.col("id").alias("gsis_id"), F.col("id").alias("pfr_id"), F.lit(None).cast("string").alias("position"), F.lit(None).cast("long").alias("draft_round"), F.lit(None).cast("long").alias("rookie_season"))
+    out = availability.availability(games, snap, listed, people, data.player_stats, data.contracts)
+    return out.select("game_id", *[r6(f"{s}_{c}").alias(f"{s}_{c}") for s in ("home", "away") for c in ("off_out", "def_out", "out_wrte", "out_lb")])
+
+
 # -- evaluation and models ----------------------------------------------------------------------------------
 
 SCORED = "scored AS (SELECT game_id, season, week, kickoff, p_model, p_other, CASE WHEN margin > 0 THEN 1::DOUBLE WHEN margin < 0 THEN 0::DOUBLE ELSE 0.5::DOUBLE END AS y FROM contest)"
