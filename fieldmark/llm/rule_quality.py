@@ -159,20 +159,30 @@ def grow_rules(x, y, names, trees=60, depth=3, bins=48, least=8, seed=11) -> lis
 
 
 def lasso_logistic(a: np.ndarray, y: np.ndarray, penalty: float, steps: int = 400) -> tuple[float, np.ndarray]:
-    """Accelerated proximal gradient for mean logistic loss + penalty * |w|_1; the intercept is free."""
+    """Accelerated proximal gradient for mean logistic loss + penalty * |w|_1; the intercept is free.
+
+    a may be boolean.  The columns are centred inside the products: no centred copy of a is made.
+    """
     n, k = a.shape
+    a = a.astype(float, copy=False)
     mean = a.mean(0)
-    c = a - mean
+
+    def centred(w: np.ndarray) -> np.ndarray:
+        return a @ w - mean @ w
+
+    def against(r: np.ndarray) -> np.ndarray:
+        return a.T @ r - mean * r.sum()
+
     v = np.ones(k) / np.sqrt(max(k, 1))
     for _ in range(20):  # the largest eigenvalue bounds the step
-        v = c.T @ (c @ v)
+        v = against(centred(v))
         v /= np.linalg.norm(v) + 1e-12
-    rate = 1 / (0.25 * max(1.0, float(v @ (c.T @ (c @ v))) / n) * 1.05)
+    rate = 1 / (0.25 * max(1.0, float(v @ against(centred(v))) / n) * 1.05)
     w, b = np.zeros(k), float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))
     zw, zb, t = w, b, 1.0
     for _ in range(steps):
-        g = 1 / (1 + np.exp(-np.clip(c @ zw + zb, -30, 30))) - y
-        new_w = zw - rate * (c.T @ g) / n
+        g = 1 / (1 + np.exp(-np.clip(centred(zw) + zb, -30, 30))) - y
+        new_w = zw - rate * against(g) / n
         new_w = np.sign(new_w) * np.maximum(np.abs(new_w) - rate * penalty, 0)
         new_b = zb - rate * g.mean()
         new_t = (1 + np.sqrt(1 + 4 * t * t)) / 2
@@ -190,9 +200,12 @@ def fit_rules(x: np.ndarray, y: np.ndarray, names: list[str], penalty: float = 2
     rules = grow_rules(x, y, names)
     if not rules:
         return RuleModel(float(np.log(p / (1 - p))))
-    a = np.stack([r.holds(x, names) for r in rules], 1).astype(float)
-    _, first = np.unique(a, axis=1, return_index=True)  # rules that hold for the same rows count once
-    rules, a = [rules[i] for i in sorted(first)], a[:, sorted(first)]
+    distinct: dict[bytes, tuple[Rule, np.ndarray]] = {}
+    for r in rules:  # rules that hold for the same rows count once
+        held = r.holds(x, names)
+        distinct.setdefault(np.packbits(held).tobytes(), (r, held))
+    rules, a = [r for r, _ in distinct.values()], np.stack([held for _, held in distinct.values()], 1)
+    del distinct
     _, w = lasso_logistic(a, y, penalty)
     kept = np.argsort(-np.abs(w))[:most]
     kept = np.sort(kept[np.abs(w[kept]) > 1e-6])
