@@ -41,18 +41,28 @@ def perspectives(results: DataFrame) -> DataFrame:
     return results.select("sim", F.inline(pair))
 
 
-def pairings(rows: DataFrame) -> DataFrame:
-    """(sim, team, opponent, half, n): all meetings of a pair added up, which is all that the rankings read."""
-    return rows.groupBy("sim", "team", "opponent").agg(F.sum("half").alias("half"), F.count("*").alias("n"))
+def pairings(results: DataFrame) -> DataFrame:
+    """(sim, a, b, half, n): all meetings of a pair added up, which is all that the rankings read; half is that of a, the lesser team."""
+    a, b = F.least("home_team", "away_team"), F.greatest("home_team", "away_team")
+    own = F.when(F.col("home_team") <= F.col("away_team"), F.col("home_half")).otherwise(F.col("away_half"))
+    return results.groupBy("sim", a.alias("a"), b.alias("b")).agg(F.sum(own).alias("half"), F.count("*").alias("n"))
 
 
 def rate(points: Column, games: Column) -> Column:
     return F.when(games > 0, points / games).otherwise(F.lit(1.0))
 
 
-def standings(met: DataFrame, teams: DataFrame) -> DataFrame:
-    """Per sim and team: halves, games and the rates overall, in the division and in the conference; rates are of halves (1 is even)."""
-    a = F.broadcast(teams.select("team", "conf", "division"))
+def standings(pairs: DataFrame, teams: DataFrame) -> DataFrame:
+    """Per sim and team: halves, games, the rates overall, in the division and in the conference, and met, what there was against each opponent.
+
+    Rates are of halves (1 is even).  Rows are laid by sim once; the grouping here and the windows of `ranked` need no further shuffle.
+    """
+    sides = F.array(
+        F.struct(F.col("a").alias("team"), F.col("b").alias("opponent"), F.col("half").alias("half")),
+        F.struct(F.col("b").alias("team"), F.col("a").alias("opponent"), (2 * F.col("n") - F.col("half")).alias("half")),
+    )
+    met = pairs.repartition("sim").select("sim", "n", F.inline(sides))
+    a = F.broadcast(teams.select("team", "team_no", "conf", "division"))
     b = F.broadcast(teams.select(F.col("team").alias("opponent"), F.col("conf").alias("o_conf"), F.col("division").alias("o_division")))
     joined = met.join(a, "team").join(b, "opponent")
     in_div, in_conf = F.col("division") == F.col("o_division"), F.col("conf") == F.col("o_conf")
@@ -60,30 +70,27 @@ def standings(met: DataFrame, teams: DataFrame) -> DataFrame:
     def part(condition: Column) -> Column:
         return rate(F.coalesce(F.sum(F.when(condition, F.col("half"))), F.lit(0)), F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0)))
 
-    return joined.groupBy("sim", "team", "conf", "division").agg(
+    return joined.groupBy("sim", "team", "team_no", "conf", "division").agg(
         F.sum("half").alias("halves"), F.sum("n").alias("games"), rate(F.sum("half"), F.sum("n")).alias("pct"),
-        part(in_div).alias("div_pct"), part(in_conf).alias("conf_pct"),
+        part(in_div).alias("div_pct"), part(in_conf).alias("conf_pct"), F.collect_list(F.struct("opponent", "half", "n")).alias("met"),
     )
 
 
-def head_to_head(table: DataFrame, met: DataFrame, scope: list[str]) -> DataFrame:
-    """table with h2h, the rate against all teams tied on pct in the same scope (1 where there was no such game)."""
-    tied = table.select("sim", "team", "pct", *scope)
-    other = tied.withColumnRenamed("team", "opponent")
-    level = met.join(tied, ["sim", "team"]).join(other, ["sim", "opponent", "pct", *scope])
-    own = level.groupBy("sim", "team").agg((F.sum("half") / F.sum("n")).alias("h2h"))
-    return table.join(own, ["sim", "team"], "left").fillna(1.0, ["h2h"])
+def ranked(table: DataFrame, scope: list[str], seed: int, name: str, chance: Column | None = None) -> DataFrame:
+    """table (with met) with rank `name` from 1 within sim and scope: pct, head to head, division, conference, chance.
 
+    Head to head is settled once over the whole tied group: the rate against all teams of the scope with the same pct, 1 where there
+    was no such game.  A tied group and a team's opponents are as many as there are teams.
+    """
+    tied = table.withColumn("__tied", F.collect_set("team").over(W.partitionBy("sim", *scope, "pct")))
+    level = F.filter("met", lambda m: (m.opponent != F.col("team")) & F.array_contains("__tied", m.opponent))
 
-def ranked(table: DataFrame, met: DataFrame, scope: list[str], seed: int, name: str, chance: Column | None = None) -> DataFrame:
-    """table with rank `name` from 1 within sim and scope: pct, head to head, division, conference, chance.
+    def total(field: str) -> Column:
+        return F.aggregate(level, F.lit(0).cast("long"), lambda s, m: s + m[field])
 
-    Head to head is settled once over the whole tied group.
-    """
-    with_h2h = head_to_head(table, met, scope)
     luck = draw(F.col("sim"), F.col("team_no"), seed=seed + 7) if chance is None else chance
-    w = W.partitionBy("sim", *scope).orderBy(F.desc("pct"), F.desc("h2h"), F.desc("div_pct"), F.desc("conf_pct"), F.desc(luck), "team")
-    return with_h2h.withColumn(name, F.row_number().over(w)).drop("h2h")
+    w = W.partitionBy("sim", *scope).orderBy(F.desc("pct"), F.desc("__h2h"), F.desc("div_pct"), F.desc("conf_pct"), F.desc(luck), "team")
+    return tied.withColumn("__h2h", rate(total("half"), total("n"))).withColumn(name, F.row_number().over(w)).drop("__tied", "__h2h")
 
 
 def seeding(games: DataFrame, teams: DataFrame, sims: int, seed: int = 0, conference: Column | None = None) -> DataFrame:
@@ -91,14 +98,13 @@ def seeding(games: DataFrame, teams: DataFrame, sims: int, seed: int = 0, confer
 
     teams: team, team_no, conf, division.  Only `conference` is ranked, if one is given.
     """
-    met = pairings(perspectives(outcomes(games, sims, seed)))
-    table = standings(met, teams).join(F.broadcast(teams.select("team", "team_no")), "team")
+    table = standings(pairings(outcomes(games, sims, seed)), teams)
     if conference is not None:
         table = table.filter(F.col("conf") == conference)
-    table = ranked(table, met, ["conf", "division"], seed, "division_rank").withColumn("winner", F.col("division_rank") == 1)
+    table = ranked(table, ["conf", "division"], seed, "division_rank").withColumn("winner", F.col("division_rank") == 1)
     # winners and others are ranked apart in each conference
-    table = ranked(table, met, ["conf", "winner"], seed, "conf_rank")
-    return table.withColumns({"seed": F.when(F.col("winner"), F.col("conf_rank")), "wild_card": ~F.col("winner") & (F.col("conf_rank") <= WILD_CARDS)})
+    table = ranked(table, ["conf", "winner"], seed, "conf_rank")
+    return table.drop("met").withColumns({"seed": F.when(F.col("winner"), F.col("conf_rank")), "wild_card": ~F.col("winner") & (F.col("conf_rank") <= WILD_CARDS)})
 
 
 def summary(seeded: DataFrame, team: Column) -> DataFrame:
