@@ -117,16 +117,23 @@ def home_away(games: DataFrame, per_team: DataFrame, columns: Sequence[str]) ->
     return joined.groupBy("game_id").agg(*[F.max(F.when(F.col("side") == s, F.col(c))).alias(f"{s}_{c}") for s in ("home", "away") for c in columns])
 
 
-def regime_change(rows: DataFrame, who: str = "coach", at: str = "kickoff_utc") -> DataFrame:
-    """(game_id, team, new_<who>): 1 where the team's first <who> of the season is not that of its last game of the season before.
+def with_regime_change(rows: DataFrame, who: str = "coach", at: str = "kickoff_utc") -> DataFrame:
+    """rows with new_<who>: 1 where the team's first <who> of the season is not that of its last game of the season before.
 
-    0 where either is unknown; a first game without a name stays without one.
+    0 where either is unknown; a first game without a name stays without one.  Null for a row without team or season.  First and
+    last come from one grouping; the season before is looked up among a team's seasons.
     """
-    order = [at, "game_id"]
-    first = earliest(rows.withColumn("first_who", F.col(who)), ["team", "season"], order, ["first_who"])
-    last = latest(rows.withColumn("last_who", F.col(who)), ["team", "season"], order, ["last_who"]).withColumn("season", F.col("season") + 1)
-    flags = first.join(last, ["team", "season"], "left").select("team", "season", F.coalesce(F.col("first_who") != F.col("last_who"), F.lit(False)).cast("long").alias(f"new_{who}"))
-    return rows.select("game_id", "team", "season").join(flags, ["team", "season"]).select("game_id", "team", f"new_{who}")
+    order = F.struct(at, "game_id")
+    ends = rows.groupBy("team", "season").agg(F.min_by(F.struct(who), order)[who].alias("first_who"), F.max_by(F.struct(who), order)[who].alias("last_who"))
+    seasons = W.partitionBy("team").orderBy("season")
+    before = F.when(F.lag("season").over(seasons) == F.col("season") - 1, F.lag("last_who").over(seasons))
+    flags = ends.select("team", "season", F.coalesce(F.col("first_who") != before, F.lit(False)).cast("long").alias(f"new_{who}"))
+    return rows.join(flags, ["team", "season"], "left")
+
+
+def regime_change(rows: DataFrame, who: str = "coach", at: str = "kickoff_utc") -> DataFrame:
+    """(game_id, team, new_<who>) of the rows that have a team and a season."""
+    return with_regime_change(rows, who, at).filter(F.col(f"new_{who}").isNotNull()).select("game_id", "team", f"new_{who}")
 
 
 def elo_win_probability(diff: Column, neutral: Column, home_field: float = 48.0) -> Column:

@@ -85,9 +85,9 @@ def both_sides(totals: DataFrame, numerator: str, denominator: str | None) -> Da
     return sided_values(totals, {"": (numerator, denominator)}).filter("off is not null")
 
 
-def with_priors(rows: DataFrame, values: DataFrame, params: RatingParams, prefixes: Sequence[str] = ("",)) -> DataFrame:
+def with_priors(rows: DataFrame, values: DataFrame, params: RatingParams, prefixes: Sequence[str] = ("",), keep: Keep = unkept) -> DataFrame:
     """rows with, for each statistic, its deviations off and def and the season's priors, all measured from the season before; k is what the prior is worth."""
-    known = rows.join(values, ["game_id", "team"], "left")
+    known = keep(OWN + "rating-known", rows.join(values, ["game_id", "team"], "left"))
     both = [(p, s) for p in prefixes for s in ("off", "def")]
     per_team = known.groupBy("team", "season").agg(
         *[F.avg(f"{p}{s}").alias(f"team_{p}{s}") for p, s in both],
@@ -108,7 +108,7 @@ def with_priors(rows: DataFrame, values: DataFrame, params: RatingParams, prefix
 
 def shrunk(rows: DataFrame, values: DataFrame, params: RatingParams = RatingParams(), at: str = "kickoff_utc", prefixes: Sequence[str] = ("",), keep: Keep = unkept) -> DataFrame:
     """(game_id, team, <prefix>off_rating, <prefix>def_rating): the prior, worth k games, and the deviations of the season's earlier games."""
-    ready = with_priors(rows, values, params, prefixes)
+    ready = with_priors(rows, values, params, prefixes, keep)
     names = [f"{p}{s}_rating" for p in prefixes for s in ("off", "def")]
     if params.opponent_adjust:
         ready = keep(OWN + "rating-rows", ready)

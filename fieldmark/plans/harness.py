@@ -19,6 +19,7 @@ from fieldmark.operators import asof, availability, contests, fold, logs, passer
 from fieldmark.operators.features import FeatureParams, build_features
 from fieldmark.plans.contest_view import contests as contest_view
 from fieldmark.plans.contest_view import dataset, sides, sql, table
+from fieldmark.sources.store import Store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -126,17 +127,15 @@ team_prev AS (SELECT team, season + 1 AS season, avg(off) AS t_off, avg(def) AS
 ready AS (SELECT k.*, CASE WHEN new_coach = 1 THEN 2.0::DOUBLE ELSE 4.0::DOUBLE END AS kk, coalesce(0.6::DOUBLE * (t_off - lg), 0::DOUBLE) AS p_off, coalesce(0.6::DOUBLE * (t_def - lg), 0::DOUBLE) AS p_def, off - coalesce(lg, 0::DOUBLE) AS d_off, def - coalesce(lg, 0::DOUBLE) AS d_def FROM known k LEFT JOIN league l ON l.season = k.season LEFT JOIN team_prev t ON t.team = k.team AND t.season = k.season)"""
 
 
-def rating_rows(games: DataFrame) -> DataFrame:
-    rows = sides(games)
-    coach = contests.regime_change(rows, "coach", "kickoff").withColumnRenamed("new_coach", "new_head_coach")
-    return rows.join(coach, ["game_id", "team"])
+def rating_rows(rows: DataFrame) -> DataFrame:
+    return contests.with_regime_change(rows, "coach", "kickoff").withColumnRenamed("new_coach", "new_head_coach")
 
 
 @query("shrunk_rating", sql("SELECT game_id, team, round((kk * p_off + coalesce(sum(d_off) OVER w, 0)) / (kk + count(d_off) OVER w), 6) AS off_rating, round((kk * p_def + coalesce(sum(d_def) OVER w, 0)) / (kk + count(d_off) OVER w), 6) AS def_rating FROM ready WINDOW w AS (PARTITION BY team, season ORDER BY kickoff RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)", GAME_TOTALS + ", " + SHRUNK))
 def shrunk_rating(spark, d):
-    games = contest_view(spark, d)
-    rows = rating_rows(games)
-    out = ratings.shrunk(rows, ratings.both_sides(game_totals(rows), "value_sum", "plays"), at="kickoff")
+    keep = Store.temporary(spark, "shrunk-rating").keep
+    rows = keep("rows", rating_rows(keep("sides", sides(contest_view(spark, d)))))
+    out = ratings.shrunk(rows, ratings.both_sides(game_totals(rows), "value_sum", "plays"), at="kickoff", keep=keep)
     return out.select("game_id", "team", r6("off_rating").alias("off_rating"), r6("def_rating").alias("def_rating"))
 
 
@@ -182,7 +181,7 @@ def elo_win_prob(spark, d):
 
 @query("opponent_adjusted_rating", sql("SELECT game_id, h - 1 AS team, round(r_ho, 6) AS off_rating, round(r_hd, 6) AS def_rating FROM walk WHERE step > 0 UNION ALL SELECT game_id, a - 1, round(r_ao, 6), round(r_ad, 6) FROM walk WHERE step > 0", GAME_TOTALS + ", " + SHRUNK + ", " + ADJUSTED_WALK, recursive=True))
 def opponent_adjusted_rating(spark, d):
-    rows = rating_rows(contest_view(spark, d))
+    rows = rating_rows(sides(contest_view(spark, d)))
     out = ratings.shrunk(rows, ratings.both_sides(game_totals(rows), "value_sum", "plays"), ratings.RatingParams(opponent_adjust=True), at="kickoff")
     return out.select("game_id", "team", r6("off_rating").alias("off_rating"), r6("def_rating").alias("def_rating"))
 
