@@ -106,6 +106,7 @@ def test_folds_at_once_equal_single_fits(spark, folder):
 
 def test_feature_stages_build_only_what_they_change(spark, folder):
     f = cli.Folder(spark, folder, "AAA")
+    f.store.delete("parts")  # those that earlier commands left
     parts = f.parts(cli.clock("2014-10-12T18:00:00"))
     stages = [tuning.Stage("passers", "passer", tuning.PASSERS[:2], fresh=True), tuning.Stage("altitude", "altitude", [{"altitude": True}])]
     seen = []
