@@ -1,9 +1,9 @@
 """Interleaved document sequences of text and media.
 
 HTML is parsed into an ordered sequence of text and media-reference structs (position, kind, text, uri,
-digest, caption, n_bytes); media payloads live once for each digest in a store; references are resolved by
-a join on the digest, so payloads never travel with the sequences, and positions and captions stay with
-their references.
+digest, caption, n_bytes); media payloads live in a store, which may hold a digest more than once
+(`document_media` writes the payload of each row); references are resolved by a join on the digest, so payloads
+never travel with the sequences, and positions and captions stay with their references.
 
 The stored form of a payload is a binary grey map (PGM, P5): WIDTH 8-bit samples a row.
 
