@@ -51,6 +51,34 @@ def test_scores_equal_brute_force(spark, documents, texts, model):
         assert got[d].network_log_prob == pytest.approx(base, rel=1e-3, abs=1e-2) and got[d].log_prob == pytest.approx(want, rel=2e-3, abs=2e-2)
 
 
+def test_network_is_fitted_to_every_window(spark, documents, texts):
+    """The first windows, then rounds over all others: each window once, whatever their number; the tree is laid by counts of all windows."""
+    vocab = m.vocabulary(m.counts(documents))
+    total = sum(len(split(t)) for t in texts.values())
+    lines = m.stored(m.leaf_lines(documents.repartition(3), vocab), "test-lines")
+    near = m.neighbours(lines, total).reshape(m.LEAVES, 2, m.NEAR)
+    leaf = lambda w: int(vocab.leaves(np.array([xxhash.xxh64_intdigest(w) | 1 if w else 0], np.uint64))[0][0])
+    pairs = Counter((a, b) for t in texts.values() for w in [["", *split(t), ""]] for a, b in zip(w, w[1:], strict=False))
+    left, right = Counter(), Counter()
+    for (a, b), n in pairs.items():
+        left[leaf(b), leaf(a)] += n if b else 0
+        right[leaf(a), leaf(b)] += n if a else 0
+    for k, want in ((0, left), (1, right)):
+        want = {key: n for key, n in want.items() if n and key[1] < m.NEAR}
+        assert {(int(i), int(j)): int(near[i, k, j]) for i, j in zip(*np.nonzero(near[:, k]), strict=True)} == want
+    vocab.place = m.arrange(near)
+    for warm in (total // 4, 0):
+        got = m.fit_whole(lines, vocab, total, warm=warm, task=total // 3)
+        assert (got.seen[1] == total).all() and got.seen[2].sum() == total and got.seen[0].sum() == 4 * total
+    # the average over a single task is what that task learns
+    begun = m.Descent(m.Network.start(m._placed(vocab)))
+    alone = m._averaged(lines.coalesce(1), vocab.place, begun)
+    own, rng = m.Descent(begun.network()), np.random.default_rng(0)
+    for sides, target in m._windows([lines.coalesce(1).toPandas()], vocab.place):
+        own.run(sides, target, rng, min(m.STEPS, max(m.STEP, len(target) // 32)))
+    assert all(np.allclose(a, b, atol=1e-4) for a, b in zip(alone.weights, own.weights, strict=True))
+
+
 def test_hot_windows_counted_beforehand_change_nothing(documents, model):
     early = m.fit(documents, hot=40)
     assert len(early.pairs) > 10 and len(early.triples) > 5 and not len(model.pairs)
