@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -42,7 +42,6 @@ SHARDS, SEED = 64, 7
 #: Equal rows that one row stands for while they are placed.
 RUN = 4096
 WORD = r"[^\x20\x09-\x0D]+"
-PIECE = "array<struct<shard:int,place:long,from_word:long,words:long>>"
 
 
 def words(text: Column) -> Column:
@@ -163,34 +162,25 @@ def permuted(k: np.ndarray, n: int, key: int) -> np.ndarray:
     return x.astype(np.int64)
 
 
-def pieces_of(start: int, size: int, r: dict, key: int) -> list[dict]:
-    """The draws that take words of the document which stands at start .. start + size - 1 of its source."""
-    block, blocks = r["block"], r["blocks"]
-    own = np.arange(start // block, (start + size - 1) // block + 1)
-    first = np.maximum(own * block, start)
-    count = np.minimum((own + 1) * block, start + size) - first
-    place = permuted(own, blocks, key)
-    out = []
-    for turn in range(-(-r["quota"] // blocks)):
-        draw = turn * blocks + place
-        for k in np.flatnonzero(draw < r["quota"]):
-            out.append({"shard": int(np.searchsorted(r["bounds"], draw[k], "right") - 1), "place": int(draw[k]), "from_word": int(first[k] - start), "words": int(count[k])})
-    return out
-
-
-def taken_of(start: np.ndarray, size: np.ndarray, quota_: int, block: int, blocks: int, key: int) -> np.ndarray:
-    """Words taken of each document of one source, copies counted."""
-    if not quota_:
-        return np.zeros(len(size), np.int64)
-    turns, rest = divmod(quota_, blocks)
+def dealt(start: np.ndarray, size: np.ndarray, quota_: int, block: int, blocks: int, bounds: np.ndarray, key: int) -> dict[str, np.ndarray]:
+    """The draws that take words of one source's documents at start .. start + size - 1: row, shard, place, from_word, words, by row and place."""
     some = size > 0
     low, high = start // block, np.where(some, (start + size - 1) // block, start // block - 1)
     n = high - low + 1
     row = np.repeat(np.arange(len(size)), n)
     own = np.repeat(low - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-    inside = np.minimum((own + 1) * block, (start + size)[row]) - np.maximum(own * block, start[row])
-    drawn = permuted(own, blocks, key) < rest
-    return turns * size + np.bincount(row, weights=inside * drawn, minlength=len(size)).astype(np.int64)
+    first = np.maximum(own * block, start[row])
+    count = np.minimum((own + 1) * block, (start + size)[row]) - first
+    place = permuted(own, blocks, key)
+    found = []
+    for turn in range(-(-quota_ // blocks)):
+        draw = turn * blocks + place
+        k = np.flatnonzero(draw < quota_)
+        found.append((row[k], np.searchsorted(bounds, draw[k], "right") - 1, draw[k], (first - start[row])[k], count[k]))
+    names = ("row", "shard", "place", "from_word", "words")
+    out = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * len(names)
+    order = np.lexsort((out[2], out[0]))
+    return {k: v[order] for k, v in zip(names, out, strict=True)}
 
 
 def records(documents: DataFrame) -> DataFrame:
@@ -222,13 +212,13 @@ def single(stood: DataFrame) -> DataFrame:
     return spread.withColumn("start", F.col("start") + F.col("copy") * F.col("size")).drop("run", "n")
 
 
-def plan(documents: DataFrame, shards: int = SHARDS, seed: int = SEED, bounds: bool = False) -> DataFrame:
+def plan(documents: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """(doc_id, source, digest, size, copy, start) of every row, with its source's recipe."""
     found = stored(records(documents), "mix-records")
     size, rows = F.sum(F.col("size") * F.col("n")).alias("size"), F.sum("n").alias("rows")
     per = found.groupBy("source").agg(size, rows, F.count("*").alias("records")).collect()  # the recipe: a row a source
     made = recipes([(r.source, r["size"]) for r in per], shards, seed)
-    return recipe_rows(single(in_line(found, sum(r.records for r in per))), made, {r.source: r.rows for r in per}, bounds)
+    return recipe_rows(single(in_line(found, sum(r.records for r in per))), made, {r.source: r.rows for r in per})
 
 
 def source_key(source: Column) -> Column:
@@ -236,27 +226,43 @@ def source_key(source: Column) -> Column:
     return F.when(source.isNull(), F.lit("null")).otherwise(F.concat(F.lit("="), source))
 
 
-def recipe_rows(rows: DataFrame, made: list[Recipe], counts: dict[str | None, int], bounds: bool = False) -> DataFrame:
+def recipe_rows(rows: DataFrame, made: list[Recipe], counts: dict[str | None, int]) -> DataFrame:
     """rows with their source's numbers; sources of many rows by broadcast, the others by a join."""
-    given = [(r.source, r.size, r.target, r.quota, r.block, r.blocks, list(r.bounds) if bounds else [], counts[r.source]) for r in made]
+    given = [(r.source, r.size, r.target, r.quota, r.block, r.blocks, list(r.bounds), counts[r.source]) for r in made]
     known = rows.sparkSession.createDataFrame(given, "of string, source_size long, target double, quota long, block long, blocks long, bounds array<long>, n long")
     keyed = known.withColumn("key", source_key(F.col("of"))).drop("of")
     return join_counted(rows.withColumn("key", source_key(F.col("source"))), keyed, "key", sum(counts.values())).drop("key")
 
 
-def take(documents: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """(doc_id, size, source, source_size, target, taken) for every row: how many of its words the mix takes, repeats counted."""
-    @F.pandas_udf("long")
-    def taken(source: pd.Series, start: pd.Series, size: pd.Series, quota_: pd.Series, block: pd.Series, blocks: pd.Series) -> pd.Series:
-        out = np.zeros(len(size), np.int64)
+def _dealt(seed: int, of: str, sums: int = 0):
+    """A column with the draws that take words of each row, structs of the fields `of`; with sums, the number of shards, only the words in each shard."""
+
+    @F.pandas_udf(f"array<struct<{of}>>")
+    def pieces(source: pd.Series, start: pd.Series, size: pd.Series, quota_: pd.Series, block: pd.Series, blocks: pd.Series, bounds: pd.Series) -> pd.Series:
+        out: list[list[dict]] = [[] for _ in range(len(size))]
         for s in source.unique():
             at = np.flatnonzero(source.isna() if s is None else source == s)
             r = at[0]
-            out[at] = taken_of(start.to_numpy(np.int64)[at], size.to_numpy(np.int64)[at], int(quota_[r]), int(block[r]), max(1, int(blocks[r])), key_of(seed, s))
-        return pd.Series(out)
+            d = dealt(start.to_numpy(np.int64)[at], size.to_numpy(np.int64)[at], int(quota_[r]), int(block[r]), max(1, int(blocks[r])), np.asarray(bounds[r], np.int64), key_of(seed, s))
+            if sums:
+                both, which = np.unique(d["row"] * sums + d["shard"], return_inverse=True)
+                d = {"row": both // sums, "shard": both % sums, "words": np.bincount(which, weights=d["words"], minlength=len(both)).astype(np.int64)}
+            names = [c for c in d if c != "row"]
+            for k, *values in zip(at[d["row"]].tolist(), *(d[c].tolist() for c in names), strict=True):
+                out[k].append(dict(zip(names, values, strict=True)))
+        return pd.Series(out, dtype=object)
+
+    return pieces("source", "start", "size", "quota", "block", "blocks", "bounds")
 
-    told = plan(documents, shards, seed)
-    return told.select("doc_id", "size", "source", "source_size", "target", taken("source", "start", "size", "quota", "block", "blocks").alias("taken"))
+
+def take(documents: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+    """(doc_id, size, source, source_size, target, taken, dealt) for every row: how many of its words the mix takes, repeats counted.
+
+    They are what the shards' draws hold of it, added up; dealt has the words in each shard that holds any.
+    """
+    told = plan(documents, shards, seed).withColumn("dealt", _dealt(seed, "shard:int,words:long", shards))
+    taken = F.aggregate("dealt", F.lit(0).cast("long"), lambda n, p: n + p["words"])
+    return told.select("doc_id", "size", "source", "source_size", "target", taken.alias("taken"), "dealt")
 
 
 def draws(documents: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
@@ -264,13 +270,8 @@ def draws(documents: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataF
 
     place is the draw's number in its source; draws of (source, place) are one block.
     """
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            pieces = [pieces_of(int(r.start), int(r.size), {"block": int(r.block), "blocks": int(r.blocks), "quota": int(r.quota), "bounds": r.bounds}, key_of(seed, r.source)) if r.size else [] for r in b.itertuples()]
-            yield b[["doc_id", "source", "digest", "size", "copy"]].assign(pieces=pieces)
-
-    made_of = plan(documents, shards, seed, bounds=True).mapInPandas(run, f"doc_id long, source string, digest long, size long, copy long, pieces {PIECE}")
-    return made_of.select("doc_id", "source", "digest", "size", "copy", F.explode("pieces").alias("p")).select("doc_id", "source", "digest", "size", "copy", "p.*")
+    each = plan(documents, shards, seed).withColumn("p", F.explode(_dealt(seed, "shard:int,place:long,from_word:long,words:long")))
+    return each.select("doc_id", "source", "digest", "size", "copy", "p.*")
 
 
 def mix(documents: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:

@@ -91,6 +91,21 @@ def test_mix_deals_each_block_once_and_evenly(spark, documents):
     assert {d: n for d, n in taken.items() if n} == dict(got)
 
 
+def test_taken_words_are_those_of_the_shards(spark, documents, monkeypatch):
+    """The query's numbers come from the tree's deal: per document and shard as the draws hold them, and another deal of the tree gives another."""
+    shards, words = 6, Counter()
+    got = sm.take(documents, shards=shards).collect()
+    for p in sm.draws(documents, shards=shards).collect():
+        words[p.doc_id, p.shard] += p.words
+    assert {(r.doc_id, p.shard): p.words for r in got for p in r.dealt} == dict(words) and {s for _, s in words} == set(range(shards))
+    assert all(r.taken == sum(p.words for p in r.dealt) for r in got)
+    whole = sm.split
+    monkeypatch.setattr(sm, "split", lambda quotas, shards, seed: whole(quotas, shards, seed)[:, ::-1])
+    other = sm.take(documents, shards=shards).collect()
+    assert sorted((r.doc_id, r.taken) for r in other) == sorted((r.doc_id, r.taken) for r in got)
+    assert {r.doc_id: r.dealt for r in other} != {r.doc_id: r.dealt for r in got}
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 5, 64, 1000, 4097])
 def test_permutation(n):
     assert sorted(sm.permuted(np.arange(n), n, 99)) == list(range(n))
