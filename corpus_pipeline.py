@@ -21,7 +21,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (similarity 0.8 on five-word shingles): that of the smallest doc_id."""
+    """One document of each group of near-duplicates (SimHash blocks and bands, similarity 0.8 on five-word shingles): that of the smallest doc_id."""
     return near_copies.one_of_each(docs)
 
 

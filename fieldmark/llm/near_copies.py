@@ -1,9 +1,11 @@
 """Near copies by the similarity of their five-word shingles: one document of each group stays.
 
-Two texts are linked where the Jaccard similarity of their sets of word shingles is at least LEAST.  Every
-distinct set gets BANDS keys of ROWS minhashes; two sets of similarity s share no key with a probability of
-(1 - s ** ROWS) ** BANDS: 3e-6 at 0.8, less above.  A shared key only makes a candidate; what links is the
-exact similarity of the two sets.
+Two texts are linked where the Jaccard similarity of their sets of word shingles is at least LEAST.
+Candidates come from the SimHash blocks of simhash_blocks: every distinct set has a fingerprint, the majority
+of its shingles' bits, and a key for each choice of blocks, which meets all sets within DISTANCE bits.  Sets of
+similarity 0.8 lie ten bits apart on average, so what lies further has BANDS further keys of ROWS minhashes: two
+sets of similarity s share none with a probability of (1 - s ** ROWS) ** BANDS: 3e-6 at 0.8, less above.  A
+shared key only makes a candidate; what links is the exact similarity of the two sets.
 
 Work is over distinct sets.  First each member of a key is held against the key's least member, which
 gathers the groups in a number of pairs that is linear in the members.  Then, in keys that still hold more
@@ -26,7 +28,7 @@ from pyspark.sql import types as T
 from fieldmark.llm import simhash_blocks
 from fieldmark.llm.components import components
 from fieldmark.llm.shared import stored
-from fieldmark.llm.simhash_blocks import SEED, shingles
+from fieldmark.llm.simhash_blocks import DISTANCE, SEED, block_keys, majority, shingles
 
 WIDTH, LEAST, BANDS, ROWS = 5, 0.8, 32, 5
 #: Sets of one key, and shingles in them, that are compared in one task.
@@ -74,10 +76,10 @@ def _prints(text: pd.Series) -> pd.Series:
     return pd.Series([_print(gram_set(t)) for t in text], dtype="int64")
 
 
-@F.pandas_udf(T.StructType([T.StructField("fp", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("minima", T.BinaryType())]))
+@F.pandas_udf(T.StructType([T.StructField("fp", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("bits", T.LongType()), T.StructField("minima", T.BinaryType())]))
 def _sketch(text: pd.Series) -> pd.DataFrame:
     sets = (gram_set(t) for t in text)
-    return pd.DataFrame([(_print(g), len(g), signature(g).tobytes()) for g in sets], columns=["fp", "size", "minima"])
+    return pd.DataFrame([(_print(g), len(g), _signed(majority(g)), signature(g).tobytes()) for g in sets], columns=["fp", "size", "bits", "minima"])
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
@@ -98,17 +100,22 @@ def _alike(one: pd.Series, other: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])))
 def _forests(bands: pd.Series, parts: pd.Series) -> pd.Series:
-    """Of each part a forest of links that connects the groups its members connect; a pair counts in the first band it shares."""
+    """Of each part a forest of links that connects the groups its members connect.
+
+    A pair within DISTANCE bits counts under keys of blocks, which it always shares; any other in the first band it shares.
+    """
     out = []
     for band, part in zip(bands, parts, strict=True):
-        fp, root, size = (np.array([m[c] for m in part], np.int64) for c in ("fp", "root", "size"))
+        fp, root, size, bits = (np.array([m[c] for m in part], np.int64) for c in ("fp", "root", "size", "bits"))
         minima = np.array([np.frombuffer(m["minima"], np.uint32) for m in part]).reshape(len(part), BANDS, ROWS)
         sets = [np.frombuffer(m["grams"], np.uint64) for m in part]
         found = []
         for k in range(len(fp) - 1):
             rest = k + 1 + np.flatnonzero((root[k + 1 :] != root[k]) & (np.minimum(size[k + 1 :], size[k]) >= LEAST * np.maximum(size[k + 1 :], size[k]) - 1e-9))
             same = minima[rest] == minima[k]
-            for x in rest[(same.mean((1, 2)) >= DOUBT) & (same.all(2).argmax(1) == band)]:
+            close = np.bitwise_count((bits[rest] ^ bits[k]).view(np.uint64)) <= DISTANCE
+            here = close if band >= BANDS else ~close & (same.all(2).argmax(1) == band)
+            for x in rest[(same.mean((1, 2)) >= DOUBT) & here]:
                 if root[x] != root[k] and similarity(sets[k], sets[x]) >= LEAST - 1e-12:
                     found.append({"a": int(fp[k]), "b": int(fp[x])})
                     root[root == root[x]] = root[k]
@@ -119,10 +126,11 @@ def _forests(bands: pd.Series, parts: pd.Series) -> pd.Series:
 def links(sketches: DataFrame, texts: DataFrame, split: int = SPLIT) -> DataFrame:
     """Edges (a, b) that connect exactly the sets that similarity connects.
 
-    sketches has one row (fp, rid, size, minima) for each distinct set, texts (rid, text) a row with that rid.
+    sketches has one row (fp, rid, size, bits, minima) for each distinct set, texts (rid, text) a row with that rid.
     """
-    keyed = sketches.filter("size > 0").select("fp", "size", F.posexplode(_keys("minima")).alias("band", "key"))
-    shared = keyed.groupBy("band", "key").agg(F.min("fp").alias("a"), F.count("*").alias("n")).filter("n > 1")
+    keys = F.concat(_keys("minima"), F.transform(block_keys(F.col("bits")), lambda k: k["bits"]))  # the choices of blocks follow the bands
+    keyed = sketches.filter("size > 0").select("fp", "size", "bits", F.posexplode(keys).alias("band", "key"))
+    shared = keyed.groupBy("band", "key").agg(F.min("fp").alias("a"), F.min_by("bits", "fp").alias("a_bits"), F.count("*").alias("n")).filter("n > 1")
     members = stored(keyed.join(shared, ["band", "key"]), "shared-keys")
     wanted = sketches.join(members.select("fp").distinct(), "fp", "left_semi").select("fp", "rid")
     sets = stored(texts.join(wanted, "rid").select("fp", _sets("text").alias("grams")), "gram-sets")
@@ -132,16 +140,16 @@ def links(sketches: DataFrame, texts: DataFrame, split: int = SPLIT) -> DataFram
         other = sets.select(F.col("fp").alias("b"), F.col("grams").alias("other"))
         return pairs.join(one, "a").join(other, "b").filter(_alike("one", "other")).select("a", "b")
 
-    near = stored(alike(members.filter("a != fp").select("a", F.col("fp").alias("b")).distinct()), "near-sets")
+    near = stored(alike(members.filter(f"a != fp and (band < {BANDS} or bit_count(bits ^ a_bits) <= {DISTANCE})").select("a", F.col("fp").alias("b")).distinct()), "near-sets")
     groups = components(near).select(F.col("node").alias("fp"), "root")
-    rooted = members.join(groups, "fp", "left").select("band", "key", "fp", "size", F.coalesce("root", "fp").alias("root"))
+    rooted = members.join(groups, "fp", "left").select("band", "key", "fp", "size", "bits", F.coalesce("root", "fp").alias("root"))
     rooted = stored(rooted, "grouped-keys")
     mixed = rooted.groupBy("band", "key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n"), F.sum("size").alias("grams")).filter("x != y")
     # the least member has been held against all: a key of two is settled
     mixed = mixed.filter("n > 2").select("band", "key", F.ceil(F.greatest(F.col("n") / split, F.col("grams") / SPLIT_GRAMS)).cast("int").alias("parts"))
     dealt = rooted.join(mixed, ["band", "key"]).join(sketches.select("fp", "minima"), "fp").join(sets, "fp")
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
-    paired = dealt.select("band", "key", "part", F.struct("fp", "root", "size", "minima", "grams").alias("m"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    paired = dealt.select("band", "key", "part", F.struct("fp", "root", "size", "bits", "minima", "grams").alias("m"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     parts = paired.groupBy("band", "key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")).agg(F.collect_list("m").alias("ms"))
     further = parts.filter(F.size("ms") > 1).select(F.explode(_forests("band", "ms")).alias("e")).select("e.a", "e.b").distinct()
     return near.union(stored(further, "further-near-sets"))
@@ -152,7 +160,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     rows = documents.select("doc_id", "text", F.monotonically_increasing_id().alias("rid"), _sketch("text").alias("s"))
     marked = stored(rows.select("doc_id", "text", "rid", "s.*"), "sketches")
     distinct = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.min("rid").alias("rid"), F.count("*").alias("n")), "distinct-sets")
-    sketches = stored(marked.select("rid", "fp", "size", "minima").join(distinct.select("rid"), "rid", "left_semi"), "distinct-sketches")
+    sketches = stored(marked.select("rid", "fp", "size", "bits", "minima").join(distinct.select("rid"), "rid", "left_semi"), "distinct-sketches")
     return simhash_blocks.in_components(marked, distinct, links(sketches, marked.select("rid", "text")))
 
 

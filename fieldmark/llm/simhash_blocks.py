@@ -46,15 +46,17 @@ def shingles(text: str, width: int = SHINGLE) -> list[bytes]:
 def fingerprint(text: str | None, width: int = SHINGLE) -> int:
     """The SimHash of a text as an unsigned 64-bit integer."""
     grams = shingles(text or "", width)
-    if not grams:
-        return 0
-    set_bits = np.zeros(BITS, np.int64)
     digest = xxhash.xxh64_intdigest
-    for at in range(0, len(grams), CHUNK):
-        part = grams[at : at + CHUNK]
-        h = np.fromiter((digest(g, SEED) for g in part), np.uint64, len(part))
-        set_bits += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(set_bits * 2 > len(grams), bitorder="little").view(np.uint64)[0])
+    return majority(np.fromiter((digest(g, SEED) for g in grams), np.uint64, len(grams)))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half the hashes; none without hashes."""
+    set_bits = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), CHUNK):
+        part = np.ascontiguousarray(hashes[at : at + CHUNK])
+        set_bits += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(set_bits * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
 @F.pandas_udf(T.LongType())

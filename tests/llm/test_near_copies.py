@@ -1,5 +1,7 @@
 import numpy as np
 import pytest
+import xxhash
+from pyspark.sql import functions as F
 
 from fieldmark.llm import near_copies as n
 
@@ -60,6 +62,30 @@ def test_planted_near_copies_equal_brute_force(spark, monkeypatch, split):
     assert got == want
 
 
+@pytest.mark.parametrize("split", [n.SPLIT, 2])
+def test_blocks_alone_link_what_lies_within_three_bits(spark, monkeypatch, split):
+    """Without bands the SimHash blocks still give every pair of near copies within three bits, and no other."""
+    monkeypatch.setattr(n, "_keys", lambda c: F.transform(F.sequence(F.lit(1), F.lit(n.BANDS)), lambda k: F.xxhash64(F.col(c), k)))
+    monkeypatch.setattr(n.links, "__defaults__", (split,))
+    rng, rows = np.random.default_rng(8), []
+    for k in range(25):
+        base = [f"w{x}" for x in rng.integers(0, 5000, 500)]
+        rows += [" ".join([*base[:at], f"x{k}-{at}", *base[at + 1 :]]) if at else " ".join(base) for at in (0, 100, 200, 300, 400)]
+
+    def plain_bits(text):
+        h = [xxhash.xxh64(" ".join(g).encode(), seed=42).intdigest() for g in plain_set(text)]
+        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+    bits, sets, root = [plain_bits(t) for t in rows], [plain_set(t) for t in rows], list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if (bits[a] ^ bits[b]).bit_count() <= 3 and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                root = [root[b] if r == root[a] else r for r in root]
+    want = {k: min(x for x, r in enumerate(root) if r == root[k]) for k in range(len(rows))}
+    got = {r.doc_id: r.component_id for r in n.near_duplicates(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert got == want and 25 < len(set(want.values())) < 100
+
+
 def test_stage_keeps_one_of_each_group(spark, sf_dir):
     import corpus_pipeline
 
