@@ -124,6 +124,15 @@ def test_odd_scores(odd, none):
     assert m.score_documents(none).count() == 0
 
 
+def test_tokens_are_split_once_and_kept(odd):
+    """The rows that all passes read have every document's tokens, ids and repeated rows, and stand in the documents' place."""
+    lines = m.stored(m.word_lines(odd), "test-words")
+    assert m.word_lines(lines) is lines
+    got = [(i, block.words[block.doc == k].tolist()) for block in m.blocks([lines.toPandas()]) for k, i in enumerate(block.ids)]
+    want = [(r.doc_id, [xxhash.xxh64_intdigest(w) | 1 for w in m.tokens(r.text)]) for r in odd.collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def plain_phrases(reference, text):
     count = at = 0
     while at < len(text):
