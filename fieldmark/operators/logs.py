@@ -18,16 +18,16 @@ RUN_WINDOWS = (("midweek", timedelta(days=4, hours=12), timedelta(days=2)), ("fi
 RESULT_GRACE, SIM_DAY_HOURS = timedelta(hours=6), 10
 
 
-def _seconds(d: timedelta) -> int:
-    return int(d.total_seconds())
+def _micros(d: timedelta) -> int:
+    return d // timedelta(microseconds=1)
 
 
 def due_windows(events: DataFrame, start: Column, now: Column) -> DataFrame:
-    """events with run_type of the one window that is open: opens <= now < closes.  Windows do not overlap."""
-    ahead = F.unix_seconds(start) - F.unix_seconds(now)
+    """events with run_type of the one window that is open: opens <= now < closes, to the microsecond.  Windows do not overlap."""
+    ahead = F.unix_micros(start) - F.unix_micros(now)
     kind = F.when(F.lit(False), "")
     for name, opens, closes in RUN_WINDOWS:
-        kind = kind.when((ahead <= _seconds(opens)) & (ahead > _seconds(closes)), name)
+        kind = kind.when((ahead <= _micros(opens)) & (ahead > _micros(closes)), name)
     return events.withColumn("run_type", kind)
 
 
