@@ -22,10 +22,14 @@ def running_before(df: DataFrame, keys: Sequence[str], order: str, sums: Mapping
     return df.withColumns({k: F.coalesce(F.sum(c).over(w), F.lit(0).cast("double")) for k, c in sums.items()})
 
 
+def known_seasons(seasons: DataFrame, season: str = "season") -> list[int]:
+    """The seasons, which are few."""
+    return sorted(r[0] for r in seasons.select(season).distinct().filter(F.col(season).isNotNull()).collect())
+
+
 def every_season(keys: DataFrame, seasons: DataFrame, season: str = "season") -> DataFrame:
     """keys with a row for each of the seasons, which are few and go with the plan."""
-    known = [r[0] for r in seasons.select(season).distinct().filter(F.col(season).isNotNull()).collect()]
-    return keys.withColumn(season, F.explode(F.array(*map(F.lit, sorted(known))).cast(f"array<{seasons.schema[season].dataType.simpleString()}>")))
+    return keys.withColumn(season, F.explode(F.array(*map(F.lit, known_seasons(seasons, season))).cast(f"array<{seasons.schema[season].dataType.simpleString()}>")))
 
 
 def expanding_before(totals: DataFrame, keys: Sequence[str], season: str, seasons: DataFrame, columns: Sequence[str]) -> DataFrame:

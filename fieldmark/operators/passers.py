@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fieldmark.functions.expressions import starter_bucket
-from fieldmark.operators.asof import asof_join, expanding_before, latest
+from fieldmark.operators.asof import asof_join, expanding_before, known_seasons, latest
 from fieldmark.sources.store import Keep, unkept
 
 LEAST_PRIOR = 500
@@ -49,6 +51,27 @@ def latest_starters(rows: DataFrame) -> DataFrame:
     return latest(rows, ["team", "game_id", "kickoff_utc"], ["dropbacks", "qb_id"], ["qb_id"])
 
 
+def past_sums(expected: DataFrame, rows: DataFrame, info: DataFrame, window: int, seasons: Sequence[int]) -> DataFrame:
+    """expected (game_id, side, season, kickoff_utc, qb_id) with draft_round and SUMS of the passer's games before the start, of the last `window` seasons.
+
+    The passer, the games and who asks stand on one line in time, along which each season is summed by itself: its
+    length grows with a passer's games and never with their square.  Who asks for nobody stands alone.
+    """
+    at = F.unix_micros("kickoff_utc").alias("__t")
+    asked = expected.select("qb_id", F.when(F.col("qb_id").isNull(), F.col("game_id")).alias("__apart"), "game_id", "side", "season", at)
+    games = rows.select("qb_id", at, F.col("season").alias("__s"), *[F.col(c).cast("double").alias(c) for c in SUMS])
+    people = info.filter("qb_id is not null").select("qb_id", "draft_round")
+    line = W.partitionBy("qb_id", "__apart").orderBy("__t").rangeBetween(W.unboundedPreceding, -1)  # who the passer is stands first, at no time
+    told = {f"__{c}_{k}": F.sum(F.when(F.col("__s") == s, F.col(c))).over(line) for c in SUMS for k, s in enumerate(seasons)}
+    stacked = asked.unionByName(games.filter("qb_id is not null and __t is not null"), allowMissingColumns=True).unionByName(people, allowMissingColumns=True)
+    summed = stacked.withColumns(told | {"draft_round": F.max("draft_round").over(line)}).filter("side is not null")
+
+    def within(c: str) -> Column:
+        return sum((F.when(F.col("season") - window < F.lit(s), F.coalesce(f"__{c}_{k}", F.lit(0.0))).otherwise(0.0) for k, s in enumerate(seasons)), F.lit(0.0))
+
+    return summed.select("game_id", "side", "season", "draft_round", *[within(c).alias(c) for c in SUMS])
+
+
 def passer_features(games: DataFrame, passer_games: DataFrame, players: DataFrame, params: PasserParams = PasserParams(), keep: Keep = unkept) -> DataFrame:
     """(game_id, {home,away}_qb_{epa,cpoe,bucket}) of the scheduled, else the team's last starter, from games before the start.
 
@@ -56,7 +79,8 @@ def passer_features(games: DataFrame, passer_games: DataFrame, players: DataFram
     """
     info = players.select(F.col("gsis_id").alias("qb_id"), "draft_round", "rookie_season")
     rows = keep("passer-games", passer_games.drop("season").join(games.select("game_id", "season", "kickoff_utc"), "game_id"))
-    young = rows.join(info, "qb_id").filter(F.col("rookie_season").isNotNull() & (F.col("season") - F.col("rookie_season") <= 1)).withColumn("bucket", starter_bucket(F.col("draft_round")))
+    seasonal = rows.groupBy("qb_id", "season").agg(*[F.sum(c).alias(c) for c in SUMS])
+    young = seasonal.join(info, "qb_id").filter(F.col("rookie_season").isNotNull() & (F.col("season") - F.col("rookie_season") <= 1)).withColumn("bucket", starter_bucket(F.col("draft_round")))
     priors = keep("passer-priors", bucket_priors(young.select("season", "bucket", *SUMS), games))
     starts = latest_starters(rows)
 
@@ -65,16 +89,10 @@ def passer_features(games: DataFrame, passer_games: DataFrame, players: DataFram
     expected = asof_join(sides, starts, ["team"], "kickoff_utc", "kickoff_utc", ["qb_id"], ties=["game_id"])
     expected = keep("expected-passers", expected.withColumn("qb_id", F.coalesce(F.when(F.length("named") > 0, F.col("named")), "qb_id")))
 
-    # a passer's games before the start in the window: joined on the passer, summed per side
-    past = rows.select("qb_id", F.col("season").alias("s"), F.col("kickoff_utc").alias("t"), *SUMS)
-    counted = (F.col("t") < F.col("kickoff_utc")) & (F.col("s") > F.col("season") - params.window_seasons)
-    sums = expected.join(past, "qb_id").filter(counted).groupBy("game_id", "side").agg(*[F.sum(c).alias(c) for c in SUMS])
     rated = (
-        expected.join(info, "qb_id", "left")
+        past_sums(expected, rows, info, params.window_seasons, known_seasons(games))
         .withColumn("bucket", starter_bucket(F.col("draft_round")))
-        .join(sums, ["game_id", "side"], "left")
-        .fillna(0, list(SUMS))
-        .join(priors, ["season", "bucket"])
+        .join(F.broadcast(priors), ["season", "bucket"])  # three rows a season
     )
     k = params.prior_dropbacks
     rated = rated.select(

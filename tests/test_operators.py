@@ -1,4 +1,5 @@
 import math
+import re
 from datetime import datetime, timedelta
 
 import pytest
@@ -103,6 +104,25 @@ def test_totals_from_plays(spark):
     assert [(r.team, r.qb_id, r.dropbacks, r.qb_epa_sum, r.cpoe_sum, r.cpoe_n) for r in q] == [("LV", "q", 2, 4.0, 5.0, 1)]
 
 
+def test_passers_games_are_summed_along_one_line(spark):
+    """No join pairs a passer's games with those who ask: sums over seasons that overlap in time, for known, unknown and no passers."""
+    kick = lambda k: datetime(2020, 1, 1) + timedelta(days=7 * k)
+    seasons = [2020, 2021, 2020, 2022, 2021, 2023, 2020, 2023]
+    games = [(f"g{k}", s, kick(k), "A", "B", "q" if k % 3 else None, None) for k, s in enumerate(seasons)]
+    games = spark.createDataFrame(games, "game_id string, season long, kickoff_utc timestamp, home_team string, away_team string, home_qb_id string, away_qb_id string")
+    thrown = [(f"g{k}", s, "A", "q", 10 + k, float(k), 1.0, 2) for k, s in enumerate(seasons)]
+    thrown = spark.createDataFrame(thrown, "game_id string, season long, team string, qb_id string, dropbacks long, qb_epa_sum double, cpoe_sum double, cpoe_n long")
+    players = spark.createDataFrame([("q", 2, 2000), ("other", 1, 2000)], "gsis_id string, draft_round long, rookie_season long")
+    out = passers.passer_features(games, thrown, players, passers.PasserParams(100.0, 2))
+    assert not [line for line in out._jdf.queryExecution().optimizedPlan().toString().split("\n") if re.search(r"Join .*<.*kickoff_utc", line)]
+    got = rows_of(out, "game_id")
+    for k, s in enumerate(seasons):
+        past = [j for j in range(k) if seasons[j] > s - 2]
+        r = got[f"g{k}"]
+        assert r["home_qb_epa"] == pytest.approx(sum(past) / (100 + sum(10 + j for j in past))) and r["home_qb_cpoe"] == pytest.approx(len(past) / (100 + 2 * len(past)))
+        assert r["home_qb_bucket"] == ("day_2" if k else "day_3_udfa") and r["away_qb_bucket"] == "day_3_udfa" and r["away_qb_epa"] == 0.0
+
+
 def test_passers_from_earlier_games(spark, data):
     made = data[0]
     got = rows_of(passers.passer_features(made.games, made.qb_games, made.players), "game_id")
