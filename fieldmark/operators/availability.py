@@ -74,13 +74,14 @@ def games_before(sides: DataFrame, history: DataFrame) -> DataFrame:
 
 
 def candidates(sides: DataFrame, rows: DataFrame, history: DataFrame, lookback: int = LOOKBACK) -> DataFrame:
-    """(game_id, team, player, off_avg, def_avg, position) of players seen at least twice in the team's last games.
+    """(game_id, team, player, off_avg, def_avg, position) of players seen at least twice in the team's last games; where sides names players, of these only.
 
     The last games are a range of dense numbers, so each side asks for at most `lookback` of them by equality.
     """
-    wanted = sides.filter("prior is not null").select("game_id", "team", F.explode(F.sequence(F.greatest(F.col("prior") - lookback + 1, F.lit(1)), F.col("prior"))).alias("idx"))
-    seen = rows.join(history.select("team", "game_id", "idx"), ["team", "game_id"]).select("team", "idx", "player", "off", "def", "position")
-    joined = wanted.join(seen, ["team", "idx"])
+    named = [c for c in ("player",) if c in sides.columns]
+    wanted = sides.filter("prior is not null").select("game_id", "team", *named, F.explode(F.sequence(F.greatest(F.col("prior") - lookback + 1, F.lit(1)), F.col("prior"))).alias("idx"))
+    wanted = wanted.join(history.select("team", "idx", F.col("game_id").alias("__past")), ["team", "idx"])
+    joined = wanted.join(rows.select("team", F.col("game_id").alias("__past"), "player", "off", "def", "position"), ["team", "__past", *named])
     position = F.max_by(F.when(F.col("position").isNotNull(), F.col("position")), F.when(F.col("position").isNotNull(), F.col("idx")))
     return joined.groupBy("game_id", "team", "player").agg(F.avg("off").alias("off_avg"), F.avg("def").alias("def_avg"), position.alias("position"), F.count("*").alias("n")).filter(F.col("n") >= LEAST_APPEARANCES).drop("n")
 
@@ -211,22 +212,25 @@ def availability(games: DataFrame, snaps: DataFrame, injuries: DataFrame, player
     """One row a game with {home,away}_{off_out,def_out,out_<group>}; null where the side's week was not reported, it has no
     earlier snaps, or the season has none.
 
-    What does not depend on params is passed through keep: snaps, their games, sides and candidates.
+    What does not depend on params is passed through keep: snaps, their games and sides.  Shares are added up only for the
+    players that a report lists.
     """
     rows = keep("snap-rows", snap_rows(games, snaps, players))
     history = keep("snap-games", team_history(rows))
     both = F.inline(F.array(F.struct(F.lit("home").alias("side"), F.col("home_team").alias("team")), F.struct(F.lit("away").alias("side"), F.col("away_team").alias("team"))))
     sides = keep("snap-sides", games_before(games.select("game_id", "season", "week", "kickoff_utc", both), history))
-    cands = keep(f"candidates-{lookback}", candidates(sides, rows, history, lookback))
-    gated = sides.filter((F.col("season") >= FIRST_SNAP_SEASON) & F.col("prior").isNotNull()).join(reported_weeks(injuries), ["season", "week", "team"], "left_semi")
-    listed = report_lists(injuries).filter("out or questionable")
-    out = gated.join(listed, ["season", "week", "team"]).join(cands, ["game_id", "team", "player"])
+    open_ = sides.filter((F.col("season") >= FIRST_SNAP_SEASON) & F.col("prior").isNotNull())
+    gated = open_.join(reported_weeks(injuries), ["season", "week", "team"], "left_semi")
+    listed = report_lists(injuries).filter("out or questionable" if params.questionable else "out")
+    asked = open_.join(listed, ["season", "week", "team"])  # whoever is listed is reported
+    cands = keep(f"candidates-{lookback}-{params.questionable}", candidates(asked, rows, history, lookback))
+    out = asked.join(cands, ["game_id", "team", "player"])
     if params.questionable:
         rates = keep("miss-rates", miss_rates(questionable_cases(sides, cands, rows, injuries), games))
         out = out.withColumn("practice", F.coalesce("practice", F.lit("none"))).join(rates, ["season", "practice"], "left")
         out = out.withColumn("weight", F.when(F.col("out"), 1.0).otherwise(F.col("miss_rate")))
     else:
-        out = out.filter("out").withColumn("weight", F.lit(1.0))
+        out = out.withColumn("weight", F.lit(1.0))
     info = players.select(F.col("gsis_id").alias("player"), F.col("position").alias("listed_position")).dropDuplicates(["player"])
     out = out.join(info, "player", "left").withColumn("grp", F.coalesce(group_of(F.col("position")), group_of(F.col("listed_position"))))
     out = keep(f"absent-{params.questionable}", out.withColumn("share", F.when(F.col("grp").isin(*OFFENSE), F.col("off_avg")).otherwise(F.col("def_avg"))))

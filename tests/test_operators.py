@@ -147,6 +147,18 @@ def test_passers_from_earlier_games(spark, data):
             assert got[g.game_id][f"{side}_qb_epa"] == pytest.approx(want) and got[g.game_id][f"{side}_qb_bucket"] == b
 
 
+@pytest.mark.parametrize("questionable", [False, True])
+def test_shares_are_added_up_for_listed_players_only(spark, data, questionable):
+    made, kept = data[0], {}
+    args = (made.games, made.snaps, made.injuries, made.players, made.player_stats, made.contracts)
+    availability.availability(*args, availability.AvailabilityParams(questionable=questionable), keep=lambda name, df: kept.setdefault(name, df)).collect()
+    cands = next(df for name, df in kept.items() if name.startswith("candidates"))
+    status = ("Out", "Doubtful", "Questionable") if questionable else ("Out", "Doubtful")
+    listed = {(r.season, r.week, r.team, r.gsis_id) for r in made.injuries.collect() if r.report_status in status}
+    got = cands.join(made.games.select("game_id", "season", "week"), "game_id").collect()
+    assert got and {(r.season, r.week, r.team, r.player) for r in got} <= listed
+
+
 def test_availability_equals_a_plain_walk(spark, data):
     made = data[0]
     args = (made.games, made.snaps, made.injuries, made.players, made.player_stats, made.contracts)
