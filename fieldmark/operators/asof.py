@@ -13,6 +13,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def per_game(df: DataFrame) -> DataFrame:
+    """df, whose rows grow with the games, as a side of a join that is shuffled.
+
+    Spark takes the size of stored columns packed in files for their size in memory: millions of rows whose columns are
+    constant would look small enough to be sent whole through the driver.
+    """
+    return df.hint("merge")
+
+
 def running_before(df: DataFrame, keys: Sequence[str], order: str, sums: Mapping[str, Column]) -> DataFrame:
     """df with running sums over the rows of the same keys whose `order` (an integer) is strictly smaller; 0 where there is none.
 

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fieldmark.functions.expressions import replaced, roster_bucket
-from fieldmark.operators.asof import asof_join, expanding_before, indexed
+from fieldmark.operators.asof import asof_join, expanding_before, indexed, per_game
 from fieldmark.sources.store import OWN, Keep, unkept
 
 FIRST_SNAP_SEASON, LOOKBACK, STARTER_SHARE, LEAST_APPEARANCES, LEAST_CASES, DURABILITY_GAMES = 2013, 4, 0.5, 2, 50, 8
@@ -57,7 +57,7 @@ def snap_rows(games: DataFrame, snaps: DataFrame, players: DataFrame) -> DataFra
     """(team, game_id, kickoff_utc, season, week, player, off, def, position): snaps of players who are no passers and whose game and id are known."""
     ids = players.filter(F.col("pfr_id").isNotNull()).groupBy("pfr_id").agg(F.max("gsis_id").alias("player"))
     known = snaps.filter(~F.col("position").eqNullSafe("QB")).join(ids, snaps["pfr_player_id"] == ids["pfr_id"])
-    return known.join(games.select("game_id", "kickoff_utc", F.col("season").alias("__s"), F.col("week").alias("__w")), "game_id").select(
+    return known.join(per_game(games.select("game_id", "kickoff_utc", F.col("season").alias("__s"), F.col("week").alias("__w"))), "game_id").select(
         "team", "game_id", "kickoff_utc", F.col("__s").alias("season"), F.col("__w").alias("week"), "player",
         F.coalesce("offense_pct", F.lit(0.0)).alias("off"), F.coalesce("defense_pct", F.lit(0.0)).alias("def"), "position",
     )
@@ -222,7 +222,7 @@ def availability(games: DataFrame, snaps: DataFrame, injuries: DataFrame, player
     open_ = sides.filter((F.col("season") >= FIRST_SNAP_SEASON) & F.col("prior").isNotNull())
     gated = open_.join(reported_weeks(injuries), ["season", "week", "team"], "left_semi")
     listed = report_lists(injuries).filter("out or questionable" if params.questionable else "out")
-    asked = open_.join(listed, ["season", "week", "team"])  # whoever is listed is reported
+    asked = open_.join(per_game(listed), ["season", "week", "team"])  # whoever is listed is reported
     cands = keep(f"candidates-{lookback}-{params.questionable}", candidates(asked, rows, history, lookback))
     out = asked.join(cands, ["game_id", "team", "player"])
     if params.questionable:

@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fieldmark.functions.expressions import flag, haversine_miles, logistic_share, utc_offset_hours
-from fieldmark.operators.asof import earliest, every_season, latest, most_common, nearest_fill
+from fieldmark.operators.asof import earliest, every_season, latest, most_common, nearest_fill, per_game
 
 #: Team names that moved, under their present name.
 ALIASES = {"OAK": "LV", "SD": "LAC", "STL": "LA"}
@@ -113,7 +113,7 @@ def home_away(games: DataFrame, per_team: DataFrame, columns: Sequence[str]) ->
     The rows of a game meet in one grouped pass instead of a join for each side.
     """
     sides = games.select("game_id", F.explode(F.array(F.struct(F.lit("home").alias("side"), F.col("home_team").alias("team")), F.struct(F.lit("away").alias("side"), F.col("away_team").alias("team")))).alias("s")).select("game_id", "s.side", "s.team")
-    joined = sides.join(per_team.select("game_id", "team", *columns), ["game_id", "team"], "left")
+    joined = sides.join(per_game(per_team.select("game_id", "team", *columns)), ["game_id", "team"], "left")
     return joined.groupBy("game_id").agg(*[F.max(F.when(F.col("side") == s, F.col(c))).alias(f"{s}_{c}") for s in ("home", "away") for c in columns])
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fieldmark.functions.expressions import starter_bucket
-from fieldmark.operators.asof import asof_join, expanding_before, known_seasons, latest
+from fieldmark.operators.asof import asof_join, expanding_before, known_seasons, latest, per_game
 from fieldmark.sources.store import Keep, unkept
 
 LEAST_PRIOR = 500
@@ -78,7 +78,7 @@ def passer_features(games: DataFrame, passer_games: DataFrame, players: DataFram
     What does not depend on params is passed through keep: the passers' games and the expected passer of each side.
     """
     info = players.select(F.col("gsis_id").alias("qb_id"), "draft_round", "rookie_season")
-    rows = keep("passer-games", passer_games.drop("season").join(games.select("game_id", "season", "kickoff_utc"), "game_id"))
+    rows = keep("passer-games", passer_games.drop("season").join(per_game(games.select("game_id", "season", "kickoff_utc")), "game_id"))
     seasonal = rows.groupBy("qb_id", "season").agg(*[F.sum(c).alias(c) for c in SUMS])
     young = seasonal.join(info, "qb_id").filter(F.col("rookie_season").isNotNull() & (F.col("season") - F.col("rookie_season") <= 1)).withColumn("bucket", starter_bucket(F.col("draft_round")))
     priors = keep("passer-priors", bucket_priors(young.select("season", "bucket", *SUMS), games))

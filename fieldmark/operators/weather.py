@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fieldmark.operators.asof import asof_join, hour_grid
+from fieldmark.operators.asof import asof_join, hour_grid, per_game
 from fieldmark.sources.store import Store
 
 HOURS, ARCHIVE_LAG = 4, timedelta(days=6)
@@ -128,9 +128,9 @@ def climate_before(games: DataFrame, archive: DataFrame, keys: list[str]) -> Dat
     dated = games.withColumn("__day", F.to_date("kickoff_utc"))
     out = asof_join(dated, upto, keys, "__day", "day", list(sums))
     hours = archive.select(*keys, day, "time_utc", *INDOOR_VALUES)
-    own = dated.select("game_id", "kickoff_utc", *keys, F.col("__day").alias("day")).join(hours, [*keys, "day"]).filter("time_utc < kickoff_utc")
+    own = dated.select("game_id", "kickoff_utc", *keys, F.col("__day").alias("day")).join(per_game(hours), [*keys, "day"]).filter("time_utc < kickoff_utc")
     own = own.groupBy("game_id").agg(*[v.alias(f"__{k}") for k, v in sums.items()])
-    both = out.drop("__day").join(own, "game_id", "left")
+    both = out.drop("__day").join(per_game(own), "game_id", "left")
     return both.withColumns({k: F.coalesce(k, F.lit(0)) + F.coalesce(f"__{k}", F.lit(0)) for k in sums}).drop(*[f"__{k}" for k in sums])
 
 
@@ -139,16 +139,16 @@ def game_weather(games: DataFrame, weather: DataFrame) -> DataFrame:
     at the venue, else in the league, else indoor values."""
     outside = games.filter(F.coalesce(~F.col("roof").isin(*INDOOR), F.lit(True))).select("game_id", "stadium_id", "kickoff_utc", F.month("kickoff_utc").alias("month"))
     asked = hour_grid(outside, F.col("kickoff_utc"), HOURS, "time_utc")
-    seen = asked.join(weather.filter("temp_f is not null"), ["stadium_id", "time_utc"])
+    seen = asked.join(per_game(weather.filter("temp_f is not null")), ["stadium_id", "time_utc"])
     observed = seen.groupBy("game_id").agg(
         F.avg("temp_f").alias("o_temp_f"), F.avg(F.coalesce("wind_mph", F.lit(0.0))).alias("o_wind_mph"),
         (F.sum(F.coalesce("precip_in", F.lit(0.0))) * HOURS / F.count("*")).alias("o_precip_in"), F.min_by("source", "time_utc").alias("o_source"),
     )
     archive = weather.filter("source = 'archive'").withColumn("month", F.month("time_utc"))
-    out = outside.join(observed, "game_id", "left")
+    out = outside.join(per_game(observed), "game_id", "left")
     for prefix, keys in (("v", ["stadium_id", "month"]), ("l", ["month"])):
         known = climate_before(outside.select("game_id", "kickoff_utc", *keys), archive, keys)
-        out = out.join(known.select("game_id", *[F.col(f"{x}_{c}").alias(f"{prefix}_{x}_{c}") for c in INDOOR_VALUES for x in ("s", "n")]), "game_id", "left")
+        out = out.join(per_game(known.select("game_id", *[F.col(f"{x}_{c}").alias(f"{prefix}_{x}_{c}") for c in INDOOR_VALUES for x in ("s", "n")])), "game_id", "left")
 
     def ladder(c: str):
         scale = HOURS if c == "precip_in" else 1

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldmark.operators.asof import per_game
 from fieldmark.operators.contests import Dataset, team_games
 from fieldmark.sources.tables import empty
 
@@ -23,8 +24,8 @@ def contests(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     at = F.col("o_orderdate").cast("timestamp")
     joined = (
-        orders.join(first, orders["o_orderkey"] == first["l_orderkey"])
-        .join(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
+        orders.join(per_game(first), orders["o_orderkey"] == first["l_orderkey"])
+        .join(per_game(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")), F.col("o_custkey") == F.col("c_custkey"))
         .join(table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"), F.col("f.l_suppkey") == F.col("s_suppkey"))
         .filter("c_nationkey != s_nationkey")
     )

@@ -22,6 +22,16 @@ def rows_of(df, key):
     return {r[key]: r.asDict() for r in df.collect()}
 
 
+def test_stored_parts_are_never_sent_whole(spark, data):
+    """Parts are joined by shuffles, however small their files: what is constant in them takes no place there."""
+    plan = Parts(*data).features()._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_elo_of_gaps_beyond_doubles(spark, data):
+    assert fold.elo(data[0].games, fold.EloParams(k=1e9)).count() == data[0].games.count()
+
+
 def test_elo_equals_a_plain_walk(spark, data):
     games = data[0].games
     got = rows_of(fold.elo(games), "game_id")
