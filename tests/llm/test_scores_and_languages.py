@@ -79,6 +79,25 @@ def test_network_is_fitted_to_every_window(spark, documents, texts):
     assert all(np.allclose(a, b, atol=1e-4) for a, b in zip(alone.weights, own.weights, strict=True))
 
 
+def test_every_pass_reads_every_window(documents, monkeypatch):
+    """A corpus that many tasks fit is read as often as one that a single task does."""
+    vocab = m.vocabulary(m.counts(documents))
+    total = int(vocab.mass.sum())
+    lines, read, averaged = m.stored(m.leaf_lines(documents.repartition(3), vocab), "test-lines"), [], m._averaged
+
+    def counted(some, *args):
+        read.append(sum(int(np.frombuffer(r.sizes, "<i8").sum()) for r in some.collect()))
+        return averaged(some, *args)
+
+    monkeypatch.setattr(m, "_averaged", counted)
+    for warm in (0, total // 4):
+        read.clear()
+        got = m.fit_whole(lines, vocab, total, warm=warm, task=total // 3)
+        first = total if not warm else read[0]
+        assert read == [first, *[total] * (m.EPOCHS - 1)] and (got.seen[1] == total).all()
+    assert (m.fit_whole(lines, vocab, total, warm=total).seen[1] == total).all()
+
+
 def test_hot_windows_counted_beforehand_change_nothing(documents, model):
     early = m.fit(documents, hot=40)
     assert len(early.pairs) > 10 and len(early.triples) > 5 and not len(model.pairs)
